@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, media, quality, shards, tokenfile, urls
+from . import bpe, html, jaccard, lm, media, quality, shards, tokenfile, urls
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_lm_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -49,12 +53,18 @@ def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_trie": op1_bpe_trie,
     "op2_html_consensus": op2_html_consensus,
     "op3_url_filter": op3_url_filter,
+    "op4_lm_interpolation": op4_lm_interpolation,
     "op5_media_tiles": op5_media_tiles,
     "op6_virtual_slots": op6_virtual_slots,
     "op8_token_planes": op8_token_planes,
     "op9_quality_ftrl": op9_quality_ftrl,
+    "op10_jaccard_parity": op10_jaccard_parity,
 }
