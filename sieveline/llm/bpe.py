@@ -19,6 +19,7 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -160,8 +161,8 @@ class ByteBpe:
         head, *rest = text.split(" ")
         return [head, *map(" ".__add__, rest)] if head else list(map(" ".__add__, rest))
 
-    def digest_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text: count of tokens, sha256 of the joined decimal ids, sha256 of the decoded text."""
+    def digest_batch(self, texts: list[str]) -> list[tuple[bytes, int, str, str]]:
+        """For each text: the joined decimal ids, count of tokens, their sha256, sha256 of the decoded text."""
         cut = [self._parts(t) if t else [] for t in texts]
         if len(self.chunks) > self.cached or self.held > self.cached_chars:
             self.chunks.clear()
@@ -188,7 +189,7 @@ class ByteBpe:
                 decoded.decode()
             except UnicodeDecodeError:
                 decoded = decoded.decode("utf-8", "replace").encode()
-            out.append((n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            out.append((joined, n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()))
         return out
 
 
@@ -225,18 +226,29 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each document, from the same codes as :func:`encode`."""
+def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each document, from the codes that :func:`encode` gives; ``ids`` on demand."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for b in batches:
             got = bpe.digest_batch([t or "" for t in b.column(1).to_pylist()])
-            n, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            joined, n, ids, decoded = zip(*got, strict=True) if got else ((), (), (), ())
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                values = [np.array(j.split(b",") if j else [], np.int32) for j in joined]
+                offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.int32)]))))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     bounded_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
-    out = only(docs, id_col, text_col).mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]))
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = only(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)
+
+
+def encode_with_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """What :func:`digests` gives, and the token ids."""
+    return digests(docs, vocabulary, with_ids=True)

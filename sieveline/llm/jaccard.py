@@ -60,12 +60,17 @@ class Shingler:
             self.known[word] = h
         return h
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        """The hash of each word position's shingle, in order."""
+    def word_hashes(self, text: str | None) -> np.ndarray:
         if len(self.known) > self.kept:
             self.known.clear()
         get, learn = self.known.get, self._learn
-        w = np.array([h if (h := get(t)) is not None else learn(t) for t in (text or "").encode().lower().split()], np.uint64)
+        return np.array([h if (h := get(t)) is not None else learn(t) for t in (text or "").encode().lower().split()], np.uint64)
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        """The hash of each word position's shingle, in order."""
+        return self.of_words(self.word_hashes(text))
+
+    def of_words(self, w: np.ndarray) -> np.ndarray:
         n = len(w) - self.words + 1
         if n <= 0:
             return np.array([xxhash.xxh64_intdigest(w.tobytes())], np.uint64) if len(w) else w

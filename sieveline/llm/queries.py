@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jaccard, lm, media, quality, shards, tokenfile, urls
+from . import bpe, decontaminate, html, jaccard, lm, media, quality, shards, tokenfile, urls
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_interpolation": op4_lm_interpolation,
     "op5_media_tiles": op5_media_tiles,
     "op6_virtual_slots": op6_virtual_slots,
+    "op7_simhash_windows": op7_simhash_windows,
     "op8_token_planes": op8_token_planes,
     "op9_quality_ftrl": op9_quality_ftrl,
     "op10_jaccard_parity": op10_jaccard_parity,
