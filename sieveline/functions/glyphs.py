@@ -14,10 +14,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: name -> function(bytes) of external models (render, recognise, classify, vectorise).
 HOOKS: dict[str, Callable] = {}
 
+POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+METRICS = T.StructType([T.StructField("shapes", T.IntegerType()), T.StructField("width", T.DoubleType()), T.StructField("hole", T.BooleanType()), T.StructField("ink", T.DoubleType())])
+
 
 def mask_of(data: bytes | None, width: int) -> np.ndarray:
     a = np.frombuffer(data or b"", np.uint8)
@@ -377,12 +381,12 @@ def svg_path(d: str | None, samples: int = 10) -> list[list[tuple[float, float]]
     return strokes
 
 
-@F.pandas_udf("array<array<struct<x:double,y:double>>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(POINT)))
 def svg_strokes(d: pd.Series) -> pd.Series:
     return pd.Series([[[{"x": x, "y": y} for x, y in s] for s in svg_path(p)] for p in d])
 
 
-@F.pandas_udf("struct<shapes:int,width:double,hole:boolean,ink:double>")
+@F.pandas_udf(METRICS)
 def mask_metrics(mask: pd.Series, width: pd.Series) -> pd.DataFrame:
     rows = []
     for data, w in zip(mask, width, strict=True):
@@ -396,12 +400,12 @@ def _points(values) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in values], float).reshape(-1, 2)
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(T.ArrayType(POINT))
 def simplify(points: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else [{"x": x, "y": y} for x, y in simplified(_points(p), t)] for p, t in zip(points, tolerance, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def stroke_share(mask: pd.Series, width: pd.Series, points: pd.Series) -> pd.Series:
     return pd.Series([near_share(mask_of(m, w), _points(p)) for m, w, p in zip(mask, width, points, strict=True)])
 

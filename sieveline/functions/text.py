@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Substrings that mark a variant of a family.
 VARIANT_WORDS = ("bold", "italic", "light", "medium", "thin", "black", "heavy", "semibold", "extrabold", "extralight", "ultralight", "ultrabold", "demibold", "condensed", "expanded", "narrow", "wide", "oblique", "slant", "regular")
@@ -36,7 +37,7 @@ def edit_confidence(expected: Column, actual: Column, errors: bool = False) -> C
     return F.when(actual.startswith("ERROR"), 0.0).otherwise(out) if errors else out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; another measure than :func:`edit_confidence`."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

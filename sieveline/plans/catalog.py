@@ -19,6 +19,7 @@ from ..operators import ranking as R
 from ..operators import relational as J
 from ..operators import similarity as S
 from ..operators import spatial as G
+from ..session import ship
 from ..sources import files as FS
 from ..sources import pages as H
 from ..streaming import progress as T
@@ -32,6 +33,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        ship(spark)
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
