@@ -2,4 +2,49 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .common import LOWER, UPPER
+from .urls import LINK, RULES, URL
+
+
+def _ranks(name: str, source: str, target: str, seed: str, rounds: int, damping: float) -> str:
+    """CTEs of a personalised PageRank, a round each."""
+    out = [f"{name}_out as (select {source} a, sum(links) n from edges group by 1)", f"{name}_0 as (select host, case when {seed} then 1.0::double else 0.0::double end rank from hosts)"]
+    for i in range(1, rounds + 1):
+        flow = f"select e.{target} b, sum(e.links / o.n * r.rank) f from edges e join {name}_out o on e.{source} = o.a join {name}_{i - 1} r on r.host = e.{source} group by 1"
+        out.append(f"{name}_{i} as (select h.host, (1 - {damping}) * s.rank + {damping} * coalesce(f.f, 0.0) rank from hosts h join {name}_0 s on s.host = h.host left join ({flow}) f on f.b = h.host)")
+    return ", ".join(out)
+
+
+def url_filter(rounds: int = 6, damping: float = 0.85, threshold: float = 0.01) -> str:
+    low = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
+    host = lambda c: low(f"regexp_extract(coalesce({c}, ''), '{URL}', 1)")
+    within = lambda d: f"(host = '{d}' or ends_with(host, '.{d}'))"
+    named = lambda kind: " or ".join(within(d) for v, d, _ in RULES if v == kind) or "false"
+    link = LINK.replace("'", "''")
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = " ".join(f"when {within(d)} and starts_with(path, '{p}') then '{d}{p}'" for _, d, p in longest)
+    says = " ".join(f"when '{d}{p}' then '{v}'" for v, d, p in RULES)
+    allow, block = f"(({named('allow')}) and not ({named('block')}))", f"(({named('block')}) and not ({named('allow')}))"
+    return f"""with l as (select {host("url")} src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) "to" from pages),
+edges as (select src, {host('"to"')} dst, count(*) links from l group by 1, 2 having src != '' and dst != '' and src != dst),
+own as (select page_id, {host("url")} host, regexp_extract(coalesce(url, ''), '{URL}', 2) path from pages),
+hosts as (select host from own where host != '' union select src from edges union select dst from edges),
+{_ranks("trust", "src", "dst", allow, rounds, damping)}, {_ranks("distrust", "dst", "src", block, rounds, damping)},
+judged as (select t.host, case when d.rank - t.rank > {threshold} then 'block' else 'allow' end verdict from trust_{rounds} t join distrust_{rounds} d on t.host = d.host),
+ruled as (select *, case {fits} end rule from own)
+select page_id, r.host, path, rule, coalesce(case rule {says} end, j.verdict, 'allow') verdict from ruled r left join judged j on j.host = r.host"""
+
+
+def near_duplicates(words: int = 4, num: int = 85, den: int = 100) -> str:
+    last = words - 1
+    return f"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') l from documents),
+s as (select distinct doc_id, unnest(case when len(l) = 0 then []::varchar[] when len(l) < {words} then [array_to_string(l, ' ')] else [array_to_string(l[i:i + {last}], ' ') for i in range(1, len(l) - {last - 1})] end) sh from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n i on i.doc_id = x join n j on j.doc_id = y where {den} * c >= {num} * (i.n + j.n - c)),
+u as (select x, y from e union select y, x from e),
+r(node, reached) as (select doc_id, doc_id from documents union select r.node, u.y from r join u on u.x = r.reached)
+select d.doc_id, coalesce(n.n, 0) n_shingles, m.component_id from documents d left join n on n.doc_id = d.doc_id join (select node, min(reached) component_id from r group by 1) m on m.node = d.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter(), "op10_jaccard_parity": near_duplicates()}
