@@ -85,13 +85,33 @@ def smoothed(value: str, group: str, order: str, sigma: float, truncate: float =
     return out
 
 
-def every_kth(df: DataFrame, order: str, k: int) -> DataFrame:
-    """Rows k, 2k, ... of the global order, by ranks within ranges and offsets of the ranges: no task sees all rows."""
-    parts = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+def ranged(df: DataFrame, order: str, name: str = "_part", sample: int = 4096) -> DataFrame:
+    """Adds the number of the range of ``order`` that a row is in, as many ranges as the session's shuffles have partitions.
+
+    The bounds are values of a bounded sample by hash, fixed before use, so every use of the
+    column agrees; equal values are in one range and nulls in the first.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    got = sorted({r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(sample).collect()})
+    bounds = [got[len(got) * i // parts] for i in range(1, parts)] if len(got) > parts else got
+    number = F.lit(0)
+    for b in dict.fromkeys(bounds):
+        number = number + F.when(F.col(order) >= F.lit(b), 1).otherwise(0)
+    return df.withColumn(name, number)
+
+
+def numbered(df: DataFrame, order: str, name: str, *ties: str) -> DataFrame:
+    """Ranks from 1 in the order: ranks within ranges plus the sizes of the ranges before. No task sees all rows."""
+    parts = ranged(df, order)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a range
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return parts.withColumn("_rank", rank).join(before, "_part").where((F.col("_rank") + F.col("_before")) % k == 0).drop("_part", "_rank", "_size", "_before")
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order, *ties))
+    return parts.withColumn("_rank", rank).join(F.broadcast(before), "_part").withColumn(name, F.col("_rank") + F.col("_before")).drop("_part", "_rank", "_before")  # a row a range
+
+
+def every_kth(df: DataFrame, order: str, k: int) -> DataFrame:
+    """Rows k, 2k, ... of the global order."""
+    return numbered(df, order, "_at").where(F.col("_at") % k == 0).drop("_at")
 
 
 def tail(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import ranged
+
 OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
@@ -35,9 +37,19 @@ def nearest(points: DataFrame, cloud: DataFrame, r: float, k: int = 1, group: st
 
 
 def nearest_value(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Each row with the other row of closest value: of the neighbours in order, by two ordered passes, not a cross join."""
-    w = Window.orderBy(value, key)
-    both = df.select(key, value, F.lag(F.struct(F.col(value).alias("v"), F.col(key).alias("k"))).over(w).alias("below"), F.lead(F.struct(F.col(value).alias("v"), F.col(key).alias("k"))).over(w).alias("above"))
+    """Each row with the other row of closest value, ties to the smaller key among neighbours in the order.
+
+    Neighbours come from windows over ranges of the value; across a border, from the last and
+    first rows of the ranges around it (a row a range).
+    """
+    pair = F.struct(F.col(value).alias("v"), F.col(key).alias("k"))
+    rows = ranged(df.select(key, value), value)
+    ends = rows.groupBy("_part").agg(F.min(pair).alias("_first"), F.max(pair).alias("_last"))
+    order = Window.orderBy("_part")
+    ends = ends.select("_part", F.lag("_last").over(order).alias("_before"), F.lead("_first").over(order).alias("_after"))
+    w = Window.partitionBy("_part").orderBy(value, key)
+    both = rows.withColumns({"below": F.lag(pair).over(w), "above": F.lead(pair).over(w)}).join(F.broadcast(ends), "_part")  # a row a range
+    both = both.select(key, value, F.coalesce("below", "_before").alias("below"), F.coalesce("above", "_after").alias("above"))
     lower, upper = F.abs(F.col(value) - F.col("below.v")), F.abs(F.col("above.v") - F.col(value))
     return both.select(key, F.when(F.col("above").isNull() | (lower < upper) | ((lower == upper) & (F.col("below.k") < F.col("above.k"))), F.col("below.k")).otherwise(F.col("above.k")).alias("nearest"))
 

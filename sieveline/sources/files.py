@@ -10,9 +10,9 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import safe_file_name, stem
+from ..operators.ranking import numbered
 from ..session import ship
 
 FONT_SUFFIXES = ("ttf", "otf", "woff", "woff2")
@@ -102,12 +102,8 @@ def catalog_json(items: DataFrame, duplicates: DataFrame, removed: DataFrame) ->
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
-    """Numbers rows from 0 in the order: ranks within ranges plus the sizes of the ranges before."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_rank", rank).join(before, "_part").withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_part", "_rank", "_before")
+    """Numbers rows from 0 in the order, range by range."""
+    return numbered(df, order[0], name, *order[1:]).withColumn(name, F.col(name) - 1)
 
 
 def keyed_samples(df: DataFrame, order: Sequence[str]) -> DataFrame:
