@@ -160,3 +160,33 @@ def nearest_available(wanted: Sequence[int], available: DataFrame, key: str, wit
             left.remove(hit)
             out.append((w, hit))
     return out
+
+
+def sample_others(df: DataFrame, group: str, key: str, n: int, seed: str = "0") -> DataFrame:
+    """key, other: ``n`` rows of the same group for each row, itself excluded, in an order by hash; groups too small repeat theirs.
+
+    Each row takes the ``n`` rows after its own place in the group's hashed order, round and
+    round: no pairs are formed that are not kept.
+    """
+    w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key)
+    placed = df.select(group, key, (F.row_number().over(w) - 1).alias("_at"), F.count("*").over(Window.partitionBy(group)).alias("_n")).where("_n > 1")
+    wanted = placed.select(group, key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"), "_at", "_n").withColumn("_to", (F.col("_at") + 1 + F.col("_k") % (F.col("_n") - 1)) % F.col("_n"))
+    there = placed.select(group, F.col(key).alias("other"), F.col("_at").alias("_to"))
+    return wanted.join(there, [group, "_to"]).select(key, "_k", "other")
+
+
+def best_variant(df: DataFrame, group: str, variant: str, score: str, order: str, favoured: str) -> DataFrame:
+    """The best variant of each group: the first of equals in the order, but the favoured one wins its ties."""
+    rank = F.struct(F.col(score), (F.col(variant) == favoured).cast("int"), -F.col(order))
+    return df.groupBy(group).agg(F.max_by(F.struct(variant, score), rank).alias("_b")).select(group, f"_b.{variant}", f"_b.{score}")
+
+
+def elapsed(time: str, group: str, order: str) -> Column:
+    """Seconds since the group's first row."""
+    w = Window.partitionBy(group).orderBy(order)
+    return F.unix_timestamp(time) - F.unix_timestamp(F.first(time).over(w))
+
+
+def remaining(done: Column, total: Column, seconds: Column) -> Column:
+    """Estimated seconds left at the rate so far; null before anything is done."""
+    return F.try_divide(seconds * (total - done), done)

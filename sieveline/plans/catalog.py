@@ -792,3 +792,168 @@ def queue_complete(t: Tables) -> DataFrame:
 def bounded_buffer(t: Tables) -> DataFrame:
     """T13"""
     return T.bounded_buffer(t.events.select("user_id", "event_id"), "user_id", "event_id", 50, 20)
+
+
+# ---- more of the same kinds ----
+
+
+@query("with p as (select vec_id, label, row_number() over (partition by label order by md5('7:'||vec_id), vec_id)-1 a, count(*) over (partition by label) n from embeddings) select x.vec_id, j k, y.vec_id other from p x cross join range(0,3) r(j) join p y on y.label=x.label and y.a=(x.a+1+j%(x.n-1))%x.n where x.n>1")
+def sample_others(t: Tables) -> DataFrame:
+    """X52"""
+    return R.sample_others(t.embeddings, "label", "vec_id", 3, "7").select("vec_id", c("_k").alias("k"), "other")
+
+
+@query("select user_id, event_type, value from (select user_id, event_type, value, row_number() over (partition by user_id order by value desc, event_type='view' desc, event_id) rn from events where value is not null) where rn=1")
+def best_variant(t: Tables) -> DataFrame:
+    """O12"""
+    return R.best_variant(t.events.where("value is not null"), "user_id", "event_type", "value", "event_id", "view")
+
+
+@query("select event_id, epoch(date_trunc('second',ts))::bigint - epoch(date_trunc('second',first_value(ts) over (partition by user_id order by event_id)))::bigint as secs from events")
+def elapsed_seconds(t: Tables) -> DataFrame:
+    """W15 F13 F15"""
+    return t.events.select("event_id", R.elapsed("ts", "user_id", "event_id").alias("secs"))
+
+
+@query("select strftime(ts, '%Y-%m-%d') as day, count(*) n from events group by 1")
+def daily_counts(t: Tables) -> DataFrame:
+    """F13"""
+    return t.events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("select page_id, url_encode(url) quoted from pages where url is not null")
+def quoted_urls(t: Tables) -> DataFrame:
+    """F9"""
+    return t.pages.where("url is not null").select("page_id", X.quote(c("url")).alias("quoted"))
+
+
+@query("select page_id, replace(replace(replace(replace(replace(replace(t,'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&apos;',''''),'&#39;',''''),'&amp;','&') title from (select page_id, regexp_extract(html,'<title>([^<]*)</title>',1) t from pages)")
+def page_titles(t: Tables) -> DataFrame:
+    """F10"""
+    return t.pages.select("page_id", X.unescape(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
+
+
+@query("select vec_id, round(list_inner_product(embedding::double[], list_reverse(embedding::double[])),5) d from embeddings")
+def self_dot(t: Tables) -> DataFrame:
+    """F18 F42"""
+    e = c("embedding").cast("array<double>")
+    return t.embeddings.select("vec_id", F.round(P.total(F.zip_with(e, F.reverse(e), lambda x, y: x * y)), 5).alias("d"))
+
+
+@query(f"select vec_id, round(acos(greatest(-1.0,least(1.0,(xs[1]*xs[2]+ys[1]*ys[2])/(n1*n2)))),4) a from (select *, sqrt(xs[1]**2+ys[1]**2) n1, sqrt(xs[2]**2+ys[2]**2) n2 from ({POINTS})) where n1>=0.01 and n2>=0.01")
+def unit_angles(t: Tables) -> DataFrame:
+    """F19 F20"""
+    p, q = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    rows = _points(t).where((P.length(p) >= 0.01) & (P.length(q) >= 0.01))
+    return rows.select("vec_id", F.round(P.angle_between(P.normalised(p), P.normalised(q)), 4).alias("a"))
+
+
+@query("select n_nationkey+1 region, 10+30*(n_nationkey%3+0.5)/3 x, 20+60*((2-n_nationkey//3)+0.5)/3 y, 10+30*(n_nationkey%3)/2.0 ax, 20+60*(2-n_nationkey//3)/2.0 ay from nation where n_nationkey<9")
+def cell_centres(t: Tables) -> DataFrame:
+    """F24 F25"""
+    b = F.struct(F.lit(10.0).alias("x_min"), F.lit(20.0).alias("y_min"), F.lit(40.0).alias("x_max"), F.lit(80.0).alias("y_max"))
+    r = c("n_nationkey") + 1
+    return t.nation.where("n_nationkey < 9").select(r.alias("region"), P.cell_centre(r, b)["x"].alias("x"), P.cell_centre(r, b)["y"].alias("y"), P.anchor_point(r, b)["x"].alias("ax"), P.anchor_point(r, b)["y"].alias("ay"))
+
+
+@query(f"select vec_id, round((xs[1]+3*xs[2]+3*xs[3]+xs[4])/8,5) cx, round((ys[1]+2*ys[2]+ys[3])/4,5) qy from ({POINTS})")
+def curve_middles(t: Tables) -> DataFrame:
+    """F31 F32"""
+    at = lambda i: F.get("p", F.lit(i))
+    cubic, square = P.bezier([at(0), at(1), at(2), at(3)], 2), P.bezier([at(0), at(1), at(2)], 2)
+    return _points(t).select("vec_id", F.round(F.get(cubic, F.lit(1))["x"], 5).alias("cx"), F.round(F.get(square, F.lit(1))["y"], 5).alias("qy"))
+
+
+@query(f"select vec_id, round((-xs[1]+9*xs[2]+9*xs[3]-xs[4])/16,5) x, (len(xs)-1)*2+1 n from ({POINTS})")
+def spline_middle(t: Tables) -> DataFrame:
+    """the sample halfway between the second and third points."""
+    s = P.catmull_rom(c("p"), 2)
+    return _points(t).select("vec_id", F.round(F.get(s, F.lit(3))["x"], 5).alias("x"), F.size(s).cast("bigint").alias("n"))
+
+
+@query(f"select vec_id, greatest(1,floor(sqrt((xs[1]*100-xs[2]*100)**2+(ys[1]*100-ys[2]*100)**2)/2)::int)+1 n from ({POINTS})")
+def sampled_lines(t: Tables) -> DataFrame:
+    """F30"""
+    a, b = (P.scaled(F.get("p", F.lit(i)), 100) for i in (0, 1))
+    return _points(t).select("vec_id", F.size(P.sampled_line(a, b)).alias("n"))
+
+
+@query(f"select vec_id, round(xs[len(xs)]-xs[len(xs)-4],5) dx, round(ys[5]-ys[1],5) dy from ({POINTS})")
+def end_directions(t: Tables) -> DataFrame:
+    """W13"""
+    p = c("p")
+    return _points(t).select("vec_id", F.round(F.element_at(p, -1)["x"] - F.element_at(p, -5)["x"], 5).alias("dx"), F.round(F.element_at(F.slice(p, 1, 5), -1)["y"] - F.element_at(p, 1)["y"], 5).alias("dy"))
+
+
+@query("select vec_id, len(list_distinct(list_concat(a,b))) u, len(list_intersect(list_distinct(a),b)) i, len(a)+len(b) f from (select vec_id, list_transform(embedding[1:16], lambda v: floor(v*10)::int) a, list_transform(embedding[9:24], lambda v: floor(v*10)::int) b from embeddings)")
+def set_operations(t: Tables) -> DataFrame:
+    """U4 U5 U6"""
+    cell = lambda v: F.floor(v * 10).cast("int")
+    a, b = F.transform(F.slice("embedding", 1, 16), cell), F.transform(F.slice("embedding", 9, 16), cell)
+    return t.embeddings.select("vec_id", F.size(F.array_union(a, b)).cast("bigint").alias("u"), F.size(F.array_intersect(a, b)).cast("bigint").alias("i"), F.size(F.flatten(F.array(a, b))).cast("bigint").alias("f"))
+
+
+@query("select event_id, '{\"type\":\"' || event_type || '\",\"user\":\"' || user_id || '\"}' details from events")
+def detail_rows(t: Tables) -> DataFrame:
+    """F47"""
+    m = F.create_map(F.lit("type"), c("event_type"), F.lit("user"), c("user_id").cast("string"), F.lit("reason"), F.lit("x"))
+    return t.events.select("event_id", X.details(m, ["reason"]).alias("details"))
+
+
+@query("select event_id, cast(json_extract(props,'$.k') as bigint) k from events")
+def result_blocks(t: Tables) -> DataFrame:
+    """S30"""
+    out = F.concat(F.lit("log\nRESULTS_START\n"), c("props"), F.lit("\nRESULTS_END\nbye"))
+    return t.events.select("event_id", X.result_block(out, "k bigint")["k"].alias("k"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, greatest(10.0,least(40.0,l_quantity)) q, round(1/(1+exp(-l_quantity/10)),6) s from lineitem")
+def clipped(t: Tables) -> DataFrame:
+    """F55 F56"""
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", X.clip(c("l_quantity"), 10.0, 40.0).alias("q"), F.round(X.sigmoid(c("l_quantity") / 10), 6).alias("s"))
+
+
+@query("select p_partkey, round(0.4*a+0.3*b+0.1*a+0.1*b+0.1*a,6) quality, round(0.2*a+0.25*b+0.2*(1-a)+0.2*b+0.15*a,6) handwriting, round(0.4*a+0.3*b+0.3*a,6) charset from (select p_partkey, p_size/50.0 a, (p_size%10)/10.0 b from part)")
+def weighted_scores(t: Tables) -> DataFrame:
+    """A20 A23 A24 X50"""
+    a, b = c("p_size") / 50.0, c("p_size") % 10 / 10.0
+    m = {"ocr_confidence": a, "ocr_correct": b, "smoothness": a, "completeness": b, "aspect_ratio": a, "baseline_variation": a, "stroke_width_variation": b, "character_consistency": a, "edge_roughness": b, "slant_variation": a, "charset": a, "consistency": b, "legibility": a}
+    rows = t.part.select("p_partkey", *[v.alias(k) for k, v in m.items()])
+    return rows.select("p_partkey", F.round(A.weighted(A.QUALITY_SCORE), 6).alias("quality"), F.round(A.weighted(A.HANDWRITING_SCORE, ["character_consistency"]), 6).alias("handwriting"), F.round(A.weighted(A.CHARSET_SCORE), 6).alias("charset"))
+
+
+@query("select p_partkey x, p_size y from part where p_partkey%2=0 and p_size%2=0")
+def point_cloud(t: Tables) -> DataFrame:
+    """X36"""
+    from ..functions.glyphs import cloud_points
+
+    return cloud_points(t.part.select(c("p_partkey").alias("x"), c("p_size").alias("y")))
+
+
+@query("select s_suppkey, s_name, s_nationkey, s_acctbal, null::int page from supplier")
+def added_column(t: Tables) -> DataFrame:
+    """D24 D25"""
+    from ..schemas import migrate
+
+    return migrate(t.supplier, {"page": "int", "s_name": "string"})
+
+
+@query("select c_custkey, substr(md5('f:'||c_custkey),1,12) k from customer where substr(md5('f:'||c_custkey),1,12) not in (select substr(md5('f:'||s_suppkey),1,12) from supplier)")
+def missing_keys(t: Tables) -> DataFrame:
+    """What an incremental sink would still write."""
+    done = t.supplier.select(X.content_key(F.lit("f"), c("s_suppkey").cast("string")).alias("k"))
+    return t.customer.select("c_custkey", X.content_key(F.lit("f"), c("c_custkey").cast("string")).alias("k")).join(done, "k", "left_anti").select("c_custkey", "k")
+
+
+@query("select user_id, round(avg(d2*d2),3) bend from (select user_id, lead(value) over w - 2*value + lag(value) over w d2 from events window w as (partition by user_id order by event_id)) where d2 is not null group by user_id")
+def bending_energy(t: Tables) -> DataFrame:
+    """W14"""
+    d2 = t.events.select("user_id", R.second_difference("value", "user_id", ["event_id"]).alias("d2")).where("d2 is not null")
+    return d2.groupBy("user_id").agg(F.round(F.avg(c("d2") * c("d2")), 3).alias("bend"))
+
+
+@query("select junction, count(*) n from (select l_suppkey junction from lineitem where l_returnflag='A' union all select l_partkey from lineitem where l_returnflag='R') group by 1")
+def union_all_counts(t: Tables) -> DataFrame:
+    """U1 U6"""
+    a, b = t.lineitem.where("l_returnflag = 'A'").select(c("l_suppkey").alias("junction")), t.lineitem.where("l_returnflag = 'R'").select("l_partkey")
+    return a.union(b).groupBy("junction").agg(F.count("*").alias("n"))
