@@ -10,8 +10,7 @@ n-grams and sends them, sorted and cut into key ranges, as arrays: a frequent n-
 row a group, however often it occurs. Each key range adds the counts up and sends back, in the
 order asked, what each group needs. A group then holds the counts of all its own n-grams and
 scores its documents. So nothing is broadcast but some 100 weights, and a task's memory is
-bounded by a group or a key range; ``groups`` sets how large these are (about 64 MB of text a
-group is sensible). Counts are exact for all documents; n-grams are known by 64-bit hashes.
+bounded by a group or a key range; by default a group is at most 32 MB of the table's files. Counts are exact for all documents; n-grams are known by 64-bit hashes.
 
 Defined results: a null or empty text is one end token; a row without an id is scored but not
 learned from; repeated rows are learned from and scored each; an empty table gives an empty
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, id_crc, only, shuffle_width, stored
+from .common import bounded_batches, id_crc, only, spread, stored
 
 END = b" "  # no token holds white space
 BUCKETS = 24
@@ -130,10 +129,9 @@ def _counts(rows: DataFrame, groups: int, ranges: int) -> DataFrame:
         cut1 = np.searchsorted(key_range(k1, ranges), np.arange(ranges + 1))
         cut2 = np.searchsorted(key_range(k2, ranges), np.arange(ranges + 1))
         out = []
-        for r in range(ranges):
+        for r in np.flatnonzero(np.diff(cut1) + np.diff(cut2)).tolist():
             a, b, c, d = cut1[r], cut1[r + 1], cut2[r], cut2[r + 1]
-            if b > a or d > c:
-                out.append((r, gid, b - a, k1[a:b].tobytes(), pack(c1[a:b]), d - c, k2[c:d].tobytes(), pack(c2[c:d])))
+            out.append((r, gid, b - a, k1[a:b].tobytes(), pack(c1[a:b]), d - c, k2[c:d].tobytes(), pack(c2[c:d])))
         return _table(ASKED, out)
 
     def answer(group: pa.Table) -> pa.Table:
@@ -226,7 +224,7 @@ def score_documents(docs: DataFrame, folds: int = 10, groups: int | None = None)
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    groups = groups or 2 * shuffle_width(spark)
+    groups = groups or spread(docs)
     rows = _grouped(docs, folds, groups)
     counts = stored(_counts(rows, groups, groups), "counts")
     total = counts.where("gid = -1").agg(F.sum("tokens"), F.sum("distinct")).first()
