@@ -20,9 +20,11 @@ ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .bpe import read_spec
+from .bpe import byte_alphabet, read_spec
 from .common import bounded_batches, only, shared_dir, shuffle_width
 
 MAGIC = b"SVT1"
@@ -144,31 +146,48 @@ class PlaneReader:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-class CachedEncoder:
+class CachedEncoder(dict):
     """The tokenizers library's ids of whole texts.
 
     The library's splitting never joins what ASCII white space parts (its pattern has no token
-    with white space in it), so texts are cut there and the ids of the recurring parts are kept;
-    the library encodes all new parts of a batch in one call.
+    with white space in it), so texts are cut there and the ids of the recurring parts are kept.
+    A part of Latin-1 letters, then marks (no apostrophe), is two words for the library's pattern;
+    it goes to the library's BPE model word by word. Any other part goes through the whole library.
     """
 
+    PLAIN = re.compile("([a-zß-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
+
     def __init__(self, spec: str, kept: int = 400_000, kept_bytes: int = 24_000_000):
+        super().__init__()
         self.library, self.kept, self.kept_bytes, self.held = Tokenizer.from_str(spec), kept, kept_bytes, 0
         self.library.no_padding()
         self.library.no_truncation()
-        self.parts: dict[bytes, bytes] = {}
+        self.written = {b: c for c, b in byte_alphabet().items()}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            as_bytes = word if word.isascii() else word.encode().decode("latin-1").translate(self.written)
+            ids = array("I", [t.id for t in self.library.model.tokenize(as_bytes)]).tobytes()
+            self.words[word] = ids
+        return ids
+
+    def __missing__(self, part: bytes) -> bytes:
+        text = part.decode()
+        if m := self.PLAIN.fullmatch(text.lower()):
+            ids = b"".join([self._word(w) for w in m.groups() if w])
+        else:
+            ids = array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        self.held += len(part)
+        self[part] = ids
+        return ids
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.parts) > self.kept or self.held > self.kept_bytes:
-            self.parts.clear()
+        if len(self) > self.kept or self.held > self.kept_bytes:
+            self.clear()
+            self.words.clear()
             self.held = 0
-        cut = [t.encode().split() for t in texts]
-        parts = self.parts
-        new = list({p for c in cut for p in c if p not in parts})
-        for p, e in zip(new, self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False) if new else (), strict=True):
-            parts[p] = np.array(e.ids, np.uint32).tobytes()
-            self.held += len(p)
-        return [np.frombuffer(b"".join([parts[p] for p in c]), np.uint32) for c in cut]
+        return [np.frombuffer(b"".join([self[p] for p in t.encode().split()]), np.uint32) for t in texts]
 
 
 _ENCODERS: dict[int, CachedEncoder] = {}
