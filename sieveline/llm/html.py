@@ -42,6 +42,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer".split()
 )
+HEADER_WORDS = frozenset("header topbar".split())
+KEEP_WORDS = frozenset("has with no without".split())
 CLOSES = {  # an opening tag ends an open one of these
     "p": frozenset(["p"]),
     "li": frozenset(["li", "p"]),
@@ -81,8 +83,13 @@ def unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return bool(SKIP_WORDS & {*WORDS.findall(names)})
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = WORDS.findall(name)
+        if SKIP_WORDS.isdisjoint(words) and (inside or HEADER_WORDS.isdisjoint(words)):
+            continue
+        if not KEEP_WORDS.intersection(words):  # content-with-sidebar, has-ads, no-comments
+            return True
+    return False
 
 
 def blocks(html: str | None) -> list[tuple[str, str, int]]:

@@ -159,3 +159,8 @@ def test_equal_rows_get_places_of_their_own(spark):
     docs = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
     got = shards.shard_documents(docs).select("slot").collect()
     assert sorted(r["slot"] for r in got) == list(range(1000))
+
+
+def test_class_words():
+    page = "<div class='content-with-sidebar'><p>real article text here</p><div class='sidebar'><p>no</p></div><div class='page-header'><p>x</p></div></div>"
+    assert html.extract(page, None) == "real article text here"
