@@ -12,8 +12,9 @@ are candidates; size and parity sketches prune them; the shingle sets decide.
 Equal sets are one class from the start. In a block's bucket every class is compared with the
 smallest one (first within a chunk of the input, then among the chunks' smallest), so a large
 group of near copies costs a star, not all pairs. Links so found are joined to components;
-pairs that share a bucket but not yet a component are compared in a second step, so that no
-link that could join two components is missed.
+classes that share a bucket but not yet a component are compared in a second step, by their
+sketches inside the bucket and then exactly, so that no link that could join two components is
+missed.
 
 Defined results: a text without words, or null, has no shingles and is its own component; a row
 without an id has no component and links nothing; rows of one id and different texts are
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, only, shuffle_width, stored
+from .common import bounded_batches, only, spread, stored
 from .graph import components
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -39,6 +40,8 @@ BAND = 3  # sizes of a band span this factor
 FIRST = 6  # smallest size of the first band; smaller sets link only if equal, for thresholds from 0.8
 SHARE = 2.5  # shingles of a band's largest sets for each block
 CHUNK = 2_000_000  # sketch entries or shingles that a task holds
+CROWD = 2048  # classes of a bucket that one task compares; larger buckets are dealt out as pairs of blocks
+KNOWN = 6  # buckets of a class that its rows in the second step know of
 COMMON = 1 << 16  # length of the list of the most frequent shingles
 
 
@@ -246,6 +249,92 @@ def pruned(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     return pairs.distinct().join(a, "a").join(b, "b").where((F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (hamming <= most)).select("a", "b")
 
 
+class Buckets:
+    """Classes of some buckets, a row for each class and bucket, compared by their sketches.
+
+    ``unit`` is the bucket, or a pair of blocks of a crowded one; ``side`` is 0 for rows to be
+    compared among themselves, else 1 or 2 for those to be compared with the other side.
+    ``keys`` has the first few buckets of each row's class in order: a pair does not leave a
+    bucket if both are known to be in an earlier one, so it leaves one or two of those it shares.
+    """
+
+    def __init__(self, unit: np.ndarray, key: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, keys: np.ndarray, num: int, den: int):
+        self.unit, self.key, self.side, self.node, self.root, self.size, self.sketch, self.keys, self.num, self.den = unit, key, side, node, root, size, sketch, keys, num, den
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of rows, those of different components that sizes and parity sketches allow."""
+        ok = (self.root[i] != self.root[j]) & ((self.side[i] == 0) | (self.side[i] != self.side[j]))
+        i, j = i[ok], j[ok]
+        a, b = self.size[i], self.size[j]
+        ok = self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(axis=1, dtype=np.int64)
+        ok = apart <= (self.den - self.num) * (self.size[i] + self.size[j]) // (self.den + self.num)
+        return i[ok], j[ok]
+
+    def first(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """False where both classes are known to be in an earlier bucket."""
+        a, b = self.keys[i], self.keys[j]
+        shared = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a < self.key[i][:, None])
+        return ~shared.any(axis=1)
+
+    def pairs(self) -> np.ndarray:
+        """Pairs of classes, smaller first."""
+        found = [np.zeros((0, 2), np.int64)]
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            i, j = self.near(i, j)
+            for part in range(0, len(i), 20_000):
+                x, y = i[part : part + 20_000], j[part : part + 20_000]
+                ok = self.first(x, y)
+                x, y = self.node[x[ok]], self.node[y[ok]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+
+        unit = self.unit
+        starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.zeros(0, np.int64)
+        counts = np.diff(np.append(starts, len(unit)))
+        small = np.repeat(counts <= 64, counts)
+        for d in range(1, min(64, len(unit))):
+            at = np.flatnonzero((unit[:-d] == unit[d:]) & small[d:])
+            if not len(at):
+                break
+            keep(at, at + d)
+        for start, n in zip(starts[counts > 64], counts[counts > 64], strict=True):
+            for top in range(0, n, 64):  # a strip of the square at a time
+                i, j = np.arange(start + top, start + min(n, top + 64)), np.arange(start + top + 1, start + n)
+                i, j = (x.reshape(-1) for x in np.broadcast_arrays(i[:, None], j[None, :]))
+                keep(i[i < j], j[i < j])
+        return np.unique(np.concatenate(found), axis=0)
+
+
+def unlinked_pairs(members: DataFrame, classes: DataFrame, num: int, den: int, ranges: int) -> DataFrame:
+    """a, b: pairs of ``members`` (key, node, root) that share a bucket, not a component, and may be similar.
+
+    They are compared by their sketches where the bucket is; only what passes leaves the task.
+    """
+    large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(F.col("key").alias("large_key"), F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+    rows = members.join(large, F.col("key") == F.col("large_key"), "left").select("key", "node", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
+    rows = rows.select(unit.alias("unit"), "key", side.alias("side"), "node", "root")
+    keys = members.groupBy(F.col("node").alias("in_keys")).agg(F.slice(F.sort_array(F.collect_list("key")), 1, KNOWN).alias("keys"))  # as many as a text has sketch blocks
+    early = [F.coalesce(F.get("keys", F.lit(i)), F.lit((1 << 63) - 1)).alias(f"k{i}") for i in range(KNOWN)]
+    about = classes.join(keys, F.col("node") == F.col("in_keys")).select(F.col("node").alias("of"), F.col("n").alias("size"), *early, *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
+    rows = rows.join(about, F.col("node") == F.col("of")).select(F.pmod("unit", F.lit(ranges)).cast("int").alias("range"), "unit", "key", "side", "node", "root", "size", *[f"k{i}" for i in range(KNOWN)], "s0", "s1", "s2", "s3")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("unit").combine_chunks()
+        col = lambda c: group[c].to_numpy()
+        sketches = np.stack([col(f"s{i}") for i in range(4)], axis=1).view(np.uint64)
+        early = np.stack([col(f"k{i}") for i in range(KNOWN)], axis=1)
+        found = Buckets(col("unit"), col("key"), col("side"), col("node"), col("root"), col("size"), sketches, early, num, den).pairs()
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return rows.groupBy("range").applyInArrow(compare, "a long, b long").distinct()
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, shingles of the classes in ``wanted`` (node, doc_id: one of its documents)."""
 
@@ -283,14 +372,17 @@ def linked_classes(docs: DataFrame, words: int, num: int, den: int, ranges: int
         raise ValueError("the bands are laid out for thresholds from 0.8 to 1")
     spark = docs.sparkSession
     bounded_batches(spark)
-    sketches = sketched(docs, words, num, den, ranges or 2 * shuffle_width(spark))
+    ranges = ranges or spread(docs)
+    sketches = sketched(docs, words, num, den, ranges)
     found = candidates(sketches)
     rows = sketches.where("n IS NOT NULL").select("doc_id", "n", "node", "sketch")
     near = found.select("node").union(found.select("leader")).distinct().withColumnRenamed("node", "near")
     # one row for each class that may have a link; copies are pre-aggregated
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     classes = stored(classes.join(near, F.col("node") == F.col("near"), "left_semi"), "classes")
-    sets = stored(shingle_sets(docs, classes.select("node", "doc_id"), words), "sets")
+    # the filter makes Spark send a bounded Bloom filter of the wanted ids to the scan, so that few texts are shuffled
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    sets = stored(shingle_sets(docs, classes.where(F.col("n") >= FIRST).select("node", "doc_id"), words), "sets")
     star = pruned(found.select(F.col("leader").alias("a"), F.col("node").alias("b")), classes, num, den)
     links = stored(verified(star, sets, num, den), "links")
     roots = components(links)
@@ -299,9 +391,7 @@ def linked_classes(docs: DataFrame, words: int, num: int, den: int, ranges: int
     placed = members.join(roots.withColumnRenamed("node", "placed"), F.col("node") == F.col("placed"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("key").alias("open_key"))
     left = stored(placed.join(open_keys, F.col("key") == F.col("open_key"), "left_semi"), "open")
-    x, y = left.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-    cross = x.join(y, "key").where("a < b AND ra != rb").select("a", "b")
-    more = stored(verified(pruned(cross, classes, num, den), sets, num, den), "more-links")
+    more = stored(verified(unlinked_pairs(left, classes, num, den, ranges), sets, num, den), "more-links")
     if not more.isEmpty():
         roots = components(links.union(more), "all-components")
     return rows.select("doc_id", "n", "node"), roots

@@ -223,3 +223,37 @@ def test_multi_index_finds_all_within_the_radius():
     w, i, apart = decontaminate.HammingIndex(prints).within(probes)
     want = {(a, b) for a, x in enumerate(probes) for b, y in enumerate(prints) if bin(int(x) ^ int(y)).count("1") <= decontaminate.RADIUS}
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == want
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Copies that are near a text but not near each other, in buckets dealt out as pairs of blocks."""
+    monkeypatch.setattr(jaccard, "CROWD", 5)
+    rng = random.Random(8)
+    base, rows = prose(rng, 150).split(), []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(150)] = prose(rng, 1)
+        rows.append((1000 - i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = shingle_components(rows, 4, 85, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()} == want
+    assert len({c for _, c in want.values()}) > 1
+
+
+def test_close_pairs_against_all_pairs():
+    rng = np.random.default_rng(6)
+    n = 400
+    key = np.sort(rng.choice([1, 1, 1, 2, 3, 4, 5], n))
+    nodes, roots, sizes = np.arange(n) * 3 + 1, rng.integers(0, 6, n), rng.integers(20, 40, n)
+    sketches = np.repeat(rng.integers(0, 1 << 62, (1, 4)), n, axis=0).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 60, (n, 4)).astype(np.uint64))
+    side = rng.integers(1, 3, n) * (key > 2)
+    found = jaccard.Buckets(key, key, side, nodes, roots, sizes, sketches, key[:, None], 85, 100).pairs()
+    a, b = found[:, 0], found[:, 1]
+    want = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            if key[i] == key[j] and roots[i] != roots[j] and (side[i] == 0 or side[i] != side[j]) and 100 * min(sizes[i], sizes[j]) >= 85 * max(sizes[i], sizes[j]):
+                if sum(bin(int(x ^ y)).count("1") for x, y in zip(sketches[i], sketches[j], strict=True)) <= 15 * (sizes[i] + sizes[j]) // 185:
+                    want.add((nodes[i], nodes[j]))
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(int(x), int(y)) for x, y in want} and want
