@@ -2,8 +2,11 @@
 
 A url is judged by the longest rule that fits it. Where none fits, its host is judged by two
 personalised PageRanks over the edges between hosts: trust flows along links from the hosts
-that only allow rules name, distrust flows against links from the hosts that only block rules
-name. A host is blocked if its distrust, less its trust, exceeds ``threshold``.
+that allow rules favour, distrust flows against links from the hosts that block rules condemn.
+A host that only rules of one verdict name is a full seed of it; any other is a seed by the
+share of its known urls, its pages and the links to it, whose longest rule has the verdict. A
+host is blocked if its distrust, less its trust, exceeds ``threshold``. There, a seed by share
+counts for others alone: its rules have judged their own urls and say nothing of the rest.
 
 Edges are counted per pair of hosts before anything is shuffled further, so a hot host costs a
 row per partner, not per link. Every second iteration is written to the shared folder, which
@@ -52,23 +55,29 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return text, verdict
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, links: how many absolute links of the pages of one host lead to another."""
+def verdict_counts() -> list[Column]:
+    """Aggregates of urls judged by rule: how many, and how many of each verdict."""
+    return [F.count("*").alias("links"), *[F.count(F.when(F.col("by_rule") == v, 1)).alias(v) for v in ("allow", "block")]]
+
+
+def host_links(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """src, dst, links, allow, block: how many absolute links of the pages of one host lead to another or to itself, and how many of their targets a rule allows or blocks."""
     links = only(pages, "url", "html").select(url_host(F.col("url")).alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1))).alias("to"))
-    return links.select("src", url_host(F.col("to")).alias("dst")).where("src != '' AND dst != '' AND src != dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    targets = links.select("src", url_host(F.col("to")).alias("dst"), url_path(F.col("to")).alias("path")).where("dst != ''")
+    return targets.withColumn("by_rule", longest_rule(F.col("dst"), F.col("path"), rules)[1]).groupBy("src", "dst").agg(*verdict_counts())
 
 
 def propagate(edges: DataFrame, hosts: DataFrame, seed: Column, source: str, target: str, rounds: int, damping: float, label: str) -> DataFrame:
-    """host, rank: personalised PageRank with restarts at the hosts where ``seed`` holds."""
+    """host, seed, rank: personalised PageRank with restarts at the hosts by their ``seed``."""
     out = edges.groupBy(F.col(source).alias("host")).agg(F.sum("links").alias("all_links"))
-    seeds = hosts.select("host", F.when(seed, 1.0).otherwise(0.0).alias("seed"))
+    seeds = hosts.select("host", seed.alias("seed"))
     shares = edges.join(out, edges[source] == out["host"]).select(F.col(source).alias("a"), F.col(target).alias("b"), (F.col("links") / F.col("all_links")).alias("share"))
     nodes = stored(seeds, f"{label}-seeds")
     shares = stored(shares, f"{label}-shares")
-    rank = nodes.select("host", F.col("seed").alias("rank"))
+    rank = nodes.select("host", "seed", F.col("seed").alias("rank"))
     for i in range(rounds):
         inflow = shares.join(rank, shares["a"] == rank["host"]).groupBy(F.col("b").alias("to")).agg(F.sum(F.col("share") * F.col("rank")).alias("inflow"))
-        rank = nodes.join(inflow, nodes["host"] == inflow["to"], "left").select("host", ((1 - damping) * F.col("seed") + damping * F.coalesce(F.col("inflow"), F.lit(0.0))).alias("rank"))
+        rank = nodes.join(inflow, nodes["host"] == inflow["to"], "left").select("host", "seed", ((1 - damping) * F.col("seed") + damping * F.coalesce(F.col("inflow"), F.lit(0.0))).alias("rank"))
         if i % 2 or i == rounds - 1:
             rank = stored(rank, f"{label}-{i}")
     return rank
@@ -76,9 +85,12 @@ def propagate(edges: DataFrame, hosts: DataFrame, seed: Column, source: str, tar
 
 def host_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, rounds: int = 6, damping: float = 0.85, threshold: float = 0.01) -> DataFrame:
     """host, trust, distrust, host_verdict of every host that a page has or that a page links to."""
-    edges = stored(host_edges(pages), "edges")
-    own = only(pages, "url").select(url_host(F.col("url")).alias("host")).where("host != ''")
-    hosts = own.union(edges.select("src")).union(edges.select("dst")).distinct()
+    links = stored(host_links(pages, rules), "links")
+    edges = links.where("src != '' AND src != dst").select("src", "dst", "links")
+    own = only(pages, "url").select(url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")).where("host != ''")
+    own = own.withColumn("by_rule", longest_rule(F.col("host"), F.col("path"), rules)[1]).groupBy("host").agg(*verdict_counts())
+    linked = links.groupBy(F.col("dst").alias("host")).agg(*[F.sum(n).alias(n) for n in ("links", "allow", "block")])
+    hosts = own.union(linked).groupBy("host").agg(*[F.sum(n).alias(n) for n in ("links", "allow", "block")])
     if edges.isEmpty():  # nothing flows: each host has its own seed alone
         rounds = 0
 
@@ -87,10 +99,18 @@ def host_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULE
         domains = lambda k: reduce(lambda a, b: a | b, [in_domain(F.col("host"), d) for v, d, _ in rules if v == k], F.lit(False))
         return domains(kind) & ~domains(other)
 
+    def seed(kind: str) -> Column:
+        return F.when(named(kind), 1.0).otherwise(F.col(kind) / F.col("links"))
+
+    def ranks(kind: str, source: str, target: str, name: str) -> DataFrame:
+        """host, the rank, and what of it judges the host itself: all but the restarts of a seed by share."""
+        rank = propagate(edges, hosts, seed(kind), source, target, rounds, damping, name)
+        restart = (1 - damping if rounds else 1.0) * F.col("seed")
+        return rank.select("host", F.col("rank").alias(name), F.when(named(kind), F.col("rank")).otherwise(F.col("rank") - restart).alias(f"{name}_here"))
+
     hosts = stored(hosts, "hosts")
-    trust = propagate(edges, hosts, named("allow"), "src", "dst", rounds, damping, "trust").withColumnRenamed("rank", "trust")
-    distrust = propagate(edges, hosts, named("block"), "dst", "src", rounds, damping, "distrust").withColumnRenamed("rank", "distrust")
-    verdict = F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")
+    trust, distrust = ranks("allow", "src", "dst", "trust"), ranks("block", "dst", "src", "distrust")
+    verdict = F.when(F.col("distrust_here") - F.col("trust_here") > threshold, "block").otherwise("allow")
     return trust.join(distrust, "host").select("host", "trust", "distrust", verdict.alias("host_verdict"))
 
 

@@ -121,6 +121,22 @@ def test_links_spread_trust_and_distrust(spark):
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_production_rules_spread_distrust(spark):
+    link = lambda *to: "".join(f'<a href="http://{u}">l</a>' for u in to)
+    pages = spark.createDataFrame(
+        [(1, "http://near.net/a", link("bad.example.com/de/1", "bad.example.com/de/2")), (2, "http://far.net/a", link("near.net/b")), (3, "http://fine.net/", link("good.com/fr/1")), (4, "http://good.com/fr/2", link("liked.net/x")), (5, "http://liked.net/y", ""), (6, "http://bad.example.com/de/3", ""), (7, "http://bad.example.com/en/4", "")],
+        "page_id long, url string, html string",
+    )
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["trust"], r["distrust"]) for r in urls.judge(pages).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: ("com/fr/", "allow"), 5: (None, "allow"), 6: ("com/de/", "block"), 7: (None, "allow")}
+    share = 3 / 4  # of the known urls of bad.example.com: two links and one page of two
+    edges = {("near.net", "bad.example.com"): 2, ("far.net", "near.net"): 1, ("fine.net", "good.com"): 1, ("good.com", "liked.net"): 1}
+    hosts = {h for e in edges for h in e}
+    distrust = brute_ranks({(b, a): n for (a, b), n in edges.items()}, hosts, {"bad.example.com"}, 6, 0.85)
+    trust = brute_ranks(edges, hosts, {"good.com"}, 6, 0.85)
+    assert abs(got[1][3] - share * distrust["near.net"]) < 1e-9 and abs(got[2][3] - share * distrust["far.net"]) < 1e-9 and abs(got[5][2] - trust["liked.net"]) < 1e-9
+
+
 def test_longest_rule(spark):
     pages = spark.createDataFrame([(1, "http://a.example.org/es/1", ""), (2, "https://example.org/en/12", ""), (3, "http://x.org/q", ""), (4, "http://b.com/fr/", ""), (5, "http://b.com/de/", ""), (6, "http://notexample.org/es/", ""), (7, "http://org", "")], "page_id long, url string, html string")
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages).collect()}
