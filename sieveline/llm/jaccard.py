@@ -37,7 +37,6 @@ from .graph import components
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BAND = 3  # sizes of a band span this factor
-FIRST = 6  # smallest size of the first band; smaller sets link only if equal, for thresholds from 0.8
 SHARE = 2.5  # shingles of a band's largest sets for each block
 CHUNK = 2_000_000  # sketch entries or shingles that a task holds
 CROWD = 2048  # classes of a bucket that one task compares; larger buckets are dealt out as pairs of blocks
@@ -93,9 +92,14 @@ def node_of(shingles: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def band_of(n: int) -> tuple[int, int, int]:
-    """Number, smallest size and blocks of the band of sets of ``n``."""
-    band, low = 0, FIRST
+def first_size(num: int, den: int) -> int:
+    """The smallest size of the first band: the smallest set that links to one of another size; smaller ones link only if equal."""
+    return -(-num // (den - num)) if den > num else 1
+
+
+def band_of(n: int, first: int) -> tuple[int, int, int]:
+    """Number, smallest size and blocks of the band of sets of ``n``; the first band begins at ``first``."""
+    band, low = 0, first
     while n >= low * BAND:
         band, low = band + 1, low * BAND
     return band, low, max(16, int(low * BAND / SHARE))
@@ -103,18 +107,18 @@ def band_of(n: int) -> tuple[int, int, int]:
 
 def sketch_keys(shingles: np.ndarray, common: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of the sketch blocks by which a set is found, in its own band and in the next where a larger partner may be."""
-    n = len(shingles)
-    if n < FIRST:
+    n, first = len(shingles), first_size(num, den)
+    if n < first:
         return np.zeros(0, np.uint64)
     rare = np.ones(n, np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
         rare[common[at] == shingles] = 0
     toggles, differ = mixed(shingles ^ M3), n * (den - num) // num
-    band, low, blocks = band_of(n)
+    band, low, blocks = band_of(n, first)
     bands = [(band, blocks)]
     if n * den // num >= low * BAND:
-        bands.append((band + 1, band_of(low * BAND)[2]))
+        bands.append((band + 1, band_of(low * BAND, first)[2]))
     out = []
     for number, m in bands:
         place = ((shingles >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
@@ -382,7 +386,7 @@ def linked_classes(docs: DataFrame, words: int, num: int, den: int, ranges: int
     classes = stored(classes.join(near, F.col("node") == F.col("near"), "left_semi"), "classes")
     # the filter makes Spark send a bounded Bloom filter of the wanted ids to the scan, so that few texts are shuffled
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    sets = stored(shingle_sets(docs, classes.where(F.col("n") >= FIRST).select("node", "doc_id"), words), "sets")
+    sets = stored(shingle_sets(docs, classes.where(F.col("n") >= first_size(num, den)).select("node", "doc_id"), words), "sets")
     star = pruned(found.select(F.col("leader").alias("a"), F.col("node").alias("b")), classes, num, den)
     links = stored(verified(star, sets, num, den), "links")
     roots = components(links)

@@ -189,6 +189,32 @@ def test_sketches_are_complete():
             assert set(jaccard.sketch_keys(a, big[:0], num, den)) & set(jaccard.sketch_keys(b, np.sort(big[: n // 2]) * 0, num, den)) or len(a) < 6
 
 
+@pytest.mark.parametrize("words,num,den", [(5, 8, 10), (4, 85, 100), (4, 1, 1)])
+def test_short_texts_link_to_those_of_a_word_more(spark, words, num, den):
+    rng, rows = random.Random(words), []
+    for size in (7, 8, 9, 10, 11):
+        for before in (False, True):
+            text = prose(rng, size)
+            rows += [(len(rows), text), (len(rows) + 1, f"{prose(rng, 1)} {text}" if before else f"{text} {prose(rng, 1)}")]
+    text = prose(rng, 12).split()
+    rows += [(len(rows) + i, " ".join(text[:n])) for i, n in enumerate((8, 9, 10, 11, 12))]  # a chain
+    want = shingle_components(rows, words, num, den)
+    assert (len({c for _, c in want.values()}) < len(rows)) == (num < den)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words, num, den).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_small_sketches_are_complete():
+    rng = np.random.default_rng(2)
+    none = np.zeros(0, np.uint64)
+    for num, den in ((8, 10), (85, 100), (9, 10)):
+        for n in range(jaccard.first_size(num, den), 40):
+            for _ in range(20):
+                big = np.unique(rng.integers(0, 1 << 63, n * den // num).astype(np.uint64))
+                small = np.sort(rng.permutation(big)[:n])
+                assert set(jaccard.sketch_keys(small, none, num, den)) & set(jaccard.sketch_keys(big, none, num, den))
+
+
 def test_parity_sketch_bounds_the_difference():
     rng = np.random.default_rng(1)
     for n in (5, 50, 400):
