@@ -1,10 +1,10 @@
 """Operator 2: HTML extraction by consensus host paths.
 
 Each page is parsed once into text blocks with the tag-class path of each container around
-them. Containers are scored by the text that they hold, less its link text; a page votes for
-the generalised paths (digits dropped) of its best containers. Spark adds the votes up per
-host; the path that wins becomes the host's, and the main text of every page of the host is
-what lies below it. A page without that path falls back on its own best container.
+them. A page votes for the generalised path (digits dropped) of the smallest container of all
+its wanted text, or of the article that has most of it. Spark adds the votes up per host; the
+path that wins becomes the host's, and the main text of every page of the host is what lies
+below it. A page without that path, or whose article reaches beyond it, falls back on its own.
 
 Within the container, navigation, headers, footers, sidebars, notices, adverts, forms, comments,
 scripts and styles are left out by tag, by role and by words in class and id.
@@ -17,6 +17,7 @@ ignored.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -31,6 +32,7 @@ from .urls import url_host
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""", re.S)
 WORDS = re.compile(r"[a-z]+")
+ARTICLE = re.compile(r"/(?:article|main)\b")
 
 #: HTML's void elements; those whose content is raw; those that stand in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,8 +187,7 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
 def votes(found: list[tuple[str, str, int]]) -> dict[str, int]:
     """Score of each container path of a page: its text outside links; link-heavy blocks count against it.
 
-    A container gets the text of those below it too, so of nested containers with equal text the
-    innermost wins (see :func:`best`).
+    A container gets the text of those below it too.
     """
     scores: dict[str, int] = {}
     for text, path, links in found:
@@ -197,14 +198,15 @@ def votes(found: list[tuple[str, str, int]]) -> dict[str, int]:
     return scores
 
 
-def best(scores: dict[str, int]) -> str:
-    """The deepest path that has nearly all of the text of the best one."""
-    if not scores:
-        return ""
-    top = max(scores.values())
-    good = [p for p, s in scores.items() if s >= 0.9 * top and s > 0] or list(scores)
-    articles = [p for p in good if re.search(r"/(article|main)\b", p)]
-    return max(articles or good, key=lambda p: (p.count("/"), p))
+def best(found: list[tuple[str, str, int]]) -> str:
+    """The outermost article with most of a page's wanted text, else the smallest container with all of it: "" if no single one has."""
+    wanted = [b for b in found if len(b[0]) > 3 * b[2]] or found
+    scores = votes(wanted)
+    articles = [p for p in scores if ARTICLE.search(p) and 2 * scores[p] > sum(len(t) - 3 * n for t, _, n in wanted)]
+    if articles:
+        return min(articles, key=lambda p: (p.count("/"), -scores[p], p))
+    shared = os.path.commonprefix([at.split("/") for _, at, _ in wanted])
+    return "/".join(shared)
 
 
 def below(found: list[tuple[str, str, int]], path: str) -> str:
@@ -212,11 +214,15 @@ def below(found: list[tuple[str, str, int]], path: str) -> str:
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """The main text of a page, given its host's path; without that, by the page's own best container."""
+    """The main text of a page, given its host's path; without that, or where the page's article is not all within it, by the page's own best container."""
     found = blocks(html)
-    if path and (text := below(found, path)):
+    if not found:
+        return ""
+    own = best(found)
+    beyond = ARTICLE.search(own) and not f"{own}/".startswith(f"{path}/")
+    if path and not beyond and (text := below(found, path)):
         return text
-    return below(found, best(votes(found))) if found else ""
+    return below(found, own)
 
 
 def host_paths(pages: DataFrame, host: str = "host") -> DataFrame:
@@ -226,7 +232,8 @@ def host_paths(pages: DataFrame, host: str = "host") -> DataFrame:
         total: dict[tuple[str, str], int] = {}
         for b in batches:
             for h, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if path := best(votes(blocks(html))):
+                if found := blocks(html):
+                    path = best(found)
                     total[h, path] = total.get((h, path), 0) + 1
             if len(total) > 100_000:
                 yield sent(total)

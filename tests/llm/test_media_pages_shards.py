@@ -180,3 +180,15 @@ def test_equal_rows_get_places_of_their_own(spark):
 def test_class_words():
     page = "<div class='content-with-sidebar'><p>real article text here</p><div class='sidebar'><p>no</p></div><div class='page-header'><p>x</p></div></div>"
     assert html.extract(page, None) == "real article text here"
+
+
+def test_whole_article_is_kept(spark):
+    page = "<body><article><h1>title</h1><p>lead</p><div class='body'><p>" + "the rest " * 40 + "</p></div></article></body>"
+    rest = ("the rest " * 40).strip()
+    assert html.extract(page, None) == f"title\nlead\n{rest}"
+    short = "<body><article><h1>other</h1><p>" + "own text " * 30 + "</p><div class='body'><p>note</p></div></article></body>"
+    assert html.extract(short, "/body/article/div.body") == f"other\n{('own text ' * 30).strip()}\nnote"
+    assert html.extract("<body><div class='a'><p>one</p></div><div class='b'><p>" + "two " * 50 + "</p></div></body>", None).startswith("one\ntwo")
+    pages = spark.createDataFrame([(i, "http://h.example/", page) for i in range(3)] + [(3, "http://h.example/", short)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"].split("\n")[0], r["path"]) for r in html.main_text(pages).collect()}
+    assert got == {0: ("title", "/body/article"), 1: ("title", "/body/article"), 2: ("title", "/body/article"), 3: ("other", "/body/article")}
