@@ -572,9 +572,9 @@ def edit_confidence(t: Tables) -> DataFrame:
 
 @query()
 def matching_ratio(t: Tables) -> DataFrame:
-    """F3"""
-    b = t.benchmark.select("item_id", F.substring("text", 1, 60).alias("b"))
-    return t.documents.select("doc_id", F.substring("text", 1, 60).alias("a")).join(b, c("doc_id") % 40 == c("item_id") % 40).select("doc_id", "item_id", F.round(X.matching_ratio("a", "b"), 6).alias("ratio"))
+    """every document with every benchmark text, both whole."""
+    b = t.benchmark.select("item_id", c("text").alias("b"))
+    return t.documents.select("doc_id", c("text").alias("a")).crossJoin(b).select("doc_id", "item_id", F.round(X.matching_ratio("a", "b"), 6).alias("ratio"))
 
 
 @query("select page_id, regexp_extract(url,'([^/]*)/*$',1) base, substr(md5(url || ':' || page_id),1,12) k, case when contains(lower(url),'/fr/') then 'fr' when contains(lower(url),'/de/') then 'de' else 'unknown' end src, coalesce(nullif(trim(regexp_replace(url,'[<>:\"/\\\\|?*]','_','g'),'. '),''),'unnamed') safe from pages where url is not null")
