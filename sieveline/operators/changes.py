@@ -100,7 +100,7 @@ def unreject(removals: DataFrame, reason: int, asset: int | None = None) -> tupl
 
 def removals_of_rules(rules: DataFrame, reasons: DataFrame, key: str) -> DataFrame:
     """A removal row for each failing rule (key, reason)."""
-    return rules.join(F.broadcast(reasons.where(F.col("code").isNotNull()).select(F.col("id").alias("reason_id"), "code").limit(10_000)), F.col("reason") == F.col("code")).select(key, "reason_id")  # a lookup of codes
+    return rules.join(reasons.where(F.col("code").isNotNull()).select(F.col("id").alias("reason_id"), "code"), F.col("reason") == F.col("code")).select(key, "reason_id")
 
 
 def update(table: DataFrame, where: Column, values: Mapping[str, Column | str | int | float | None]) -> DataFrame:

@@ -166,3 +166,15 @@ def test_rays_and_ends(spark):
     assert rows(G.ray_hits(rays, segs), "t", "of") == [(3.0, 2)]
     ends = spark.createDataFrame([("g", 0, 0, 0.0, 0.0), ("g", 1, 1, 0.0, 3.0), ("g", 2, 0, 9.0, 9.0)], "glyph string, stroke int, side int, x double, y double")
     assert rows(G.closest_ends(ends), "d", "stroke1", "stroke2") == [(3.0, 0, 1)]
+
+
+def test_no_reason_and_no_anchor_is_cut(spark):
+    from sieveline.operators import changes, spatial
+
+    reasons = spark.range(10_050).selectExpr("id", "concat('c', id) code")
+    rules = spark.range(10_050).selectExpr("id asset", "concat('c', id) reason")
+    assert changes.removals_of_rules(rules, reasons, "asset").where("asset = reason_id").count() == 10_050
+    pixels = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (1, 5.0, 5.0, 0.0)], "glyph int, x double, y double, depth double")
+    anchors = spark.createDataFrame([(i, float(i), float(i)) for i in range(12)], "region int, ax double, ay double")
+    got = {r["region"]: r["x"] for r in spatial.anchor_pixels(pixels, anchors, 10.0).collect()}
+    assert got == {i: 0.0 if i <= 2 else 5.0 for i in range(12)}
