@@ -19,7 +19,9 @@ missed.
 Defined results: a text without words, or null, has no shingles and is its own component; a row
 without an id has no component and links nothing; rows of one id and different texts are
 classes of their own; repeated rows are one class; an empty table gives an empty result; other
-columns are ignored. Shingles and classes are known by 64-bit hashes.
+columns are ignored, whatever their names. Ids are integers. Shingles, texts and classes are
+known by 64-bit hashes. The filter ``keep_first`` keeps one row of each component and of each
+repeated row; rows without an id take part in it by their texts, after all rows with one.
 """
 
 from __future__ import annotations
@@ -32,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, only, spread, stored
+from .common import bounded_batches, fresh, only, setting, spread, stored
 from .graph import components
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 BAND = 3  # sizes of a band span this factor
 SHARE = 2.5  # shingles of a band's largest sets for each block
-CHUNK = 2_000_000  # sketch entries or shingles that a task holds
+CHUNK = 500_000  # sketch entries that a task holds; its arrays are copied some ten times
+COUNTED = 1_000_000  # shingles that a task holds to count them
 CROWD = 2048  # classes of a bucket that one task compares; larger buckets are dealt out as pairs of blocks
 KNOWN = 6  # buckets of a class that its rows in the second step know of
 COMMON = 1 << 16  # length of the list of the most frequent shingles
@@ -52,7 +55,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts; hashes of recurring words are kept."""
 
-    def __init__(self, words: int, kept: int = 500_000):
+    def __init__(self, words: int, kept: int = 200_000):
         self.words, self.kept, self.known = words, kept, {}
         self.factors = [np.uint64(xxhash.xxh64_intdigest(str(i)) | 1) for i in range(words)]
 
@@ -176,7 +179,7 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
             for text in b.column(0).to_pylist():
                 held.append(shingler.set(text))
                 size += len(held[-1])
-                if size > CHUNK:
+                if size > COUNTED:
                     yield frequent()
                     held, size = [], 0
         if size:
@@ -187,18 +190,18 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int, num: int, den: int, ranges: int) -> DataFrame:
-    """Rows of three kinds: documents (doc_id, n, node, sketch), pairs found within a chunk (key, node, leader), packed sketch entries (range, keys, nodes)."""
+    """Rows of three kinds: documents (doc_id, print, n, node, sketch; print: the text's hash), pairs found within a chunk (key, node, leader), packed sketch entries (range, keys, nodes)."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(common_shingles(docs, words))  # at most COMMON numbers
-    schema = "doc_id long, n long, node long, sketch array<long>, key long, leader long, range int, keys binary, nodes binary"
+    schema = "doc_id long, print long, n long, node long, sketch array<long>, key long, leader long, range int, keys binary, nodes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, keys, nodes, size = Shingler(words), [], [], 0
 
         def batch(**cols) -> pa.RecordBatch:
             n = len(next(iter(cols.values())))
-            kinds = (("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("key", pa.int64()), ("leader", pa.int64()), ("range", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()))
-            return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in kinds], names=[c for c, _ in kinds])
+            kinds = (("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("key", pa.int64()), ("leader", pa.int64()), ("range", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c not in cols else v if isinstance(v := cols[c], pa.Array) else pa.array(v, k) for c, k in kinds], names=[c for c, _ in kinds])
 
         def flush() -> Iterator[pa.RecordBatch]:
             k, v, lead = starred(np.concatenate(keys), np.repeat(np.array([x for x, _ in nodes], np.int64), [c for _, c in nodes]))
@@ -221,14 +224,14 @@ def sketched(docs: DataFrame, words: int, num: int, den: int, ranges: int) -> Da
                     keys.append(k)
                     nodes.append((own[-1], len(k)))
                     size += len(k)
-            yield batch(doc_id=ids, n=ns, node=own, sketch=sketches)
+            yield batch(doc_id=ids, print=b.column(2), n=ns, node=own, sketch=sketches)
             if size > CHUNK:
                 yield from flush()
                 keys, nodes, size = [], [], 0
         if size:
             yield from flush()
 
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
     return stored(rows.mapInArrow(run, schema), "sketches")
 
 
@@ -371,7 +374,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def linked_classes(docs: DataFrame, words: int, num: int, den: int, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, node) and, for the classes that have a link to another, (node, root)."""
+    """Documents (doc_id, print, n, node) and, for the classes that have a link to another, (node, root)."""
     if not num <= den <= num * 1.25:
         raise ValueError("the bands are laid out for thresholds from 0.8 to 1")
     spark = docs.sparkSession
@@ -379,14 +382,14 @@ def linked_classes(docs: DataFrame, words: int, num: int, den: int, ranges: int
     ranges = ranges or spread(docs)
     sketches = sketched(docs, words, num, den, ranges)
     found = candidates(sketches)
-    rows = sketches.where("n IS NOT NULL").select("doc_id", "n", "node", "sketch")
+    rows = sketches.where("n IS NOT NULL").select("doc_id", "print", "n", "node", "sketch")
     near = found.select("node").union(found.select("leader")).distinct().withColumnRenamed("node", "near")
     # one row for each class that may have a link; copies are pre-aggregated
     classes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     classes = stored(classes.join(near, F.col("node") == F.col("near"), "left_semi"), "classes")
     # the filter makes Spark send a bounded Bloom filter of the wanted ids to the scan, so that few texts are shuffled
-    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    sets = stored(shingle_sets(docs, classes.where(F.col("n") >= first_size(num, den)).select("node", "doc_id"), words), "sets")
+    with setting(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0"):
+        sets = stored(shingle_sets(docs, classes.where(F.col("n") >= first_size(num, den)).select("node", "doc_id"), words), "sets")
     star = pruned(found.select(F.col("leader").alias("a"), F.col("node").alias("b")), classes, num, den)
     links = stored(verified(star, sets, num, den), "links")
     roots = components(links)
@@ -398,20 +401,43 @@ def linked_classes(docs: DataFrame, words: int, num: int, den: int, ranges: int
     more = stored(verified(unlinked_pairs(left, classes, num, den, ranges), sets, num, den), "more-links")
     if not more.isEmpty():
         roots = components(links.union(more), "all-components")
-    return rows.select("doc_id", "n", "node"), roots
+    return rows.select("doc_id", "print", "n", "node"), roots
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: documents link when den * intersection >= num * union."""
+def judged(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, print, n, node, root and component_id of each row; a row without shingles has none of the last three."""
     rows, roots = linked_classes(docs, words, num, den)
     firsts = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
     placed = stored(firsts.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "first", F.coalesce("root", "node").alias("root")), "placed")
     lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(placed.join(lowest.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).select(F.col("node").alias("class"), "component_id"), "named")
-    return rows.join(named, F.col("node") == F.col("class"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = stored(placed.join(lowest.withColumnRenamed("root", "of"), F.col("root") == F.col("of")).select(F.col("node").alias("class"), "root", "component_id"), "named")
+    return rows.join(named, F.col("node") == F.col("class"), "left").select("doc_id", "print", "n", "node", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row: documents link when den * intersection >= num * union."""
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return judged(docs, words, num, den).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id, with all columns."""
-    judged = near_duplicates(docs, words, num, den).where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(judged, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of near duplicates, that of the smallest id, with all columns.
+
+    A row is known by its id and its text's hash. Of rows that repeat both one stays, no matter
+    which; texts without words are near nothing. A row without an id is known by a number made
+    of its text that comes after other ids.
+    """
+    key, mark = fresh(docs, "key"), fresh(docs, "print")
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    known = docs.withColumns({key: ident, mark: F.xxhash64("text")})
+    found = judged(known.select(F.col(key).alias("doc_id"), "text"), words, num, den)
+    each = found.groupBy("doc_id", "print").agg(F.count("*").alias("copies"), F.min("node").alias("node"), F.min("root").alias("root"), F.min("component_id").alias("component_id"))
+    # an id may have several texts in one component, where the smallest print decides, and texts in several components
+    first = each.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min(F.struct("print", "copies")).alias("one")).select("doc_id", "one.*")
+    kept = stored(first.union(each.where("node IS NULL").select("doc_id", "print", "copies")), "kept").select(F.col("doc_id").alias(fresh(docs, "kept_key")), F.col("print").alias(fresh(docs, "kept_print")), F.col("copies").alias(fresh(docs, "copies")))
+    k, p, n = kept.columns
+    rows = known.join(kept, (F.col(key) == F.col(k)) & (F.col(mark) == F.col(p)))
+    once = rows
+    if not kept.where(F.col(n) > 1).isEmpty():
+        once = rows.where(F.col(n) == 1).union(rows.where(F.col(n) > 1).dropDuplicates([key, mark]))
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
