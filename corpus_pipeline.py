@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
 read back as the next stage's documents. All but the last return the columns of documents.
+
+Defined results: extra columns, whatever their names, are kept by all stages but the last; an
+empty table gives an empty result. The classifier judges null and empty texts by its bias alone
+and repeated rows each. Of rows near each other, or repeated, one stays: that of the smallest id;
+rows without an id are known by their texts and come after all others; null, empty and word-free
+texts are near nothing, though repeated rows of them become one. Such texts hold no benchmark
+passage. The encoding of a null text is that of an empty one. Very long texts are taken whole.
 """
 
 from __future__ import annotations
