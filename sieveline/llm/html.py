@@ -1,18 +1,23 @@
 """Operator 2: HTML extraction by consensus host paths.
 
-Each page is parsed once into text blocks with the tag-class path of each container around
-them. A page votes for the generalised path (digits dropped) of the smallest container of all
-its wanted text, or of the article that has most of it. Spark adds the votes up per host; the
-path that wins becomes the host's, and the main text of every page of the host is what lies
-below it. A page without that path, or whose article reaches beyond it, falls back on its own.
-
-Within the container, navigation, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts and styles are left out by tag, by role and by words in class and id.
+Each page is parsed once into text blocks with the tag-class path of the container around each,
+and stored. A page with an article votes for the outermost one that has most of its wanted text.
+Of the pages without one, Spark gathers for each host and generalised path (digits dropped) how
+many pages have it, how much text and link text it holds and how many different texts: a path
+that is full of links or says the same on page after page is furniture; the smallest container
+of the remaining paths that at least half the pages have is what those pages agree on. The path
+that wins is the host's; the main text of its pages is what lies below it, less the furniture.
+A page without that path, or whose article reaches beyond it, falls back on its own.
+
+Navigation, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
+are left out by tag, by role and by names in class and id: a name counts if it is one of the plain
+ones, or if it, or the whole attribute, has no other words than such names and qualifiers.
 
 Defined results: null, empty and text-free html give an empty text; a null url has the host "";
-broken markup never fails: unclosed tags end with their container, stray end tags are ignored;
-repeated rows are extracted each; an empty table gives an empty result; other columns are
-ignored.
+broken markup never fails: unclosed tags end with their container, stray end tags are ignored,
+a quote that never closes ends with its tag, a tag, comment or raw element that never ends hides
+the rest; containers below the 64th level count as that one; repeated rows are extracted each; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +27,22 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, only
+from .common import bounded_batches, only, stored
 from .urls import url_host
 
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+STOP = re.compile(r"[>\"']")
+NAME = re.compile(r"[a-zA-Z][^\s>/]*")
+VALUE = re.compile(r"=\s*\Z")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""", re.S)
 WORDS = re.compile(r"[a-z]+")
 ARTICLE = re.compile(r"/(?:article|main)\b")
+DEEPEST = 64
 
 #: HTML's void elements; those whose content is raw; those that stand in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,11 +51,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SKIPPED = frozenset("head script style noscript template nav footer aside form button select option textarea iframe svg canvas object embed menu dialog video audio map title xmp noembed noframes".split())
 #: Roles and words of class or id that name what is not the article.
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
-SKIP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond reply replies related recommended recommendations widget widgets toolbar pagination pager copyright disclaimer".split()
-)
+#: Names that alone say so, words that say so in company of such words and qualifiers only, qualifiers.
+SKIP_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies consent gdpr popup modal overlay newsletter comments commentlist disqus pagination pager toolbar".split())
+SKIP_WORDS = SKIP_NAMES | frozenset("sponsor sponsored promo promotion promoted banner aside notice notices subscribe subscription signup login share sharing social comment respond reply replies related recommended recommendations widget widgets copyright disclaimer".split())
+QUALIFIERS = frozenset("site page main top bottom left right inner outer box list bar block wrap wrapper container section area item items posts post links link buttons icons primary secondary global header media form alert slot unit panel row col column".split())
 HEADER_WORDS = frozenset("header topbar".split())
-KEEP_WORDS = frozenset("has with no without".split())
 CLOSES = {  # an opening tag ends an open one of these
     "p": frozenset(["p"]),
     "li": frozenset(["li", "p"]),
@@ -57,24 +67,43 @@ CLOSES = {  # an opening tag ends an open one of these
     "option": frozenset(["option"]),
 }
 BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul p".split())
+P_ALONE, NOTHING = frozenset(["p"]), frozenset()
 SCOPES = frozenset("body html div article section main td th table ul ol dl aside nav footer header form blockquote figure".split())
 
 
 class Node:
-    """An open container: its generalised path and whether it is part of an article."""
+    """An open element: its container's generalised path, and whether it is left out, a link, in an article."""
 
-    __slots__ = ("tag", "path", "skip", "link")
+    __slots__ = ("tag", "path", "depth", "skip", "link", "inside")
 
-    def __init__(self, tag: str, path: str, skip: bool, link: bool):
-        self.tag, self.path, self.skip, self.link = tag, path, skip, link
+    def __init__(self, tag: str, path: str, depth: int, skip: bool, link: bool, inside: bool):
+        self.tag, self.path, self.depth, self.skip, self.link, self.inside = tag, path, depth, skip, link, inside
 
 
 def generalised(tag: str, attributes: dict[str, str]) -> str:
     """Tag with the first class, digits dropped: pages of one template share it."""
-    first = re.sub(r"\d+", "", (attributes.get("class") or attributes.get("id") or "").strip().split(" ")[0]).strip("-_ ")
+    first = re.sub(r"\d+", "", (attributes.get("class") or attributes.get("id") or "").strip().split(" ")[0]).strip("-_ ").replace("/", "-")
     return f"{tag}.{first}" if first else tag
 
 
+def names_furniture(value: str, inside: bool) -> bool:
+    """Whether a class or id says that an element is no part of the article."""
+    plain = WORDS.findall(value.lower())
+    if SKIP_WORDS.isdisjoint(plain) and HEADER_WORDS.isdisjoint(plain):
+        return False
+    if SKIP_WORDS.union(QUALIFIERS).issuperset(plain) and not SKIP_WORDS.isdisjoint(plain):
+        return True
+    for name in value.lower().split():
+        words = WORDS.findall(name)
+        if len(words) == 1 and words[0] in SKIP_NAMES:
+            return True
+        if len(words) > 1 and SKIP_WORDS.union(QUALIFIERS).issuperset(words) and not SKIP_WORDS.isdisjoint(words):
+            return True
+        if not inside and not HEADER_WORDS.isdisjoint(words) and QUALIFIERS.union(HEADER_WORDS).issuperset(words):
+            return True
+    return False
+
+
 def unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether an element is no part of the article; a header is one only inside an article."""
     if tag in SKIPPED or tag == "header" and not inside:
@@ -85,21 +114,83 @@ def unwanted(tag: str, attributes: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
-        words = WORDS.findall(name)
-        if SKIP_WORDS.isdisjoint(words) and (inside or HEADER_WORDS.isdisjoint(words)):
-            continue
-        if not KEEP_WORDS.intersection(words):  # content-with-sidebar, has-ads, no-comments
-            return True
-    return False
+    return any(names_furniture(attributes.get(k) or "", inside) for k in ("class", "id"))
+
+
+class Scanner:
+    """The pieces of a page in order, in one pass: ("text" | "start" | "end", text or tag name, attributes)."""
+
+    def __init__(self, html: str):
+        self.html, self.at, self.missing = html, 0, set()
+
+    def _find(self, what: str, at: int) -> int:
+        """Like ``str.find``, but what is missing once is not sought again."""
+        if what in self.missing:
+            return -1
+        if (found := self.html.find(what, at)) < 0:
+            self.missing.add(what)
+        return found
+
+    def _after(self, what: str, at: int) -> int:
+        found = self._find(what, at)
+        return len(self.html) if found < 0 else found + len(what)
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, or -1; one within a quoted value does not."""
+        while m := STOP.search(self.html, at):
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            before = self.html[max(0, m.start() - 16) : m.start()]
+            if VALUE.search(before):  # only after an equals sign does a quote begin a value
+                close = self._find(m[0], at)
+                at = close + 1 if close >= 0 else at
+        return -1
+
+    def skip_raw(self, tag: str) -> None:
+        """Go past the end tag of a raw element."""
+        close = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(self.html, self.at)
+        self.at = self._after(">", close.end()) if close else len(self.html)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        html, end = self.html, len(self.html)
+        while self.at < end:
+            at = self.at
+            if html[at] != "<":
+                stop = self._find("<", at)
+                self.at = end if stop < 0 else stop
+                yield "text", html[at : self.at], ""
+                continue
+            after = html[at + 1 : at + 2]
+            if html.startswith("<!--", at):
+                self.at = at + 5 if html.startswith("<!-->", at) else self._after("-->", at + 4)
+            elif html.startswith("<![CDATA[", at) and self._find("]]>", at) >= 0:
+                self.at = self._after("]]>", at)
+            elif after in ("!", "?"):
+                self.at = self._after(">", at)
+            elif after == "/" and (m := NAME.match(html, at + 2)):
+                self.at = self._after(">", m.end())
+                yield "end", m[0].lower(), ""
+            elif after == "/":
+                self.at = self._after(">", at)
+            elif m := NAME.match(html, at + 1):
+                stop = self._tag_end(m.end())
+                self.at = end if stop < 0 else stop + 1
+                if stop >= 0:
+                    yield "start", m[0].lower(), html[m.end() : stop]
+            else:
+                self.at = at + 1
+                yield "text", "<", ""
 
 
 def blocks(html: str | None) -> list[tuple[str, str, int]]:
     """Text, path of the container and length of its link text, of each block of a page in order."""
     out: list[tuple[str, str, int]] = []
-    stack = [Node("", "", False, False)]
+    stack = [Node("", "", 0, False, False, False)]
+    opened: dict[str, int] = {}
     line: list[str] = []
     links = 0
+    container = ""
 
     def end_block() -> None:
         nonlocal links
@@ -110,76 +201,74 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             line.clear()
         links = 0
 
-    def container_of(node: Node) -> str:
-        return node.path
+    def close(depth: int) -> None:
+        for n in stack[depth:]:
+            opened[n.tag] -= 1
+        del stack[depth:]
 
-    container = ""
-    raw = ""
-    html = html or ""
-    at, end = 0, len(html)
-    while at < end:
-        if raw:  # the content of a raw element goes up to its end tag
-            close = re.compile(rf"</{raw}\b[^>]*>", re.I).search(html, at)
-            at, raw = (close.end() if close else end), ""
-            continue
-        m = PIECE.match(html, at)
-        at = m.end()
-        piece = m[0]
+    scanner = Scanner(html or "")
+    for kind, tag, rest in scanner:
         top = stack[-1]
-        if m[1] is None and m[2] is None:
-            if piece[0] != "<" or piece == "<":
-                if not top.skip:
-                    line.append(piece)
-                    if top.link:
-                        links += len(piece)
+        if kind == "text":
+            if not top.skip:
+                line.append(tag)
+                if top.link:
+                    links += len(tag)
             continue
-        if m[1] is not None:  # an end tag
-            tag = m[1].lower()
-            if tag in ("br", "p") and not any(n.tag == tag for n in stack):
-                end_block() if tag == "p" else line.append(" ")
+        if kind == "end":
+            if not opened.get(tag):
+                if tag == "p":
+                    end_block()
+                elif tag == "br" and not top.skip:
+                    line.append(" ")
                 continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if not depth or tag in INLINE and any(n.tag in SCOPES for n in stack[depth + 1 :]):
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth].tag == tag or tag in INLINE and stack[depth].tag in SCOPES:
+                    break
+            if stack[depth].tag != tag:  # an inline end tag does not end a container
                 continue
             if tag not in INLINE:
                 end_block()
-            del stack[depth:]
-            container = container_of(stack[-1])
+            close(depth)
+            container = stack[-1].path
             continue
-        tag = m[2].lower()
         if tag == "br":
             if not top.skip:
                 line.append(" ")
             continue
-        attributes = {k.lower(): unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3] and m[3] != "/" else {}
         if tag in VOID:
             if tag == "hr":
                 end_block()
             continue
+        attributes = {}
+        if rest and rest != "/":
+            for k, a, b, c in ATTRIBUTE.findall(rest):
+                attributes.setdefault(k.lower(), unescape(a or b or c))
         if tag not in INLINE:
             end_block()
-            ends = CLOSES.get(tag) or (frozenset(["p"]) if tag in BLOCKS_CLOSE_P else frozenset())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPES:
-                    break
+            ends = CLOSES.get(tag) or (P_ALONE if tag in BLOCKS_CLOSE_P else NOTHING)
+            if any(opened.get(t) for t in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in ends:
+                        close(i)
+                        break
+                    if stack[i].tag in SCOPES:
+                        break
             while len(stack) > 1 and stack[-1].tag in INLINE:  # an unclosed inline tag ends with its line
-                stack.pop()
+                close(len(stack) - 1)
         top = stack[-1]
-        inside = any(n.tag in ("article", "main") for n in stack)
-        skip = top.skip or unwanted(tag, attributes, inside)
+        skip = top.skip or unwanted(tag, attributes, top.inside)
         if tag in RAW:
-            raw = tag
-            if not m[3].endswith("/"):
-                continue
-            raw = ""
+            if not rest.endswith("/"):
+                scanner.skip_raw(tag)
             continue
-        path = f"{top.path}/{generalised(tag, attributes)}" if tag in SCOPES else top.path
-        stack.append(Node(tag, path, skip, top.link or tag == "a"))
+        path, depth = top.path, top.depth
+        if tag in SCOPES and depth < DEEPEST:
+            path, depth = f"{path}/{generalised(tag, attributes)}", depth + 1
+        stack.append(Node(tag, path, depth, skip, top.link or tag == "a", top.inside or tag in ("article", "main")))
+        opened[tag] = opened.get(tag, 0) + 1
         if tag not in INLINE:
-            container = container_of(stack[-1])
+            container = path
     end_block()
     return out
 
@@ -198,15 +287,26 @@ def votes(found: list[tuple[str, str, int]]) -> dict[str, int]:
     return scores
 
 
+def wanted(found: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """The blocks that are not link-heavy, or all if none is."""
+    return [b for b in found if len(b[0]) > 3 * b[2]] or found
+
+
+def article_path(found: list[tuple[str, str, int]]) -> str | None:
+    """The outermost article with most of a page's wanted text."""
+    good = wanted(found)
+    if not any(ARTICLE.search(path) for _, path, _ in good):
+        return None
+    scores, whole = votes(good), sum(len(t) - 3 * n for t, _, n in good)
+    articles = [p for p in scores if ARTICLE.search(p) and 2 * scores[p] > whole]
+    return min(articles, key=lambda p: (p.count("/"), -scores[p], p)) if articles else None
+
+
 def best(found: list[tuple[str, str, int]]) -> str:
-    """The outermost article with most of a page's wanted text, else the smallest container with all of it: "" if no single one has."""
-    wanted = [b for b in found if len(b[0]) > 3 * b[2]] or found
-    scores = votes(wanted)
-    articles = [p for p in scores if ARTICLE.search(p) and 2 * scores[p] > sum(len(t) - 3 * n for t, _, n in wanted)]
-    if articles:
-        return min(articles, key=lambda p: (p.count("/"), -scores[p], p))
-    shared = os.path.commonprefix([at.split("/") for _, at, _ in wanted])
-    return "/".join(shared)
+    """The page's article, else the smallest container with all wanted text: "" if no single one has it."""
+    if (own := article_path(found)) is not None:
+        return own
+    return "/".join(os.path.commonprefix([at.split("/") for _, at, _ in wanted(found)]))
 
 
 def below(found: list[tuple[str, str, int]], path: str) -> str:
@@ -214,7 +314,7 @@ def below(found: list[tuple[str, str, int]], path: str) -> str:
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """The main text of a page, given its host's path; without that, or where the page's article is not all within it, by the page's own best container."""
+    """The main text of one page, given its host's path; the rule that ``main_text`` states in Spark."""
     found = blocks(html)
     if not found:
         return ""
@@ -225,41 +325,73 @@ def extract(html: str | None, path: str | None) -> str:
     return below(found, own)
 
 
-def host_paths(pages: DataFrame, host: str = "host") -> DataFrame:
-    """host, path: the container path that the pages of each host agree on."""
+PARSED = "page_id {}, url string, host string, print long, article string, best string, blocks array<struct<text string, path string, links int>>"
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """The blocks of each page, its article if it has one, its own best container and a hash of its text; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, str], int] = {}
         for b in batches:
-            for h, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if found := blocks(html):
-                    path = best(found)
-                    total[h, path] = total.get((h, path), 0) + 1
-            if len(total) > 100_000:
-                yield sent(total)
-                total = {}
-        if total:
-            yield sent(total)
+            found = [blocks(h) for h in b.column(3).to_pylist()]
+            flat = [x for f in found for x in f]
+            texts, paths, links = zip(*flat, strict=True) if flat else ((), (), ())
+            items = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(paths, pa.string()), pa.array(links, pa.int32())], names=["text", "path", "links"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), items)
+            prints = [xxhash.xxh64_intdigest("\n".join([x[0] for x in f])) >> 1 for f in found]
+            own = [article_path(f) for f in found]
+            at = [a if a is not None else best(f) for a, f in zip(own, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(prints, pa.int64()), pa.array(own, pa.string()), pa.array(at, pa.string()), lists], names=["page_id", "url", "host", "print", "article", "best", "blocks"])
+
+    rows = only(pages, "page_id", "url", "html").select("page_id", "url", url_host(F.col("url")).alias("host"), "html")
+    return stored(rows.mapInArrow(run, PARSED.format(pages.schema["page_id"].dataType.simpleString())), "parsed", compression="zstd")
 
-    def sent(total: dict[tuple[str, str], int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(total.values(), pa.int64())], names=["host", "path", "pages"])
 
-    cast = pages.select(host, "html").mapInArrow(run, "host string, path string, pages long").groupBy("host", "path").agg(F.sum("pages").alias("pages"))
-    return cast.groupBy("host").agg(F.max(F.struct("pages", "path")).alias("won")).select("host", F.col("won.path").alias("path"))
+def host_paths(pages: DataFrame, least: int = 4) -> DataFrame:
+    """host, path, furniture: the container that the parsed pages of each host agree on, and the paths below it that are no text.
+
+    Counts of distinct texts are mergeable sketches, so that a host's pages never meet in a task.
+    """
+    has_text = pages.where(F.size("blocks") > 0)
+    articles = has_text.where("article IS NOT NULL").groupBy("host", "article").agg(F.count("*").alias("n")).groupBy("host").agg(F.max(F.struct("n", "article")).alias("won"), F.sum("n").alias("with_article"))
+    plain = has_text.where("article IS NULL")
+    distinct = lambda *c: F.approx_count_distinct(F.xxhash64(*c))
+    rows = plain.select("host", "print", F.posexplode("blocks").alias("pos", "b")).select("host", "print", "pos", "b.path", "b.text", "b.links")
+    paths = rows.groupBy("host", "path").agg(distinct("print").alias("pages"), distinct("print", "pos").alias("all_blocks"), distinct("text").alias("texts"), F.sum(F.length("text")).alias("chars"), F.sum("links").alias("links"))
+    paths = paths.withColumn("furniture", (F.col("pages") >= least) & ((F.col("chars") < 3 * F.col("links")) | (3 * F.col("texts") <= F.col("all_blocks"))))
+    have = plain.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["path"]))).alias("path")).groupBy("host", "path").agg(F.count("*").alias("have"))
+    sizes = plain.groupBy("host").agg(F.count("*").alias("without_article"))
+    judged = paths.join(have, ["host", "path"]).join(sizes, "host")
+    steps = F.split("path", "/")
+    shared = judged.where(~F.col("furniture") & (2 * F.col("have") >= F.col("without_article"))).groupBy("host").agg(F.min(steps).alias("low"), F.max(steps).alias("high"), F.sum("chars").alias("kept"))
+    # the common beginning of the smallest and of the largest is common to all
+    same = F.transform(F.sequence(F.lit(1), F.least(F.size("low"), F.size("high"))), lambda i: F.slice("low", F.lit(1), i) == F.slice("high", F.lit(1), i))
+    container = F.array_join(F.slice("low", F.lit(1), F.size(F.filter(same, lambda x: x))), "/")
+    agreed = shared.select("host", container.alias("container"), "kept")
+    dropped = judged.where("furniture").groupBy("host").agg(F.collect_set("path").alias("furniture"), F.sum("chars").alias("dropped"))
+    other = sizes.join(agreed, "host", "left").join(dropped, "host", "left")
+    both = articles.join(other, "host", "full")
+    by_article = F.coalesce("with_article", F.lit(0)) >= F.coalesce("without_article", F.lit(0))
+    furniture = F.when(F.coalesce("kept", F.lit(0)) > F.col("dropped"), F.col("furniture"))  # what is most of a host's text is its text
+    return both.select("host", F.when(by_article, F.col("won.article")).otherwise(F.col("container")).alias("path"), furniture.alias("furniture"))
+
+
+def within(block: Column, path: Column) -> Column:
+    return (block["path"] == path) | block["path"].startswith(F.concat(path, F.lit("/")))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars and the host's path of each page."""
     bounded_batches(pages.sparkSession, 500)
-    rows = only(pages, "page_id", "url", "html").withColumn("host", url_host(F.col("url")))
-    paths = host_paths(rows)
-    # Catalyst broadcasts the paths where their measured size allows it, else it splits hot hosts
-    joined = rows.join(paths.withColumnRenamed("host", "voted"), F.col("host") == F.col("voted"), "left").select("page_id", "url", "html", "path")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [extract(h, p) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), b.column(3)], names=["page_id", "url", "text", "n_chars", "path"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, path string")
+    found = parsed(pages)
+    # stored, so that its size is known: Catalyst broadcasts it below the session's threshold, else joins by sorting and splits hot hosts
+    paths = stored(host_paths(found), "host-paths").withColumnRenamed("host", "voted")
+    rows = found.join(paths, F.col("host") == F.col("voted"), "left")
+    good = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("furniture", b["path"]), F.lit(False)))
+    rows = rows.withColumn("blocks", F.when(F.col("article").isNull() & (F.size(good) > 0), good).otherwise(F.col("blocks")))
+    beyond = F.col("article").isNotNull() & ~F.concat("article", F.lit("/")).startswith(F.concat("path", F.lit("/")))
+    at = F.filter("blocks", lambda b: within(b, F.col("path")))
+    own = F.filter("blocks", lambda b: within(b, F.col("best")))
+    by_host = (F.coalesce("path", F.lit("")) != "") & ~beyond & (F.size(at) > 0)
+    text = F.array_join(F.transform(F.when(by_host, at).otherwise(own), lambda b: b["text"]), "\n")
+    return rows.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"), "path").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

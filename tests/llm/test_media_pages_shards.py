@@ -192,3 +192,64 @@ def test_whole_article_is_kept(spark):
     pages = spark.createDataFrame([(i, "http://h.example/", page) for i in range(3)] + [(3, "http://h.example/", short)], "page_id long, url string, html string")
     got = {r["page_id"]: (r["text"].split("\n")[0], r["path"]) for r in html.main_text(pages).collect()}
     assert got == {0: ("title", "/body/article"), 1: ("title", "/body/article"), 2: ("title", "/body/article"), 3: ("other", "/body/article")}
+
+
+def test_broken_markup_takes_linear_time_and_does_not_leak():
+    import time
+
+    n = 250_000
+    for piece in ("<a ", "<!--", '<p "', "<a x='", '<a x="', "<script ", "</script ", "<![CDATA[", "<div>", "</x>", "<h1>", "<b>", "<p><b>", "<div></x>", "<b></div>", "a<", "&#", "<table><td>", "</"):
+        page = "<b>" * 50 + piece * (n // len(piece))
+        began = time.time()
+        html.extract(page, None)
+        assert time.time() - began < 6, piece
+    assert html.extract("<p>a <a title=\"foo>bar</a> b</p>", None) == "a bar b"
+    assert html.extract("<p>a <a title='x > y' href=\"u>v\">bar</a> b</p><p it's>c</p>", None) == "a bar b\nc"
+    assert html.extract("<p>a < b and c</p><p>x <3 y</p>", None) == "a < b and c\nx <3 y"
+    assert html.extract("<p>one</p><p class='open", None) == "one"
+
+
+def test_names_that_only_hold_a_skipped_word_are_kept():
+    page = "<article><p class='promotion-of-health'>kept one</p><section class='social history'><p>kept two</p></section><div class='comment-letter-to-the-editor'><p>kept three</p></div>%s</article>"
+    out = "".join(f"<div class='{c}'><p>no</p></div>" for c in ("social", "social-share", "related posts", "ad", "ad-12", "cookie-notice", "newsletter box", "comments", "site-nav", "sidebar wide", "promo")) + "<div id='disqus'>no</div>"
+    assert html.extract(page % out, None) == "kept one\nkept two\nkept three"
+
+
+def brute_host(pages):
+    """The vote of ``html.host_paths`` by plain sets, for pages without an article."""
+    found = [f for f in map(html.blocks, pages) if f]
+    prints = ["\n".join(x[0] for x in f) for f in found]
+    stats, has = {}, {}
+    for f, p in zip(found, prints):
+        for pos, (text, path, links) in enumerate(f):
+            s = stats.setdefault(path, [set(), set(), set(), 0, 0])
+            s[0].add(p), s[1].add((p, pos)), s[2].add(text)
+            s[3], s[4] = s[3] + len(text), s[4] + links
+        for path in {x[1] for x in f}:
+            has[path] = has.get(path, 0) + 1
+    furniture = {p for p, (a, b, c, n, k) in stats.items() if len(a) >= 4 and (n < 3 * k or 3 * len(c) <= len(b))}
+    good = [p.split("/") for p, s in stats.items() if p not in furniture and 2 * has[p] >= len(found)]
+    return "/".join(__import__("os").path.commonprefix(good)), furniture
+
+
+def test_consensus_without_articles(spark):
+    """No names to go by: the vote drops what repeats and what is full of links, and finds the container."""
+    rng = random.Random(4)
+    say = lambda k: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randint(0, 99)) for _ in range(k))
+    pages, want = [], {}
+    for i in range(40):
+        body = [say(30) for _ in range(rng.randint(1, 4))]
+        links = "".join(f"<p><a href='/{k}'>{say(4)}</a></p>" for k in range(3))
+        page = f"<body><div class='q{i}'><p>We ship to every town.</p></div><div class='w'><div class='x'>{''.join(f'<p>{b}</p>' for b in body)}</div><div class='y'><p>All rights are held.</p></div></div><div class='z'>{links}</div></body>"
+        pages.append((i, "http://h.example/a", page))
+        want[i] = "\n".join(body)
+    pages.append((40, "http://h.example/b", pages[0][2]))  # a copy
+    want[40] = want[0]
+    pages.append((41, "http://few.example/", "<body><div><p>We ship to every town.</p></div><div><p>x</p></div></body>"))
+    want[41] = "We ship to every town.\nx"
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: (r["text"], r["n_chars"], r["path"]) for r in html.main_text(df).collect()}
+    container, furniture = brute_host([p for _, u, p in pages if "h.example" in u])
+    assert {k: v[0] for k, v in got.items()} == want and all(v[1] == len(v[0]) for v in got.values())
+    row = html.host_paths(html.parsed(df)).where("host = 'h.example'").first()
+    assert row["path"] == container == got[0][2] and set(row["furniture"]) == furniture and len(furniture) == 3
