@@ -8,29 +8,37 @@ from .urls import LINK, RULES, URL
 
 def _ranks(name: str, source: str, target: str, seed: str, rounds: int, damping: float) -> str:
     """CTEs of a personalised PageRank, a round each."""
-    out = [f"{name}_out as (select {source} a, sum(links) n from edges group by 1)", f"{name}_0 as (select host, case when {seed} then 1.0::double else 0.0::double end rank from hosts)"]
+    out = [f"{name}_out as materialized (select {source} a, sum(links) n from edges group by 1)", f"{name}_0 as materialized (select host, {seed} rank from hosts)"]
     for i in range(1, rounds + 1):
         flow = f"select e.{target} b, sum(e.links / o.n * r.rank) f from edges e join {name}_out o on e.{source} = o.a join {name}_{i - 1} r on r.host = e.{source} group by 1"
-        out.append(f"{name}_{i} as (select h.host, (1 - {damping}) * s.rank + {damping} * coalesce(f.f, 0.0) rank from hosts h join {name}_0 s on s.host = h.host left join ({flow}) f on f.b = h.host)")
+        out.append(f"{name}_{i} as materialized (select s.host, {1 - damping} * s.rank + {damping} * coalesce(f.f, 0.0) rank from {name}_0 s left join ({flow}) f on f.b = s.host)")
     return ", ".join(out)
 
 
-def url_filter(rounds: int = 6, damping: float = 0.85, threshold: float = 0.01) -> str:
+def url_filter(rounds: int = 40, damping: float = 0.85, threshold: float = 0.01) -> str:
+    """From the definition: the longest rule, else the ranks of the host; ``rounds`` rounds settle them."""
     low = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
     host = lambda c: low(f"regexp_extract(coalesce({c}, ''), '{URL}', 1)")
+    path = lambda c: f"regexp_extract(coalesce({c}, ''), '{URL}', 2)"
     within = lambda d: f"(host = '{d}' or ends_with(host, '.{d}'))"
     named = lambda kind: " or ".join(within(d) for v, d, _ in RULES if v == kind) or "false"
     link = LINK.replace("'", "''")
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = " ".join(f"when {within(d)} and starts_with(path, '{p}') then '{d}{p}'" for _, d, p in longest)
     says = " ".join(f"when '{d}{p}' then '{v}'" for v, d, p in RULES)
-    allow, block = f"(({named('allow')}) and not ({named('block')}))", f"(({named('block')}) and not ({named('allow')}))"
+    alone = {"allow": f"(({named('allow')}) and not ({named('block')}))", "block": f"(({named('block')}) and not ({named('allow')}))"}
+    seed = {k: f"case when {v} then 1.0::double else {k}ed / urls end" for k, v in alone.items()}
+    here = lambda name, kind: f"{name}.rank - case when {alone[kind].replace('host', 'h.host')} then 0.0 else {1 - damping} * {name}_0.rank end"
     return f"""with l as (select {host("url")} src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) "to" from pages),
-edges as (select src, {host('"to"')} dst, count(*) links from l group by 1, 2 having src != '' and dst != '' and src != dst),
-own as (select page_id, {host("url")} host, regexp_extract(coalesce(url, ''), '{URL}', 2) path from pages),
-hosts as (select host from own where host != '' union select src from edges union select dst from edges),
-{_ranks("trust", "src", "dst", allow, rounds, damping)}, {_ranks("distrust", "dst", "src", block, rounds, damping)},
-judged as (select t.host, case when d.rank - t.rank > {threshold} then 'block' else 'allow' end verdict from trust_{rounds} t join distrust_{rounds} d on t.host = d.host),
+t as (select src, case when starts_with("to", '//') then 'http:' || "to" else "to" end "to" from l),
+targets as (select src, {host('"to"')} host, {path('"to"')} path from t),
+edges as materialized (select src, host dst, count(*) links from targets where src != '' and host != '' and src != host group by 1, 2),
+own as (select page_id, {host("url")} host, {path("url")} path from pages),
+known as (select host, path from own where host != '' union all select host, path from targets where host != ''),
+judged_urls as (select host, case (case {fits} end) {says} end verdict from known),
+hosts as materialized (select host, count(*) urls, count(*) filter (verdict = 'allow') allowed, count(*) filter (verdict = 'block') blocked from judged_urls group by 1),
+{_ranks("trust", "src", "dst", seed["allow"], rounds, damping)}, {_ranks("distrust", "dst", "src", seed["block"], rounds, damping)},
+judged as (select h.host, case when ({here("distrust", "block")}) - ({here("trust", "allow")}) > {threshold} then 'block' else 'allow' end verdict from hosts h join trust_{rounds} trust on trust.host = h.host join trust_0 on trust_0.host = h.host join distrust_{rounds} distrust on distrust.host = h.host join distrust_0 on distrust_0.host = h.host),
 ruled as (select *, case {fits} end rule from own)
 select page_id, r.host, path, rule, coalesce(case rule {says} end, j.verdict, 'allow') verdict from ruled r left join judged j on j.host = r.host"""
 
