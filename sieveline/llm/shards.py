@@ -8,11 +8,13 @@ bytes are near equal, and stores the result as the next version. The law that ho
 
 Only the totals per slot (a fixed number of rows) reach the driver. A row's place in its shard
 is its rank in its virtual slot plus the rows of the shard's slots before it: no task ever
-sorts a whole shard.
+sorts a whole shard. A slot that holds more than ``HOT`` of a shard's mean, as that of an id that
+very many rows have, is split into ``PARTS`` slots, dealt in turn as the rows are read.
 
 Defined results: a null text has no bytes and so size 1, its crc32 is that of no bytes; null
-ids hash like any value; repeated rows get places of their own; an empty table gives an empty
-result; other columns are ignored.
+ids hash like any value; repeated rows get places of their own; the bytes of shards are equal
+as far as single rows allow, whatever ids repeat; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from pyspark.sql.window import Window
 from .common import only, shared_dir, stored
 
 
+HOT, PARTS = 0.25, 256
+
+
 @dataclass(frozen=True)
 class SlotMap:
     """One version of the map: the shard of each slot."""
@@ -84,6 +89,10 @@ class SlotMap:
                 total[high] += load[b]
         return SlotMap(self.version + 1, shards, tuple(owner))
 
+    def split(self, slots: list[int], parts: int) -> SlotMap:
+        """The same map with ``parts`` more slots for each of ``slots``, on its shard; to be rebalanced."""
+        return SlotMap(self.version, self.shards, self.owner + tuple(self.owner[s] for s in slots for _ in range(parts)))
+
     def shard_of(self, slot: Column) -> Column:
         """The map as a constant of the query: no join."""
         return F.get(F.from_json(F.lit(json.dumps(self.owner)), "array<int>"), slot)
@@ -122,18 +131,27 @@ def shard_documents(docs: DataFrame, shards: int = 16, slots: int = 4096, folder
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     facts = only(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"))
-    facts = stored(facts, "slots")  # the texts are read once
-    totals = {r["virtual_slot"]: r for r in facts.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}  # one row a slot
-    load = [int(totals[s]["bytes"]) if s in totals else 0 for s in range(slots)]
+    facts = stored(facts.withColumn("turn", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")), "slots")  # the texts are read once
+    sums = F.sum("size").alias("bytes"), F.count("*").alias("rows")
+    totals = {r["virtual_slot"]: (int(r["bytes"]), int(r["rows"])) for r in facts.groupBy("virtual_slot").agg(*sums).collect()}  # one row a slot
     folder = folder or shared_dir(spark, "slot-map")
     first = SlotMap.first(slots, shards)
     first.save(spark, folder)
-    now = first.rebalanced(load)
+    most = HOT * sum(n for n, _ in totals.values()) / shards
+    hot = sorted(s for s, (n, rows) in totals.items() if n > most and rows > 1)  # at most shards / HOT
+    if hot:
+        part = F.get(F.from_json(F.lit(json.dumps([slots + PARTS * hot.index(s) if s in hot else -1 for s in range(slots)])), "array<int>"), F.col("virtual_slot"))
+        facts = facts.withColumn("virtual_slot", F.when(part >= 0, part + F.col("turn")).otherwise(F.col("virtual_slot")))
+        totals = {s: t for s, t in totals.items() if s not in hot}
+        totals |= {r["virtual_slot"]: (int(r["bytes"]), int(r["rows"])) for r in facts.where(F.col("virtual_slot") >= slots).groupBy("virtual_slot").agg(*sums).collect()}
+        first = first.split(hot, PARTS)
+    every = len(first.owner)
+    now = first.rebalanced([totals.get(s, (0, 0))[0] for s in range(every)])
     now.save(spark, folder)
-    before, filled = [0] * slots, [0] * shards
-    for s in range(slots):
+    before, filled = [0] * every, [0] * shards
+    for s in range(every):
         before[s] = filled[now.owner[s]]
-        filled[now.owner[s]] += int(totals[s]["rows"]) if s in totals else 0
+        filled[now.owner[s]] += totals.get(s, (0, 0))[1]
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     start = F.get(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("virtual_slot"))
     return facts.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), now.shard_of(F.col("virtual_slot")).alias("shard"), (start + rank - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(now.version).alias("map_version"))
