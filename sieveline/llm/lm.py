@@ -9,7 +9,8 @@ How it runs. Documents are dealt into groups by hash. Each group counts its own
 n-grams and sends them, sorted and cut into key ranges, as arrays: a frequent n-gram costs a
 row a group, however often it occurs. Each key range adds the counts up and sends back, in the
 order asked, what each group needs. A group then holds the counts of all its own n-grams and
-scores its documents. So nothing is broadcast but some 100 weights, and a task's memory is
+scores its documents. A group sends nothing to a range in which it has no n-gram, so there are
+never more such rows than n-grams to be counted. Nothing is broadcast but some 100 weights, and a task's memory is
 bounded by a group or a key range; by default a group is at most 32 MB of the table's files. Counts are exact for all documents; n-grams are known by 64-bit hashes.
 
 Defined results: a null or empty text is one end token; a row without an id is scored but not
@@ -114,7 +115,7 @@ def _table(ddl: str, rows: list[tuple]) -> pa.Table:
 def _grouped(docs: DataFrame, folds: int, groups: int) -> DataFrame:
     """gid, doc_id, text, rest: documents of the deleted fold are in groups of their own, numbered from ``groups``."""
     rest = F.coalesce(F.pmod(id_crc(F.col("doc_id")), F.lit(folds)), F.lit(0)).cast("int")
-    spread = F.xxhash64("doc_id", F.octet_length("text"))
+    spread = F.xxhash64("doc_id", "text")  # texts that share an id are spread too
     gid = F.when(rest == 1, groups + F.pmod(spread, F.lit(max(1, groups // (folds - 1))))).otherwise(F.pmod(spread, F.lit(groups)))
     return only(docs, "doc_id", "text").select(gid.cast("int").alias("gid"), "doc_id", "text", rest.alias("rest"))
 
