@@ -10,8 +10,8 @@ of the smaller counts over sum of the larger counts).
 A window that holds no shingle of any item has similarity 0 to all of them, so only windows
 over such a shingle, in the sizes of the items that have it, are fingerprinted.
 
-The items are a query set: they go through in blocks of at most ``ITEMS``, each broadcast by
-itself, against all documents.
+The items are a query set: they go through in blocks of about ``ITEMS`` rows and ``ITEM_BYTES``
+bytes at most, each broadcast by itself, against all documents.
 
 Defined results: null, empty and word-free texts and items match nothing; an item of fewer words
 than a shingle is one shingle, found as such; a text shorter than an item is one window; rows
@@ -35,6 +35,7 @@ from .jaccard import Shingler, mixed
 RADIUS = 19
 BLOCKS, WIDTH, NEAR = 4, 16, 4
 ITEMS = 2000
+ITEM_BYTES = 16 << 20  # of a block
 
 
 def simhashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -155,9 +156,10 @@ class Items:
 
 
 def item_blocks(benchmark: DataFrame, items: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``items`` rows."""
+    """The items in blocks of about ``items`` rows, less where they are long."""
     rows = only(benchmark, "item_id", "text").where("text IS NOT NULL")
-    blocks = max(1, -(-rows.count() // items))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // items), -(-size // ITEM_BYTES))
     for k in range(blocks):
         yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
 
