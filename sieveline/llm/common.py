@@ -88,10 +88,10 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def spread(df: DataFrame, each: int = 32 << 20) -> int:
-    """Into how many groups to deal ``df``: twice the shuffle width, more where the planned size of the scan gives a group over ``each`` bytes."""
+def spread(df: DataFrame, each: int = 32 << 20, least: int | None = None) -> int:
+    """Into how many groups to deal ``df``: ``least`` (twice the shuffle width), more where the planned size of the scan gives a group over ``each`` bytes."""
     planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = 2 * shuffle_width(df.sparkSession)
+    least = least or 2 * shuffle_width(df.sparkSession)
     return least if planned >= 1 << 60 else max(least, -(-planned // each))  # frames of unknown size plan for 2**63
 
 

@@ -3,9 +3,10 @@
 A file holds the ids of whole documents in ascending order of doc_id. Its ids are cut into
 blocks of fixed size; a block is transposed into byte planes (all lowest bytes, then all next
 bytes, ...) or bit planes; each plane is compressed by itself. A chunk index at the end gives
-the place of every plane and the documents with their lengths, so a reader can fetch any block.
+the place of every plane and of the documents' ids and lengths (16 bytes a document, compressed),
+so a reader can fetch any block.
 
-    magic "SVT1" | planes ... | index (zstandard of JSON) | length of the index (u32) | "SVT1"
+    magic "SVT1" | planes ... | ids, lengths | index (zstandard of JSON) | length of the index (u32) | "SVT1"
 
 Documents are dealt to files by ranges of doc_id, and files are named by range, so that files
 in order of name hold the documents in ascending order. A task streams its documents into a
@@ -37,7 +38,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .bpe import byte_alphabet, read_spec
-from .common import bounded_batches, only, shared_dir, shuffle_width
+from .common import bounded_batches, only, shared_dir, shuffle_width, spread
 
 MAGIC = b"SVT1"
 BLOCK = 1 << 18  # ids of a block
@@ -63,16 +64,20 @@ def from_planes(planes: list[bytes], n: int, width: int, bits: bool) -> np.ndarr
 
 
 class PlaneWriter:
-    """Writes a file block by block; holds one block."""
+    """Writes a file block by block; holds one block, and the ids and lengths of the file's documents."""
 
     def __init__(self, sink, width: int = 2, bits: bool = False, block: int = BLOCK, level: int = 3):
         self.sink, self.width, self.bits, self.block = sink, width, bits, block
         self.packer = zstandard.ZstdCompressor(level=level)
-        self.at, self.blocks, self.docs, self.waiting, self.held = len(MAGIC), [], [], [], 0
+        self.at, self.blocks, self.waiting, self.held = len(MAGIC), [], [], 0
+        self.ids, self.lengths, self.without = array("q"), array("q"), []
         sink.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, len(ids)))
+        if doc_id is None:
+            self.without.append(len(self.ids))
+        self.ids.append(doc_id or 0)
+        self.lengths.append(len(ids))
         self.waiting.append(ids)
         self.held += len(ids)
         if self.held >= self.block:
@@ -96,7 +101,13 @@ class PlaneWriter:
     def close(self) -> None:
         if self.held:
             self._write(np.concatenate(self.waiting))
-        index = self.packer.compress(json.dumps({"width": self.width, "bits": self.bits, "blocks": self.blocks, "docs": self.docs}).encode())
+        spans = []
+        for column in (self.ids, self.lengths):
+            packed = self.packer.compress(np.array(column, "<i8").tobytes())
+            self.sink.write(packed)
+            spans.append((self.at, len(packed)))
+            self.at += len(packed)
+        index = self.packer.compress(json.dumps({"width": self.width, "bits": self.bits, "blocks": self.blocks, "docs": spans, "without": self.without}).encode())
         self.sink.write(index)
         self.sink.write(struct.pack("<I", len(index)) + MAGIC)
 
@@ -112,7 +123,9 @@ class PlaneReader:
             raise ValueError("no token file")
         self.unpacker = zstandard.ZstdDecompressor()
         index = json.loads(self.unpacker.decompress(self._at(end - 8 - length, length)))
-        self.width, self.bits, self.blocks, self.docs = index["width"], index["bits"], index["blocks"], index["docs"]
+        self.width, self.bits, self.blocks = index["width"], index["bits"], index["blocks"]
+        self.ids, self.lengths = (np.frombuffer(self.unpacker.decompress(self._at(*s)), "<i8") for s in index["docs"])
+        self.without = frozenset(index["without"])
 
     def _at(self, offset: int, length: int) -> bytes:
         self.source.seek(offset)
@@ -125,7 +138,7 @@ class PlaneReader:
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """doc_id and ids of all documents in order; holds a block and a document."""
         k, left = 0, np.zeros(0, np.uint64)
-        for doc_id, n in self.docs:
+        for i, (doc_id, n) in enumerate(zip(self.ids.tolist(), self.lengths.tolist(), strict=True)):
             parts = []
             while n > len(left):
                 parts.append(left)
@@ -133,11 +146,11 @@ class PlaneReader:
                 left, k = self.block(k), k + 1
             parts.append(left[:n])
             left = left[n:]
-            yield doc_id, np.concatenate(parts)
+            yield None if i in self.without else doc_id, np.concatenate(parts)
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, from the blocks that hold it alone."""
-        start, n, parts = sum(d[1] for d in self.docs[:k]), self.docs[k][1], []
+        start, n, parts = int(self.lengths[:k].sum()), int(self.lengths[k]), []
         for b, (size, _) in enumerate(self.blocks):
             if start < size and n > 0:
                 parts.append(self.block(b)[start : start + n])
@@ -203,7 +216,8 @@ def encoder(spec: str) -> CachedEncoder:
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, files: int | None = None, width: int = 2, bits: bool = False) -> DataFrame:
     """Encode and write all documents; returns the manifest: file, name, n_docs, n_tokens, start.
 
-    ``files`` (default: the session's shuffle width) is the number of doc_id ranges.
+    ``files`` is the number of doc_id ranges: by default the session's shuffle width, more where a
+    file would hold over 128 MB of the planned scan.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(read_spec(vocabulary))
@@ -231,7 +245,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, files:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([tokens], pa.int64())], names=["file", "name", "n_docs", "n_tokens"])
 
     bounded_batches(spark)
-    ranged = only(docs, "doc_id", "text").repartitionByRange(files or shuffle_width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    files = files or spread(docs, 128 << 20, shuffle_width(spark))
+    # texts that share an id may go to several files
+    ranged = only(docs, "doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     made = f"{folder}-manifest"
     ranged.mapInArrow(run, "file int, name string, n_docs long, n_tokens long").write.parquet(made)
     manifest = spark.read.parquet(made)  # a row a file
