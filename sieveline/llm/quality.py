@@ -10,8 +10,8 @@ one task streams them through the sequential updates and returns ``2**bits`` wei
 default, which are broadcast to the scoring tasks.
 
 Defined results: null, empty and blank texts have no n-grams and get the score of the bias; a
-label without a document, a null label or id is not learned from; repeated rows are learned
-from and scored each; without any label the score is 0.5; an empty table gives an empty result.
+label without a document, a null label or id is not learned from; repeated labels are learned
+from each, of rows of one id that of the smallest text hash; repeated rows are scored each; without any label the score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ SCALE = 32.0
 class Hasher:
     """Hashed n-grams of texts. The hashes of the recurring white-space parts are kept."""
 
-    def __init__(self, bits: int, kept: int = 300_000):
+    def __init__(self, bits: int, kept: int = 100_000):
         self.shift, self.kept = np.uint64(64 - bits), kept
         self.parts: dict[str, tuple[bytes, bytes]] = {}
         self.same = np.array([xxhash.xxh64_intdigest("=")], dtype=np.uint64)
@@ -100,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, epochs: int =
     order = F.xxhash64(F.col("doc_id"), F.lit(9))
     few = only(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).orderBy(order, "doc_id", "quality").limit(max_rows)
     few = few.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
-    rows = only(docs, "doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("_id"))  # at most max_rows small rows
+    rows = only(docs, "doc_id", "text").join(F.broadcast(few.groupBy("_id").agg(F.collect_list("_label").alias("_labels"))), F.col("doc_id") == F.col("_id"))  # at most max_rows small rows
+    # one text for each id, so that no more than max_rows rows go to the task that learns
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.min("_labels").alias("_labels")).select("doc_id", "text", F.explode("_labels").alias("_label"))
     rows = rows.select("text", "_label", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("_epoch"), F.xxhash64("doc_id", F.lit(9)).alias("_order"), "doc_id")
     rows = rows.repartition(1).sortWithinPartitions("_epoch", "_order", "doc_id", "_label", "text").select("text", "_label")
 
