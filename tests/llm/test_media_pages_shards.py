@@ -197,8 +197,11 @@ def test_rebalancing_evens_the_load_and_moves_little():
 
 def test_equal_rows_get_places_of_their_own(spark):
     docs = spark.range(1000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
-    got = shards.shard_documents(docs).select("slot").collect()
-    assert sorted(r["slot"] for r in got) == list(range(1000))
+    got = shards.shard_documents(docs).select("shard", "slot").collect()
+    assert len(got) == 1000
+    for shard in range(16):
+        places = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert places == list(range(len(places))) and 50 < len(places) < 75
 
 
 def test_class_words():
@@ -277,3 +280,13 @@ def test_consensus_without_articles(spark):
     assert {k: v[0] for k, v in got.items()} == want and all(v[1] == len(v[0]) for v in got.values())
     row = html.host_paths(html.parsed(df)).where("host = 'h.example'").first()
     assert row["path"] == container == got[0][2] and set(row["furniture"]) == furniture and len(furniture) == 3
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "third"])
+def test_bytes_are_near_equal_whatever_ids_repeat(spark, ids):
+    """20,000 rows without an id, of one id, or a third of them of one id."""
+    key = {"null": F.lit(None).cast("long"), "one": F.lit(7).cast("long"), "third": F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))}[ids]
+    docs = spark.range(20_000, numPartitions=7).select(key.alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("text"))
+    got = shards.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("top")).collect()
+    assert len(got) == 16 and max(r["b"] for r in got) - min(r["b"] for r in got) <= 0.01 * sum(r["b"] for r in got) / 16
+    assert all(r["n"] == r["d"] == r["top"] + 1 for r in got)
