@@ -1,14 +1,17 @@
 """Numpy functions on glyph masks and strokes, and pandas UDFs around them.
 
 A mask travels as binary (one byte a pixel, row by row) with its width. Rendering, recognition
-and vectorisation models are hooks: :data:`HOOKS` names the functions that a user registers.
+and vectorisation models are hooks: functions that a user registers by name, and that
+:func:`call_hook` runs on the rows of a frame, each failure reported in its row.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,8 +19,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: name -> function(bytes) of external models (render, recognise, classify, vectorise).
-HOOKS: dict[str, Callable] = {}
+#: name -> function of external models (render, recognise, classify, vectorise, ...), and the type of its answers.
+HOOKS: dict[str, tuple[Callable, str]] = {}
+
+
+def register_hook(name: str, function: Callable, returns: str = "string") -> None:
+    """A function of column values whose answers have the type ``returns`` (DDL); it is sent to the executors."""
+    HOOKS[name] = function, returns
+
+
+def call_hook(df: DataFrame, name: str, columns: Sequence[str], value: str = "value", error: str = "error") -> DataFrame:
+    """The rows with the hook's answer, or null and the error text where it raises."""
+    from ..session import ship
+
+    if name not in HOOKS:
+        raise ValueError(f"no hook {name}; registered: {sorted(HOOKS)}")
+    ship(df.sparkSession)
+    function, returns = HOOKS[name]
+    kept = df.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            answers, errors = [], []
+            for args in f[list(columns)].itertuples(index=False):
+                try:
+                    answers.append(function(*args))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  reported in the row
+                    answers.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield f.assign(**{value: pd.Series(answers, index=f.index, dtype=object), error: errors})[[*kept, value, error]]
+
+    return df.mapInPandas(run, ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema), f"`{value}` {returns}", f"`{error}` string"]))
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 METRICS = T.StructType([T.StructField("shapes", T.IntegerType()), T.StructField("width", T.DoubleType()), T.StructField("hole", T.BooleanType()), T.StructField("ink", T.DoubleType())])
@@ -464,3 +497,188 @@ def phases(frames: Iterator[tuple[str, float]]) -> Iterator[tuple[str, float, fl
     for phase, score in frames:
         best = max(best, score)
         yield phase, score, best
+
+
+def differential_evolution(f: Callable[[np.ndarray], float], bounds: list[tuple[float, float]], rounds: int = 60, size: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Best point of a population that moves by differences of its members; the same for the same seed."""
+    rng, low, high = np.random.default_rng(seed), *np.array(bounds, float).T
+    people = low + rng.random((size, len(low))) * (high - low)
+    values = np.array([f(p) for p in people])
+    for _ in range(rounds):
+        for i in range(size):
+            a, b = people[rng.choice(size, 2, replace=False)]
+            trial = np.clip(people[values.argmin()] + 0.7 * (a - b), low, high)
+            trial = np.where(rng.random(len(low)) < 0.9, trial, people[i])
+            if (v := f(trial)) <= values[i]:
+                people[i], values[i] = trial, v
+    return people[values.argmin()], float(values.min())
+
+
+def chained(f: Callable[[np.ndarray], float], bounds: list[tuple[float, float]], start: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
+    """Downhill simplex, then the population search, then the simplex from what is better; clipped to the bounds."""
+    low, high = np.array(bounds, float).T
+    within = lambda p: f(np.clip(p, low, high))
+    reach = float(np.mean(high - low)) / 10
+    best = min((minimised(within, start, size=reach), differential_evolution(f, bounds, seed=seed)), key=lambda r: r[1])
+    last = minimised(within, best[0], size=reach / 2)
+    point, value = min((best, last), key=lambda r: r[1])
+    return np.clip(point, low, high), value
+
+
+def snapped_within(points: np.ndarray, mask: np.ndarray, reach: float = 15.0) -> np.ndarray:
+    """Points on the canvas move to the nearest pixel of the mask, if it is within reach; others stay."""
+    if not len(points) or not mask.any():
+        return points
+    far, ny, nx = distance_squared(mask)
+    x, y = (np.rint(points[:, i]).astype(int) for i in (0, 1))
+    on = (x >= 0) & (x < mask.shape[1]) & (y >= 0) & (y < mask.shape[0])
+    x, y = np.where(on, x, 0), np.where(on, y, 0)
+    near = on & (far[y, x] <= reach * reach)
+    return np.where(near[:, None], np.stack([nx[y, x], ny[y, x]], axis=1), points)
+
+
+def neighbours(skeleton: np.ndarray) -> np.ndarray:
+    """Number of set 8-neighbours of each pixel."""
+    m = np.pad(skeleton.astype(np.int16), 1)
+    h, w = skeleton.shape
+    return sum(m[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3) if (dy, dx) != (1, 1))
+
+
+def without_spurs(skeleton: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Ends are taken off, a pixel at a time; whole branches up to that length go, longer ones get shorter."""
+    out = skeleton.astype(bool)
+    for _ in range(rounds):
+        ends = out & (neighbours(out) == 1)
+        if not ends.any():
+            break
+        out = out & ~ends
+    return out
+
+
+def ridge(mask: np.ndarray, kind: str = "crest", least: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+    """Thinned centre line and depth of a mask: where the depth is a crest in some direction, where it curves down, or where its slopes run together."""
+    depth = np.sqrt(distance_squared(~mask)[0].astype(float)) if not mask.all() else np.full(mask.shape, np.inf)
+    if kind == "crest":
+        shift = lambda dy, dx: np.roll(depth, (dy, dx), (0, 1))
+        found = np.zeros_like(mask)
+        for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
+            found |= (depth >= shift(dy, dx)) & (depth >= shift(-dy, -dx))
+    elif kind == "curve":
+        p = np.pad(depth, 1, mode="symmetric")
+        found = p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * depth < -0.5
+    else:
+        gy, gx = np.gradient(depth)
+        size = np.hypot(gx, gy) + 1e-10
+        found = np.gradient(gx / size, axis=1) + np.gradient(gy / size, axis=0) < -0.7
+    found = found & mask & (depth >= least)
+    return thinned(found) if found.any() else found, depth
+
+
+def ridge_strokes(line: np.ndarray, depth: np.ndarray, least: int = 5) -> list[list[tuple[float, float, float]]]:
+    """(x, y, half width) along the paths of a centre line."""
+    return [[(float(x), float(y), float(depth[y, x])) for x, y in path] for path in traced(skeleton_graph(line)) if len(path) >= least]
+
+
+def cubic_fit(points: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """Least-squares cubic Bezier through the ends at chord-length places; its largest miss and where."""
+    gaps = np.hypot(*np.diff(points, axis=0).T)
+    t = np.concatenate([[0.0], np.cumsum(gaps)]) / max(gaps.sum(), 1e-12)
+    b = np.stack([(1 - t) ** 3, 3 * t * (1 - t) ** 2, 3 * t**2 * (1 - t), t**3], axis=1)
+    inner, *_ = np.linalg.lstsq(b[:, 1:3], points - b[:, [0]] * points[0] - b[:, [3]] * points[-1], rcond=None)
+    control = np.vstack([points[0], inner, points[-1]])
+    miss = np.hypot(*(b @ control - points).T)
+    return control, float(miss.max()), int(miss.argmax())
+
+
+def fitted_curves(points: np.ndarray, error: float = 5.0) -> list[np.ndarray]:
+    """Cubic curves that miss no point by more than the error; spans are cut where the miss is largest."""
+    out, spans = [], [(0, len(points) - 1)]
+    while spans:
+        a, b = spans.pop()
+        if b - a < 1:
+            continue
+        control, miss, at = cubic_fit(points[a : b + 1])
+        if miss <= error or b - a < 4:
+            out.append(control)
+        else:
+            cut = min(max(a + at, a + 1), b - 1)
+            spans += [(cut, b), (a, cut)]
+    return out
+
+
+def curve_points(control: np.ndarray, n: int) -> np.ndarray:
+    t = np.linspace(0, 1, n)[:, None]
+    return (1 - t) ** 3 * control[0] + 3 * t * (1 - t) ** 2 * control[1] + 3 * t**2 * (1 - t) * control[2] + t**3 * control[3]
+
+
+def skeleton_strokes(mask: np.ndarray, error: float = 5.0, per_curve: int = 10) -> list[np.ndarray]:
+    """A mask's skeleton as strokes smoothed by cubic curves."""
+    strokes = [np.array(p, float) for p in traced(skeleton_graph(thinned(mask))) if len(p) > 1]
+    return [np.vstack([curve_points(c, per_curve) for c in fitted_curves(s, error)]) for s in strokes]
+
+
+def outline(mask: np.ndarray) -> np.ndarray:
+    """Pixels (x, y) of the mask beside the background."""
+    m = np.pad(mask, 1)
+    inner = m[:-2, 1:-1] & m[2:, 1:-1] & m[1:-1, :-2] & m[1:-1, 2:]
+    ys, xs = np.nonzero(mask & ~inner)
+    return np.stack([xs, ys], axis=1)
+
+
+def vertices(mask: np.ndarray) -> dict[int, tuple[float, float]]:
+    """The outline pixel nearest to each of the nine anchors of the mask's box."""
+    from .points import ANCHORS
+
+    pixels = outline(mask)
+    if not len(pixels):
+        return {}
+    low, high = pixels.min(axis=0), pixels.max(axis=0)
+    return {r: tuple(pixels[((pixels - (low + (high - low) * np.array(a))) ** 2).sum(axis=1).argmin()].astype(float)) for r, a in ANCHORS.items()}
+
+
+def morphed(template: Sequence[Sequence[int]], places: dict[int, tuple[float, float]], n: int = 50) -> list[np.ndarray]:
+    """The strokes of a template of regions through a glyph's vertices, ``n`` points each, evenly spread over their lines."""
+    out = []
+    for regions in template:
+        way = np.array([places[r] for r in regions if r in places], float)
+        if len(way) < 2:
+            continue
+        marks = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(way, axis=0).T))])
+        at = np.linspace(0, marks[-1], n)
+        out.append(np.stack([np.interp(at, marks, way[:, i]) for i in (0, 1)], axis=1))
+    return out
+
+
+def minimal_strokes(mask: np.ndarray, variants: dict[str, Sequence[Sequence[int]]]) -> Iterator[tuple[str, str, float, list[np.ndarray]]]:
+    """Phases (phase, variant, score, strokes) of finding a glyph's fewest strokes: each template variant, the skeleton, and the winner.
+
+    The skeleton wins a tie. A score is the share of the mask near the strokes.
+    """
+    places, best = vertices(mask), ("none", -1.0, [])
+    yield "render", "mask", float(mask.mean()), []
+    judged = [(name, snapped_all(morphed(t, places), mask)) for name, t in variants.items()]
+    judged.append(("skeleton", [np.array(p, float) for p in traced(skeleton_graph(thinned(mask))) if len(p) > 1]))
+    for name, strokes in judged:
+        score = near_share(mask, np.vstack(strokes)) if strokes else 0.0
+        if score > best[1] or name == "skeleton" and score == best[1]:
+            best = name, score, strokes
+        yield "skeleton" if name == "skeleton" else "variant", name, score, strokes
+    yield "complete", *best
+
+
+def snapped_all(strokes: list[np.ndarray], mask: np.ndarray) -> list[np.ndarray]:
+    return [snapped(s, mask) for s in strokes]
+
+
+def png(image: np.ndarray) -> bytes:
+    """PNG of an 8-bit grey (h, w) or colour (h, w, 3) image."""
+    height, width = image.shape[:2]
+    raw = b"".join(b"\0" + row.tobytes() for row in np.ascontiguousarray(image, np.uint8).reshape(height, -1))
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+@F.pandas_udf(T.BinaryType())
+def mask_png(mask: pd.Series, width: pd.Series) -> pd.Series:
+    """Black on white."""
+    return pd.Series([png(np.where(mask_of(m, w), 0, 255).astype(np.uint8)) if m else None for m, w in zip(mask, width, strict=True)])

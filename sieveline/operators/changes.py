@@ -6,6 +6,7 @@ old and swaps it in.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -13,11 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import numbered
+
 
 def _numbered(new: DataFrame, old: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """New rows with ids after the highest old one."""
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    return new.withColumn(key, F.row_number().over(Window.orderBy(*order)).cast("bigint")).join(F.broadcast(top), F.lit(True)).withColumn(key, F.col(key) + F.col("_top")).drop("_top")  # a batch of new rows; one row
+    ranked = numbered(new.drop(key), order[0], "_nth", *order[1:])  # range by range: no task sees all new rows
+    return ranked.join(F.broadcast(top), F.lit(True)).withColumn(key, (F.col("_nth") + F.col("_top")).cast("bigint")).drop("_top", "_nth")  # one row
 
 
 def insert_or_ignore(table: DataFrame, new: DataFrame, unique: Sequence[str], key: str = "id") -> DataFrame:
@@ -136,6 +140,93 @@ def claim(staged: DataFrame, n: int, order: str = "id") -> tuple[DataFrame, Data
     return batch, staged.join(F.broadcast(batch.select(F.col("id").alias("_id"), F.lit(True).alias("_hit"))), F.col("id") == F.col("_id"), "left").withColumn("status", F.when(F.col("_hit"), "downloading").otherwise(F.col("status"))).drop("_id", "_hit")  # n rows
 
 
+def clear_cache(characters: DataFrame, column: str, asset: int, char: str | None = None) -> tuple[DataFrame, int]:
+    """A cached value of an asset, or of one of its characters, becomes null; and how many rows had one."""
+    hit = (F.col("asset_id") == asset) & (F.lit(True) if char is None else F.col("char") == char)
+    return update(characters, hit, {column: None}), characters.where(hit & F.col(column).isNotNull()).count()
+
+
+def reject_by_first_reason(removals: DataFrame, items: Sequence[Mapping], reasons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A batch of rejections as a client sends it: the reason of the first item holds for all and is added if it is new; other keys become details."""
+    if not items:
+        return removals, reasons
+    spark, code = removals.sparkSession, items[0].get("reason") or "manual"
+    reasons = with_reason(reasons, code, code)
+    rows = spark.createDataFrame([(i["asset_id"], json.dumps({k: v for k, v in i.items() if k not in ("asset_id", "reason")}) or None) for i in items], "asset_id BIGINT, details STRING").dropDuplicates(["asset_id"])
+    return reject(removals, rows, reasons, code, F.col("details")), reasons
+
+
+def stage(staged: DataFrame, found: DataFrame, job: int) -> DataFrame:
+    """Append discovered items of a job as pending; those the job has by url are left out."""
+    rows = found.withColumns({"job_id": F.lit(job).cast("bigint"), "status": F.lit("pending"), "created_at": F.current_timestamp()})
+    own = staged.where(F.col("job_id") == job).select("url")
+    return staged.unionByName(_numbered(rows.dropDuplicates(["url"]).join(own, "url", "left_anti"), staged, "id", ["url"]), allowMissingColumns=True)
+
+
+def save_run(runs: DataFrame, asset: int, results: DataFrame, run_date: str) -> DataFrame:
+    """Append a test run: counts and means of its rows (char, status, score, coverage, overshoot, stroke_count, topology), and the rows as JSON."""
+    ok = F.col("status") == "ok"
+    n = F.count_if(ok)
+    means = [(F.coalesce(F.sum(F.when(ok, F.col(m))), F.lit(0.0)) / F.greatest(n, F.lit(1))).alias(f"avg_{m}") for m in ("score", "coverage", "overshoot", "stroke_count", "topology")]
+    row = results.agg(F.count("*").cast("int").alias("chars_tested"), n.cast("int").alias("chars_ok"), *means, F.to_json(F.array_sort(F.collect_list(F.struct("char", "status", "score")))).alias("results_json"))  # the characters of one asset
+    row = row.withColumns({"asset_id": F.lit(asset).cast("bigint"), "run_date": F.lit(run_date)})
+    return runs.unionByName(_numbered(row, runs, "id", ["run_date"]), allowMissingColumns=True)
+
+
+def touched(df: DataFrame, where: Column, values: Mapping[str, Column | str | int | float | None], stamp: str = "updated_at") -> DataFrame:
+    """A conditional update that notes its time; of null values only the time is noted."""
+    given = {c: v for c, v in values.items() if v is not None}
+    return update(df, where, {**given, stamp: F.current_timestamp()})
+
+
+def reset(tables: Mapping[str, DataFrame], kept: Sequence[str] = ("removal_reasons",)) -> dict[str, DataFrame]:
+    """All tables empty but the lookups."""
+    return {n: d if n in kept else cleared(d) for n, d in tables.items()}
+
+
+class Transaction:
+    """New states of several tables that become current together when the block ends without an error, and not at all otherwise.
+
+    States are written first; the switch is one small file that names all versions.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.new = spark, folder.rstrip("/"), {}
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.new.get(name) or self.versions()[name])
+
+    def write(self, name: str, df: DataFrame) -> None:
+        path = f"{self.folder}/{name}/version-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.new[name] = path
+
+    def versions(self) -> dict[str, str]:
+        """The newest set of versions; each switch adds a file, and the highest number holds."""
+        try:
+            rows = self.spark.read.schema("seq long, name string, path string").json(f"{self.folder}/switches/*").collect()  # a row a table and switch
+        except Exception as e:  # nothing was ever written
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return {}
+        last = max((r["seq"] for r in rows), default=0)
+        return {r["name"]: r["path"] for r in rows if r["seq"] == last}
+
+    def __exit__(self, kind, error, trace) -> bool:
+        if kind is None and self.new:
+            before = self.versions()
+            seq = len({p for p in before.values()}) and self._last() + 1 or 1
+            state = [(seq, n, p) for n, p in {**before, **self.new}.items()]
+            self.spark.createDataFrame(state, "seq long, name string, path string").coalesce(1).write.json(f"{self.folder}/switches/{seq:09d}")
+        return False
+
+    def _last(self) -> int:
+        return self.spark.read.schema("seq long").json(f"{self.folder}/switches/*").agg(F.max("seq")).first()[0]
+
+
 def keep_newest(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(n)
 

@@ -190,3 +190,12 @@ def elapsed(time: str, group: str, order: str) -> Column:
 def remaining(done: Column, total: Column, seconds: Column) -> Column:
     """Estimated seconds left at the rate so far; null before anything is done."""
     return F.try_divide(seconds * (total - done), done)
+
+
+def running_total(df: DataFrame, order: str, value: Column, name: str, *ties: str) -> DataFrame:
+    """Sum of a value over the rows up to each in the order: sums within ranges plus those of the ranges before. No task sees all rows."""
+    parts = ranged(df.withColumn("_value", value), order)
+    sums = parts.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
+    within = F.sum("_value").over(Window.partitionBy("_part").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return parts.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_within") + F.col("_before")).drop("_part", "_value", "_within", "_before")  # a row a range

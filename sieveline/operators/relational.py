@@ -148,3 +148,10 @@ def clamp_limit(value: int | str | None, low: int = 1, high: int = 100, default:
     except (TypeError, ValueError):
         return default
     return n if low <= n <= high else default
+
+
+def by_file_name(results: DataFrame, assets: DataFrame, path: str = "file", key: str = "id", file_path: str = "file_path") -> DataFrame:
+    """Results with the id of the asset whose file has the same name; results of unknown files are left out, equal names give the lowest id."""
+    name = lambda c: F.regexp_extract(c, r"([^/]*)/*$", 1)
+    of = assets.groupBy(name(F.col(file_path)).alias("_name")).agg(F.min(key).alias("asset_id"))
+    return results.join(of, name(F.col(path)) == F.col("_name")).drop("_name")

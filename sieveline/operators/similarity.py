@@ -3,37 +3,64 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import ship
+from ..session import settled, ship
 
 
-def bands(threshold: int, bits: int = 64) -> list[tuple[int, int]]:
-    """``threshold + 1`` spans of bits: two hashes within the threshold agree in one of them."""
-    n = threshold + 1
+def bands(threshold: int, bits: int = 64) -> tuple[list[tuple[int, int]], int]:
+    """Spans of bits and a radius: two hashes within the threshold are within the radius in one of the spans.
+
+    At most four spans, so that a span is wide enough to tell hashes apart.
+    """
+    n = min(threshold + 1, 4)
     cuts = [bits * i // n for i in range(n + 1)]
-    return list(zip(cuts[:-1], cuts[1:], strict=True))
+    return list(zip(cuts[:-1], cuts[1:], strict=True)), threshold // n
+
+
+def near_masks(width: int, radius: int) -> list[int]:
+    """All patterns of at most ``radius`` bits out of ``width``."""
+    return [sum(1 << i for i in chosen) for r in range(radius + 1) for chosen in combinations(range(width), r)]
+
 
+def hash_classes(df: DataFrame, key: str, value: str) -> DataFrame:
+    """h, first, copies: a row for each hash, however many rows have it."""
+    return df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("h")).agg(F.min(key).alias("first"), F.count("*").alias("copies"))
 
-def hamming_pairs(df: DataFrame, key: str, value: str, threshold: int) -> DataFrame:
-    """a, b, distance of rows whose hashes (bigint) differ in at most ``threshold`` bits.
 
-    Equal hashes are grouped first, so a mass of copies costs one row; the bands are an equi-join.
+def class_members(df: DataFrame, key: str, value: str) -> DataFrame:
+    """member, first: the class of each row, known by its smallest key."""
+    first = hash_classes(df, key, value).select("h", "first")
+    return df.select(F.col(key).alias("member"), F.col(value).alias("h")).join(first, "h").select("member", "first")
+
+
+def hamming_pairs(df: DataFrame, key: str, value: str, threshold: int, bits: int = 64) -> DataFrame:
+    """a, b, distance of the classes of equal hashes (bigint, its low ``bits``) that differ in at most ``threshold`` bits.
+
+    A class stands for all its copies by its smallest key, so a mass of copies costs one row; see
+    :func:`class_members`. Two hashes within the threshold lie within a small radius in one span of
+    bits: one side sends the patterns near its span, the other those nearer still, so that the two
+    meet in an equi-join without a long list on either side.
     """
-    one = df.groupBy(F.col(value).alias("h")).agg(F.min(key).alias("first"))
-    cut = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - high), 64 - (high - low)).alias("bits")) for i, (low, high) in enumerate(bands(threshold))])
-    keyed = one.select("h", F.explode(cut).alias("k")).select("h", "k.band", "k.bits")
-    a, b = keyed.select(F.col("h").alias("ha"), "band", "bits"), keyed.select(F.col("h").alias("hb"), "band", "bits")
+    one = hash_classes(df, key, value)
+    spans, radius = bands(threshold, bits)
+
+    def keyed(reach: int, name: str) -> DataFrame:
+        span = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - high), 64 - (high - low)).alias("bits"), F.lit(high - low).alias("width")) for i, (low, high) in enumerate(spans)]
+        rows = one.select(F.col("h").alias(name), F.explode(F.array(*span)).alias("k")).select(name, "k.*")
+        masks = F.create_map(*[x for w in sorted({high - low for low, high in spans}) for x in (F.lit(w), F.array(*[F.lit(m).cast("bigint") for m in near_masks(w, reach)]))])
+        return rows.select(name, "band", F.explode(F.transform(masks[F.col("width")], lambda m: F.col("bits").bitwiseXOR(m))).alias("bits"))
+
     apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    near = a.join(b, ["band", "bits"]).where((F.col("ha") < F.col("hb")) & (apart <= threshold)).select("ha", "hb", apart.alias("distance")).distinct()
-    rows = df.select(F.col(key).alias("id"), F.col(value).alias("h"))
-    across = near.join(rows.select(F.col("id").alias("x"), F.col("h").alias("ha")), "ha").join(rows.select(F.col("id").alias("y"), F.col("h").alias("hb")), "hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    same = rows.select(F.col("id").alias("a"), "h").join(rows.select(F.col("id").alias("b"), "h"), "h").where("a < b").select("a", "b", F.lit(0).alias("distance"))
-    return across.union(same)
+    met = keyed(radius - radius // 2, "ha").join(keyed(radius // 2, "hb"), ["band", "bits"])
+    near = met.where((F.col("ha") != F.col("hb")) & (apart <= threshold)).select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"), apart.alias("distance")).distinct()
+    x, y = one.select(F.col("h").alias("ha"), F.col("first").alias("x")), one.select(F.col("h").alias("hb"), F.col("first").alias("y"))
+    return near.join(x, "ha").join(y, "hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def greedy_groups(df: DataFrame, key: str, value: str, threshold: int, order: str) -> DataFrame:
@@ -44,14 +71,13 @@ def greedy_groups(df: DataFrame, key: str, value: str, threshold: int, order: st
     neighbours follow someone; it follows once an earlier neighbour leads.
     """
     one = df.groupBy(F.col(value).alias("h")).agg(F.min(order).alias("at"))
-    pairs = hamming_pairs(one, "at", "h", threshold).select("a", "b").cache()
-    state, saved = one.select("at", F.lit(None).cast("boolean").alias("leads")), bool(df.sparkSession.sparkContext.getCheckpointDir())
+    pairs = settled(hamming_pairs(one, "at", "h", threshold).select("a", "b"), "near-hashes")
+    state = one.select("at", F.lit(None).cast("boolean").alias("leads"))
     while True:
         known = pairs.join(state.select(F.col("at").alias("a"), F.col("leads").alias("_l")), "a")
         earlier = known.groupBy("b").agg(F.bool_or(F.coalesce("_l", F.lit(False))).alias("taken"), F.bool_or(F.col("_l").isNull()).alias("open"))
-        settled = F.when(F.coalesce("taken", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
-        state = state.join(earlier, F.col("at") == F.col("b"), "left").select("at", F.coalesce("leads", settled).alias("leads"))
-        state = state.checkpoint() if saved else state.cache()
+        now = F.when(F.coalesce("taken", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
+        state = settled(state.join(earlier, F.col("at") == F.col("b"), "left").select("at", F.coalesce("leads", now).alias("leads")), "leaders")
         if state.where("leads IS NULL").isEmpty():
             break
     leaders = state.where("leads").select(F.col("at").alias("a"))

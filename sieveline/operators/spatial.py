@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import settled
 from .ranking import ranged
 
 OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
@@ -36,6 +37,31 @@ def nearest(points: DataFrame, cloud: DataFrame, r: float, k: int = 1, group: st
     return radius_join(points, cloud, r, group).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def nearest_all(points: DataFrame, cloud: DataFrame, start: float, k: int = 1) -> DataFrame:
+    """id, other, d2, rank: the ``k`` closest cloud points of every point (fewer where the cloud has fewer), itself excluded by ``other``; ties by id.
+
+    The radius begins at ``start`` and doubles for the points that have not found enough within it,
+    until it spans all points; so crowded places are searched narrowly and no point is left out.
+    """
+    size = cloud.count()
+    ends = points.select("x", "y").union(cloud.select("x", "y")).agg(*[f(a) for a in ("x", "y") for f in (F.min, F.max)]).first()
+    span = max([1e-9, *((ends[i + 1] - ends[i]) for i in (0, 2) if ends[i] is not None)]) * 1.5
+    left, r, out = points, start, None
+    while True:
+        near = radius_join(left, cloud, r).where("id != other")
+        w = Window.partitionBy("id").orderBy("d2", "other")
+        near = settled(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), "nearest")
+        full = near.where(F.col("rank") == min(k, max(1, size - 1))).select(F.col("id").alias("_full")).distinct()
+        if r > span:
+            return near if out is None else out.union(near)
+        done = near.join(full, F.col("id") == F.col("_full"), "left_semi")
+        out = done if out is None else out.union(done)
+        left = settled(left.join(full, F.col("id") == F.col("_full"), "left_anti"), "unfound")
+        if left.isEmpty():
+            return out
+        r *= 2
+
+
 def nearest_value(df: DataFrame, key: str, value: str) -> DataFrame:
     """Each row with the other row of closest value, ties to the smaller key among neighbours in the order.
 
@@ -102,16 +128,14 @@ def pixel_kinds(pixels: DataFrame, edges: DataFrame, group: str = "glyph") -> Da
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, root: components by propagating the smallest label with jumps; isolated nodes are their own."""
-    spark = nodes.sparkSession
-    saved = bool(spark.sparkContext.getCheckpointDir())
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().cache()
+    both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     label = nodes.select("node", F.col("node").alias("root"))
     while True:
         low = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("_r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("_r").alias("_low"))
         step = label.join(low, "node", "left").select("node", "root", F.least("root", F.coalesce("_low", "root")).alias("next"))
         jump = step.select(F.col("node").alias("_m"), F.col("next").alias("_e"))
         new = step.join(jump, F.col("next") == F.col("_m"), "left").select("node", "root", F.least("next", F.coalesce("_e", "next")).alias("next"))
-        new = new.checkpoint() if saved else new.cache()
+        new = settled(new, "labels")
         done = new.where("next != root").isEmpty()
         label = new.select("node", F.col("next").alias("root"))
         if done:

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 from ..functions.text import safe_file_name, stem
 from ..operators.ranking import numbered
-from ..session import ship
+from ..session import settled, ship
 
 FONT_SUFFIXES = ("ttf", "otf", "woff", "woff2")
 
@@ -86,6 +92,28 @@ def export_archive(files: DataFrame) -> bytes:
     return out.getvalue()
 
 
+def write_archive(files: DataFrame, path: str) -> DataFrame:
+    """The archive of :func:`export_archive` as a file: path, n_files. One executor streams the rows into it; it holds one of them."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, target = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+        fs.create_dir(target.rpartition("/")[0], recursive=True)
+        draft, listed = f"{target}.{uuid.uuid4().hex}", []
+        with fs.open_output_stream(draft) as sink, zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
+            for b in batches:
+                for source, name, file_name, content in zip(*(b.column(i) for i in range(4)), strict=True):
+                    at = f"fonts/{source.as_py()}/{file_name.as_py()}"
+                    z.writestr(at, content.as_py())
+                    listed.append({"name": name.as_py(), "source": source.as_py(), "path": at})
+            z.writestr("manifest.json", json.dumps({"font_count": len(listed), "fonts": listed}))
+        fs.move(draft, target)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(listed)], pa.int64())], names=["path", "n_files"])
+
+    rows = files.where(F.col("content").isNotNull()).select("source", "name", "file_name", "content")
+    return settled(rows.repartition(1).sortWithinPartitions("source", "name").mapInArrow(run, "path string, n_files long"), "archive")
+
+
 def save_results(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
@@ -132,10 +160,147 @@ def append_missing(df: DataFrame, key: str, path: str) -> int:
 
 def packed_index(fonts: DataFrame, chars: DataFrame, n_chars: int) -> DataFrame:
     """Row number of each (font, char) in a fixed-width pack; fonts have ``font_idx``, chars ``char_idx``."""
-    return fonts.join(F.broadcast(chars.limit(n_chars)), F.lit(True)).withColumn("idx", F.col("font_idx") * n_chars + F.col("char_idx"))  # a character set
+    if (n := chars.count()) > n_chars:
+        raise ValueError(f"{n} characters do not fit into rows of {n_chars}")
+    return fonts.join(F.broadcast(chars), F.lit(True)).withColumn("idx", F.col("font_idx") * n_chars + F.col("char_idx"))  # at most n_chars rows
 
 
 def epoch_runs(paths: DataFrame, least: int = 5) -> DataFrame:
     """run, epochs of training folders whose ``epoch_N`` folders hold images; runs of too few epochs go."""
     p = paths.select(F.regexp_extract("path", r"^(.*?)/(?:tracking/)?epoch_\d+/[^/]*\.png$", 1).alias("run"), F.regexp_extract("path", r"/epoch_(\d+)/[^/]*\.png$", 1).alias("epoch")).where("run != ''")
     return p.groupBy("run").agg(F.count_distinct("epoch").alias("epochs")).where(F.col("epochs") >= least)
+
+
+def runs_by_time(files: DataFrame) -> DataFrame:
+    """run, newest of the runs (folders) of files, the newest first."""
+    run = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    return files.groupBy(run.alias("run")).agg(F.max("modificationTime").alias("newest")).orderBy(F.desc("newest"), "run")
+
+
+def extract_new(entries: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries to be written (those whose name is not there yet, the first of each name), and how many names there are in all, written or not."""
+    w = Window.partitionBy("name").orderBy("archive", "entry")
+    first = entries.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return first.join(existing.select("name"), "name", "left_anti"), first.agg(F.count("*").alias("n"))
+
+
+def write_samples(df: DataFrame, order: Sequence[str], path: str) -> None:
+    """A key/value store of samples: rows by zero-padded key below ``samples``, and their number and columns below ``header``."""
+    rows = keyed_samples(df, order)
+    rows.write.mode("overwrite").parquet(f"{path}/samples")
+    spark = df.sparkSession
+    n = spark.read.parquet(f"{path}/samples").count()
+    spark.createDataFrame([(n, ",".join(df.columns))], "length long, columns string").coalesce(1).write.mode("overwrite").json(f"{path}/header")
+
+
+def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The samples, and the length that the header says; they must agree."""
+    header = spark.read.schema("length long, columns string").json(f"{path}/header").first()
+    rows = spark.read.parquet(f"{path}/samples")
+    if rows.count() != header["length"]:
+        raise ValueError(f"{path} has {rows.count()} samples, its header says {header['length']}")
+    return rows, header["length"]
+
+
+def dictionary(df: DataFrame, value: str, name: str = "code") -> DataFrame:
+    """value, code: the distinct values numbered from 0 in order."""
+    return dense_index(df.where(F.col(value).isNotNull()).select(value).distinct(), [value], name)
+
+
+def write_dataset(samples: DataFrame, path: str, characters: str = "char", writers: str = "writer") -> None:
+    """Dictionaries of characters and writers, the samples by their codes, and counts: a folder a relation."""
+    chars, hands = dictionary(samples, characters, "char_code"), dictionary(samples, writers, "writer_code")
+    for name, d in (("characters", chars), ("writers", hands), ("samples", samples.join(chars, characters).join(hands, writers).drop(characters, writers))):
+        d.write.mode("overwrite").parquet(f"{path}/{name}")
+    samples.agg(F.count("*").alias("samples"), F.count_distinct(characters).alias("characters"), F.count_distinct(writers).alias("writers")).coalesce(1).write.mode("overwrite").json(f"{path}/stats")
+
+
+def write_pack(df: DataFrame, path: str) -> int:
+    """Rows of a fixed-width pack (idx, data) that the pack lacks, in order of idx; the number written. A null ``data`` is an invalid place."""
+    return append_missing(df.select("idx", "data", F.col("data").isNotNull().alias("valid")).repartitionByRange("idx").sortWithinPartitions("idx"), "idx", path)
+
+
+def write_npz(df: DataFrame, path: str, key: str, array: str, rows: int = 1000) -> DataFrame:
+    """Compressed numpy archives of ``rows`` arrays (array<double>) each, and their index: file, key, place. Files are numbered by range of the key."""
+    ship(df.sparkSession)
+    numbered_rows = dense_index(df.select(key, array), [key], "_at").withColumn("_file", F.floor(F.col("_at") / rows).cast("long"))
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_at")
+        fs, root = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+        fs.create_dir(root, recursive=True)
+        name = f"shard-{int(group['_file'].iloc[0]):06d}.npz"
+        out = io.BytesIO()
+        np.savez_compressed(out, **{str(k): np.asarray(v, float) for k, v in zip(group[key], group[array])})
+        draft = f"{root}/.{name}-{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft) as sink:
+            sink.write(out.getvalue())
+        fs.move(draft, f"{root}/{name}")
+        return pd.DataFrame({"file": name, key: group[key], "place": range(len(group))})
+
+    kind = df.schema[key].dataType.simpleString()
+    return settled(numbered_rows.groupBy("_file").applyInPandas(write, f"file string, {key} {kind}, place int"), "npz-index")
+
+
+def read_npz(index: DataFrame, path: str, key: str) -> DataFrame:
+    """key, values of the arrays that an index names, a file a task."""
+    ship(index.sparkSession)
+
+    def read(group: pd.DataFrame) -> pd.DataFrame:
+        fs, root = pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+        with fs.open_input_file(f"{root}/{group['file'].iloc[0]}") as source, np.load(io.BytesIO(source.read())) as z:
+            return pd.DataFrame([(k, z[str(k)].tolist()) for k in group[key]], columns=[key, "values"])
+
+    return index.groupBy("file").applyInPandas(read, f"{key} {index.schema[key].dataType.simpleString()}, values array<double>")
+
+
+class SqliteSource(DataSource):
+    """A Python data source of SQLite: options ``path``, ``table`` and ``schema_ddl``; ``pieces`` spans of rowid are read side by side."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite"
+
+    def schema(self) -> str:
+        return self.options["schema_ddl"]
+
+    def reader(self, schema) -> SqliteReader:
+        return SqliteReader(self.options)
+
+
+class Span(InputPartition):
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+
+class SqliteReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.table, self.pieces = options["path"], options["table"], int(options.get("pieces", "4"))
+        self.columns = [f.strip().split(" ")[0] for f in options["schema_ddl"].split(",")]
+
+    def _rows(self, sql: str, *args) -> Iterator[tuple]:
+        import sqlite3
+
+        db = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+        try:
+            yield from db.execute(sql, args)
+        finally:
+            db.close()
+
+    def partitions(self) -> list[InputPartition]:
+        low, high = next(self._rows(f'SELECT min(rowid), max(rowid) FROM "{self.table}"'))
+        if low is None:
+            return []
+        cuts = [low + (high + 1 - low) * i // self.pieces for i in range(self.pieces + 1)]
+        return [Span(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        names = ", ".join(f'"{c}"' for c in self.columns)
+        yield from self._rows(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', partition.low, partition.high)
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, pieces: int = 4) -> DataFrame:
+    """The rows of a SQLite table; the file must lie where all executors see it."""
+    ship(spark)
+    spark.dataSource.register(SqliteSource)
+    return spark.read.format("sqlite").options(path=path, table=table, schema_ddl=schema, pieces=str(pieces)).load()

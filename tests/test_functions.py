@@ -138,14 +138,14 @@ def test_baseline(spark, value, want):
     assert abs(one(spark, baseline_score(F.lit(value)))[0] - want) < 1e-9
 
 
-def test_matching_ratio_compares_whole_texts_of_all_pairs(spark, tmp_path):
+def test_matching_ratio_compares_whole_turns(spark, tmp_path):
     from difflib import SequenceMatcher
 
     from sieveline.plans.catalog import QUERIES
 
-    docs, items = [(1, "same start " * 8 + "one end"), (42, "x" * 70 + "yz"), (7, None), (8, "")], [(2, "same start " * 8 + "another"), (5, "x" * 70 + "q"), (9, None)]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r["doc_id"], r["item_id"]): r["ratio"] for r in QUERIES["matching_ratio"](spark, str(tmp_path)).collect()}
-    want = {(d, i): None if a is None or b is None else round(SequenceMatcher(None, a, b).ratio(), 6) for d, a in docs for i, b in items}
+    turns = [(1, 0, "u", "same start " * 8 + "one end"), (1, 1, "a", "same start " * 8 + "another"), (1, 2, "u", None), (1, 3, "a", ""), (1, 4, "u", ""), (2, 0, "u", "x" * 70 + "yz"), (2, 1, "a", "x" * 70 + "q"), (2, 3, "a", "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["ratio"] for r in QUERIES["matching_ratio"](spark, str(tmp_path)).collect()}
+    text = {(c, t): x for c, t, _, x in turns}
+    want = {(c, t): None if x is None or text[c, t + 1] is None else round(SequenceMatcher(None, x, text[c, t + 1]).ratio(), 6) for (c, t), x in text.items() if (c, t + 1) in text}
     assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 2e-6 for k in want)

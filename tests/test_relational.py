@@ -142,9 +142,43 @@ def test_hamming_pairs_against_all_pairs(spark):
     random.seed(1)
     base = [random.getrandbits(62) for _ in range(20)]
     data = [(i, b ^ sum(1 << random.randrange(62) for _ in range(random.randrange(5)))) for i, b in enumerate(base * 4)]
-    want = {(a, b) for a, x in data for b, y in data if a < b and bin(x ^ y).count("1") <= 8}
-    got = {(r["a"], r["b"]) for r in S.hamming_pairs(spark.createDataFrame(data, "id long, h long"), "id", "h", 8).collect()}
-    assert got == want and want
+    frame = spark.createDataFrame(data, "id long, h long")
+    first = {h: min(i for i, x in data if x == h) for _, h in data}
+    for threshold in (0, 2, 3, 8, 14):
+        want = {(a, b): bin(x ^ y).count("1") for x, a in first.items() for y, b in first.items() if a < b and bin(x ^ y).count("1") <= threshold}
+        got = {(r["a"], r["b"]): r["distance"] for r in S.hamming_pairs(frame, "id", "h", threshold).collect()}
+        assert got == want and (want or not threshold)
+    assert {(r["member"], r["first"]) for r in S.class_members(frame, "id", "h").collect()} == {(i, first[h]) for i, h in data}
+
+
+def test_hamming_candidates_stay_below_all_pairs(spark):
+    """At threshold 14 of 64 bits, random hashes meet in few of all pairs, copies in none."""
+    import random
+
+    random.seed(3)
+    n = 600
+    hashes = [random.getrandbits(63) for _ in range(n)]
+    frame = spark.createDataFrame([(i, hashes[i % n]) for i in range(3 * n)], "id long, h long")
+    spans, radius = S.bands(14)
+    met = set()
+    for low, high in spans:
+        bits = [h >> low & (1 << high - low) - 1 for h in hashes]
+        met |= {(i, j) for i in range(n) for j in range(i) if bin(bits[i] ^ bits[j]).count("1") <= radius}
+    assert len(met) < 0.05 * n * (n - 1) / 2
+    want = {(i, j) for i in range(n) for j in range(i) if bin(hashes[i] ^ hashes[j]).count("1") <= 14}
+    assert {(r["b"], r["a"]) for r in S.hamming_pairs(frame, "id", "h", 14).collect()} == want
+
+
+def test_nearest_of_all_points(spark):
+    import random
+
+    random.seed(5)
+    pts = [(i, random.random() * (1 if i % 3 else 1000), random.random()) for i in range(60)] + [(100 + i, 5.0, 5.0) for i in range(4)]
+    frame = spark.createDataFrame(pts, "id long, x double, y double")
+    for k in (1, 3, 70):
+        want = {(i, o, r + 1) for i, x, y in pts for r, (_, o) in enumerate(sorted(((x - u) * (x - u) + (y - v) * (y - v), o) for o, u, v in pts if o != i)[:k])}
+        got = {(r["id"], r["other"], r["rank"]) for r in G.nearest_all(frame, frame.withColumnRenamed("id", "other"), 0.05, k).collect()}
+        assert got == want
 
 
 def test_errors_are_reported_by_row(spark):
