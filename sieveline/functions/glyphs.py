@@ -438,6 +438,132 @@ def simplify(points: pd.Series, tolerance: pd.Series) -> pd.Series:
     return pd.Series([None if p is None else [{"x": x, "y": y} for x, y in simplified(_points(p), t)] for p, t in zip(points, tolerance, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(POINT))
+def snap(mask: pd.Series, width: pd.Series, points: pd.Series) -> pd.Series:
+    """Points outside the mask at its nearest pixels."""
+    return pd.Series([[{"x": float(x), "y": float(y)} for x, y in snapped(_points(p), mask_of(m, w))] for m, w, p in zip(mask, width, points, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(POINT))
+def snap_near(mask: pd.Series, width: pd.Series, points: pd.Series, reach: pd.Series) -> pd.Series:
+    """Points within reach of the mask at its nearest pixels; others as they are."""
+    return pd.Series([[{"x": float(x), "y": float(y)} for x, y in snapped_within(_points(p), mask_of(m, w), r)] for m, w, p, r in zip(mask, width, points, reach, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(POINT)))
+def trace(mask: pd.Series, width: pd.Series) -> pd.Series:
+    """The strokes of a mask taken as a skeleton."""
+    return pd.Series([[[{"x": float(x), "y": float(y)} for x, y in s] for s in traced(skeleton_graph(mask_of(m, w)))] for m, w in zip(mask, width, strict=True)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("points", T.IntegerType()), T.StructField("edges", T.IntegerType()), T.StructField("ends", T.IntegerType()), T.StructField("junctions", T.IntegerType())]))
+def graph_counts(mask: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """Pixels, links, ends and junctions of a mask taken as a skeleton."""
+    rows = []
+    for m, w in zip(mask, width, strict=True):
+        degrees = [len(v) for v in skeleton_graph(mask_of(m, w)).values()]
+        rows.append((len(degrees), sum(degrees) // 2, degrees.count(1), sum(d >= 3 for d in degrees)))
+    return pd.DataFrame(rows, columns=["points", "edges", "ends", "junctions"])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def line(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+    """Pixels of a line as x, y, x, y, ..."""
+    return pd.Series([[v for p in line_pixels(*ends) for v in p] for ends in zip(x0, y0, x1, y1, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(POINT))
+def smooth(points: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else [{"x": x, "y": y} for x, y in spline_smoothed(_points(p), k)] for p, k in zip(points, n, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def fitted_iou(a: pd.Series, b: pd.Series, width: pd.Series, size: pd.Series) -> pd.Series:
+    """Overlap of two masks, each scaled from its inked box to a square; null where one is empty."""
+    out = []
+    for x, y, w, n in zip(a, b, width, size, strict=True):
+        p, q = fitted(mask_of(x, w), n), fitted(mask_of(y, w), n)
+        out.append(None if p is None or q is None else iou(p, q))
+    return pd.Series(out, dtype="float64")
+
+
+def case_mismatches(letters: DataFrame, threshold: float = 0.75, size: int = 64) -> DataFrame:
+    """asset, letters whose two cases look alike though they should not: rows are (asset, letter, lower, upper, width)."""
+    from .text import CASE_SYMMETRIC
+
+    alike = letters.where(~F.col("letter").isin(*CASE_SYMMETRIC)).select("asset", "letter", fitted_iou("lower", "upper", "width", F.lit(size)).alias("iou"))
+    return alike.groupBy("asset").agg(F.array_sort(F.collect_list(F.when(F.col("iou") >= threshold, F.col("letter")))).alias("letters"))
+
+
+@F.pandas_udf(T.ArrayType(POINT))
+def centre_by_rays(mask: pd.Series, width: pd.Series, points: pd.Series) -> pd.Series:
+    return pd.Series([[{"x": float(x), "y": float(y)} for x, y in centred_by_rays(_points(p), mask_of(m, w))] for m, w, p in zip(mask, width, points, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def smooth_locked(points: pd.Series, rounds: pd.Series) -> pd.Series:
+    return pd.Series([smoothed_locked([list(map(float, q)) for q in p], int(r)) for p, r in zip(points, rounds, strict=True)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("ridge_pixels", T.IntegerType()), T.StructField("n_strokes", T.IntegerType()), T.StructField("deepest", T.DoubleType())]))
+def ridge_counts(mask: pd.Series, width: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    rows = []
+    for m, w, k in zip(mask, width, kind, strict=True):
+        line_, depth = ridge(mask_of(m, w), k, 1.0)
+        rows.append((int(line_.sum()), len(ridge_strokes(line_, depth, 2)), float(depth[line_].max()) if line_.any() else 0.0))
+    return pd.DataFrame(rows, columns=["ridge_pixels", "n_strokes", "deepest"])
+
+
+@F.pandas_udf(T.StructType([T.StructField("skeleton", T.IntegerType()), T.StructField("pruned", T.IntegerType()), T.StructField("n_strokes", T.IntegerType()), T.StructField("fitted", T.IntegerType()), T.StructField("segments", T.IntegerType())]))
+def skeleton_summary(mask: pd.Series, width: pd.Series) -> pd.DataFrame:
+    """What the skeleton of a mask comes to: pixels, pixels without spurs, strokes, strokes by curves, and paths between junctions."""
+    rows = []
+    for m, w in zip(mask, width, strict=True):
+        a = mask_of(m, w)
+        bones = thinned(a)
+        rows.append((int(bones.sum()), int(without_spurs(bones, 2).sum()), len(traced(skeleton_graph(bones))), len(skeleton_strokes(a, 1.0)), len(segments_of(bones))))
+    return pd.DataFrame(rows, columns=["skeleton", "pruned", "n_strokes", "fitted", "segments"])
+
+
+def segments_of(skeleton: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Paths of a skeleton from end or junction to end or junction, and its rings."""
+    graph = skeleton_graph(skeleton)
+    stops, used, out = {p for p, n in graph.items() if len(n) != 2}, set(), []
+    for start in [*sorted(stops), *graph]:
+        for first in graph[start]:
+            if frozenset((start, first)) in used:
+                continue
+            path = [start, first]
+            used.add(frozenset(path))
+            while path[-1] not in stops and path[-1] != start:
+                onward = [q for q in graph[path[-1]] if frozenset((path[-1], q)) not in used]
+                if not onward:
+                    break
+                used.add(frozenset((path[-1], onward[0])))
+                path.append(onward[0])
+            out.append(path)
+    return out
+
+
+@F.pandas_udf(T.IntegerType())
+def segment_edges(mask: pd.Series, width: pd.Series) -> pd.Series:
+    """Edges in all segments of a mask taken as a skeleton, each counted once."""
+    return pd.Series([len({frozenset(e) for s in segments_of(mask_of(m, w)) for e in zip(s, s[1:])}) for m, w in zip(mask, width, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def vertex_sum(mask: pd.Series, width: pd.Series) -> pd.Series:
+    """The vertices of a mask as one number: regions times places."""
+    return pd.Series([float(sum(r * (x + w * y) for r, (x, y) in vertices(mask_of(m, w)).items())) for m, w in zip(mask, width, strict=True)])
+
+
+@F.pandas_udf(POINT)
+def bowl_minimum(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    """The minimum within the unit square around 0 of a bowl around (x, y), by search."""
+    out = [chained(lambda p, a=a, b=b: float((p[0] - a) ** 2 + (p[1] - b) ** 2), [(-1.0, 1.0)] * 2, np.zeros(2))[0] for a, b in zip(x, y, strict=True)]
+    return pd.DataFrame(out, columns=["x", "y"])
+
+
 @F.pandas_udf(T.DoubleType())
 def stroke_share(mask: pd.Series, width: pd.Series, points: pd.Series) -> pd.Series:
     return pd.Series([near_share(mask_of(m, w), _points(p)) for m, w, p in zip(mask, width, points, strict=True)])
@@ -517,7 +643,11 @@ def differential_evolution(f: Callable[[np.ndarray], float], bounds: list[tuple[
 def chained(f: Callable[[np.ndarray], float], bounds: list[tuple[float, float]], start: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
     """Downhill simplex, then the population search, then the simplex from what is better; clipped to the bounds."""
     low, high = np.array(bounds, float).T
-    within = lambda p: f(np.clip(p, low, high))
+
+    def within(p: np.ndarray) -> float:
+        inside = np.clip(p, low, high)
+        return f(inside) + float(((p - inside) ** 2).sum())
+
     reach = float(np.mean(high - low)) / 10
     best = min((minimised(within, start, size=reach), differential_evolution(f, bounds, seed=seed)), key=lambda r: r[1])
     last = minimised(within, best[0], size=reach / 2)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -486,12 +487,12 @@ def score_strokes(df: DataFrame, radius: float = 6.0, stride: int = 2, scorer: S
     ship(df.sparkSession)
     judge = scorer or Scorer()
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for f in frames:
-            rows = [(g, judge([np.array([(p["x"], p["y"]) for p in s], float) for s in strokes], Canvas(glyphs.mask_of(m, w), radius, stride))) for g, m, w, strokes in f.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["glyph", "score"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            scores = [judge([np.array([(p["x"], p["y"]) for p in s], float) for s in strokes], Canvas(glyphs.mask_of(m, w), radius, stride)) for m, w, strokes in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["glyph", "score"])
 
-    return df.select("glyph", "mask", "width", "strokes").mapInPandas(run, f"glyph {df.schema['glyph'].dataType.simpleString()}, score double")
+    return df.select("glyph", "mask", "width", "strokes").mapInArrow(run, f"glyph {df.schema['glyph'].dataType.simpleString()}, score double")
 
 
 def topology(strokes: Column, template: Column, box: Column, tolerance: float = 0.2) -> Column:

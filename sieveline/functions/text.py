@@ -49,6 +49,11 @@ def accepted(expected: Column, actual: Column, confidence: Column, least: float
     return (F.lower(expected) == F.lower(actual)) | (F.coalesce(F.contains(F.try_element_at(similar, expected), actual), F.lit(False)) & (confidence >= least))
 
 
+def rejection(expected: Column, actual: Column, confidence: Column, least: float = 0.5) -> Column:
+    """Why a reading is not accepted: a confusion read without confidence, or another letter; null if it is accepted."""
+    return F.when(accepted(expected, actual, confidence, least), F.lit(None)).when(accepted(expected, actual, F.lit(1.0), least), "unsure").otherwise("different")
+
+
 def any_keyword(c: Column, words: Sequence[str] = VARIANT_WORDS) -> Column:
     """Whether the lower-cased text has any of the words as a substring."""
     low = F.lower(c)

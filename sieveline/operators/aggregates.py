@@ -145,3 +145,9 @@ def required_share(required: Sequence[str], have: Column) -> tuple[Column, Colum
     need = F.array(*[F.lit(c) for c in required])
     missing = F.array_except(need, have)
     return 1 - F.size(missing) / F.lit(len(set(required))), missing
+
+
+def coverage_and_overshoot(strokes: Column, mask: Column) -> tuple[Column, Column]:
+    """Share of the mask that strokes cover, and share of the strokes outside it (both boolean arrays); 0 where there is nothing to share."""
+    count = lambda f: F.aggregate(F.zip_with(strokes, mask, lambda s, m: f(s, m).cast("int")), F.lit(0), lambda a, b: a + b)
+    return F.coalesce(F.try_divide(count(lambda s, m: s & m), count(lambda s, m: m)), F.lit(0.0)), F.coalesce(F.try_divide(count(lambda s, m: s & ~m), count(lambda s, m: s)), F.lit(0.0))

@@ -218,7 +218,7 @@ class Transaction:
     def __exit__(self, kind, error, trace) -> bool:
         if kind is None and self.new:
             before = self.versions()
-            seq = len({p for p in before.values()}) and self._last() + 1 or 1
+            seq = self._last() + 1 if before else 1
             state = [(seq, n, p) for n, p in {**before, **self.new}.items()]
             self.spark.createDataFrame(state, "seq long, name string, path string").coalesce(1).write.json(f"{self.folder}/switches/{seq:09d}")
         return False

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from sieveline.plans.catalog import ORACLES, QUERIES
+from sieveline.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("SIEVELINE_TEST_TABLES", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
