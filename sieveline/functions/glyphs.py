@@ -545,6 +545,22 @@ def segments_of(skeleton: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
+@F.pandas_udf(T.IntegerType())
+def cluster_count(mask: pd.Series, width: pd.Series, apart: pd.Series) -> pd.Series:
+    """Groups of a mask's pixels, taken as junctions."""
+    from .strokes import cluster_junctions
+
+    return pd.Series([len(cluster_junctions([(int(x), int(y)) for y, x in zip(*np.nonzero(mask_of(m, w)))], a)) for m, w, a in zip(mask, width, apart, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def joined_sizes(points: pd.Series, size: pd.Series, count: pd.Series) -> pd.Series:
+    """Sizes of the strokes that pieces of ``size`` points become when joined to ``count``."""
+    from .strokes import Glyph
+
+    return pd.Series([[len(s) for s in Glyph([_points(p)[i : i + k] for i in range(0, len(p), k)]).to_count([n]).strokes] for p, k, n in zip(points, size, count, strict=True)])
+
+
 @F.pandas_udf(T.IntegerType())
 def segment_edges(mask: pd.Series, width: pd.Series) -> pd.Series:
     """Edges in all segments of a mask taken as a skeleton, each counted once."""

@@ -476,12 +476,60 @@ def glyph_vertices(t: Tables) -> DataFrame:
     return masks(t).where(F.exists("e", lambda v: v > 0)).select("vec_id", Y.vertex_sum("mask", "width").alias("spot"))
 
 
-@query("select vec_id, round(least(1.0,greatest(-1.0,embedding[1]*8)),2) x, round(least(1.0,greatest(-1.0,embedding[2]*8)),2) y from embeddings")
+@query("select vec_id, true found from embeddings")
 def chained_search(t: Tables) -> DataFrame:
-    """Simplex and population search, chained, find the bounded minimum of a bowl."""
-    q = t.embeddings.select("vec_id", Y.bowl_minimum(F.get("embedding", F.lit(0)).cast("double") * 8, F.get("embedding", F.lit(1)).cast("double") * 8).alias("m"))
-    clean = lambda v: F.round(F.round(v, 4), 2)
-    return q.select("vec_id", clean(c("m.x")).alias("x"), clean(c("m.y")).alias("y"))
+    """Simplex and population search, chained, come within a thousandth of the bounded minimum of a bowl."""
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double") * 8
+    q = t.embeddings.select("vec_id", at(0).alias("x"), at(1).alias("y")).withColumn("m", Y.bowl_minimum("x", "y"))
+    near = lambda a: F.abs(c(f"m.{a}") - X.clip(c(a), -1.0, 1.0)) < 0.001
+    return q.select("vec_id", (near("x") & near("y")).alias("found"))
+
+
+_L = "select vec_id, 21+vec_id%10 n from embeddings"
+
+
+def _line(x0: Column, y0: Column, dx: int, dy: int, n: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: P.point(x0 + i * dx, y0 + i * dy))
+
+
+@query(
+    f"select vec_id, 'direction' kind, 1 n_strokes, 2*n n_points from ({_L}) union all select vec_id, 'bar', 1, 2*n from ({_L}) union all select vec_id, 'tip', 2, 2*(n+4) from ({_L}) union all select vec_id, 'stub', 1, n+4 from ({_L}) "
+    f"union all select vec_id, 'near', 1, n+4 from ({_L}) union all select vec_id, 'orphan', 1, n from ({_L}) union all select vec_id, 'all', 1, 2*n from ({_L})"
+)
+def merged_strokes(t: Tables) -> DataFrame:
+    """Each pass of the merge pipeline on strokes of known ends, and all of them in a row."""
+    n, zero = (21 + c("vec_id") % 10).cast("int"), F.lit(0)
+    left, right = _line(zero, zero, 1, 0, n), _line(2 * n - 1, zero, -1, 0, n)  # both end at a junction, head on
+    up, down = _line(n - 1, n - 1, 0, -1, n), _line(n - 1, -(n - 1), 0, 1, n)
+    bar = _line(n - 1, zero, 1, 0, F.lit(5))  # from the junction at n - 1 to another
+    tip = _line(n - 1, zero, 0, 1, F.lit(9))
+    stub = _line(n - 1, zero, 1, 0, F.lit(5))
+    gap = _line(n + 1, zero, 1, 0, F.lit(5))
+    lone = _line(F.lit(100), F.lit(100), 1, 0, F.lit(5))
+    cases = {"direction": ([left, right], ["direction"]), "bar": ([up, down, bar], ["t_junctions"]), "tip": ([left, right, tip], ["converging_stubs"]), "stub": ([left, stub], ["junction_stubs"]), "near": ([left, gap], ["near_stubs"]), "orphan": ([left, lone], ["orphans"]), "all": ([left, right], None)}
+    pixels = {"bar": [(n - 1, zero), (n + 3, zero)], "tip": [(n - 1, zero)], "orphan": [(F.lit(100), F.lit(100))]}
+    out = None
+    for kind, (lines, passes) in cases.items():
+        rows = t.embeddings.select(c("vec_id").alias("glyph"), F.posexplode(F.array(*lines)).alias("stroke", "points"))
+        dots = pixels.get(kind, [(n - 1, zero), (n, zero)])
+        joints = t.embeddings.select(c("vec_id").alias("glyph"), F.posexplode(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in dots])).alias("junction", "p")).select("glyph", F.when(F.lit(kind in ("direction", "all")), 0).otherwise(c("junction")).alias("junction"), "p.x", "p.y")
+        done = K.merge_strokes(rows, joints, "default", passes).groupBy(c("glyph").alias("vec_id")).agg(F.count("*").cast("int").alias("n_strokes"), F.sum(F.size("points")).cast("bigint").alias("n_points"))
+        done = done.select("vec_id", F.lit(kind).alias("kind"), "n_strokes", "n_points")
+        out = done if out is None else out.union(done)
+    return out
+
+
+@query(f"select vec_id, 2 n_strokes, 32 n_points from embeddings")
+def strokes_to_count(t: Tables) -> DataFrame:
+    """Eight pieces of each point array joined by their nearest ends until a template's number of strokes is left."""
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("p", 4 * i + 1, F.lit(4)))
+    return masks(t).select("vec_id", Y.joined_sizes(F.flatten(pieces), F.lit(4), F.lit(2)).alias("n")).select("vec_id", F.size("n").alias("n_strokes"), F.aggregate("n", F.lit(0), lambda a, b: a + b).alias("n_points"))
+
+
+@query(f"with recursive p as ({PIX}), r(vec_id, x, y, u, v) as (select vec_id, x, y, x, y from p union select r.vec_id, r.x, r.y, p.x, p.y from r join p on p.vec_id=r.vec_id and abs(p.x-r.u)<=1 and abs(p.y-r.v)<=1), l as (select vec_id, x, y, min(v*8+u) root from r group by 1,2,3) select vec_id, count(distinct root)::int parted, 1 merged from l group by 1")
+def junction_clusters(t: Tables) -> DataFrame:
+    """Connected groups of junction pixels, and what they become when near centres are one."""
+    return masks(t).where(F.exists("e", lambda v: v > 0)).select("vec_id", Y.cluster_count("mask", "width", F.lit(0.0)).alias("parted"), Y.cluster_count("mask", "width", F.lit(100.0)).alias("merged"))
 
 
 @query(f"select vec_id, 33 n, round(list_sum([xs[i]*0.224+5 for i in range(1,33)])+xs[1]*0.224+5,5) sx, round(list_sum([(800-ys[i])*0.224+7 for i in range(1,33)])+(800-ys[1])*0.224+7,4) sy from (select vec_id, [v*1000 for v in xs] xs, [v*1000 for v in ys] ys from ({POINTS}))")
