@@ -149,3 +149,16 @@ def sigmoid(c: Column) -> Column:
 
 def clip(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def case_probability(probabilities: Column, letter: Column) -> Column:
+    """The largest probability (map by character) of a letter as it is, in upper and in lower case; 0 for unknown ones."""
+    at = lambda k: F.coalesce(F.try_element_at(probabilities, k), F.lit(0.0))
+    return F.greatest(at(letter), at(F.upper(letter)), at(F.lower(letter)))
+
+
+def get_or(value: Column, default: str, *keys: str) -> Column:
+    """The value below nested keys of maps, or the default where one is missing or null."""
+    for k in keys:
+        value = F.try_element_at(value, F.lit(k))
+    return F.coalesce(value, F.lit(default))

@@ -84,10 +84,11 @@ def reject(removals: DataFrame, ids: DataFrame, reasons: DataFrame, code: str, d
     if not found:
         raise ValueError(f"unknown reason {code}")
     reason = found[0]["id"]
-    new = ids.select(F.col("asset_id").cast("bigint").alias("asset_id")).distinct()
+    said = (details if details is not None else F.lit(None)).cast("string")
+    new = ids.select(F.col("asset_id").cast("bigint").alias("asset_id"), said.alias("details")).groupBy("asset_id").agg(F.min("details").alias("details"))
     if skip_existing:
         new = new.join(removals.where(F.col("reason_id") == reason).select("asset_id"), "asset_id", "left_anti")
-    rows = new.withColumns({"reason_id": F.lit(reason).cast("bigint"), "details": (details if details is not None else F.lit(None)).cast("string"), "removed_at": F.current_timestamp()})
+    rows = new.withColumns({"reason_id": F.lit(reason).cast("bigint"), "removed_at": F.current_timestamp()})
     return removals.unionByName(_numbered(rows, removals, "id", ["asset_id"]), allowMissingColumns=True)
 
 

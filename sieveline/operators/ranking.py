@@ -199,3 +199,12 @@ def running_total(df: DataFrame, order: str, value: Column, name: str, *ties: st
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a range
     within = F.sum("_value").over(Window.partitionBy("_part").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return parts.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_within") + F.col("_before")).drop("_part", "_value", "_within", "_before")  # a row a range
+
+
+def progress_of_logs(logs: DataFrame, session: str, time: str, message: str, pattern: str = r"step (\d+)/(\d+)") -> DataFrame:
+    """session, lines, done, rate, eta by the first and last lines that tell a step: steps of this session alone, a second, and seconds left."""
+    at, of = F.regexp_extract(message, pattern, 1), F.regexp_extract(message, pattern, 2)
+    steps = logs.where(at != "").select(session, F.unix_micros(F.col(time).cast("timestamp")).alias("_t"), at.cast("bigint").alias("_at"), of.cast("bigint").alias("_of"))
+    g = steps.groupBy(session).agg(F.count("*").alias("lines"), F.min_by("_at", "_t").alias("_first"), F.max_by("_at", "_t").alias("_last"), F.max_by("_of", "_t").alias("_total"), ((F.max("_t") - F.min("_t")) / 1e6).alias("_seconds"))
+    done = F.col("_last") - F.col("_first")
+    return g.select(session, "lines", done.alias("done"), F.try_divide(done, F.col("_seconds")).alias("rate"), F.try_divide((F.col("_total") - F.col("_last")) * F.col("_seconds"), done).alias("eta"))

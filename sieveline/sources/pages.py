@@ -126,3 +126,63 @@ class PageReader(DataSourceReader):
         get = getattr(importlib.import_module(module), function)
         for page, url in paginate(lambda p: get(partition.value, p), self.most):
             yield partition.value, page, url
+
+
+def svg_font_map(glyphs: DataFrame) -> DataFrame:
+    """font, glyphs: a map from each character to its outline and advance; of repeated characters the smallest outline."""
+    one = glyphs.groupBy("font", "unicode").agg(F.min(F.struct("d", "advance")).alias("g"))
+    return one.groupBy("font").agg(F.map_from_entries(F.collect_list(F.struct("unicode", "g"))).alias("glyphs"))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the paged source known to a session."""
+    from ..session import ship
+
+    ship(spark)
+    spark.dataSource.register(PageSource)
+
+
+def sample_page(category: str, page: int) -> list[str]:
+    """A listing of eight urls on pages of three; later pages say the last one again. For tests and examples."""
+    urls = [f"http://{category}/{i}" for i in range(8)]
+    return urls[3 * page - 3 : 3 * page] or urls[6:]
+
+
+def failing_server(url: str, attempt: int) -> tuple[int, dict[str, str], bytes]:
+    """Answers 429 once, then 503, as often as the url's number says. For tests and examples."""
+    if attempt >= int(url):
+        return 200, {}, b"ok"
+    return (429, {"Retry-After": "7"}, b"") if attempt == 0 else (503, {}, b"")
+
+
+def fetch_all(df: DataFrame, key: str, url: str, server: str, retries: int = 3, delay: float = 1.0, wait: bool = False) -> DataFrame:
+    """key, status, body, waited of each row's url; ``server`` is the import path of a function (url, attempt) -> (status, headers, body).
+
+    With ``wait`` the tasks sleep as told; without it the seconds are only added up.
+    """
+    import pandas as pd
+
+    from ..session import ship
+
+    ship(df.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import importlib
+
+        module, _, function = server.rpartition(".")
+        ask = getattr(importlib.import_module(module), function)
+        for f in frames:
+            rows = []
+            for k, u in f.itertuples(index=False):
+                waits, tries = [], iter(range(retries + 1))
+
+                def pause(seconds: float, waits: list[float] = waits) -> None:
+                    waits.append(seconds)
+                    if wait:
+                        time.sleep(seconds)
+
+                status, body = fetch(lambda x, tries=tries: ask(x, next(tries)), u, retries, delay, pause)
+                rows.append((k, status, body, float(sum(waits))))
+            yield pd.DataFrame(rows, columns=[key, "status", "body", "waited"])
+
+    return df.select(key, url).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, status int, body binary, waited double")

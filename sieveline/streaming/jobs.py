@@ -95,7 +95,7 @@ def work_off(items: DataFrame, key: str, function: Callable, columns: Sequence[s
     """key, status, file_path, error of each item: the executors' tasks are the workers, and a failing item is reported in its row."""
     rows = items.repartition(workers, key) if workers else items
     done = parallel_map(rows, key, function, columns)
-    return done.select(key, F.when(F.col("success"), "completed").otherwise("failed").alias("status"), F.col("value").alias("file_path"), "error")
+    return done.select(F.col("key").alias(key), F.when(F.col("success"), "completed").otherwise("failed").alias("status"), F.col("value").alias("file_path"), "error")
 
 
 def claimed_progress(results: DataFrame, key: str, every: int = 50) -> DataFrame:
@@ -202,3 +202,27 @@ def scrape_categories(categories: Sequence[str], discover: Callable[[str], DataF
             out = got if out is None else out.unionByName(got)
             seen = seen.union(new.select(key))
     return out, events
+
+
+class Adapters:
+    """Sources by name: each a function without arguments to a frame of what it finds."""
+
+    def __init__(self):
+        self.known: dict[str, Callable[[], DataFrame]] = {}
+
+    def add(self, name: str, find: Callable[[], DataFrame]) -> Adapters:
+        self.known[name] = find
+        return self
+
+    def names(self) -> list[str]:
+        return sorted(self.known)
+
+    def run(self, names: Sequence[str], work: Callable[[DataFrame], int], spark: SparkSession) -> DataFrame:
+        """source, n, status of working off each named source; one that is unknown or fails is reported and stops no other."""
+        rows = []
+        for name in names:
+            try:
+                rows.append((name, int(work(self.known[name]())), "done") if name in self.known else (name, 0, "no adapter"))
+            except Exception as e:  # noqa: BLE001  reported
+                rows.append((name, 0, f"failed: {e}"))
+        return spark.createDataFrame(rows, "source string, n bigint, status string")
