@@ -5,7 +5,7 @@ code of ``w`` is the code of ``w`` without its last token, followed by that toke
 exactly one token that ends ``w`` stays apart from the last token before it. So the
 distinct words of a batch go into a trie; a depth-first walk finds the last token of
 each node from the states of its ancestors; a prefix that many words share is encoded
-once.
+once. An automaton of the vocabulary tells which tokens end at a node.
 
 Defined results: null or empty text has no tokens; a row without an id keeps it null;
 repeated rows give repeated results; an empty table gives an empty result; columns other
@@ -19,13 +19,14 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches, only
+from .common import bounded_batches, only, uncollected
 
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE; \s is the property White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -59,15 +60,22 @@ class ByteBpe:
             self.rank.setdefault((left, right), r)
             if whole not in self.halves:
                 self.halves[whole], self.born[whole] = (left, right), r
-        #: A byte string that ends no token has no longer one that does.
-        self.tails = {t[i:] for t in self.ids for i in range(len(t))}
+        self.endings = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.endings.add_word(token.decode("latin-1"), (len(token), i))
+        if self.ids:
+            self.endings.make_automaton()
         self.words = regex.compile(PATTERN)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.odd_space = regex.compile(r" (?=\p{White_Space}|$)")
         self.cached, self.cached_chars, self.held = cached, cached_chars, 0
         self.open: dict[tuple[int, int], bool] = {}
+        # caches of two generations: when the young one is full it becomes the old one, which recurring entries leave again
         self.codes: dict[str, tuple[int, ...]] = {}
+        self.old_codes: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[bytes, int, bytes]] = {}
+        self.old_chunks: dict[str, tuple[bytes, int, bytes]] = {}
+        self.digits = {i: b"%d" % i for i in self.bytes_of}
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether BPE, which makes ``left`` and ``right``, never merges across the border between them.
@@ -99,7 +107,7 @@ class ByteBpe:
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Codes of the distinct words, through a trie that is filled in depth-first order."""
-        ids, tails, apart = self.ids, self.tails, self.stays_apart
+        apart, known, endings = self.stays_apart, self.open.get, self.endings.iter
         last, back = [-1], [0]  # of each node: the last token of its prefix; the node where that token starts
         path, before, out = [0], b"", {}
         for word in sorted(set(words)):
@@ -107,19 +115,22 @@ class ByteBpe:
             while shared < n and word[shared] == before[shared]:
                 shared += 1
             del path[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                starts, start = [], end - 1
-                while start >= 0 and (tail := word[start:end]) in tails:
-                    if (token := ids.get(tail)) is not None:
-                        starts.append((start, token))
-                    start -= 1
-                for start, token in reversed(starts):
-                    node = path[start]
-                    if start == 0 or apart(last[node], token):
-                        break
+            done = shared  # length of the prefix whose state is known
+            for at, (size, token) in endings(word.decode("latin-1")):  # of the tokens that end at a place the longest comes first
+                if at < done:
+                    continue
+                node = path[at + 1 - size]
+                if size <= at:  # not the first token of the word
+                    pair = last[node], token
+                    stays = known(pair)
+                    if stays is None:
+                        stays = apart(*pair)
+                    if not stays:
+                        continue
                 path.append(len(last))
                 last.append(token)
                 back.append(node)
+                done = at + 1
             code, node = [], path[len(word)]
             while node:
                 code.append(last[node])
@@ -128,13 +139,19 @@ class ByteBpe:
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        """Cache the codes of new words, all through one trie."""
-        if len(self.codes) > self.cached:
-            self.codes.clear()
-        new = {p.encode(): p for p in pieces if p not in self.codes}
-        self.held += sum(map(len, new.values()))
+        """Cache the codes of words, those of the new ones all through one trie."""
+        if len(self.codes) > self.cached // 2:
+            self.old_codes, self.codes = self.codes, {}
+        codes, old, new = self.codes, self.old_codes, {}
+        for p in pieces:
+            if p not in codes:
+                if (code := old.get(p)) is not None:
+                    codes[p] = code
+                else:
+                    new[p.encode()] = p
+        self.held += sum(map(len, new))
         for word, code in self.encode_words(new).items():
-            self.codes[new[word]] = code
+            codes[new[word]] = code
 
     def _pieces(self, text: str) -> list[str | int]:
         if self.split_added is None or not any(a in text for a in self.added):
@@ -164,17 +181,20 @@ class ByteBpe:
     def digest_batch(self, texts: list[str]) -> list[tuple[bytes, int, str, str]]:
         """For each text: the joined decimal ids, count of tokens, their sha256, sha256 of the decoded text."""
         cut = [self._parts(t) if t else [] for t in texts]
-        if len(self.chunks) > self.cached or self.held > self.cached_chars:
-            self.chunks.clear()
-            self.codes.clear()
-            self.held = 0
-        chunks = self.chunks
-        pieces = {p: self.words.findall(p) for p in {p for c in cut if c for p in c if p not in chunks}}
+        if len(self.chunks) > self.cached // 2 or self.held > self.cached_chars // 2:
+            self.old_chunks, self.chunks, self.held = self.chunks, {}, 0
+            self.old_codes, self.codes = self.codes, {}
+        chunks, old, pieces, find = self.chunks, self.old_chunks, {}, self.words.findall
+        for p in set().union(*filter(None, cut)).difference(chunks):
+            if (chunk := old.get(p)) is not None:
+                chunks[p] = chunk
+            else:
+                pieces[p] = find(p)
         self._learn({w for ws in pieces.values() for w in ws})
-        codes = self.codes
+        codes, digits, octets = self.codes, self.digits.__getitem__, self.bytes_of.__getitem__
         for p, ws in pieces.items():
-            ids = [i for w in ws for i in codes[w]]
-            chunks[p] = (",".join(map(str, ids)).encode(), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
+            ids = codes[ws[0]] if len(ws) == 1 else [i for w in ws for i in codes[w]]
+            chunks[p] = (b",".join(map(digits, ids)), len(ids), b"".join(map(octets, ids)))
         odd = [t for t, c in zip(texts, cut, strict=True) if c is None]
         odd_ids = iter(self.encode_batch(odd) if odd else [])
         out = []
@@ -183,8 +203,8 @@ class ByteBpe:
                 ids = next(odd_ids)
                 joined, n, decoded = ",".join(map(str, ids)).encode(), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
             else:
-                got = [chunks[p] for p in c]
-                joined, n, decoded = b",".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])
+                texts_of, sizes, octets_of = zip(*map(chunks.__getitem__, c), strict=True) if c else ((), (), ())
+                joined, n, decoded = b",".join(texts_of), sum(sizes), b"".join(octets_of)
             try:
                 decoded.decode()
             except UnicodeDecodeError:
@@ -233,7 +253,8 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
         for b in batches:
-            got = bpe.digest_batch([t or "" for t in b.column(1).to_pylist()])
+            with uncollected():
+                got = bpe.digest_batch([t or "" for t in b.column(1).to_pylist()])
             joined, n, ids, decoded = zip(*got, strict=True) if got else ((), (), (), ())
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:

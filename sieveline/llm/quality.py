@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, id_crc, only
+from .common import bounded_batches, id_crc, only, uncollected
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +125,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, w = Hasher(bits), np.frombuffer(sent.value, dtype=np.float32).astype(np.float64)
         for b in batches:
-            m = np.array([margin(w, hasher.features(t)) for t in b.column(1).to_pylist()], dtype=np.float64)
+            with uncollected():
+                m = np.array([margin(w, hasher.features(t)) for t in b.column(1).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))), pa.float64())], names=["doc_id", "score"])
 
     bounded_batches(spark)
@@ -148,7 +149,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, w = Hasher(bits), np.frombuffer(sent.value, dtype=np.float32).astype(np.float64)
         for b in batches:
-            m = np.array([margin(w, hasher.features(t)) for t in b.column(at).to_pylist()], dtype=np.float64)
+            with uncollected():
+                m = np.array([margin(w, hasher.features(t)) for t in b.column(at).to_pylist()], dtype=np.float64)
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))) >= threshold))
 
     bounded_batches(spark)
