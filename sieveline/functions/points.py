@@ -132,6 +132,18 @@ def affine(points: Column, tx: float = 0, ty: float = 0, sx: float = 1, sy: floa
     return F.transform(points, move)
 
 
+def affine_by_parts(points: Column, tx: float = 0, ty: float = 0, sx: float = 1, sy: float = 1, degrees: float = 0, shear: float = 0, about: Column | None = None) -> Column:
+    """The other order: turn (degrees) and shear about a centre, then scale, then shift."""
+    c = centroid(points) if about is None else about
+    cos, sin = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+
+    def move(p: Column) -> Column:
+        dx, dy = p["x"] - c["x"], p["y"] - c["y"]
+        return point(c["x"] + sx * (dx * cos - dy * sin + shear * dy) + tx, c["y"] + sy * (dx * sin + dy * cos) + ty)
+
+    return F.transform(points, move)
+
+
 def to_height(points: Column, height: float) -> Column:
     """Shifted to the box's centre and scaled evenly to a height; unchanged in size where there is none."""
     b = box(points)

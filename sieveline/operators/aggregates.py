@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def funnel(df: DataFrame, **stages: Column) -> DataFrame:
@@ -151,3 +152,38 @@ def coverage_and_overshoot(strokes: Column, mask: Column) -> tuple[Column, Colum
     """Share of the mask that strokes cover, and share of the strokes outside it (both boolean arrays); 0 where there is nothing to share."""
     count = lambda f: F.aggregate(F.zip_with(strokes, mask, lambda s, m: f(s, m).cast("int")), F.lit(0), lambda a, b: a + b)
     return F.coalesce(F.try_divide(count(lambda s, m: s & m), count(lambda s, m: m)), F.lit(0.0)), F.coalesce(F.try_divide(count(lambda s, m: s & ~m), count(lambda s, m: s)), F.lit(0.0))
+
+
+def roughness_score(roughness: Column) -> Column:
+    """Piecewise: too smooth, natural, too rough."""
+    return F.when(roughness < 0.01, roughness / 0.01 * 0.3).when(roughness < 0.1, 0.3 + (roughness - 0.01) / 0.09 * 0.7).otherwise(F.greatest(F.lit(0.4), 1.0 - (roughness - 0.1) * 3))
+
+
+def slant_score(spread: Column) -> Column:
+    """Piecewise over the spread of slants in degrees."""
+    return F.when(spread < 0.5, spread / 0.5 * 0.3).when(spread < 5, 0.3 + (spread - 0.5) / 4.5 * 0.7).otherwise(F.greatest(F.lit(0.4), 1.0 - (spread - 5) / 10))
+
+
+def handwriting_scores(text: DataFrame, letters: DataFrame, edges: DataFrame, size: float, margin: int = 20, step: int = 5) -> DataFrame:
+    """font and the parts of its handwriting score, with the whole.
+
+    ``text`` has the inked pixels (font, x, y, width) of a rendered line, ``letters`` those of
+    single letters (font, letter, x, y), ``edges`` the edge pixels (font, x, y) of a word. What has
+    too few pixels to judge gets the scores fixed for that.
+    """
+    columns = text.groupBy("font", "x").agg(F.max("y").alias("low"), (F.max("y") - F.min("y")).alias("tall"), F.max("width").alias("width"))
+    wide = (F.col("x") >= margin) & (F.col("x") < F.col("width") - margin) & ((F.col("x") - margin) % step == 0) & (F.col("tall") > 0)
+    lines = columns.groupBy("font").agg(F.count("*").alias("_n"), F.stddev_pop("low").alias("_low"), F.count_if(wide).alias("_wide"), F.stddev_pop(F.when(wide, F.col("tall"))).alias("_dev"), F.avg(F.when(wide, F.col("tall"))).alias("_mean"))
+    each = letters.groupBy("font", "letter").agg(F.count("*").alias("n"), F.regr_slope("x", "y").alias("slope"))
+    slants = each.groupBy("font").agg(F.count_if(F.col("n") > 0).alias("_letters"), F.count_if((F.col("n") > 10) & F.col("slope").isNotNull()).alias("_tall"), F.stddev_pop(F.when(F.col("n") > 10, F.degrees(F.atan("slope")))).alias("_slant"))
+    w = Window.partitionBy("font").orderBy("x", "y")  # the edges of one word
+    bends = edges.withColumn("_d2", F.lead("y").over(w) - 2 * F.col("y") + F.lag("y").over(w)).groupBy("font").agg(F.count("*").alias("_edges"), F.stddev_pop("_d2").alias("_rough"))
+    rows = lines.join(slants, "font", "left").join(bends, "font", "left")
+    parts = {
+        "baseline_variation": F.when(F.col("_n") < 10, 0.0).otherwise(baseline_score(F.col("_low") / size)),
+        "stroke_width_variation": F.when(F.col("_wide") < 5, 0.0).otherwise(width_score(F.col("_dev") / (F.col("_mean") + 1e-6))),
+        "character_consistency": F.when(F.coalesce("_letters", F.lit(0)) < 3, 1.0).otherwise(0.95),
+        "edge_roughness": F.when(F.coalesce("_edges", F.lit(0)) < 10, 0.0).when(F.col("_edges") < 20, 0.3).otherwise(roughness_score(F.col("_rough") / size)),
+        "slant_variation": F.when(F.coalesce("_tall", F.lit(0)) < 3, 0.3).otherwise(slant_score(F.col("_slant"))),
+    }
+    return rows.select("font", *[v.alias(k) for k, v in parts.items()]).withColumn("overall", weighted(HANDWRITING_SCORE, ["character_consistency"]))

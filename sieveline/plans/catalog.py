@@ -93,7 +93,7 @@ def ready_items(t: Tables) -> DataFrame:
 
 @query("select d.doc_id from documents d left join labels l on d.doc_id=l.doc_id left join (select doc_id from labels where toxic=1) r on d.doc_id=r.doc_id where r.doc_id is null and (l.quality=1 or l.quality is null)")
 def eligible_tolerant(t: Tables) -> DataFrame:
-    """J4 J5 P7 S31"""
+    """J4 J5 P7"""
     return J.eligible(t.documents, t.labels, t.labels.where("toxic = 1"), "doc_id", c("quality") == 1).select("doc_id")
 
 
@@ -312,7 +312,7 @@ def stroke_score(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, round(0.6*(o_totalprice/500000)+0.4*(o_custkey%10/10.0),3) score from orders")
 def asset_score(t: Tables) -> DataFrame:
-    """A21 X2"""
+    """A21"""
     return t.orders.select("o_orderkey", (c("o_totalprice") / 500000).alias("coverage"), (c("o_custkey") % 10 / 10.0).alias("style")).select("o_orderkey", F.round(A.weighted(A.ASSET_SCORE), 3).alias("score"))
 
 
@@ -336,10 +336,10 @@ def adaptive_radius(t: Tables) -> DataFrame:
     return A.adaptive_percentile(t.lineitem, "l_quantity", 0.9).select(F.round("p", 6).alias("p"))
 
 
-@query("select count(distinct l_partkey)/2000.0 coverage from lineitem where l_returnflag='R'")
+@query("select count(distinct l_partkey)/(select count(*) from part)::double coverage from lineitem where l_returnflag='R'")
 def set_coverage(t: Tables) -> DataFrame:
     """A29"""
-    return A.coverage(t.lineitem.where("l_returnflag = 'R'"), 2000, "l_partkey")
+    return A.coverage(t.lineitem.where("l_returnflag = 'R'"), t.part.count(), "l_partkey")
 
 
 @query("with h as (select distinct l_suppkey s, l_partkey p from lineitem where l_returnflag='R'), o as (select p, count(*) n from h group by p) select round(avg(e),6) overlap from (select s, greatest(0.0, count(*) filter (n>1)/count(*) - 0.25) e from h join o using (p) group by s)")
@@ -351,7 +351,7 @@ def overlap_excess(t: Tables) -> DataFrame:
 
 @query("select l_suppkey, avg(case when l_discount<0.05 then 1.0 else 0.0 end) share from lineitem group by l_suppkey")
 def share_of_rows(t: Tables) -> DataFrame:
-    """A31 A34"""
+    """A31"""
     return t.lineitem.groupBy("l_suppkey").agg(F.avg((c("l_discount") < 0.05).cast("double")).alias("share"))
 
 
@@ -465,13 +465,13 @@ def changes_only(t: Tables) -> DataFrame:
 
 @query("select event_id from (select event_id, row_number() over (order by event_id) rn from events) t where rn % 500 = 0")
 def progress_rows(t: Tables) -> DataFrame:
-    """W16 T2"""
+    """W16"""
     return R.every_kth(t.events, "event_id", 500).select("event_id")
 
 
 @query("select event_id from (select event_id from events order by event_id desc limit 20) order by event_id")
 def log_tail(t: Tables) -> DataFrame:
-    """O6 T14"""
+    """O6"""
     return R.tail(t.events, "event_id", 20).select("event_id")
 
 
@@ -531,7 +531,7 @@ def insert_or_ignore(t: Tables) -> DataFrame:
 
 @query("select o_orderkey, case when o_orderstatus='P' then 'O' else o_orderstatus end o_orderstatus from orders")
 def reset_stuck(t: Tables) -> DataFrame:
-    """D12 D14 D15 D17 D19"""
+    """D19"""
     return D.update(t.orders.select("o_orderkey", "o_orderstatus"), c("o_orderstatus") == "P", {"o_orderstatus": "O"})
 
 
@@ -551,7 +551,7 @@ def unreject_all(t: Tables) -> DataFrame:
 
 @query("select asset_id, reason_id from (select distinct o_custkey asset_id, 2 reason_id from orders where o_orderstatus='F' union all select distinct o_custkey, 2 from orders where o_orderstatus='P' and o_custkey not in (select o_custkey from orders where o_orderstatus='F'))")
 def batch_reject(t: Tables) -> DataFrame:
-    """D8 D9 D10 D13"""
+    """D8 D9 D10"""
     old = t.orders.where("o_orderstatus = 'F'").select(c("o_custkey").alias("asset_id")).distinct().select(F.lit(0).cast("bigint").alias("id"), "asset_id", F.lit(2).cast("bigint").alias("reason_id"))
     reasons = t.region.limit(1).select(F.lit(2).alias("id"), F.lit("duplicate").alias("code"))
     new = t.orders.where("o_orderstatus = 'P'").select(c("o_custkey").alias("asset_id"))
@@ -592,7 +592,7 @@ def names_and_paths(t: Tables) -> DataFrame:
 
 @query("select page_id, len(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*\"([^\"]*)\"[^>]*>(.*?)</a>')) n_links from pages")
 def link_counts(t: Tables) -> DataFrame:
-    """S20"""
+    """All links"""
     found = H.links(t.pages, "page_id", "html").groupBy(c("page_id").alias("_p")).agg(F.count("*").alias("n"))
     return t.pages.join(found, c("page_id") == c("_p"), "left").select("page_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
 
@@ -605,7 +605,7 @@ def search_page(t: Tables) -> DataFrame:
 
 @query("select event_id, cast(json_extract(props,'$.k') as bigint) k from events")
 def json_field(t: Tables) -> DataFrame:
-    """F46 F48 S23"""
+    """F46"""
     return t.events.select("event_id", H.guarded_json(F.concat(F.lit(")]}'"), c("props")), "k bigint")["k"].alias("k"))
 
 
@@ -623,7 +623,7 @@ def percent_format(t: Tables) -> DataFrame:
 
 @query("select p_partkey, case when n=0 then 0.0 when n<=3 then 1-(n-1)/9.0 when n<9 then (9-n)/9.0 else 0.0 end connectivity from (select p_partkey, p_size%12 n from part)")
 def connectivity(t: Tables) -> DataFrame:
-    """F50 P17 X4"""
+    """F50 P17"""
     return t.part.select("p_partkey", A.connectivity_score(c("p_size") % 12, A.expected_components(F.lit("minimum"))).alias("connectivity"))
 
 
@@ -636,7 +636,7 @@ def step_scores(t: Tables) -> DataFrame:
 
 @query("select vec_id, list_aggregate(p,'sum') total, list_aggregate(p,'max') top from (select vec_id, [round(exp(x-m)/list_aggregate([exp(y-m) for y in e],'sum'),6) for x in e] p from (select vec_id, embedding::double[] e, list_max(embedding)::double m from embeddings))")
 def softmax(t: Tables) -> DataFrame:
-    """F55 O10 O11"""
+    """F55"""
     p = F.transform(X.softmax(c("embedding").cast("array<double>")), lambda v: F.round(v, 6))
     return t.embeddings.select("vec_id", F.aggregate(p, F.lit(0.0), lambda s, v: s + v).alias("total"), F.array_max(p).alias("top"))
 
@@ -652,7 +652,7 @@ def _points(t: Tables) -> DataFrame:
 
 @query(f"select vec_id, round(list_sum([sqrt((xs[i]-xs[i-1])**2+(ys[i]-ys[i-1])**2) for i in range(2,len(xs)+1)]),4) length, round(list_min(xs),5) x_min, round(list_max(ys),5) y_max, round(list_avg(xs),5) cx from ({POINTS})")
 def path_measures(t: Tables) -> DataFrame:
-    """F17 F22 F23 A32 A33 F58"""
+    """F17 F22 F23 A32 A33"""
     p = c("p")
     return _points(t).select("vec_id", F.round(P.path_length(p), 4).alias("length"), F.round(P.box(p)["x_min"], 5).alias("x_min"), F.round(P.box(p)["y_max"], 5).alias("y_max"), F.round(P.centroid(p)["x"], 5).alias("cx"))
 
@@ -666,7 +666,7 @@ def relative_points(t: Tables) -> DataFrame:
 
 @query(f"select vec_id, round(list_sum([(x-cx)*2*cos(0.3)-(y-cy)*0.5*sin(0.3)+cx+1 for (x,y) in list_zip(xs,ys)]),3) sx from (select *, list_avg(xs) cx, list_avg(ys) cy from ({POINTS}))".replace("for (x,y) in list_zip(xs,ys)", "for i in range(1,len(xs)+1)").replace("(x-cx)", "(xs[i]-cx)").replace("(y-cy)", "(ys[i]-cy)"))
 def affine(t: Tables) -> DataFrame:
-    """F38 F39 F41"""
+    """F38"""
     return _points(t).select("vec_id", F.round(P.total(F.transform(P.affine(c("p"), tx=1, sx=2, sy=0.5, theta=0.3), lambda q: q["x"])), 3).alias("sx"))
 
 
@@ -697,7 +697,7 @@ def resample(t: Tables) -> DataFrame:
 
 @query("select a, b, case when abs(r)>abs(k) then case when r>0 then 'up' else 'down' end when abs(k)>abs(r) then case when k>0 then 'right' else 'left' end end strict, case when abs(r)>=abs(k) and r<>0 then case when r>0 then 'up' else 'down' end when k>0 then 'right' when k<0 then 'left' end loose from (select a, b, (b-1)//3-(a-1)//3 r, (b-1)%3-(a-1)%3 k from (select n_nationkey+1 a from nation where n_nationkey<9), (select n_nationkey+1 b from nation where n_nationkey<9))")
 def grid_directions(t: Tables) -> DataFrame:
-    """F26 F27"""
+    """F26, and F27 by its own rule: a tie of the axes goes to the vertical one."""
     nine = t.nation.where("n_nationkey < 9")
     return J.product(nine.select((c("n_nationkey") + 1).alias("a")), nine.select((c("n_nationkey") + 1).alias("b"))).select("a", "b", P.grid_direction(c("a"), c("b")).alias("strict"), P.grid_direction(c("a"), c("b"), vertical_wins=True).alias("loose"))
 
@@ -769,7 +769,7 @@ def nearest_pair(t: Tables) -> DataFrame:
 
 @query("with p as (select distinct p_size x, p_partkey%30 y from part), e as (select a.x, a.y, count(b.x) degree from p a left join p b on abs(a.x-b.x)<=1 and abs(a.y-b.y)<=1 and not (a.x=b.x and a.y=b.y) group by a.x, a.y) select x, y, degree, case when degree=1 then 'end' when degree>=3 then 'junction' else 'path' end kind from e")
 def pixel_graph(t: Tables) -> DataFrame:
-    """G1 G2 X15"""
+    """G1 G2"""
     p = t.part.select(F.lit(1).alias("glyph"), c("p_size").alias("x"), (c("p_partkey") % 30).cast("int").alias("y")).distinct()
     return G.pixel_kinds(p, G.adjacency(p)).select("x", "y", "degree", "kind")
 
@@ -793,13 +793,13 @@ def junction_index(t: Tables) -> DataFrame:
 
 @query("select doc_id, row_number() over (order by doc_id)-1 idx, lpad((row_number() over (order by doc_id)-1)::varchar, 8, '0') key from documents")
 def dense_index(t: Tables) -> DataFrame:
-    """S10 S11 S12 S16"""
+    """The index"""
     return FS.keyed_samples(t.documents.select("doc_id"), ["doc_id"])
 
 
 @query("select user_id, event_id, count(*) over w checked, sum(case when event_type='error' then 1 else 0 end) over w failed from events window w as (partition by user_id order by event_id rows between unbounded preceding and current row)")
 def progress_counters(t: Tables) -> DataFrame:
-    """T1 W15"""
+    """T1"""
     return T.progress(t.events.withColumn("bad", c("event_type") == "error"), "user_id", "event_id", "bad")
 
 
@@ -937,7 +937,7 @@ def clipped(t: Tables) -> DataFrame:
 
 @query("select p_partkey, round(0.4*a+0.3*b+0.1*a+0.1*b+0.1*a,6) quality, round(0.2*a+0.25*b+0.2*(1-a)+0.2*b+0.15*a,6) handwriting, round(0.4*a+0.3*b+0.3*a,6) charset from (select p_partkey, p_size/50.0 a, (p_size%10)/10.0 b from part)")
 def weighted_scores(t: Tables) -> DataFrame:
-    """A20 A23 A24 X50"""
+    """A20 A23 A24"""
     a, b = c("p_size") / 50.0, c("p_size") % 10 / 10.0
     m = {"ocr_confidence": a, "ocr_correct": b, "smoothness": a, "completeness": b, "aspect_ratio": a, "baseline_variation": a, "stroke_width_variation": b, "character_consistency": a, "edge_roughness": b, "slant_variation": a, "charset": a, "consistency": b, "legibility": a}
     rows = t.part.select("p_partkey", *[v.alias(k) for k, v in m.items()])

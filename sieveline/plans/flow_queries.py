@@ -560,3 +560,21 @@ def adapters(t: Tables) -> DataFrame:
     for name, key in [(r["r_name"], r["r_regionkey"]) for r in t.region.limit(1000).collect()]:  # a lookup
         registry.add(name, lambda k=key: t.nation.where(c("n_regionkey") == k).select(c("n_name").alias("url")))
     return registry.run([*registry.names(), "missing"], lambda d: settled(d, "scraped").count(), t.spark)
+
+
+@query("select n_name family, n_regionkey category, 1 asked from nation")
+def api_listing(t: Tables) -> DataFrame:
+    """The rows of a guarded JSON answer that a process asks for once."""
+    import json
+    import uuid
+
+    asked, name = [], uuid.uuid4().hex
+
+    def load() -> str:
+        asked.append(1)
+        rows = [{"family": r["n_name"], "category": r["n_regionkey"]} for r in t.nation.limit(1000).collect()]  # a lookup
+        return ")]}'\n" + json.dumps({"familyMetadataList": rows})
+
+    for _ in range(3):
+        text = H.answered_once(name, load)
+    return H.api_rows(t.spark, text, "familyMetadataList", "family: string, category: int").withColumn("asked", F.lit(len(asked)))

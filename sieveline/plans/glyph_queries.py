@@ -538,3 +538,55 @@ def contour_pixels(t: Tables) -> DataFrame:
     big = F.array(F.transform("p", lambda v: P.scaled(v, 1000)))
     q = masks(t).select("vec_id", F.get(K.pixel_contours(big, F.lit(1000.0), F.lit(800.0), 224.0, F.lit(5.0), F.lit(7.0)), F.lit(0)).alias("q"))
     return q.select("vec_id", F.size("q").alias("n"), F.round(P.total(F.transform("q", lambda v: v["x"])), 5).alias("sx"), F.round(P.total(F.transform("q", lambda v: v["y"])), 4).alias("sy"))
+
+
+@query("select vec_id, 3+vec_id%5+3.0 x, 10.0 y from embeddings")
+def centred_points(t: Tables) -> DataFrame:
+    """Points in an upright bar of seven pixels go to its middle."""
+    a = (3 + c("vec_id") % 5).cast("int")
+    bar = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.when((i % 20).between(a, a + 6), "01").otherwise("00")), ""))
+    q = t.embeddings.select("vec_id", Y.centre_by_rays(bar, F.lit(20), F.array(P.point(a + 1, F.lit(10.0)))).alias("q"))
+    return q.select("vec_id", F.get("q", F.lit(0))["x"].alias("x"), F.get("q", F.lit(0))["y"].alias("y"))
+
+
+@query("select c_custkey, chr((65+c_custkey%26)::int) as char, case when c_custkey%26 in (2,8,9,18,20) then 1 when c_custkey%26 in (0,5,7,10,13,16,17,24,25) then 3 when c_custkey%26 in (4,22) then 4 else 2 end n_strokes, case when c_custkey%26=0 then 2 else 1 end n_variants from customer")
+def template_lookup(t: Tables) -> DataFrame:
+    """Templates of characters with their variants, one of them added."""
+    from ..functions.templates import Templates
+
+    known = Templates().add("A", "pointed", [["1", "v(8)", "3"], ["4", "6"]])
+    frame = known.frame(t.spark).groupBy("char").agg(F.max(F.size("strokes")).alias("n_strokes"), F.count("*").alias("n_variants"))
+    rows = t.customer.select("c_custkey", F.chr(65 + c("c_custkey") % 26).alias("letter"))
+    return rows.join(F.broadcast(frame), c("letter") == c("char")).select("c_custkey", "char", "n_strokes", "n_variants")  # a template a character
+
+
+@query(f"select vec_id, round(list_sum([cx+2*((xs[i]-cx)*cos(radians(30))-(ys[i]-cy)*sin(radians(30))+0.1*(ys[i]-cy))+1 for i in range(1,33)]),4) sx, round(list_sum([abs(cy+0.5*((xs[i]-cx)*sin(radians(30))+(ys[i]-cy)*cos(radians(30)))-1) for i in range(1,33)]),4) sy from (select *, list_avg(xs) cx, list_avg(ys) cy from ({POINTS}))")
+def affine_by_parts(t: Tables) -> DataFrame:
+    """turn and shear first, then scale, then shift."""
+    q = masks(t).select("vec_id", P.affine_by_parts(c("p"), 1, -1, 2, 0.5, 30, 0.1).alias("q"))
+    return q.select("vec_id", F.round(P.total(F.transform("q", lambda v: v["x"])), 4).alias("sx"), F.round(P.total(F.transform("q", lambda v: F.abs(v["y"]))), 4).alias("sy"))
+
+
+@query(
+    f"with p as ({BIG}), m as (select vec_id, g%32 x, g//32 y, embedding[(g%32)//4+8*((g//32)//4)+1]>0 v from embeddings cross join range(0,1024) r(g)), cols as (select vec_id, x, max(y) low, max(y)-min(y) tall from p group by 1,2), "
+    "l as (select vec_id, count(*) n, stddev_pop(low) low, count(*) filter (x>=4 and x<28 and (x-4)%2=0 and tall>0) wide, stddev_pop(tall) filter (x>=4 and x<28 and (x-4)%2=0 and tall>0) dev, avg(tall) filter (x>=4 and x<28 and (x-4)%2=0 and tall>0) mean from cols group by 1), "
+    "e as (select a.vec_id, a.x, a.y from m a join m b on b.vec_id=a.vec_id and b.x=a.x+1 and b.y=a.y join m d on d.vec_id=a.vec_id and d.x=a.x and d.y=a.y+1 where a.v<>b.v or a.v<>d.v), "
+    "e2 as (select vec_id, lead(y) over w - 2*y + lag(y) over w d2 from e window w as (partition by vec_id order by x, y)), r as (select vec_id, count(*) n, stddev_pop(d2) rough from e2 group by 1), "
+    "q as (select vec_id, (x//16)*2+y//16 letter, x, y from p), s as (select vec_id, letter, count(*) n, regr_slope(x, y) slope from q group by 1,2), t as (select vec_id, count(*) letters, count(*) filter (n>10 and slope is not null) tall, stddev_pop(degrees(atan(slope))) filter (n>10) slant from s group by 1), "
+    "k as (select l.vec_id, case when l.n<10 then 0.0 when low/32<0.02 then low/32/0.02*0.5 when low/32<0.1 then 0.5+(low/32-0.02)/0.08*0.5 else greatest(0.3,1-(low/32-0.1)*2) end b, "
+    "case when wide<5 then 0.0 when dev/(mean+1e-6)<0.05 then dev/(mean+1e-6)/0.05*0.3 when dev/(mean+1e-6)<0.25 then 0.3+(dev/(mean+1e-6)-0.05)/0.2*0.7 else greatest(0.4,1-(dev/(mean+1e-6)-0.25)*2) end w, case when letters<3 then 1.0 else 0.95 end c, "
+    "case when coalesce(r.n,0)<10 then 0.0 when r.n<20 then 0.3 when rough/32<0.01 then rough/32/0.01*0.3 when rough/32<0.1 then 0.3+(rough/32-0.01)/0.09*0.7 else greatest(0.4,1-(rough/32-0.1)*3) end e, "
+    "case when tall<3 then 0.3 when slant<0.5 then slant/0.5*0.3 when slant<5 then 0.3+(slant-0.5)/4.5*0.7 else greatest(0.4,1-(slant-5)/10) end s from l left join r using (vec_id) left join t using (vec_id)) "
+    "select vec_id, round(b,8) baseline, round(w,8) width, round(e,8) rough, round(s,8) slant, round(0.2*b+0.25*w+0.2*(1-c)+0.2*e+0.15*s,8) overall from k"
+)
+def handwriting(t: Tables) -> DataFrame:
+    """The parts of a handwriting score from the pixels of renderings."""
+    e, g = c("embedding"), c("g")
+    on = lambda x, y: F.get(e, F.floor(x / 4).cast("int") + 8 * F.floor(y / 4).cast("int")) > 0
+    cells = t.embeddings.select(c("vec_id").alias("font"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("g")).withColumns({"x": g % 32, "y": F.floor(g / 32).cast("int")})
+    cells = cells.withColumns({"v": on(c("x"), c("y")), "right": on(c("x") + 1, c("y")), "under": on(c("x"), c("y") + 1)})
+    ink = cells.where("v").select("font", "x", "y", F.lit(32).alias("width"))
+    letters = ink.withColumn("letter", F.floor(c("x") / 16) * 2 + F.floor(c("y") / 16))
+    edges = cells.where((c("x") < 31) & (c("y") < 31) & ((c("v") != c("right")) | (c("v") != c("under")))).select("font", "x", "y")
+    s = A.handwriting_scores(ink, letters, edges, 32.0, 4, 2)
+    return s.select(c("font").alias("vec_id"), F.round("baseline_variation", 8).alias("baseline"), F.round("stroke_width_variation", 8).alias("width"), F.round("edge_roughness", 8).alias("rough"), F.round("slant_variation", 8).alias("slant"), F.round("overall", 8).alias("overall"))

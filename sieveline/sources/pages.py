@@ -186,3 +186,19 @@ def fetch_all(df: DataFrame, key: str, url: str, server: str, retries: int = 3,
             yield pd.DataFrame(rows, columns=[key, "status", "body", "waited"])
 
     return df.select(key, url).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, status int, body binary, waited double")
+
+
+_ANSWERS: dict[str, str] = {}
+
+
+def answered_once(name: str, load: Callable[[], str]) -> str:
+    """What ``load`` gave when it was first asked for by this name; a process asks once."""
+    if name not in _ANSWERS:
+        _ANSWERS[name] = load()
+    return _ANSWERS[name]
+
+
+def api_rows(spark: SparkSession, text: str, field: str, schema: str) -> DataFrame:
+    """The rows of the array ``field`` in a guarded JSON answer."""
+    answer = spark.createDataFrame([(text,)], "text string")
+    return answer.select(F.inline(guarded_json(F.col("text"), f"`{field}` array<struct<{schema}>>")[field]))
