@@ -118,7 +118,7 @@ def fitted(mask: np.ndarray, size: int) -> np.ndarray | None:
 
 
 def distance_squared(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared distance of each pixel to the nearest set one, and that pixel: columns first, then lower envelopes of parabolas along rows."""
+    """Squared distance of each pixel to the nearest set one, and that pixel (row, column): along columns first, then over ever wider steps along rows."""
     height, width = mask.shape
     far = height * height + width * width + 1
     rows = np.arange(height)[:, None]
@@ -126,10 +126,16 @@ def distance_squared(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     down = np.minimum.accumulate(np.where(mask, rows, far * 2)[::-1], axis=0)[::-1]
     nearest_row = np.where(rows - up <= down - rows, up, down)
     column = np.minimum((nearest_row - rows) ** 2, far)
-    xs = np.arange(width)
-    cost = column[:, None, :] + (xs[None, :, None] - xs[None, None, :]) ** 2
-    from_x = cost.argmin(axis=2)
-    best = np.take_along_axis(cost, from_x[..., None], 2)[..., 0]
+    best, from_x = column.copy(), np.broadcast_to(np.arange(width), mask.shape).copy()
+    for step in range(1, width):
+        if step * step > best.max():
+            break
+        for here, there, first in ((slice(step, None), slice(None, -step), True), (slice(None, -step), slice(step, None), False)):
+            cost, at = column[:, there] + step * step, np.arange(width)[there][None, :]
+            # of equal ways the one from the left counts
+            better = cost <= best[:, here] if first else cost < best[:, here]
+            best[:, here] = np.where(better, cost, best[:, here])
+            from_x[:, here] = np.where(better, at, from_x[:, here])
     return best, np.take_along_axis(nearest_row, from_x, 1), from_x
 
 

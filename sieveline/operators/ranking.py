@@ -85,13 +85,14 @@ def smoothed(value: str, group: str, order: str, sigma: float, truncate: float =
     return out
 
 
-def ranged(df: DataFrame, order: str, name: str = "_part", sample: int = 4096) -> DataFrame:
+def ranged(df: DataFrame, order: str, name: str = "_part", sample: int | None = None) -> DataFrame:
     """Adds the number of the range of ``order`` that a row is in, as many ranges as the session's shuffles have partitions.
 
     The bounds are values of a bounded sample by hash, fixed before use, so every use of the
     column agrees; equal values are in one range and nulls in the first.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = sample or max(4096, 32 * parts)
     got = sorted({r[0] for r in df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(sample).collect()})
     bounds = [got[len(got) * i // parts] for i in range(1, parts)] if len(got) > parts else got
     number = F.lit(0)

@@ -21,6 +21,13 @@ from .catalog import HASHES, Tables, c, query
 # ---- sources and sinks ----
 
 
+def _lookup(df: DataFrame, most: int = 1000) -> list:
+    """The rows of a lookup, whose size is checked first."""
+    if (n := df.count()) > most:
+        raise ValueError(f"{n} rows are no lookup")
+    return df.collect()
+
+
 def _local(path: str) -> str:
     return path.removeprefix("file://")
 
@@ -35,7 +42,7 @@ def sqlite_scan(t: Tables) -> DataFrame:
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with sqlite3.connect(path) as db:
         db.execute("create table nation (n_nationkey integer, n_name text, n_regionkey integer)")
-        db.executemany("insert into nation values (?, ?, ?)", [tuple(r) for r in t.nation.limit(1000).collect()])  # a lookup of 25 rows
+        db.executemany("insert into nation values (?, ?, ?)", [tuple(r) for r in _lookup(t.nation)])
     return FS.read_sqlite(t.spark, path, "nation", "n_nationkey int, n_name string, n_regionkey int", 3)
 
 
@@ -172,7 +179,7 @@ def packed_rows(t: Tables) -> DataFrame:
 def paged_listing(t: Tables) -> DataFrame:
     """A paged source read by category until a page has nothing new."""
     H.register(t.spark)
-    names = [r["n_name"] for r in t.nation.select("n_name").limit(1000).collect()]  # a lookup
+    names = [r["n_name"] for r in _lookup(t.nation.select("n_name"))]
     return t.spark.read.format("paged").options(categories=",".join(names), fetcher="sieveline.sources.pages.sample_page", max_pages="9").load()
 
 
@@ -294,11 +301,11 @@ def transitions(t: Tables) -> DataFrame:
     return D.transition(D.transition(D.transition(s, 5, "completed", "/a"), 6, "failed", None, "gone"), 7, "completed", "/b", "late")
 
 
-@query("select r_regionkey+1 id, r_name as name, 's' source, '/p/'||r_name file_path from region union all select 5+row_number() over (order by f), n, 's2', f from (select min(n) n, f from (select n_name n, '/p/'||n_name f from nation where n_nationkey>=3) group by f)")
+@query("select r_regionkey+1 id, r_name as name, 's' source, '/p/'||r_name file_path from region union all select 5+row_number() over (order by f), n, 's2', f from (select min(n) n, f from (select n_name n, '/p/'||n_name f from nation) group by f)")
 def registered_variants(t: Tables) -> DataFrame:
     """New by (name, source), then by path; the first of each path."""
     old = t.region.select((c("r_regionkey") + 1).cast("bigint").alias("id"), c("r_name").alias("name"), F.lit("s").alias("source"), F.concat(F.lit("/p/"), "r_name").alias("file_path"))
-    new = t.nation.where("n_nationkey >= 3").select(c("n_name").alias("name"), F.lit("s2").alias("source"), F.concat(F.lit("/p/"), "n_name").alias("file_path"))
+    new = t.nation.select(c("n_name").alias("name"), F.lit("s2").alias("source"), F.concat(F.lit("/p/"), "n_name").alias("file_path"))
     again = t.region.select(c("r_name").alias("name"), F.lit("s").alias("source"), F.lit("/other").alias("file_path"))
     same_path = t.region.select(F.lit("zz").alias("name"), F.lit("s3").alias("source"), F.concat(F.lit("/p/"), "r_name").alias("file_path"))
     return D.register_variant(old, new.union(new).union(again).union(same_path))
@@ -441,7 +448,7 @@ def resumed_categories(t: Tables) -> DataFrame:
 @query("select n_name url, case when n_nationkey%7=0 then 'failed' else 'completed' end status from nation where n_regionkey>=1 and n_nationkey%5<>4")
 def scraped_categories(t: Tables) -> DataFrame:
     """Categories one after the other, each leaving out what is known."""
-    names = [r["r_regionkey"] for r in t.region.select("r_regionkey").orderBy("r_regionkey").limit(1000).collect()]  # a lookup
+    names = [r["r_regionkey"] for r in _lookup(t.region.select("r_regionkey").orderBy("r_regionkey"))]
     discover = lambda k: t.nation.where(c("n_regionkey") == int(k)).select(c("n_name").alias("url"), "n_nationkey")
     download = lambda d: d.select("url", F.when(c("n_nationkey") % 7 == 0, "failed").otherwise("completed").alias("status"))
     return Q.scrape_categories([str(n) for n in names], discover, download, t.nation.where("n_nationkey % 5 = 4").select(c("n_name").alias("url")), "url", 1)[0]
@@ -450,7 +457,7 @@ def scraped_categories(t: Tables) -> DataFrame:
 @query("with k as (select r_regionkey k, count(n_nationkey) filter (n_nationkey%5<>4) n, count(n_nationkey) filter (n_nationkey%5<>4 and n_nationkey%7=0) bad from region left join nation on n_regionkey=r_regionkey group by 1) select k::varchar category, 'scrape_start' event, 0 n from k union all select k::varchar, 'scrape_complete', n from k union all select k::varchar, e, case e when 'download_success' then n-bad when 'download_fail' then bad else n end from k cross join (select unnest(['download_start','download_success','download_fail','download_complete']) e) where n>0 union all select 'broken: no such category', 'error', 0 union all select 'broken', 'scrape_start', 0")
 def scraping_events(t: Tables) -> DataFrame:
     """The events of scraping, an error of discovery among them."""
-    names = [str(r["r_regionkey"]) for r in t.region.select("r_regionkey").limit(1000).collect()]  # a lookup
+    names = [str(r["r_regionkey"]) for r in _lookup(t.region.select("r_regionkey"))]
 
     def discover(k: str) -> DataFrame:
         if k == "broken":
@@ -557,7 +564,7 @@ def issue_labels(t: Tables) -> DataFrame:
 def adapters(t: Tables) -> DataFrame:
     """Pluggable sources by name, each a function to a frame; unknown names are reported."""
     registry = Q.Adapters()
-    for name, key in [(r["r_name"], r["r_regionkey"]) for r in t.region.limit(1000).collect()]:  # a lookup
+    for name, key in [(r["r_name"], r["r_regionkey"]) for r in _lookup(t.region)]:
         registry.add(name, lambda k=key: t.nation.where(c("n_regionkey") == k).select(c("n_name").alias("url")))
     return registry.run([*registry.names(), "missing"], lambda d: settled(d, "scraped").count(), t.spark)
 
@@ -572,7 +579,7 @@ def api_listing(t: Tables) -> DataFrame:
 
     def load() -> str:
         asked.append(1)
-        rows = [{"family": r["n_name"], "category": r["n_regionkey"]} for r in t.nation.limit(1000).collect()]  # a lookup
+        rows = [{"family": r["n_name"], "category": r["n_regionkey"]} for r in _lookup(t.nation)]
         return ")]}'\n" + json.dumps({"familyMetadataList": rows})
 
     for _ in range(3):
