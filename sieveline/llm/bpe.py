@@ -73,8 +73,8 @@ class ByteBpe:
         # caches of two generations: when the young one is full it becomes the old one, which recurring entries leave again
         self.codes: dict[str, tuple[int, ...]] = {}
         self.old_codes: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[bytes, int, bytes]] = {}
-        self.old_chunks: dict[str, tuple[bytes, int, bytes]] = {}
+        self.chunks: dict[str, tuple[bytes, int, bytes] | None] = {}
+        self.old_chunks: dict[str, tuple[bytes, int, bytes] | None] = {}
         self.digits = {i: b"%d" % i for i in self.bytes_of}
 
     def stays_apart(self, left: int, right: int) -> bool:
@@ -169,18 +169,23 @@ class ByteBpe:
         """The text of ids; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    # A text is cut before each single space that a visible character follows: a border between
-    # words in any case. The parts recur, so the digits of their ids and their bytes are kept.
+    # A text is cut at single spaces that a visible character follows: borders between words in
+    # any case. What stands between them recurs, so the digits of its ids and its bytes are kept, by
+    # the part without its space; the first part, which has none, is known by a key with a space.
 
-    def _parts(self, text: str) -> list[str] | None:
-        if self.odd_space.search(text) or any(a in text for a in self.added):
+    def _keys(self, text: str) -> list[str] | None:
+        if any(a in text for a in self.added):
             return None
-        head, *rest = text.split(" ")
-        return [head, *map(" ".__add__, rest)] if head else list(map(" ".__add__, rest))
+        parts = text.split(" ")
+        if parts[0]:
+            parts[0] = "\0 " + parts[0]
+        else:
+            del parts[0]
+        return parts
 
     def digest_batch(self, texts: list[str]) -> list[tuple[bytes, int, str, str]]:
         """For each text: the joined decimal ids, count of tokens, their sha256, sha256 of the decoded text."""
-        cut = [self._parts(t) if t else [] for t in texts]
+        cut = [self._keys(t) if t else [] for t in texts]
         if len(self.chunks) > self.cached // 2 or self.held > self.cached_chars // 2:
             self.old_chunks, self.chunks, self.held = self.chunks, {}, 0
             self.old_codes, self.codes = self.codes, {}
@@ -189,21 +194,27 @@ class ByteBpe:
             if (chunk := old.get(p)) is not None:
                 chunks[p] = chunk
             else:
-                pieces[p] = find(p)
+                part = p[2:] if p[:2] == "\0 " else " " + p
+                if self.odd_space.match(part):  # white space after the space: the text is not to be cut here
+                    chunks[p] = None
+                else:
+                    pieces[p] = find(part)
         self._learn({w for ws in pieces.values() for w in ws})
         codes, digits, octets = self.codes, self.digits.__getitem__, self.bytes_of.__getitem__
         for p, ws in pieces.items():
             ids = codes[ws[0]] if len(ws) == 1 else [i for w in ws for i in codes[w]]
             chunks[p] = (b",".join(map(digits, ids)), len(ids), b"".join(map(octets, ids)))
-        odd = [t for t, c in zip(texts, cut, strict=True) if c is None]
+        found = [c if c is None else list(map(chunks.__getitem__, c)) for c in cut]
+        found = [None if c is None or None in c else c for c in found]
+        odd = [t for t, c in zip(texts, found, strict=True) if c is None]
         odd_ids = iter(self.encode_batch(odd) if odd else [])
         out = []
-        for c in cut:
+        for c in found:
             if c is None:
                 ids = next(odd_ids)
-                joined, n, decoded = ",".join(map(str, ids)).encode(), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+                joined, n, decoded = b",".join(map(digits, ids)), len(ids), b"".join(map(octets, ids))
             else:
-                texts_of, sizes, octets_of = zip(*map(chunks.__getitem__, c), strict=True) if c else ((), (), ())
+                texts_of, sizes, octets_of = zip(*c, strict=True) if c else ((), (), ())
                 joined, n, decoded = b",".join(texts_of), sum(sizes), b"".join(octets_of)
             try:
                 decoded.decode()
