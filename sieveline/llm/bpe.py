@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches, only, uncollected
+from .common import bounded_batches, held, only, uncollected
 
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE; \s is the property White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -224,15 +224,13 @@ class ByteBpe:
         return out
 
 
-_LOADED: dict[int, ByteBpe] = {}
-
-
 def loaded(spec: str) -> ByteBpe:
     """The tokenizer of ``spec``, built once in each Python worker."""
-    if (key := hash(spec)) not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteBpe(spec)
-    return _LOADED[key]
+    kept = held("bpe")
+    if (key := hash(spec)) not in kept:
+        kept.clear()
+        kept[key] = ByteBpe(spec)
+    return kept[key]
 
 
 def read_spec(path: str) -> str:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,27 @@ def uncollected() -> Iterator[None]:
             gc.enable()
 
 
+_HELD: dict[str, dict] = {}
+
+
+def release() -> None:
+    """Give freed memory back to the machine: a Python worker outlives its task, and its neighbours need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def held(operator: str) -> dict:
+    """What this Python worker keeps for an operator from task to task; what it has kept for others goes."""
+    others = [kept for name, kept in _HELD.items() if name != operator and kept]
+    for kept in others:
+        kept.clear()
+    if others or operator not in _HELD:
+        release()
+    return _HELD.setdefault(operator, {})
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

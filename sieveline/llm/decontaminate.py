@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, only
+from .common import bounded_batches, held, only
 from .jaccard import Shingler, mixed
 
 RADIUS = 19
@@ -164,15 +164,12 @@ def item_blocks(benchmark: DataFrame, items: int) -> Iterator[list[tuple[int, st
         yield [(r["item_id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()]
 
 
-_INDEXED: dict[int, Items] = {}
-
-
 def _indexed(rows: list[tuple[int, str]], words: int) -> Items:
-    key = hash((words, *rows))
-    if key not in _INDEXED:
-        _INDEXED.clear()
-        _INDEXED[key] = Items(rows, words)
-    return _INDEXED[key]
+    kept, key = held("items"), hash((words, *rows))
+    if key not in kept:
+        kept.clear()
+        kept[key] = Items(rows, words)
+    return kept[key]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, items: int = ITEMS) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, only, setting, spread, stored
+from .common import bounded_batches, fresh, held, only, release, setting, spread, stored
 from .graph import components
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -166,10 +166,11 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, held, size = Shingler(words), [], 0
+        held("jaccard")
+        shingler, sets, size = Shingler(words), [], 0
 
         def frequent() -> pa.RecordBatch:
-            s = np.sort(np.concatenate(held))
+            s = np.sort(np.concatenate(sets))
             starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             counts = np.diff(np.append(starts, len(s)))
             often = counts >= 8
@@ -177,13 +178,16 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                held.append(shingler.set(text))
-                size += len(held[-1])
+                sets.append(shingler.set(text))
+                size += len(sets[-1])
                 if size > COUNTED:
                     yield frequent()
-                    held, size = [], 0
+                    sets, size = [], 0
         if size:
             yield frequent()
+        shingler.known.clear()
+        sets = []
+        release()
 
     top = only(docs, "text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
     return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
@@ -196,6 +200,7 @@ def sketched(docs: DataFrame, words: int, num: int, den: int, ranges: int) -> Da
     schema = "doc_id long, print long, n long, node long, sketch array<long>, key long, leader long, range int, keys binary, nodes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard")
         shingler, keys, nodes, size = Shingler(words), [], [], 0
 
         def batch(**cols) -> pa.RecordBatch:
@@ -230,6 +235,9 @@ def sketched(docs: DataFrame, words: int, num: int, den: int, ranges: int) -> Da
                 keys, nodes, size = [], [], 0
         if size:
             yield from flush()
+        shingler.known.clear()
+        keys, nodes = [], []
+        release()
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("print"))
     return stored(rows.mapInArrow(run, schema), "sketches")
@@ -346,6 +354,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, shingles of the classes in ``wanted`` (node, doc_id: one of its documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("jaccard")
         shingler = Shingler(words)
         for b in batches:
             sets = [shingler.set(t) for t in b.column(1).to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, id_crc, only, uncollected
+from .common import bounded_batches, held, id_crc, only, uncollected
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, epochs: int =
     rows = rows.repartition(1).sortWithinPartitions("_epoch", "_order", "doc_id", "_label", "text").select("text", "_label")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality")
         hasher, model = Hasher(bits), Ftrl(bits)
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -123,6 +124,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     bits, sent = int(np.log2(len(weights) - 1)), spark.sparkContext.broadcast(weights.astype(np.float32).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality")
         hasher, w = Hasher(bits), np.frombuffer(sent.value, dtype=np.float32).astype(np.float64)
         for b in batches:
             with uncollected():
@@ -147,6 +149,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
     bits, sent, at = int(np.log2(len(weights) - 1)), spark.sparkContext.broadcast(weights.tobytes()), names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality")
         hasher, w = Hasher(bits), np.frombuffer(sent.value, dtype=np.float32).astype(np.float64)
         for b in batches:
             with uncollected():

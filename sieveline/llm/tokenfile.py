@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .bpe import byte_alphabet, read_spec
-from .common import bounded_batches, only, shared_dir, shuffle_width, spread
+from .common import bounded_batches, held, only, shared_dir, shuffle_width, spread
 
 MAGIC = b"SVT1"
 BLOCK = 1 << 18  # ids of a block
@@ -203,14 +203,12 @@ class CachedEncoder(dict):
         return [np.frombuffer(b"".join([self[p] for p in t.encode().split()]), np.uint32) for t in texts]
 
 
-_ENCODERS: dict[int, CachedEncoder] = {}
-
-
 def encoder(spec: str) -> CachedEncoder:
-    if (key := hash(spec)) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = CachedEncoder(spec)
-    return _ENCODERS[key]
+    kept = held("tokens")
+    if (key := hash(spec)) not in kept:
+        kept.clear()
+        kept[key] = CachedEncoder(spec)
+    return kept[key]
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, files: int | None = None, width: int = 2, bits: bool = False) -> DataFrame:
