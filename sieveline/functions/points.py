@@ -210,21 +210,33 @@ def catmull_rom(points: Column, n: int) -> Column:
     return F.when(size < 2, points).otherwise(F.transform(F.sequence(F.lit(0), (size - 1) * n), sample))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def resampled(points: Column, n: int) -> Column:
     """``n`` points at equal arc lengths by linear interpolation; fewer than two points or no length: unchanged."""
-    lengths = F.transform(steps(points), length)
-    marks = F.aggregate(lengths, F.array().cast("array<double>"), lambda acc, v: F.concat(acc, F.array(v + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)))))
-    whole = F.element_at(marks, -1)
-
-    def at(k: Column) -> Column:
-        target = whole * k / F.lit(float(max(1, n - 1)))
-        i = F.least(F.size(points) - 2, F.greatest(F.lit(0), F.size(F.filter(marks, lambda m: m <= target)) - 1))
-        a, b = F.get(points, i), F.get(points, i + 1)
-        span = F.get(marks, i + 1) - F.get(marks, i)
-        t = F.when(span == 0, 0.0).otherwise(F.try_divide(target - F.get(marks, i), span))
-        return point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t)
-
-    return F.when(F.size(points) < 2, points).when(path_length(points) == 0, points).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
+    start = F.array().cast("array<double>")
+    marks = F.aggregate(F.transform(steps(points), length), start, lambda acc, v: F.concat(acc, F.array(v + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)))))
+
+    def along(s: Column) -> Column:
+        p, m = s["p"], s["m"]
+        whole = F.element_at(m, -1)
+
+        def at(k: Column) -> Column:
+            target = whole * k / F.lit(float(max(1, n - 1)))
+
+            def between(i: Column) -> Column:
+                a, b, low, high = F.get(p, i), F.get(p, i + 1), F.get(m, i), F.get(m, i + 1)
+                t = F.when(high == low, 0.0).otherwise(F.try_divide(target - low, high - low))
+                return point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t)
+
+            return let(F.least(F.size(p) - 2, F.greatest(F.lit(0), F.size(F.filter(m, lambda v: v <= target)) - 1)), between)
+
+        return F.when(whole == 0, p).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
+
+    return F.when(F.size(points) < 2, points).otherwise(let(F.struct(points.alias("p"), marks.alias("m")), along))
 
 
 def useful_strokes(strokes: Column, least: int = 2, canvas: float = 224, border: float = 2) -> Column:
