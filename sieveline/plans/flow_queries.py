@@ -102,7 +102,7 @@ def archive_round_trip(t: Tables) -> DataFrame:
     return got.join(F.broadcast(made.select("n_files")), F.lit(True))  # one row
 
 
-@query("select replace(s_name,'#','#')||'.ttf' name, (select count(*) from supplier where s_suppkey%5<>0) n from supplier where s_suppkey%5<>0 and s_suppkey%3<>0")
+@query("select s_name||'.ttf' name, (select count(*) from supplier where s_suppkey%5<>0) n from supplier where s_suppkey%5<>0 and s_suppkey%3<>0")
 def archive_extract(t: Tables) -> DataFrame:
     """The entries of an archive that are not there yet, and the count of all."""
     path, _ = _archive(t)
@@ -285,7 +285,7 @@ def cancelled_jobs(t: Tables) -> DataFrame:
     return jobs
 
 
-@query("select id, job_id, url, status from (select p_partkey id, 1 job_id, p_name||p_partkey url, 'completed' status from part where p_partkey<30 union all select (select max(p_partkey) from part where p_partkey<30)+row_number() over (order by url), 1, url, 'pending' from (select distinct p_name||p_partkey url from part where p_partkey>=20))".replace("p_partkey>=20", "p_partkey>=30"))
+@query("select id, job_id, url, status from (select p_partkey id, 1 job_id, p_name||p_partkey url, 'completed' status from part where p_partkey<30 union all select (select max(p_partkey) from part where p_partkey<30)+row_number() over (order by url), 1, url, 'pending' from (select distinct p_name||p_partkey url from part where p_partkey>=30))")
 def staged_items(t: Tables) -> DataFrame:
     """Discovered items are appended as pending, those that the job has are left out."""
     url = F.concat("p_name", c("p_partkey").cast("string"))
@@ -364,7 +364,7 @@ def touched_rows(t: Tables) -> DataFrame:
 # ---- jobs and streams ----
 
 
-@query("with o as (select row_number() over (order by event_id) checked, event_type='error' bad from events), s as (select *, sum(bad::int) over (order by checked) failed from o) select checked seq, 'progress' as type, checked, failed, failed//50*50 rejected from s where bad and failed%50=0 or checked%100=0 union all select count(*)+1, 'done', count(*), sum(bad::int), sum(bad::int) from o".replace("failed//50*50", "(failed//50*50)"))
+@query("with o as (select row_number() over (order by event_id) checked, event_type='error' bad from events), s as (select *, sum(bad::int) over (order by checked) failed from o) select checked seq, 'progress' as type, checked, failed, (failed//50*50) rejected from s where bad and failed%50=0 or checked%100=0 union all select count(*)+1, 'done', count(*), sum(bad::int), sum(bad::int) from o")
 def rejection_progress(t: Tables) -> DataFrame:
     """Progress of a rejection in batches of fifty failed rows, at every hundredth row, and the end."""
     q = Q.rejection_frames(t.events, "event_id", c("event_type") == "error", 50, 100)
@@ -410,11 +410,9 @@ _WORKED = "select c_custkey id, case when c_custkey%7=0 then 'failed' else 'comp
 
 
 def _queue(t: Tables, **how) -> Q.DownloadQueue:
-    from .flow_queries import _reader as function
-
     found = scratch(t.spark, "discovered")
     t.customer.select(c("c_custkey").alias("id")).repartition(5).write.json(found)
-    return Q.DownloadQueue(t.spark, found, "id bigint", scratch(t.spark, "results"), scratch(t.spark, "checkpoint"), function, "id", ("id",), **how)
+    return Q.DownloadQueue(t.spark, found, "id bigint", scratch(t.spark, "results"), scratch(t.spark, "checkpoint"), _reader, "id", ("id",), **how)
 
 
 @query(_WORKED)
@@ -431,8 +429,8 @@ def download_queue(t: Tables) -> DataFrame:
 def paused_queue(t: Tables) -> DataFrame:
     """A queue that is paused, resumed and finished has worked off each item; what is over cannot be cancelled."""
     q = _queue(t).start(1)
-    q.pause()
-    q.resume() if q.status == "paused" else None
+    if q.pause():
+        q.resume()
     q.wait()
     if q.cancel() or q.status != "completed":
         raise RuntimeError(q.status)
@@ -536,7 +534,7 @@ def top_classes(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.array_join(F.transform(top, lambda p: p["label"].cast("int").cast("string")), ",").alias("top"))
 
 
-@query("select vec_id, round(greatest(p[65-64+26+label%26], p[1+label%26]),6) confidence, greatest(p[27+label%26], p[1+label%26])>=0.016 accepted from (select vec_id, label, [exp(x)/list_sum([exp(y::double) for y in embedding]) for x in embedding::double[]] p from embeddings)".replace("65-64+26+", "27+"))
+@query("select vec_id, round(greatest(p[27+label%26], p[1+label%26]),6) confidence, greatest(p[27+label%26], p[1+label%26])>=0.016 accepted from (select vec_id, label, [exp(x)/list_sum([exp(y::double) for y in embedding]) for x in embedding::double[]] p from embeddings)")
 def letter_confidence(t: Tables) -> DataFrame:
     """The probability of a letter in the case that is likelier."""
     p = _probabilities(t)

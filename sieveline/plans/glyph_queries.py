@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -397,7 +398,7 @@ def stroke_markup(t: Tables) -> DataFrame:
     return masks(t).select("vec_id", F.md5(K.to_svg(none)).alias("svg"), F.size(F.get(back["strokes"], F.lit(0))).alias("n_points"), back["word"].alias("word"))
 
 
-_HEAD = Y.png(__import__("numpy").zeros((8, 8), "uint8"))[:33].hex().upper()
+_HEAD = Y.png(np.zeros((8, 8), np.uint8))[:33].hex().upper()
 
 
 @query(f"select vec_id, '{_HEAD}' head, true whole from embeddings")
@@ -469,7 +470,7 @@ def minimal_strokes(t: Tables) -> DataFrame:
 
 @query(
     f"with p as ({PIX}), o as (select a.* from p a where (select count(*) from p b where b.vec_id=a.vec_id and abs(a.x-b.x)+abs(a.y-b.y)=1)<4), b as (select vec_id, min(x) x0, max(x) x1, min(y) y0, max(y) y1 from o group by 1), "
-    "r as (select o.vec_id, g.r, o.x, o.y, row_number() over (partition by o.vec_id, g.r order by (o.x-(x0+(x1-x0)*((g.r-1)%3)/2.0))**2+(o.y-(y0+(y1-y0)*(2-(g.r-1)//3)/2.0))**2, o.y, o.x) rn from o join b using (vec_id) cross join range(1,10) g(r)) select vec_id, sum(r*(x+8*y))::double at from r where rn=1 group by 1".replace(" at from r", " spot from r")
+    "r as (select o.vec_id, g.r, o.x, o.y, row_number() over (partition by o.vec_id, g.r order by (o.x-(x0+(x1-x0)*((g.r-1)%3)/2.0))**2+(o.y-(y0+(y1-y0)*(2-(g.r-1)//3)/2.0))**2, o.y, o.x) rn from o join b using (vec_id) cross join range(1,10) g(r)) select vec_id, sum(r*(x+8*y))::double spot from r where rn=1 group by 1"
 )
 def glyph_vertices(t: Tables) -> DataFrame:
     """The outline pixel nearest to each of the nine anchors."""
@@ -519,7 +520,7 @@ def merged_strokes(t: Tables) -> DataFrame:
     return out
 
 
-@query(f"select vec_id, 2 n_strokes, 32 n_points from embeddings")
+@query("select vec_id, 2 n_strokes, 32 n_points from embeddings")
 def strokes_to_count(t: Tables) -> DataFrame:
     """Eight pieces of each point array joined by their nearest ends until a template's number of strokes is left."""
     pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("p", 4 * i + 1, F.lit(4)))
