@@ -150,3 +150,20 @@ def test_styles_with_noise_stay_near(spark):
     got = spark.range(3).select(style.apply(line, F.col("id"), F.col("id")).alias("q")).collect()
     assert all(len(r["q"]) == 10 and all(abs(p["x"] - i) < 2 and abs(p["y"]) < 2 for i, p in enumerate(r["q"])) for r in got)
     assert len({r["q"][0]["x"] for r in got}) == 3
+
+
+@pytest.mark.parametrize("end,most,n", [((100, 50), math.pi / 4, 1), ((50, 100), math.pi / 4, 2), ((100, 100), math.pi / 2, 1), ((100, 100), math.pi / 8, 2)])
+def test_joins_by_the_bend_at_a_junction(end, most, n):
+    to_junction = lambda x, y: [(x + (50 - x) * i / 14, y + (50 - y) * i / 14) for i in range(15)]
+    near = {(50 + dx, 50 + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
+    got = K.Glyph([to_junction(0, 50), to_junction(*end)], [near]).by_direction(most).strokes
+    assert len(got) == n and sum(map(len, got)) == 30
+
+
+def test_arms_at_a_t_and_a_lone_spur():
+    line = lambda a, b, n: [(a[0] + (b[0] - a[0]) * i / (n - 1), a[1] + (b[1] - a[1]) * i / (n - 1)) for i in range(n)]
+    arms = [line((0, 50), (50, 50), 30), line((100, 50), (50, 50), 30)]
+    g = K.Glyph([*arms, line((50, 50), (50, 55), 5)], [{(50, 50)}, {(50, 55)}]).t_junctions()
+    assert [len(s) for s in g.strokes] == [60]
+    assert len(K.Glyph([*arms, line((50, 50), (50, 55), 5)], [{(50, 50)}]).t_junctions().strokes) == 3  # the bar ends nowhere
+    assert K.merge_pipeline([]) == [] and len(K.merge_pipeline([line((0, 0), (100, 100), 25)])) == 1
