@@ -69,7 +69,7 @@ class ByteBpe:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.odd_space = regex.compile(r" (?=\p{White_Space}|$)")
         self.cached, self.cached_chars, self.held = cached, cached_chars, 0
-        self.open: dict[tuple[int, int], bool] = {}
+        self.open: dict[int, bool] = {}  # known borders: left token shifted by 24 bits, right token
         # caches of two generations: when the young one is full it becomes the old one, which recurring entries leave again
         self.codes: dict[str, tuple[int, ...]] = {}
         self.old_codes: dict[str, tuple[int, ...]] = {}
@@ -85,7 +85,7 @@ class ByteBpe:
         merge comes before each of them was itself merged away; of equal merges the leftmost
         comes first.
         """
-        if (known := self.open.get((left, right))) is not None:
+        if (known := self.open.get(left << 24 | right)) is not None:
             return known
         a, b, a_ends, b_ends, apart = left, right, NEVER, NEVER, True
         while True:
@@ -100,9 +100,9 @@ class ByteBpe:
                 a_ends, a = a_born, self.halves[a][1]
             else:
                 b_ends, b = b_born, self.halves[b][0]
-        if len(self.open) > 2_000_000:
+        if len(self.open) > 400_000:
             self.open.clear()
-        self.open[left, right] = apart
+        self.open[left << 24 | right] = apart
         return apart
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
@@ -121,10 +121,10 @@ class ByteBpe:
                     continue
                 node = path[at + 1 - size]
                 if size <= at:  # not the first token of the word
-                    pair = last[node], token
-                    stays = known(pair)
+                    before_it = last[node]
+                    stays = known(before_it << 24 | token)
                     if stays is None:
-                        stays = apart(*pair)
+                        stays = apart(before_it, token)
                     if not stays:
                         continue
                 path.append(len(last))
@@ -140,7 +140,7 @@ class ByteBpe:
 
     def _learn(self, pieces: set[str]) -> None:
         """Cache the codes of words, those of the new ones all through one trie."""
-        if len(self.codes) > self.cached // 2:
+        if len(self.codes) > self.cached // 4:  # most parts are a word, which the other cache knows
             self.old_codes, self.codes = self.codes, {}
         codes, old, new = self.codes, self.old_codes, {}
         for p in pieces:
