@@ -412,3 +412,34 @@ def test_one_row_of_each_group_stays(spark):
     assert jaccard.keep_first(docs.where("doc_id = 9")).count() == 1 and jaccard.keep_first(docs.limit(0)).count() == 0
     before = spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
     assert before != "0"
+
+
+def test_a_worker_keeps_things_for_one_operator():
+    import gc
+
+    from sieveline.llm.common import held, uncollected
+
+    held("a")["x"] = 1
+    assert held("a") == {"x": 1} and held("b") == {} and held("a") == {}
+    assert gc.isenabled()
+    with uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
+
+
+def test_clusters_need_a_shared_folder():
+    from sieveline.llm.common import shared_dir
+
+    class Conf:
+        def get(self, name, default=None):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    session = type("Session", (), {"conf": Conf(), "sparkContext": Context()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session, "x")
