@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches, held, only, uncollected
+from .common import bounded_batches, held, only, release, uncollected
 
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE; \s is the property White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -224,12 +224,12 @@ class ByteBpe:
         return out
 
 
-def loaded(spec: str) -> ByteBpe:
+def loaded(spec: str, cached: int = 300_000) -> ByteBpe:
     """The tokenizer of ``spec``, built once in each Python worker."""
     kept = held("bpe")
-    if (key := hash(spec)) not in kept:
+    if (key := (hash(spec), cached)) not in kept:
         kept.clear()
-        kept[key] = ByteBpe(spec)
+        kept[key] = ByteBpe(spec, cached)
     return kept[key]
 
 
@@ -255,12 +255,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     return out.withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cached: int = 300_000) -> DataFrame:
     """Id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each document, from the codes that :func:`encode` gives; ``ids`` on demand."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec.value)
+        bpe = loaded(spec.value, cached)
         for b in batches:
             with uncollected():
                 got = bpe.digest_batch([t or "" for t in b.column(1).to_pylist()])
@@ -271,6 +271,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
                 cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.int32)]))))
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        release()
 
     bounded_batches(docs.sparkSession)
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
@@ -280,5 +281,5 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
 
 def encode_with_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """What :func:`digests` gives, and the token ids."""
-    return digests(docs, vocabulary, with_ids=True)
+    """What :func:`digests` gives, and the token ids; with small caches, as other stages' workers and a full heap are beside it."""
+    return digests(docs, vocabulary, with_ids=True, cached=60_000)

@@ -105,7 +105,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", str(32 << 20)).parquet(path)  # a writer holds a block
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

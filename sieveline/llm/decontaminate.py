@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, held, only
+from .common import bounded_batches, held, only, release
 from .jaccard import Shingler, mixed
 
 RADIUS = 19
@@ -206,6 +206,7 @@ def drop_matches(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshol
             own = _indexed(sent.value, words)
             for b in batches:
                 yield b.filter(pa.array([not own.matches(t, threshold, first=True) for t in b.column(at).to_pylist()], pa.bool_()))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, held, id_crc, only, uncollected
+from .common import bounded_batches, held, id_crc, only, release, uncollected
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -113,6 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8192, epochs: int =
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 model.update(hasher.features(text), label)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["w"])
+        del hasher, model
+        release()
 
     got = rows.mapInArrow(train, "w binary").collect()
     return np.frombuffer(bytes(got[0]["w"]), dtype=np.float32) if got else np.zeros((1 << bits) + 1, dtype=np.float32)
@@ -130,6 +132,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             with uncollected():
                 m = np.array([margin(w, hasher.features(t)) for t in b.column(1).to_pylist()], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))), pa.float64())], names=["doc_id", "score"])
+        release()
 
     bounded_batches(spark)
     return only(docs, "doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())]))
@@ -155,6 +158,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds:
             with uncollected():
                 m = np.array([margin(w, hasher.features(t)) for t in b.column(at).to_pylist()], dtype=np.float64)
             yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(m, -30, 30))) >= threshold))
+        release()
 
     bounded_batches(spark)
     return docs.mapInArrow(run, docs.schema)
