@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
+from .rules import SHARES, SYMBOLS, TWO_SIDED
 from .urls import LINK, RULES, URL
 
 
@@ -55,4 +56,30 @@ r(node, reached) as (select doc_id, doc_id from documents union select r.node, u
 select d.doc_id, coalesce(n.n, 0) n_shingles, m.component_id from documents d left join n on n.doc_id = d.doc_id join (select node, min(reached) component_id from r group by 1) m on m.node = d.doc_id"""
 
 
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter(), "op10_jaccard_parity": near_duplicates()}
+def quality_rules(prior: int = 100, reach: float = 3.0, chance: float = 100.0) -> str:
+    """The rules from their definition: counts, base rules, quartiles of bucketed values, thresholds, verdicts."""
+    space, word = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+    share = lambda m: f"(1000 * {SHARES[m][0]} // greatest({SHARES[m][1]}, 1))"
+    values = " union all ".join(f"select rid, lang, source, '{m}' measure, {share(m)} v from counted where not base_failed" for m in SHARES)
+    merged = lambda keys: f"select *, sum(n) over (partition by {keys}, measure order by edge) upto, sum(n) over (partition by {keys}, measure) total from (select {keys}, measure, edge, count(*) n from sketch group by all)"
+    quart = lambda keys: f"select {keys}, measure, any_value(total) total, min(edge) filter (4 * upto >= total) low, min(edge) filter (4 * upto >= 3 * total) high from ({merged(keys)}) group by all"
+    drawn = lambda c: f"(o.total * o.{c} + {prior} * w.{c})::double / (o.total + {prior})::double"
+    least = "case v.measure " + " ".join(f"when '{m}' then {SHARES[m][2]}" for m in SHARES) + " end"
+    low = " or ".join(f"v.measure = '{m}'" for m in TWO_SIDED)
+    return f"""with d as (select row_number() over () rid, doc_id, coalesce(text, '') t, coalesce(lang, '') lang, coalesce(source, '') source from documents),
+w as (select rid, list_filter(string_split_regex(t, '{space}'), lambda x: x != '') l, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) lines from d),
+windows as (select rid, unnest(range(1, len(l) - 3)) i, unnest([array_to_string(l[i:i + 4], ' ') for i in range(1, len(l) - 3)]) win from w),
+twice as (select rid, i from (select rid, i, count(*) over (partition by rid, win) n from windows) where n > 1),
+again as (select rid, count(distinct i + k) n from twice, range(5) r(k) group by 1),
+counts as (select d.rid, doc_id, lang, source, len(l)::bigint n_words, length(array_to_string(l, ''))::bigint word_chars, len(regexp_extract_all(t, '{SYMBOLS}'))::bigint n_symbols, len(lines)::bigint n_lines, (len(lines) - len(list_distinct(lines)))::bigint n_dup_lines, coalesce(again.n, 0)::bigint n_repeat_words from d join w on w.rid = d.rid left join again on again.rid = d.rid),
+counted as materialized (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed from counts),
+measured as materialized ({values}),
+sketch as (select lang, source, measure, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) edge from measured),
+own as ({quart("lang, source")}), whole as ({quart("lang")}),
+limits as (select o.lang, o.source, o.measure, {drawn("low")} low, {drawn("high")} high from own o join whole w on w.lang = o.lang and w.measure = o.measure),
+failed as (select distinct v.rid from measured v join counted c on c.rid = v.rid join limits t on t.lang = v.lang and t.source = v.source and t.measure = v.measure
+where v.v > t.high + {reach}::double * greatest(t.high - t.low, {least}) * (1 + sqrt({chance}::double / c.n_words)) or ({low}) and v.v < t.low - {reach}::double * greatest(t.high - t.low, {least}) * (1 + sqrt({chance}::double / c.n_words)))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and f.rid is null kept from counted c left join failed f on f.rid = c.rid"""
+
+
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter(), "op10_jaccard_parity": near_duplicates(), "op13_quality_rules": quality_rules()}
