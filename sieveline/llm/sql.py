@@ -82,4 +82,22 @@ where v.v > t.high + {reach}::double * greatest(t.high - t.low, {least}) * (1 +
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and f.rid is null kept from counted c left join failed f on f.rid = c.rid"""
 
 
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter(), "op10_jaccard_parity": near_duplicates(), "op13_quality_rules": quality_rules()}
+def importance(percent: int = 10, min_words: int = 20, buckets: int = 10_000, salt: str = "2024") -> str:
+    """Single words as features; crc32 is computed from its polynomial, once for each distinct word."""
+    low = lambda c: f"translate(coalesce({c}, ''), '{UPPER}', '{LOWER}')"
+    words = lambda c: f"regexp_extract_all({low(c)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    step = "lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])"
+    octets = "list_transform(range(0, octet_length(encode(word))::bigint), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint)"
+    return f"""with tab as materialized (select list_transform(range(0, 256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) tab),
+d as materialized (select row_number() over () rid, doc_id, {words("text")} w from documents),
+dw as materialized (select rid, unnest(w) word from d), bw as materialized (select unnest({words("text")}) word from benchmark),
+crcs as materialized (select word, xor(list_reduce(list_prepend(4294967295, {octets}), {step}), 4294967295) % {buckets} bucket from (select word from dw union select word from bw), tab),
+s as (select bucket, count(*) n from dw join crcs using (word) group by 1), t as (select bucket, count(*) n from bw join crcs using (word) group by 1),
+gains as materialized (select b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select count(*) from dw) + {buckets})::double / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from bw) + {buckets})::double)))::bigint gain from (select unnest(range({buckets})) bucket) b left join s on s.bucket = b.bucket left join t on t.bucket = b.bucket),
+weights as (select rid, floor(sum(gain) / count(*))::bigint weight from dw join crcs using (word) join gains using (bucket) group by 1),
+scored as materialized (select d.rid, doc_id, len(w)::bigint n_features, coalesce(weight, 0)::bigint weight, (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{salt}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint score from d left join weights on weights.rid = d.rid),
+able as (select rid, row_number() over (order by score desc, doc_id nulls last, n_features, weight) rank, count(*) over () n from scored where n_features >= {min_words})
+select doc_id, n_features, weight, score, case when rank <= {percent} * n // 100 then rank end rank from scored left join able using (rid)"""
+
+
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter(), "op10_jaccard_parity": near_duplicates(), "op11_importance_resampling": importance(), "op13_quality_rules": quality_rules()}
