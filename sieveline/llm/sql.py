@@ -100,4 +100,19 @@ able as (select rid, row_number() over (order by score desc, doc_id nulls last,
 select doc_id, n_features, weight, score, case when rank <= {percent} * n // 100 then rank end rank from scored left join able using (rid)"""
 
 
-ORACLES: dict[str, str] = {"op3_url_filter": url_filter(), "op10_jaccard_parity": near_duplicates(), "op11_importance_resampling": importance(), "op13_quality_rules": quality_rules()}
+def prefix_trie(heads: int = 6, family: int = 100) -> str:
+    """Sequences as lists; each node's ancestors are the prefixes of its smallest conversation. crc32 as in ``importance``."""
+    octets = "list_transform(range(0, length(conv_id::varchar)), lambda i: ascii(substr(conv_id::varchar, i::int + 1, 1))::bigint)"
+    return f"""with tab as materialized (select list_transform(range(0, 256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) tab),
+o as materialized (select conv_id, list({{'role': coalesce(role, ''), 'text': coalesce("text", '')}} order by turn nulls first, role nulls first, "text" nulls first) l from conversations where conv_id is not null group by 1),
+h as (select conv_id, l, xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295) % {heads} h from o, tab),
+r as materialized (select h.conv_id, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) l from h left join o b on b.conv_id = h.conv_id - h.conv_id % {family}),
+m as materialized (select conv_id, len(l) n, d depth, md5(l[1:d]::varchar) || sha256(to_json(l[1:d])::varchar) k, l[d]['text'] "text" from (select *, unnest(range(0, len(l) + 1)) d from r)),
+n as materialized (select depth, k, min(conv_id) conv_id, count(*) n_convs, (count(*) - 1) * coalesce(length(any_value("text")), 0) own, coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = depth), '') ends from m group by 1, 2),
+path as materialized (select n.conv_id, n.depth, n.own, a.depth up_depth, b.conv_id up from n join m a on a.conv_id = n.conv_id and a.depth <= n.depth join n b on b.depth = a.depth and b.k = a.k),
+kids as materialized (select up conv_id, up_depth depth, count(*) n_children from path where up_depth = depth - 1 group by 1, 2),
+sums as (select p.up conv_id, p.up_depth depth, sum(p.own)::bigint saved_tokens, count(*) filter (k.n_children is null) n_leaves from path p left join kids k on k.conv_id = p.conv_id and k.depth = p.depth group by 1, 2)
+select n.conv_id, n.depth, p.up parent_conv_id, n.n_convs, coalesce(k.n_children, 0) n_children, s.n_leaves, s.saved_tokens, sha256(n.ends) ends_sha256 from n left join path p on p.conv_id = n.conv_id and p.depth = n.depth and p.up_depth = n.depth - 1 left join kids k on k.conv_id = n.conv_id and k.depth = n.depth join sums s on s.conv_id = n.conv_id and s.depth = n.depth"""
+
+
+ORACLES: dict[str, str] = {"op3_url_filter": url_filter(), "op10_jaccard_parity": near_duplicates(), "op11_importance_resampling": importance(), "op12_conversation_trie": prefix_trie(), "op13_quality_rules": quality_rules()}
