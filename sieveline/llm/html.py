@@ -7,11 +7,14 @@ many pages have it, how much text and link text it holds and how many different
 that is full of links or says the same on page after page is furniture; the smallest container
 of the remaining paths that at least half the pages have is what those pages agree on. The path
 that wins is the host's; the main text of its pages is what lies below it, less the furniture.
-A page without that path, or whose article reaches beyond it, falls back on its own.
+A page that has less than half of its text there, or whose article reaches beyond it, falls back on
+its own container. Paths within articles are furniture if they say the same on page after page while
+the articles differ. All of this holds for hosts of any number of pages.
 
 Navigation, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles
 are left out by tag, by role and by names in class and id: a name counts if it is one of the plain
-ones, or if it, or the whole attribute, has no other words than such names and qualifiers.
+ones, or if it, or the whole attribute, has no other words than such names and qualifiers; names in
+camel case are cut into words. Names with other words are left to the vote.
 
 Defined results: null, empty and text-free html give an empty text; a null url has the host "";
 broken markup never fails: unclosed tags end with their container, stray end tags are ignored,
@@ -40,7 +43,7 @@ STOP = re.compile(r"[>\"']")
 NAME = re.compile(r"[a-zA-Z][^\s>/]*")
 VALUE = re.compile(r"=\s*\Z")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""", re.S)
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")  # camel case is cut into its words
 ARTICLE = re.compile(r"/(?:article|main)\b")
 DEEPEST = 64
 
@@ -52,9 +55,9 @@ SKIPPED = frozenset("head script style noscript template nav footer aside form b
 #: Roles and words of class or id that name what is not the article.
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 #: Names that alone say so, words that say so in company of such words and qualifiers only, qualifiers.
-SKIP_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies consent gdpr popup modal overlay newsletter comments commentlist disqus pagination pager toolbar".split())
+SKIP_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead cookie cookies consent gdpr popup modal overlay newsletter comments commentlist disqus discussion discussions responses pagination pager toolbar".split())
 SKIP_WORDS = SKIP_NAMES | frozenset("sponsor sponsored promo promotion promoted banner aside notice notices subscribe subscription signup login share sharing social comment respond reply replies related recommended recommendations widget widgets copyright disclaimer".split())
-QUALIFIERS = frozenset("site page main top bottom left right inner outer box list bar block wrap wrapper container section area item items posts post links link buttons icons primary secondary global header media form alert slot unit panel row col column".split())
+QUALIFIERS = frozenset("site page main top bottom left right inner outer box list bar block wrap wrapper container section area item items posts post links link buttons icons primary secondary global header media form alert slot unit panel row col column user users reader readers visitor visitors article content story our your latest new".split())
 HEADER_WORDS = frozenset("header topbar".split())
 CLOSES = {  # an opening tag ends an open one of these
     "p": frozenset(["p"]),
@@ -82,19 +85,25 @@ class Node:
 
 def generalised(tag: str, attributes: dict[str, str]) -> str:
     """Tag with the first class, digits dropped: pages of one template share it."""
-    first = re.sub(r"\d+", "", (attributes.get("class") or attributes.get("id") or "").strip().split(" ")[0]).strip("-_ ").replace("/", "-")
+    first = re.sub(r"\d+", "", ((attributes.get("class") or attributes.get("id") or "").split() or [""])[0]).strip("-_").replace("/", "-")
+    if len(first) > 64:  # a path has 64 levels at most, and no level is long
+        first = f"{first[:32]}-{xxhash.xxh64_hexdigest(first)}"
     return f"{tag}.{first}" if first else tag
 
 
+def words_of(name: str) -> list[str]:
+    return [w.lower() for w in WORDS.findall(name)]
+
+
 def names_furniture(value: str, inside: bool) -> bool:
     """Whether a class or id says that an element is no part of the article."""
-    plain = WORDS.findall(value.lower())
+    plain = words_of(value)
     if SKIP_WORDS.isdisjoint(plain) and HEADER_WORDS.isdisjoint(plain):
         return False
     if SKIP_WORDS.union(QUALIFIERS).issuperset(plain) and not SKIP_WORDS.isdisjoint(plain):
         return True
-    for name in value.lower().split():
-        words = WORDS.findall(name)
+    for name in value.split():
+        words = words_of(name)
         if len(words) == 1 and words[0] in SKIP_NAMES:
             return True
         if len(words) > 1 and SKIP_WORDS.union(QUALIFIERS).issuperset(words) and not SKIP_WORDS.isdisjoint(words):
@@ -187,7 +196,8 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     """Text, path of the container and length of its link text, of each block of a page in order."""
     out: list[tuple[str, str, int]] = []
     stack = [Node("", "", 0, False, False, False)]
-    opened: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
+    scopes = [0]  # where containers are
     line: list[str] = []
     links = 0
     container = ""
@@ -203,8 +213,10 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
 
     def close(depth: int) -> None:
         for n in stack[depth:]:
-            opened[n.tag] -= 1
+            places[n.tag].pop()
         del stack[depth:]
+        while scopes[-1] >= depth:
+            scopes.pop()
 
     scanner = Scanner(html or "")
     for kind, tag, rest in scanner:
@@ -216,16 +228,14 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
                     links += len(tag)
             continue
         if kind == "end":
-            if not opened.get(tag):
+            if not places.get(tag):
                 if tag == "p":
                     end_block()
                 elif tag == "br" and not top.skip:
                     line.append(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag or tag in INLINE and stack[depth].tag in SCOPES:
-                    break
-            if stack[depth].tag != tag:  # an inline end tag does not end a container
+            depth = places[tag][-1]
+            if tag in INLINE and depth < scopes[-1]:  # an inline end tag does not end a container
                 continue
             if tag not in INLINE:
                 end_block()
@@ -247,13 +257,9 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
         if tag not in INLINE:
             end_block()
             ends = CLOSES.get(tag) or (P_ALONE if tag in BLOCKS_CLOSE_P else NOTHING)
-            if any(opened.get(t) for t in ends):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ends:
-                        close(i)
-                        break
-                    if stack[i].tag in SCOPES:
-                        break
+            last = max((places[t][-1] for t in ends if places.get(t)), default=0)
+            if last and last >= scopes[-1]:  # none beyond the innermost container
+                close(last)
             while len(stack) > 1 and stack[-1].tag in INLINE:  # an unclosed inline tag ends with its line
                 close(len(stack) - 1)
         top = stack[-1]
@@ -265,8 +271,10 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
         path, depth = top.path, top.depth
         if tag in SCOPES and depth < DEEPEST:
             path, depth = f"{path}/{generalised(tag, attributes)}", depth + 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
         stack.append(Node(tag, path, depth, skip, top.link or tag == "a", top.inside or tag in ("article", "main")))
-        opened[tag] = opened.get(tag, 0) + 1
         if tag not in INLINE:
             container = path
     end_block()
@@ -320,7 +328,7 @@ def extract(html: str | None, path: str | None) -> str:
         return ""
     own = best(found)
     beyond = ARTICLE.search(own) and not f"{own}/".startswith(f"{path}/")
-    if path and not beyond and (text := below(found, path)):
+    if path and not beyond and (text := below(found, path)) and 2 * len(text) >= len(below(found, own)):
         return text
     return below(found, own)
 
@@ -347,21 +355,43 @@ def parsed(pages: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(run, PARSED.format(pages.schema["page_id"].dataType.simpleString())), "parsed", compression="zstd")
 
 
-def host_paths(pages: DataFrame, least: int = 4) -> DataFrame:
-    """host, path, furniture: the container that the parsed pages of each host agree on, and the paths below it that are no text.
+def repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, all_blocks, texts, chars, links of the blocks (print, pos, text, links) of different pages.
+
+    Counts are exact and pre-aggregated: pages that say the same are one, a text is counted where it first meets itself.
+    """
+    text = F.xxhash64("text").alias("said")
+    once = rows.groupBy(*keys, "print", "pos", text, F.length("text").alias("size"), F.col("links").alias("linked")).agg(F.lit(1).alias("one"))
+    texts = once.groupBy(*keys, "said").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
+    return texts.groupBy(*keys).agg(F.sum("n").alias("all_blocks"), F.count("*").alias("texts"), F.sum("size").alias("chars"), F.sum("linked").alias("links"))
+
+
+def exploded(pages: DataFrame) -> DataFrame:
+    return pages.select("host", "print", "article", F.posexplode("blocks").alias("pos", "b")).select("host", "print", "article", "pos", "b.path", "b.text", "b.links")
+
+
+def host_paths(pages: DataFrame) -> DataFrame:
+    """host, path, furniture, asides: the container that the parsed pages of each host agree on, the paths below it that are no text, and those within articles.
 
-    Counts of distinct texts are mergeable sketches, so that a host's pages never meet in a task.
+    A path is furniture if it is full of links or if its texts come up three times each on average.
+    Within articles only the second counts, where less than a quarter of the articles' text is there
+    and the longest blocks of the articles differ: pages that are near copies repeat those too.
     """
     has_text = pages.where(F.size("blocks") > 0)
-    articles = has_text.where("article IS NOT NULL").groupBy("host", "article").agg(F.count("*").alias("n")).groupBy("host").agg(F.max(F.struct("n", "article")).alias("won"), F.sum("n").alias("with_article"))
+    with_article = has_text.where("article IS NOT NULL")
+    longest = F.array_max(F.transform("blocks", lambda b: F.struct(F.length(b["text"]).alias("n"), F.xxhash64(b["text"]).alias("said"))))
+    sizes = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+    pages_of = with_article.groupBy("host", "article", "print").agg(F.count("*").alias("n"), F.first(longest["said"]).alias("said"), F.first(sizes).alias("size"))
+    articles = pages_of.groupBy("host", "article").agg(F.sum("n").alias("n")).groupBy("host").agg(F.max(F.struct("n", "article")).alias("won"), F.sum("n").alias("with_article"))
+    leads = pages_of.groupBy("host", "said").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("host").agg(F.sum("n").alias("pages"), F.count("*").alias("leads"), F.sum("size").alias("whole"))
+    inner = repeated(exploded(with_article).where(F.col("path").startswith(F.concat("article", F.lit("/")))), "host", "path")
+    aside = inner.where("3 * texts <= all_blocks").join(leads, "host").where("2 * pages < 3 * leads AND 4 * chars < whole")
+    asides = aside.groupBy("host").agg(F.collect_set("path").alias("asides"))
     plain = has_text.where("article IS NULL")
-    distinct = lambda *c: F.approx_count_distinct(F.xxhash64(*c))
-    rows = plain.select("host", "print", F.posexplode("blocks").alias("pos", "b")).select("host", "print", "pos", "b.path", "b.text", "b.links")
-    paths = rows.groupBy("host", "path").agg(distinct("print").alias("pages"), distinct("print", "pos").alias("all_blocks"), distinct("text").alias("texts"), F.sum(F.length("text")).alias("chars"), F.sum("links").alias("links"))
-    paths = paths.withColumn("furniture", (F.col("pages") >= least) & ((F.col("chars") < 3 * F.col("links")) | (3 * F.col("texts") <= F.col("all_blocks"))))
+    paths = repeated(exploded(plain), "host", "path").withColumn("furniture", F.expr("chars < 3 * links OR 3 * texts <= all_blocks"))
     have = plain.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: b["path"]))).alias("path")).groupBy("host", "path").agg(F.count("*").alias("have"))
-    sizes = plain.groupBy("host").agg(F.count("*").alias("without_article"))
-    judged = paths.join(have, ["host", "path"]).join(sizes, "host")
+    counted = plain.groupBy("host").agg(F.count("*").alias("without_article"))
+    judged = paths.join(have, ["host", "path"]).join(counted, "host")
     steps = F.split("path", "/")
     shared = judged.where(~F.col("furniture") & (2 * F.col("have") >= F.col("without_article"))).groupBy("host").agg(F.min(steps).alias("low"), F.max(steps).alias("high"), F.sum("chars").alias("kept"))
     # the common beginning of the smallest and of the largest is common to all
@@ -369,11 +399,11 @@ def host_paths(pages: DataFrame, least: int = 4) -> DataFrame:
     container = F.array_join(F.slice("low", F.lit(1), F.size(F.filter(same, lambda x: x))), "/")
     agreed = shared.select("host", container.alias("container"), "kept")
     dropped = judged.where("furniture").groupBy("host").agg(F.collect_set("path").alias("furniture"), F.sum("chars").alias("dropped"))
-    other = sizes.join(agreed, "host", "left").join(dropped, "host", "left")
-    both = articles.join(other, "host", "full")
+    other = counted.join(agreed, "host", "left").join(dropped, "host", "left")
+    both = articles.join(other, "host", "full").join(asides, "host", "left")
     by_article = F.coalesce("with_article", F.lit(0)) >= F.coalesce("without_article", F.lit(0))
     furniture = F.when(F.coalesce("kept", F.lit(0)) > F.col("dropped"), F.col("furniture"))  # what is most of a host's text is its text
-    return both.select("host", F.when(by_article, F.col("won.article")).otherwise(F.col("container")).alias("path"), furniture.alias("furniture"))
+    return both.select("host", F.when(by_article, F.col("won.article")).otherwise(F.col("container")).alias("path"), furniture.alias("furniture"), "asides")
 
 
 def within(block: Column, path: Column) -> Column:
@@ -387,11 +417,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     # stored, so that its size is known: Catalyst broadcasts it below the session's threshold, else joins by sorting and splits hot hosts
     paths = stored(host_paths(found), "host-paths").withColumnRenamed("host", "voted")
     rows = found.join(paths, F.col("host") == F.col("voted"), "left")
-    good = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("furniture", b["path"]), F.lit(False)))
-    rows = rows.withColumn("blocks", F.when(F.col("article").isNull() & (F.size(good) > 0), good).otherwise(F.col("blocks")))
+    out = F.when(F.col("article").isNull(), F.col("furniture")).otherwise(F.col("asides"))
+    good = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("out", b["path"]), F.lit(False)))
+    rows = rows.withColumn("out", out).withColumn("blocks", F.when(F.col("out").isNotNull() & (F.size(good) > 0), good).otherwise(F.col("blocks")))
     beyond = F.col("article").isNotNull() & ~F.concat("article", F.lit("/")).startswith(F.concat("path", F.lit("/")))
     at = F.filter("blocks", lambda b: within(b, F.col("path")))
     own = F.filter("blocks", lambda b: within(b, F.col("best")))
-    by_host = (F.coalesce("path", F.lit("")) != "") & ~beyond & (F.size(at) > 0)
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]) + 1)  # noqa: E731  with a line end each
+    by_host = (F.coalesce("path", F.lit("")) != "") & ~beyond & (F.size(at) > 0) & (2 * (size(at) - 1) >= size(own) - 1)
     text = F.array_join(F.transform(F.when(by_host, at).otherwise(own), lambda b: b["text"]), "\n")
     return rows.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text"), "path").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

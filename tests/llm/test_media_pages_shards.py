@@ -83,7 +83,7 @@ def test_host_votes_win(spark):
     got = html.main_text(pages).collect()
     assert len(got) == 10
     by = {r["page_id"]: r for r in got}
-    assert by[6]["text"] == "short one" and by[7]["text"] == "" and by[0]["n_chars"] == len(by[0]["text"])
+    assert by[6]["text"] == ("long " * 90).strip() + "\nshort one" and by[7]["text"] == "" and by[0]["n_chars"] == len(by[0]["text"])
     assert html.main_text(pages.limit(0)).count() == 0
 
 
@@ -230,6 +230,18 @@ def test_broken_markup_takes_linear_time_and_does_not_leak():
         began = time.time()
         html.extract(page, None)
         assert time.time() - began < 6, piece
+    m = 1_000_000
+    for tag in ("li", "dd", "dt", "td", "th", "tr", "p", "option", "div"):
+        for open_tag in ("h1", "pre", "span", "dfn"):
+            n = m // (len(open_tag) + 2 * len(tag) + 7)
+            page = f"<{tag}><div>" + f"<{open_tag}>" * n + f"<{tag}></{tag}>" * n
+            began = time.time()
+            html.extract(page, None)
+            assert time.time() - began < 15, (tag, open_tag)
+    for page in ("<h1>" * 90_000 + "</b>" * 90_000 + "<b>", "<b><div>" + "<h1>" * 90_000 + "</b>" * 90_000, "<div class='" + "x" * 9000 + "'>" * 90_000):
+        began = time.time()
+        html.extract(page, None)
+        assert time.time() - began < 15
     assert html.extract("<p>a <a title=\"foo>bar</a> b</p>", None) == "a bar b"
     assert html.extract("<p>a <a title='x > y' href=\"u>v\">bar</a> b</p><p it's>c</p>", None) == "a bar b\nc"
     assert html.extract("<p>a < b and c</p><p>x <3 y</p>", None) == "a < b and c\nx <3 y"
@@ -242,6 +254,29 @@ def test_names_that_only_hold_a_skipped_word_are_kept():
     assert html.extract(page % out, None) == "kept one\nkept two\nkept three"
 
 
+def test_comments_and_notices_within_an_article():
+    names = ("user-comments", "reader_comment", "article-comments", "cookieBanner", "sponsored-content", "responses", "discussion", "userComments", "post-comments reader")
+    page = "<article><p>the article itself</p>" + "".join(f"<div class='{c}'><p>not this</p></div>" for c in names) + "<div class='commentaryOfTheDay'><p>nor lost</p></div></article>"
+    assert html.extract(page, None) == "the article itself\nnor lost"
+
+
+def test_asides_within_articles(spark):
+    """A path of unknown name that says the same in each article goes; where the articles repeat themselves, or say most there, it stays."""
+    rng = random.Random(8)
+    say = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    body = lambda text, tail, note: f"<body><article><h1>{text[:9]}</h1><p>{text}</p><p>{tail}</p><div class='zq'><p>{note}</p></div></article></body>"
+    rows, want = [], {}
+    for host, n, note, same in (("a.example", 3, "Write to us at any time.", False), ("b.example", 3, "Write to us at any time.", True), ("c.example", 2, "Write to us at any time.", False), ("d.example", 6, say(90), False)):
+        text = say(30)
+        for _ in range(n):
+            text = text if same else say(30)
+            i, tail = len(rows), say(2)
+            rows.append((i, f"http://{host}/{i}", body(text, tail, note)))
+            want[i] = "\n".join([text[:9].strip(), text, tail] + [note] * (host != "a.example"))
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def brute_host(pages):
     """The vote of ``html.host_paths`` by plain sets, for pages without an article."""
     found = [f for f in map(html.blocks, pages) if f]
@@ -254,7 +289,7 @@ def brute_host(pages):
             s[3], s[4] = s[3] + len(text), s[4] + links
         for path in {x[1] for x in f}:
             has[path] = has.get(path, 0) + 1
-    furniture = {p for p, (a, b, c, n, k) in stats.items() if len(a) >= 4 and (n < 3 * k or 3 * len(c) <= len(b))}
+    furniture = {p for p, (a, b, c, n, k) in stats.items() if n < 3 * k or 3 * len(c) <= len(b)}
     good = [p.split("/") for p, s in stats.items() if p not in furniture and 2 * has[p] >= len(found)]
     return "/".join(__import__("os").path.commonprefix(good)), furniture
 
