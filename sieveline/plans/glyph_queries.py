@@ -15,7 +15,9 @@ from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import ranking as R
 from ..operators import relational as J
+from ..functions.templates import Templates
 from ..operators import spatial as G
+from ..operators import waypoints as W
 from .catalog import POINTS, Tables, c, query
 
 PIX = "select vec_id, (i-1)%8 x, (i-1)//8 y from embeddings cross join range(1,65) r(i) where embedding[i]>0"
@@ -553,8 +555,6 @@ def centred_points(t: Tables) -> DataFrame:
 @query("select c_custkey, chr((65+c_custkey%26)::int) as char, case when c_custkey%26 in (2,8,9,18,20) then 1 when c_custkey%26 in (0,5,7,10,13,16,17,24,25) then 3 when c_custkey%26 in (4,22) then 4 else 2 end n_strokes, case when c_custkey%26=0 then 2 else 1 end n_variants from customer")
 def template_lookup(t: Tables) -> DataFrame:
     """Templates of characters with their variants, one of them added."""
-    from ..functions.templates import Templates
-
     known = Templates().add("A", "pointed", [["1", "v(8)", "3"], ["4", "6"]])
     frame = known.frame(t.spark).groupBy("char").agg(F.max(F.size("strokes")).alias("n_strokes"), F.count("*").alias("n_variants"))
     rows = t.customer.select("c_custkey", F.chr(65 + c("c_custkey") % 26).alias("letter"))
@@ -591,3 +591,85 @@ def handwriting(t: Tables) -> DataFrame:
     edges = cells.where((c("x") < 31) & (c("y") < 31) & ((c("v") != c("right")) | (c("v") != c("under")))).select("font", "x", "y")
     s = A.handwriting_scores(ink, letters, edges, 32.0, 4, 2)
     return s.select(c("font").alias("vec_id"), F.round("baseline_variation", 8).alias("baseline"), F.round("stroke_width_variation", 8).alias("width"), F.round("edge_roughness", 8).alias("rough"), F.round("slant_variation", 8).alias("slant"), F.round("overall", 8).alias("overall"))
+
+
+#: Characters of the waypoint queries, and the waypoints of their templates as SQL rows.
+CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _waypoint_rows() -> str:
+    rows = []
+    for char, variant, strokes in Templates(numpad=True).rows():
+        for k, items in enumerate(strokes):
+            ways = [(i.strip("vci()"), {"v": "vertex", "c": "curve", "i": "crossing"}.get(i[0], "point")) for i in items if i != "straight"]
+            for q, (region, kind) in enumerate(ways):
+                upright = "true" if len(items) == 2 and (int(ways[0][0]) - int(ways[1][0])) % 3 == 0 else "false"
+                rows.append(f"('{char}','{variant}',{k},{q},{region},'{kind}',{ways[q + 1][0] if q + 1 < len(ways) else 'null'},{upright})")
+    return ",".join(rows)
+
+
+_WAYS = f"ways(char, variant, stroke, seq, region, kind, onward, upright) as (values {_waypoint_rows()})"
+#: The mask's pixels taken as a skeleton, its box and the place of each waypoint.
+_FOUND = (
+    f"{_WAYS}, p as ({PIX}), d as (select a.vec_id, a.x, a.y, count(b.x) degree from p a left join p b on b.vec_id=a.vec_id and abs(a.x-b.x)<=1 and abs(a.y-b.y)<=1 and (a.x<>b.x or a.y<>b.y) group by 1,2,3), "
+    "box as (select vec_id, min(x)::double x0, max(x)::double x1, min(y)::double y0, max(y)::double y1 from p group by 1), "
+    f"asked as (select box.*, w.*, x0+((region-1)%3)/2.0*(x1-x0) tx, y0+(2-(region-1)//3)/2.0*(y1-y0) ty, (onward-1)//3-(region-1)//3 up, (onward-1)%3-(region-1)%3 across from box join ways w on w.char='{CHARS}'[1+vec_id%62]), "
+    "facing as (select *, case when abs(up)>abs(across) then case when up>0 then 'up' else 'down' end when abs(across)>abs(up) then case when across>0 then 'right' else 'left' end end direction, x0+((region-1)%3)*(x1-x0)/3 cx0, x0+((region-1)%3+1)*(x1-x0)/3 cx1, y0+(2-(region-1)//3)*(y1-y0)/3 cy0, y0+(3-(region-1)//3)*(y1-y0)/3 cy1, y0+(y1-y0)/3 upper, y0+2*((y1-y0)/3) lower, (x0+x1)/2 mx, (y0+y1)/2 my, y1-y0 h from asked), "
+    "met as (select f.*, d.x, d.y, degree, (d.x-tx)**2+(d.y-ty)**2 far, x1-x0>=1 and y1-y0>=1 and d.x>=cx0 and d.x<cx1 and d.y>=cy0 and d.y<cy1 here, case when ty<upper then d.y<upper when ty>lower then d.y>lower else d.y between upper and lower end band, "
+    "case direction when 'down' then d.y when 'up' then -d.y when 'left' then -d.x when 'right' then d.x else (d.x-tx)**2+(d.y-ty)**2 end along from facing f join d using (vec_id)), "
+    "lev as (select *, case kind when 'vertex' then case when ty<upper or ty>lower then 0 when abs(y-my)<0.15*h then 1 else 9 end when 'curve' then case when tx<>mx and (case when ty<my then y<my-0.05*h else y>my+0.05*h end) then 0 else 9 end when 'crossing' then case when degree>=3 and here then 0 else 9 end "
+    "else case when region in (1,3,7,9) and here and degree=1 then 0 when here then 3 when band then 6 else 9 end end lv from met), "
+    "val as (select *, case when lv=9 then far when kind='vertex' and lv=0 then case when ty<upper then y else -y end when kind='vertex' then case when tx<mx then x else -x end when kind='curve' then case when tx>mx then -x else x end when kind='crossing' then far else along end v from lev), "
+    "found as (select * from val qualify row_number() over (partition by vec_id, variant, stroke, seq order by lv, v, far, y, x)=1)"
+)
+
+
+def pixel_glyphs(t: Tables) -> DataFrame:
+    """glyph, char, skeleton: each pixel of a mask taken as one of its skeleton, without paths."""
+    p = t.embeddings.select(c("vec_id").alias("glyph"), F.posexplode("embedding").alias("i", "v")).where("v > 0").select("glyph", (c("i") % 8).alias("x"), F.expr("CAST(i div 8 AS int)").alias("y"))
+    near = F.filter("all", lambda q: (F.abs(q["x"] - c("p.x")) <= 1) & (F.abs(q["y"] - c("p.y")) <= 1))
+    g = p.groupBy("glyph").agg(F.collect_list(F.struct("x", "y")).alias("all"))
+    degrees = g.select("glyph", "all", F.explode("all").alias("p")).select("glyph", F.struct(c("p.x").alias("x"), c("p.y").alias("y"), (F.size(near) - 1).alias("degree")).alias("d"))
+    box = p.groupBy("glyph").agg(*[f(a).cast("double").alias(n) for f, a, n in ((F.min, "x", "x0"), (F.min, "y", "y0"), (F.max, "x", "x1"), (F.max, "y", "y1"))])
+    edge = p.groupBy("glyph", "x").agg(F.min("y").alias("top"), F.max("y").alias("bottom")).groupBy("glyph").agg(F.collect_list(F.struct("x", "top", "bottom")).alias("edge"))
+    bones = degrees.groupBy("glyph").agg(F.collect_list("d").alias("pixels")).join(box, "glyph").join(edge, "glyph")
+    paths = F.array().cast("array<struct<sx:int,sy:int,ex:int,ey:int,angle:double,size:int,a:int,b:int>>")
+    char = F.substring(F.lit(CHARS), (c("glyph") % 62 + 1).cast("int"), F.lit(1))
+    return bones.select("glyph", char.alias("char"), F.struct("x0", "y0", "x1", "y1", "pixels", paths.alias("paths"), "edge").alias("skeleton"))
+
+
+@query(
+    f"with {_FOUND}, tip as (select f.vec_id, f.variant, f.stroke, f.seq, case when ty<upper then arg_min(p.x, p.y*8+p.x) else arg_min(p.x, p.x-p.y*8) end ax, case when ty<upper then min(p.y) else max(p.y) end ay from found f join p on p.vec_id=f.vec_id and abs(p.x-f.x)<=5 where kind='vertex' and (ty<upper or ty>lower) group by f.vec_id, f.variant, f.stroke, f.seq, ty, upper) "
+    "select f.vec_id, f.char, f.variant, f.stroke, f.seq, f.x, f.y, case when (ty<upper and ay<y) or (ty>lower and ay>y) then ax end ax, case when (ty<upper and ay<y) or (ty>lower and ay>y) then ay end ay from found f left join tip using (vec_id, variant, stroke, seq)"
+)
+def resolved_waypoints(t: Tables) -> DataFrame:
+    """The pixel of each waypoint of each template of 62 characters, by kind, cell and direction."""
+    found = W.resolved(pixel_glyphs(t), Templates(numpad=True).frame(t.spark))
+    return found.select(c("glyph").alias("vec_id"), "char", "variant", "stroke", "seq", "x", "y", "ax", "ay")
+
+
+@query(
+    f"with recursive {_FOUND}, ends as (select a.vec_id, a.variant, a.stroke, a.seq, a.x ax, a.y ay, b.x bx, b.y b_y from found a join found b on b.vec_id=a.vec_id and b.variant=a.variant and b.stroke=a.stroke and b.seq=a.seq+1), "
+    "plain as (select vec_id, variant, stroke from found group by 1,2,3 having bool_and(kind in ('point','vertex')) and not bool_or(upright)), "
+    "walk(vec_id, sx, sy, x, y, n) as (select distinct vec_id, ax, ay, ax, ay, 0 from ends join plain using (vec_id, variant, stroke) union select w.vec_id, sx, sy, p.x, p.y, n+1 from walk w join p on p.vec_id=w.vec_id and abs(p.x-w.x)<=1 and abs(p.y-w.y)<=1 where n<20), "
+    "far as (select vec_id, sx, sy, x, y, min(n) n from walk group by 1,2,3,4,5), piece as (select e.*, f.n from ends e join plain using (vec_id, variant, stroke) left join far f on f.vec_id=e.vec_id and f.sx=ax and f.sy=ay and f.x=bx and f.y=b_y), "
+    "cut as (select *, bool_or(n is null) over (partition by vec_id, variant, stroke order by seq) gone from piece), whole as (select vec_id, variant, stroke, 1+coalesce(sum(n) filter (not gone),0) n from cut group by 1,2,3) "
+    "select vec_id, variant, count(*) filter (n>1) n_strokes, coalesce(sum(least(n,30)) filter (n>1),0)::bigint n_points from whole group by 1,2"
+)
+def waypoint_traces(t: Tables) -> DataFrame:
+    """Strokes traced from waypoint to waypoint along pixels: as many points as the shortest ways have."""
+    glyphs = pixel_glyphs(t)
+    found = W.resolved(glyphs, Templates(numpad=True).frame(t.spark)).withColumns({x: F.lit(None).cast(k) for x, k in (("ax", "int"), ("ay", "int"), ("tip", "string"))})
+    whole = found.groupBy("glyph", "variant", "stroke").agg(F.bool_and(c("kind").isin("point", "vertex") & ~c("vertical")).alias("plain")).where("plain").drop("plain")
+    strokes = W.traced_strokes(glyphs, found.join(whole, ["glyph", "variant", "stroke"]))
+    return strokes.select(c("glyph").alias("vec_id"), "variant", F.size("strokes").cast("bigint").alias("n_strokes"), F.aggregate("strokes", F.lit(0).cast("bigint"), lambda n, s: n + F.size(s)).alias("n_points"))
+
+
+@query(None)
+def best_strokes(t: Tables) -> DataFrame:
+    """The fewest strokes of 62 characters on masks: every template variant and the plain skeleton, judged, and the frames of the way there."""
+    char = F.substring(F.lit(CHARS), (c("vec_id") % 62 + 1).cast("int"), F.lit(1))
+    glyphs = big_masks(t).select(c("vec_id").alias("glyph"), char.alias("char"), "mask", "width")
+    judged = W.minimal_strokes(glyphs, Templates(numpad=True).frame(t.spark))
+    at = F.flatten(F.transform("strokes", lambda s: s))
+    return judged.select(c("glyph").alias("vec_id"), "char", "variant", F.round("score", 6).alias("score"), "won", F.size("strokes").alias("n_strokes"), F.size(at).alias("n_points"), F.round(P.total(F.transform(at, lambda q: q["x"])), 4).alias("sum_x"), F.round(P.total(F.transform(at, lambda q: q["y"])), 4).alias("sum_y"))
