@@ -830,6 +830,50 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
 
+def overlaps(size: int, n: int) -> np.ndarray:
+    """Weights (size, n) by which ``n`` pixels in a row make up ``size`` ones of equal width."""
+    edges = np.arange(size + 1) * (n / size)
+    low, high = np.arange(n), np.arange(1, n + 1)
+    shared = np.minimum(edges[1:, None], high) - np.maximum(edges[:-1, None], low)
+    return np.maximum(shared, 0) * (size / n)
+
+
+def cosines(count: int, n: int) -> np.ndarray:
+    """The first ``count`` waves of the cosine transform of ``n`` values."""
+    return np.cos(np.pi * np.arange(count)[:, None] * (2 * np.arange(n) + 1) / (2 * n))
+
+
+def perceptual_bits(images: np.ndarray, side: int) -> np.ndarray:
+    """Bits (n, side * side) of grey images (n, h, w): scaled by area, which of the lowest frequencies of the cosine transform are above their median."""
+    scaled = overlaps(4 * side, images.shape[1]) @ images.astype(float) @ overlaps(4 * side, images.shape[2]).T
+    waves = cosines(side, 4 * side)
+    low = np.round(waves @ scaled @ waves.T, 4).reshape(len(images), -1)  # what is zero but for rounding is zero
+    return low > np.median(low, axis=1, keepdims=True)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def perceptual_hash(image: pd.Series, width: pd.Series, side: pd.Series) -> pd.Series:
+    """Perceptual hash of a grey image (bytes, row by row): side * side bits, 64 to a number, the highest first; null of no image.
+
+    Images of one shape are transformed together. ``side`` is 8 or 16.
+    """
+    out: list = [None] * len(image)
+    shapes: dict[tuple, list[int]] = {}
+    for i, (data, w, k) in enumerate(zip(image, width, side, strict=True)):
+        if data is not None and len(data) and w and len(data) % w == 0:
+            shapes.setdefault((len(data), w, k), []).append(i)
+    for (_, w, k), at in shapes.items():
+        bits = perceptual_bits(np.stack([np.frombuffer(image[i], np.uint8).reshape(-1, w) for i in at]), k)
+        for i, row in zip(at, np.packbits(bits, axis=1).view(">i8").astype(np.int64), strict=True):
+            out[i] = row.tolist()
+    return pd.Series(out, dtype=object)
+
+
+def hash_text(numbers: Column) -> Column:
+    """A hash as hex digits."""
+    return F.lower(F.array_join(F.transform(numbers, lambda n: F.lpad(F.hex(n), 16, "0")), ""))
+
+
 @F.pandas_udf(T.BinaryType())
 def mask_png(mask: pd.Series, width: pd.Series) -> pd.Series:
     """Black on white."""

@@ -673,3 +673,54 @@ def best_strokes(t: Tables) -> DataFrame:
     judged = W.minimal_strokes(glyphs, Templates(numpad=True).frame(t.spark))
     at = F.flatten(F.transform("strokes", lambda s: s))
     return judged.select(c("glyph").alias("vec_id"), "char", "variant", F.round("score", 6).alias("score"), "won", F.size("strokes").alias("n_strokes"), F.size(at).alias("n_points"), F.round(P.total(F.transform(at, lambda q: q["x"])), 4).alias("sum_x"), F.round(P.total(F.transform(at, lambda q: q["y"])), 4).alias("sum_y"))
+
+
+def _hash_sql(lum: str, side: int) -> str:
+    """vec_id, letter and bits, the first bit first, of 8 x 8 images (vec_id, letter, a list ``lum``): the cosine transform from its definition, each pixel being a square of ``side / 2`` pixels."""
+    wave = f"list_sum([cos(pi()*k*(2*(p*{side // 2}+j)+1)/{8 * side}.0) for j in range(0,{side // 2})])"
+    return (
+        f"(with img as ({lum}), wave as (select k, list({wave} order by p) w from range(0,{side}) a(k), range(0,8) b(p) group by k), "
+        f"low as (select vec_id, letter, v.k v, u.k u, round(list_sum([lum[i+1]*u.w[i%8+1]*v.w[i//8+1] for i in range(0,64)]),4) f from img, wave u, wave v), "
+        f"mid as (select *, median(f) over (partition by vec_id, letter) m from low) select vec_id, letter, list(f>m order by v, u) bits from mid group by 1,2)"
+    )
+
+
+_PLAIN = "select vec_id, 0 letter, [case when embedding[i]>0 then 0 else 255 end for i in range(1,65)] lum from embeddings"
+_FLIPPED = "select vec_id, 1 letter, [case when embedding[i//8*8+8-i%8]>0 then 0 else 255 end for i in range(0,64)] lum from embeddings"
+_WORD = "list_sum([case when bits[i] then 1::hugeint<<(64-i) else 0::hugeint end for i in range(1,65)])"
+
+
+def ink_image(e: Column) -> Column:
+    """Black where a number is positive, on white."""
+    return F.unhex(F.array_join(F.transform(e, lambda v: F.when(v > 0, "00").otherwise("FF")), ""))
+
+
+@query(f"select vec_id, lower(lpad(to_hex({_WORD}),16,'0')) phash from {_hash_sql(_PLAIN, 8)}")
+def perceptual_hashes(t: Tables) -> DataFrame:
+    """The 64-bit perceptual hash of each rendering."""
+    q = t.embeddings.select("vec_id", Y.perceptual_hash(ink_image(c("embedding")), F.lit(8), F.lit(8)).alias("h"))
+    return q.select("vec_id", Y.hash_text("h").alias("phash"))
+
+
+@query(f"select e.label glyph, round(avg(len(list_filter(range(1,257), lambda i: a.bits[i]<>b.bits[i]))/256.0),6) contextual_score, avg(len(list_filter(range(1,257), lambda i: a.bits[i]<>b.bits[i]))/256.0)>=0.1 has_contextual from {_hash_sql(_PLAIN, 16)} a join {_hash_sql(_FLIPPED, 16)} b using (vec_id) join embeddings e using (vec_id) group by 1")
+def contextual_hashes(t: Tables) -> DataFrame:
+    """The mean difference of the 256-bit perceptual hashes of letters in two surroundings, here a rendering and its mirror image."""
+    e, side = c("embedding"), F.lit(16)
+    flipped = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(e, (F.floor(i / 8) * 8 + 7 - i % 8).cast("int")))
+    pairs = t.embeddings.select(c("label").alias("glyph"), Y.perceptual_hash(ink_image(e), F.lit(8), side).alias("first"), Y.perceptual_hash(ink_image(flipped), F.lit(8), side).alias("second"))
+    return K.contextual_difference(pairs).select("glyph", F.round("contextual_score", 6).alias("contextual_score"), "has_contextual")
+
+
+@query(
+    f"with recursive words as (select vec_id, {_WORD} h from {_hash_sql(_PLAIN, 8)}), h as (select h, min(vec_id) born from words group by h), o as (select *, row_number() over (order by born) k from h), "
+    "g(k, leaders) as (select 0::bigint, []::hugeint[] union all select g.k+1, case when len(list_filter(leaders, lambda x: bit_count(xor(x, o.h))<=8))>0 then leaders else list_append(leaders, o.h) end from g join o on o.k=g.k+1), "
+    "l as (select unnest(leaders) h from g where k=(select max(k) from g)), lead as (select o.born, o.h from l join o using (h)), "
+    "own as (select o.h, min(lead.born) leader from o join lead on bit_count(xor(lead.h,o.h))<=8 and lead.born<=o.born group by o.h) "
+    "select own.leader, v.vec_id member, row_number() over (partition by own.leader order by e.label desc, v.vec_id) as rank, row_number() over (partition by own.leader order by e.label desc, v.vec_id)=1 as keep from words v join own on own.h=v.h join embeddings e on e.vec_id=v.vec_id"
+)
+def duplicate_renderings(t: Tables) -> DataFrame:
+    """Renderings whose perceptual hashes differ in eight bits or less, first come first, and the best of each group."""
+    from ..operators import similarity as S
+
+    h = t.embeddings.select("vec_id", F.get(Y.perceptual_hash(ink_image(c("embedding")), F.lit(8), F.lit(8)), F.lit(0)).alias("h"))
+    return S.keep_best(S.greedy_groups(h, "vec_id", "h", 8, "vec_id"), t.embeddings.select("vec_id", c("label").cast("double").alias("score")), "vec_id", "score", "vec_id")
