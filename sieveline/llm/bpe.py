@@ -68,7 +68,7 @@ class ByteBpe:
         self.words = regex.compile(PATTERN)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.odd_space = regex.compile(r" (?=\p{White_Space}|$)")
-        self.cached, self.cached_chars, self.held = cached, cached_chars, 0
+        self.cached, self.cached_chars, self.borders, self.held = cached, cached_chars, max(100_000, 4 * cached // 3), 0
         self.open: dict[int, bool] = {}  # known borders: left token shifted by 24 bits, right token
         # caches of two generations: when the young one is full it becomes the old one, which recurring entries leave again
         self.codes: dict[str, tuple[int, ...]] = {}
@@ -100,7 +100,7 @@ class ByteBpe:
                 a_ends, a = a_born, self.halves[a][1]
             else:
                 b_ends, b = b_born, self.halves[b][0]
-        if len(self.open) > 400_000:
+        if len(self.open) > self.borders:
             self.open.clear()
         self.open[left << 24 | right] = apart
         return apart
@@ -281,5 +281,7 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
 
 def encode_with_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """What :func:`digests` gives, and the token ids; with small caches, as other stages' workers and a full heap are beside it."""
-    return digests(docs, vocabulary, with_ids=True, cached=60_000)
+    """What :func:`digests` gives, and the token ids; with small caches and batches, as other stages' workers and a full heap are beside it."""
+    out = digests(docs, vocabulary, with_ids=True, cached=10_000)
+    bounded_batches(docs.sparkSession, 100)
+    return out
