@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -215,8 +215,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def resampled(points: Column, n: int) -> Column:
-    """``n`` points at equal arc lengths by linear interpolation; fewer than two points or no length: unchanged."""
+def resampled(points: Column, n: int, also: Sequence[str] = ()) -> Column:
+    """``n`` points at equal arc lengths by linear interpolation; fewer than two points or no length: unchanged. ``also``: further fields, such as a time."""
     start = F.array().cast("array<double>")
     marks = F.aggregate(F.transform(steps(points), length), start, lambda acc, v: F.concat(acc, F.array(v + F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)))))
 
@@ -230,7 +230,7 @@ def resampled(points: Column, n: int) -> Column:
             def between(i: Column) -> Column:
                 a, b, low, high = F.get(p, i), F.get(p, i + 1), F.get(m, i), F.get(m, i + 1)
                 t = F.when(high == low, 0.0).otherwise(F.try_divide(target - low, high - low))
-                return point(a["x"] + (b["x"] - a["x"]) * t, a["y"] + (b["y"] - a["y"]) * t)
+                return F.struct(*[(a[f] + (b[f] - a[f]) * t).alias(f) for f in ("x", "y", *also)])
 
             return let(F.least(F.size(p) - 2, F.greatest(F.lit(0), F.size(F.filter(m, lambda v: v <= target)) - 1)), between)
 

@@ -6,10 +6,12 @@ old and swaps it in.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -157,6 +159,17 @@ def reject_by_first_reason(removals: DataFrame, items: Sequence[Mapping], reason
     return reject(removals, rows, reasons, code, F.col("details")), reasons
 
 
+def reject_batch(removals: DataFrame, items: DataFrame, reasons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As :func:`reject_by_first_reason`, of a table of items (pos, asset_id, reason, details): of repeated assets the first item counts."""
+    first = items.orderBy("pos").select("reason").first()
+    if first is None:
+        return removals, reasons
+    code = first["reason"] or "manual"
+    reasons = with_reason(reasons, code, code)
+    rows = items.groupBy("asset_id").agg(F.min_by("details", "pos").alias("details"))
+    return reject(removals, rows, reasons, code, F.col("details")), reasons
+
+
 def stage(staged: DataFrame, found: DataFrame, job: int) -> DataFrame:
     """Append discovered items of a job as pending; those the job has by url are left out."""
     rows = found.withColumns({"job_id": F.lit(job).cast("bigint"), "status": F.lit("pending"), "created_at": F.current_timestamp()})
@@ -185,47 +198,29 @@ def reset(tables: Mapping[str, DataFrame], kept: Sequence[str] = ("removal_reaso
     return {n: d if n in kept else cleared(d) for n, d in tables.items()}
 
 
-class Transaction:
-    """New states of several tables that become current together when the block ends without an error, and not at all otherwise.
+@contextlib.contextmanager
+def together(spark: SparkSession, folder: str) -> Iterator[dict[str, DataFrame]]:
+    """Tables to be replaced, by name: what is put in becomes current with the end of the block, and nothing if it fails.
 
-    States are written first; the switch is one small file that names all versions.
+    All tables are written first; one file that names them is then put in place. One writer at a time.
     """
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.new = spark, folder.rstrip("/"), {}
-
-    def __enter__(self) -> Transaction:
-        return self
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.new.get(name) or self.versions()[name])
-
-    def write(self, name: str, df: DataFrame) -> None:
-        path = f"{self.folder}/{name}/version-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.new[name] = path
-
-    def versions(self) -> dict[str, str]:
-        """The newest set of versions; each switch adds a file, and the highest number holds."""
-        try:
-            rows = self.spark.read.schema("seq long, name string, path string").json(f"{self.folder}/switches/*").collect()  # a row a table and switch
-        except Exception as e:  # nothing was ever written
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return {}
-        last = max((r["seq"] for r in rows), default=0)
-        return {r["name"]: r["path"] for r in rows if r["seq"] == last}
-
-    def __exit__(self, kind, error, trace) -> bool:
-        if kind is None and self.new:
-            before = self.versions()
-            seq = self._last() + 1 if before else 1
-            state = [(seq, n, p) for n, p in {**before, **self.new}.items()]
-            self.spark.createDataFrame(state, "seq long, name string, path string").coalesce(1).write.json(f"{self.folder}/switches/{seq:09d}")
-        return False
-
-    def _last(self) -> int:
-        return self.spark.read.schema("seq long").json(f"{self.folder}/switches/*").agg(F.max("seq")).first()[0]
+    new: dict[str, DataFrame] = {}
+    yield new
+    paths = versions(spark, folder)
+    for name, df in new.items():
+        paths[name] = f"{folder.rstrip('/')}/{name}/version-{uuid.uuid4().hex}"
+        df.write.parquet(paths[name])
+    spark.createDataFrame(list(paths.items()), "name string, path string").coalesce(1).write.mode("overwrite").json(f"{folder.rstrip('/')}/current")  # a row a table
+
+
+def versions(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Where the current tables of a folder are; none before the first :func:`together` ends."""
+    try:
+        return {r["name"]: r["path"] for r in spark.read.schema("name string, path string").json(f"{folder.rstrip('/')}/current").collect()}
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}
 
 
 def keep_newest(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import settled
+
 
 def _columns(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -149,18 +151,27 @@ def regressions(baseline: DataFrame, results: DataFrame, key: str, metrics: Sequ
     return out.union(status)
 
 
-def nearest_available(wanted: Sequence[int], available: DataFrame, key: str, within: int = 5) -> list[tuple[int, int]]:
-    """Each wanted number with the closest available one, none used twice, earlier wishes first."""
-    low, high = (min(wanted), max(wanted)) if wanted else (0, 0)
-    left = sorted(r[0] for r in available.where(F.col(key).between(low - within, high + within)).select(key).distinct().collect())  # bounded by the span
-    out = []
-    for w in wanted:
-        near = [x for x in left if abs(x - w) <= within]
-        if near:
-            hit = min(near, key=lambda x: (abs(x - w), x))
-            left.remove(hit)
-            out.append((w, hit))
-    return out
+def nearest_available(wanted: DataFrame, available: DataFrame, key: str, value: str, item: str, within: int = 5) -> DataFrame:
+    """key, item, gap: each wish (key, value) with the closest item (item, value) within reach, none used twice, earlier wishes (by key) first.
+
+    Ties go to the smaller value, then to the smaller item. The serial rule is settled in rounds of
+    offers: every wish without an item asks for the best of its list, an item keeps the earliest wish
+    that ever asked for it, and who is turned away strikes the item off. As all items rank the wishes
+    alike, no order of the rounds can end elsewhere. Wishes and items meet by blocks of values.
+    """
+    block = lambda c: F.floor(F.col(c) / (within + 1)).cast("long")
+    asks = wanted.select(F.col(key).alias("_wish"), F.col(value).alias("_at"), F.explode(F.array(*[block(value) + i for i in (-1, 0, 1)])).alias("_block"))
+    have = available.select(F.col(item).alias("_item"), F.col(value).alias("_has"), block(value).alias("_block"))
+    near = asks.join(have, "_block").where(F.abs(F.col("_has") - F.col("_at")) <= within)
+    open_ = settled(near.select("_wish", F.struct(F.abs(F.col("_has") - F.col("_at")).alias("gap"), F.col("_has").alias("has"), F.col("_item").alias("item")).alias("_by")), "wishes")
+    while True:
+        best = open_.groupBy("_wish").agg(F.min("_by").alias("_by")).withColumn("_item", F.col("_by.item"))
+        first = settled(best.groupBy("_item").agg(F.min("_wish").alias("_holder"), F.count("*").alias("_asked")), "held")
+        if first.where("_asked > 1").isEmpty():
+            return best.select(F.col("_wish").alias(key), F.col("_item").alias(item), F.col("_by.gap").alias("gap"))
+        # whoever comes after an item's holder can never have it, whether they have asked already or not
+        open_ = open_.withColumn("_item", F.col("_by.item")).join(first.select("_item", "_holder"), "_item", "left").where(F.col("_holder").isNull() | (F.col("_wish") <= F.col("_holder"))).select("_wish", "_by")
+        open_ = settled(open_, "wishes")
 
 
 def sample_others(df: DataFrame, group: str, key: str, n: int, seed: str = "0") -> DataFrame:

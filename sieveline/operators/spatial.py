@@ -93,6 +93,11 @@ def anchor_pixels(pixels: DataFrame, anchors: DataFrame, diagonal: float, depth:
     return near.groupBy(group, "region").agg(F.min_by(F.struct("x", "y"), F.struct((F.col("d") / diagonal - 0.3 * F.col(depth)).alias("s"), "x", "y")).alias("p")).select(group, "region", "p.x", "p.y")
 
 
+def inverted_index(df: DataFrame, key: str, item: str, block: int = 1000) -> DataFrame:
+    """key, block, items: the sorted items (integers) of each key, in blocks of neighbouring items, so that no key's list need fit in a task."""
+    return df.groupBy(key, F.floor(F.col(item) / block).cast("long").alias("block")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
 def closest_ends(ends: DataFrame, group: str = "glyph") -> DataFrame:
     """For each glyph the closest pair of ends of different strokes (stroke, side, x, y); within a glyph these are few."""
     a = ends.select(group, *[F.col(c).alias(f"{c}1") for c in ("stroke", "side", "x", "y")])
@@ -142,6 +147,18 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def radius_clusters(points: DataFrame, r: float, group: str = "glyph") -> DataFrame:
+    """group, id, x, y, cluster of points (group, id, x, y): those that a chain of steps of at most ``r`` within a group joins; a cluster is named by its smallest id.
+
+    Neighbours are found by cells, and all groups' components at once.
+    """
+    named = points.withColumn("node", F.struct(group, "id"))
+    near = radius_join(named.select(group, "id", "x", "y"), named.select(group, F.col("id").alias("other"), "x", "y"), r, group).where("id < other")
+    edges = near.select(F.struct(group, F.col("id")).alias("a"), F.struct(F.col(group), F.col("other").alias("id")).alias("b"))
+    label = connected(named.select("node"), edges)
+    return named.join(label, "node").select(group, "id", "x", "y", F.col("root.id").alias("cluster"))
+
+
 def cluster_centroids(members: DataFrame, cluster: str) -> DataFrame:
     return members.groupBy(cluster).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("size"))
 
@@ -159,6 +176,7 @@ def loops(start_cluster: Column, end_cluster: Column) -> Column:
 
 def junction_index(segments: DataFrame, group: str = "glyph") -> DataFrame:
     """junction -> segments that touch it; -1 is no junction."""
+    # a junction has as many segments as meet there
     return segments.select(group, "segment", F.explode(F.array_distinct(F.array("start", "end"))).alias("junction")).where("junction >= 0").groupBy(group, "junction").agg(F.array_sort(F.collect_list("segment")).alias("segments"))
 
 

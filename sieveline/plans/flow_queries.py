@@ -180,13 +180,13 @@ def paged_listing(t: Tables) -> DataFrame:
     """A paged source read by category until a page has nothing new."""
     H.register(t.spark)
     names = [r["n_name"] for r in _lookup(t.nation.select("n_name"))]
-    return t.spark.read.format("paged").options(categories=",".join(names), fetcher="sieveline.sources.pages.sample_page", max_pages="9").load()
+    return t.spark.read.format("paged").options(categories=",".join(names), fetcher="sieveline.plans.curation_queries.sample_page", max_pages="9").load()
 
 
 @query("select c_custkey, case when c_custkey%6<=3 then 200 else 503 end status, case c_custkey%6 when 0 then 0.0 when 1 then 7.0 when 2 then 7.0+2.0 when 3 then 7.0+2.0+4.0 else 7.0+2.0+4.0 end waited from customer")
 def fetched_pages(t: Tables) -> DataFrame:
     """Retries by what a server answers: a 429 says how long to wait, other failures wait twice as long each time."""
-    return H.fetch_all(t.customer.select("c_custkey", (c("c_custkey") % 6).cast("string").alias("url")), "c_custkey", "url", "sieveline.sources.pages.failing_server").select("c_custkey", "status", "waited")
+    return H.fetch_all(t.customer.select("c_custkey", (c("c_custkey") % 6).cast("string").alias("url")), "c_custkey", "url", "sieveline.plans.curation_queries.failing_server").select("c_custkey", "status", "waited")
 
 
 @query("select s_suppkey, case when s_suppkey%2=0 then 'https://fonts.gstatic.com/s/'||s_suppkey||'.ttf' else '' end url from supplier")
@@ -337,19 +337,18 @@ def saved_run(t: Tables) -> DataFrame:
 def transactions(t: Tables) -> DataFrame:
     """Two tables become current together, and neither when the block fails."""
     folder, failed = scratch(t.spark, "db"), False
-    with D.Transaction(t.spark, folder) as tx:
-        tx.write("nation", t.nation)
-        tx.write("region", t.region)
+    with D.together(t.spark, folder) as new:
+        new["nation"], new["region"] = t.nation, t.region
     try:
-        with D.Transaction(t.spark, folder) as tx:
-            tx.write("nation", t.nation.limit(1))
+        with D.together(t.spark, folder) as new:
+            new["nation"] = t.nation.limit(1)
             raise RuntimeError("rolled back")
     except RuntimeError:
         failed = True
-    with D.Transaction(t.spark, folder) as tx:
-        tx.write("region", tx.read("region"))
-    now = D.Transaction(t.spark, folder)
-    a, b = now.read("nation").agg(F.count("*").alias("nations")), now.read("region").agg(F.count("*").alias("regions"))
+    with D.together(t.spark, folder) as new:
+        new["region"] = t.spark.read.parquet(D.versions(t.spark, folder)["region"])
+    now = {n: t.spark.read.parquet(p) for n, p in D.versions(t.spark, folder).items()}
+    a, b = now["nation"].agg(F.count("*").alias("nations")), now["region"].agg(F.count("*").alias("regions"))
     return a.join(b, F.lit(True)).select("nations", "regions", F.lit(failed).alias("rolled_back"))  # one row each
 
 

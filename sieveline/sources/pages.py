@@ -142,19 +142,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PageSource)
 
 
-def sample_page(category: str, page: int) -> list[str]:
-    """A listing of eight urls on pages of three; later pages say the last one again. For tests and examples."""
-    urls = [f"http://{category}/{i}" for i in range(8)]
-    return urls[3 * page - 3 : 3 * page] or urls[6:]
-
-
-def failing_server(url: str, attempt: int) -> tuple[int, dict[str, str], bytes]:
-    """Answers 429 once, then 503, as often as the url's number says. For tests and examples."""
-    if attempt >= int(url):
-        return 200, {}, b"ok"
-    return (429, {"Retry-After": "7"}, b"") if attempt == 0 else (503, {}, b"")
-
-
 def fetch_all(df: DataFrame, key: str, url: str, server: str, retries: int = 3, delay: float = 1.0, wait: bool = False) -> DataFrame:
     """key, status, body, waited of each row's url; ``server`` is the import path of a function (url, attempt) -> (status, headers, body).
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,9 +90,62 @@ def test_every_kth_equals_global_rank(spark):
     assert sorted(r[0] for r in R.every_kth(df, "x", 10).collect()) == want
 
 
-def test_nearest_available_does_not_reuse(spark):
-    have = spark.createDataFrame([(10,), (12,)], "e int")
-    assert R.nearest_available([11, 11, 30], have, "e") == [(11, 10), (11, 12)]
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_nearest_available_is_the_serial_rule(spark, seed):
+    rng = random.Random(seed)
+    wishes = [(i, rng.randint(0, 60)) for i in range(60)] + [(100 + i, 30) for i in range(6)] + [(200, 900)]
+    items = [(i, rng.randint(0, 60)) for i in range(50)] + [(60 + i, 30) for i in range(3)]
+    left, want = list(items), []
+    for k, v in wishes:
+        near = [x for x in left if abs(x[1] - v) <= 5]
+        if near:
+            hit = min(near, key=lambda x: (abs(x[1] - v), x[1], x[0]))
+            left.remove(hit)
+            want.append((k, hit[0], abs(hit[1] - v)))
+    got = R.nearest_available(spark.createDataFrame(wishes, "k int, v int"), spark.createDataFrame(items, "i int, v int"), "k", "v", "i", 5)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert R.nearest_available(spark.createDataFrame([], "k int, v int"), spark.createDataFrame(items, "i int, v int"), "k", "v", "i").count() == 0
+
+
+def test_radius_clusters_against_plain_search(spark):
+    rng = random.Random(5)
+    points = [(g, i, float(rng.randint(0, 40)), float(rng.randint(0, 40))) for g in range(4) for i in range(40)]
+    want = {}
+    for g in range(4):
+        own = [p for p in points if p[0] == g]
+        left = {p[1] for p in own}
+        at = {p[1]: p[2:] for p in own}
+        for first in sorted(left):
+            if first not in left:
+                continue
+            todo = [first]
+            left.discard(first)
+            while todo:
+                a = todo.pop()
+                want[g, a] = first
+                near = [b for b in left if (at[a][0] - at[b][0]) ** 2 + (at[a][1] - at[b][1]) ** 2 <= 25]
+                left -= set(near)
+                todo += near
+    got = G.radius_clusters(spark.createDataFrame(points, "glyph int, id int, x double, y double"), 5.0)
+    assert {(r["glyph"], r["id"]): r["cluster"] for r in got.collect()} == want
+
+
+def test_together_is_all_or_nothing(spark, tmp_path):
+    folder = str(tmp_path)
+    assert D.versions(spark, folder) == {}
+    with D.together(spark, folder) as new:
+        new["a"], new["b"] = spark.range(3), spark.range(5)
+    with pytest.raises(RuntimeError), D.together(spark, folder) as new:
+        new["a"] = spark.range(1)
+        raise RuntimeError
+    with D.together(spark, folder) as new:
+        new["b"] = spark.read.parquet(D.versions(spark, folder)["b"]).where("id < 2")
+    assert {n: spark.read.parquet(p).count() for n, p in D.versions(spark, folder).items()} == {"a": 3, "b": 2}
+
+
+def test_inverted_index_has_bounded_lists(spark):
+    got = G.inverted_index(spark.range(2500).withColumn("k", F.lit("one")), "k", "id").orderBy("block").collect()
+    assert [r["items"] for r in got] == [list(range(1000)), list(range(1000, 2000)), list(range(2000, 2500))]
 
 
 def test_smoothing_keeps_constants(spark):
