@@ -659,6 +659,37 @@ def pixel_contours(contours: Column, units: Column, ascent: Column, size: float,
     return F.transform(F.transform(contours, lambda c: F.transform(c, place)), lambda c: F.when((F.size(c) >= 2) & (ends(c) > 0.5), F.concat(c, F.array(F.get(c, F.lit(0))))).otherwise(c))
 
 
+def contour_segments(contours: Column) -> Column:
+    """The segments (a, b) between neighbouring points of all contours."""
+    of = lambda p: F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, i: F.struct(a.alias("a"), F.get(p, i + 1).alias("b")))
+    return F.flatten(F.transform(contours, of))
+
+
+def contour_strokes(contours: Column) -> Column:
+    """The contour of most points as two strokes, from its top to its bottom and from there on around to the top again.
+
+    One stroke where all points are of one height; null without a contour of four points or more.
+    """
+    sizes = F.transform(contours, F.size)
+    outer = F.get(contours, (F.array_position(sizes, F.array_max(sizes)) - 1).cast("int"))
+
+    def halves(o: Column) -> Column:
+        ys = F.transform(o, lambda p: p["y"])
+        ends = F.struct(F.array_position(ys, F.array_min(ys)).cast("int").alias("top"), F.array_position(ys, F.array_max(ys)).cast("int").alias("low"), o.alias("o"))
+
+        def cut(e: Column) -> Column:
+            o, top, low, n = e["o"], e["top"], e["low"], F.size(e["o"])
+            between = lambda a, b: F.slice(o, a, b - a + 1)
+            around = lambda a, b: F.concat(between(a, n), between(F.lit(1), b))
+            down = F.when(top < low, between(top, F.greatest(low, top))).otherwise(around(top, low))
+            up = F.when(top < low, around(low, top)).otherwise(between(low, F.greatest(low, top)))
+            return F.when(top == low, F.array(o)).otherwise(F.array(down, up))
+
+        return P.let(ends, cut)
+
+    return F.when(F.size(outer) >= 4, P.let(outer, halves))
+
+
 # ---- joined writing ----
 
 

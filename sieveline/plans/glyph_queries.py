@@ -17,6 +17,7 @@ from ..operators import ranking as R
 from ..operators import relational as J
 from ..functions.templates import Templates
 from ..operators import spatial as G
+from ..operators import morphs as M
 from ..operators import waypoints as W
 from .catalog import POINTS, Tables, c, query
 
@@ -724,3 +725,76 @@ def duplicate_renderings(t: Tables) -> DataFrame:
 
     h = t.embeddings.select("vec_id", F.get(Y.perceptual_hash(ink_image(c("embedding")), F.lit(8), F.lit(8)), F.lit(0)).alias("h"))
     return S.keep_best(S.greedy_groups(h, "vec_id", "h", 8, "vec_id"), t.embeddings.select("vec_id", c("label").cast("double").alias("score")), "vec_id", "score", "vec_id")
+
+
+_LETTERS = "".join(sorted(M.STROKES))
+_RULES = ",".join("(" + ",".join(f"'{v}'" for v in (char, *r[:2])) + f",{i})" for char in M.STROKES for i, r in enumerate(M.rules_of(char)))
+
+
+def _by_rule(k: int) -> str:
+    return "case " + " ".join(f"when char='{char}' and i={i} then {r[k]}" for char in M.STROKES for i, r in enumerate(M.rules_of(char))) + " end"
+
+
+_CORNERS = (
+    f"rules(char, corner, rule, i) as (values {_RULES}), p as materialized ({BIG}), box as (select vec_id, '{_LETTERS}'[1+vec_id%26] char, min(x) x0, max(x) x1, min(y) y0, max(y) y1, max(x)-min(x) w, max(y)-min(y) h from p group by 1), "
+    "step as (select *, x-lag(x) over (partition by vec_id, y order by x) s from p), line as (select s.vec_id, y, min(x) l, max(x) r, max(s) gap from step s group by 1,2), "
+    "waist as (select vec_id, arg_min(y, r*1000+y) waist, min(r) waist_x from line join box using (vec_id) where y>=y0+h//3 and y<y0+2*h//3 group by 1), "
+    "gaps as (select vec_id, list(y order by y) g from line join box using (vec_id) where y>=y0+h//4 and y<y1-h//8 and gap>3 group by 1), "
+    "mid as (select box.*, coalesce(waist, y0+h//2) waist, coalesce(waist_x, x1+1) waist_x, coalesce(g[1+len(g)//2], y0+h*3//5) lev from box left join waist using (vec_id) left join gaps using (vec_id)), "
+    "arm as (select vec_id, arg_min(l, l*1000+y) gap_left, arg_min(y, l*1000+y) gap_left_y, arg_min(r, y-r*1000) gap_right, arg_min(y, y-r*1000) gap_right_y from line join mid using (vec_id) where y>=greatest(y0, lev-h//8) and y<least(y1, lev+h//8+1) group by 1), "
+    "seen as (select mid.*, coalesce(gap_left, x1) gap_left, coalesce(gap_left_y, lev) gap_left_y, coalesce(gap_right, x0) gap_right, coalesce(gap_right_y, lev) gap_right_y from mid left join arm using (vec_id)), "
+    f"asked as (select vec_id, char, corner, rule, greatest(5, h//8) reach, {_by_rule(2)} low, {_by_rule(3)} high, {_by_rule(4)} px, {_by_rule(5)} py from seen join rules using (char)), "
+    "rim as (select a.* from p a left join p b on b.vec_id=a.vec_id and abs(a.x-b.x)+abs(a.y-b.y)=1 group by 1,2,3 having count(b.x)<4), "
+    "met as (select a.*, x, y, (x-px)*(x-px)+(y-py)*(y-py) far, case when rule='top' then y when rule='right' and y between low and high then -x when rule='left' and y between low and high then x when rule='about' and abs(y-py)<=reach then (x-px)*(x-px)+(y-py)*(y-py) end k from asked a join rim using (vec_id)), "
+    "corners as (select vec_id, char, corner, x, y from met qualify row_number() over (partition by vec_id, corner order by k is null, coalesce(k, far), y, x)=1)"
+)
+
+
+def _letters(t: Tables) -> DataFrame:
+    char = F.substring(F.lit(_LETTERS), (c("vec_id") % 26 + 1).cast("int"), F.lit(1))
+    return big_masks(t).select(c("vec_id").alias("glyph"), char.alias("char"), "mask", "width")
+
+
+@query(f"with {_CORNERS} select * from corners")
+def letter_corners(t: Tables) -> DataFrame:
+    """The corners of 26 letters on outlines: by waist, gap, rightmost and leftmost in rows, nearest to a place."""
+    e = c("embedding")
+    cells = t.embeddings.select(c("vec_id").alias("glyph"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(1023))).alias("g")).withColumns({"x": c("g") % 32, "y": F.expr("CAST(g div 32 AS int)")})
+    ink = cells.where(F.get(e, (F.expr("x div 4") + 8 * F.expr("y div 4")).cast("int")) > 0).select("glyph", "x", "y")
+    return M.corners(ink, _letters(t).select("glyph", "char")).withColumnRenamed("glyph", "vec_id")
+
+
+_NAMES = ",".join(f"('{char}',{k},{q},'{n}',{len(s)})" for char, strokes in M.STROKES.items() for k, s in enumerate(strokes) for q, n in enumerate(s))
+
+
+@query(
+    f"with {_CORNERS}, names(char, stroke, q, corner, n) as (values {_NAMES}), way as (select vec_id, stroke, q, x::double x, y::double y, lead(x) over w bx, lead(y) over w b_y from names join corners using (char, corner) window w as (partition by vec_id, stroke order by q)), "
+    "size as (select *, sqrt((bx-x)*(bx-x)+(b_y-y)*(b_y-y)) d from way), whole as (select vec_id, stroke, sum(d) l, count(*) n from size group by 1,2), "
+    "cut as (select vec_id, stroke, case when l=0 then 1 when bx is null then 1 else greatest(2, floor(60*d/l))::int end k from size join whole using (vec_id, stroke)) select vec_id, stroke, sum(k)::bigint n_points from cut group by 1,2"
+)
+def morphed_strokes(t: Tables) -> DataFrame:
+    """The strokes of 26 letters drawn through their corners and pulled into the mask: how many points each has; a point outside the mask would be missing here."""
+    done = M.morphed(_letters(t)).join(_letters(t).select("glyph", "mask"), "glyph")
+    inside = lambda p: F.substring(c("mask"), (F.round(p["y"]) * 32 + F.round(p["x"]) + 1).cast("int"), F.lit(1)) == F.unhex(F.lit("01"))
+    as_drawn = F.when(c("char").isin("A"), c("stroke") == 2).when(c("char") == "B", c("stroke") > 0).otherwise(False)
+    rows = done.withColumn("char", F.substring(F.lit(_LETTERS), (c("glyph") % 26 + 1).cast("int"), F.lit(1)))
+    return rows.select(c("glyph").alias("vec_id"), "stroke", F.size(F.when(as_drawn, c("points")).otherwise(F.filter("points", inside))).cast("bigint").alias("n_points"))
+
+
+#: Two contours of each 32 points: of twenty and of twelve points, the larger one first in every other row.
+_CONTOUR = f"select vec_id, xs[1:20] xs, ys[1:20] ys, list_position(ys[1:20], list_min(ys[1:20])) top, list_position(ys[1:20], list_max(ys[1:20])) low from ({POINTS})"
+
+
+@query(
+    f"with h as (select vec_id, case when top<low then [i for i in range(top,low+1)] else list_concat([i for i in range(top,21)], [i for i in range(1,low+1)]) end a, case when top<low then list_concat([i for i in range(low,21)], [i for i in range(1,top+1)]) else [i for i in range(low,top+1)] end b, xs, ys from ({_CONTOUR})) "
+    "select vec_id, k stroke, len(p)::int n, xs[p[1]] x0, ys[p[1]] y0, xs[p[len(p)]] x1, ys[p[len(p)]] y1, round(list_sum([i*xs[p[i]] for i in range(1,len(p)+1)]),5) turn, 30 n_segments from (select vec_id, 0 k, a p, xs, ys from h union all select vec_id, 1, b, xs, ys from h)"
+)
+def contour_halves(t: Tables) -> DataFrame:
+    """The outer contour as two strokes between its top and its bottom; and the segments of all contours."""
+    p = P.from_pairs(c("embedding"))
+    large, small = F.slice(p, 1, 20), F.slice(p, 21, 12)
+    q = t.embeddings.select("vec_id", F.when(c("vec_id") % 2 == 0, F.array(large, small)).otherwise(F.array(small, large)).alias("contours"))
+    rows = q.select("vec_id", F.size(K.contour_segments(c("contours"))).alias("n_segments"), F.posexplode(K.contour_strokes(c("contours"))).alias("stroke", "s"))
+    first, last = F.get("s", F.lit(0)), F.element_at("s", -1)
+    turn = P.total(F.transform("s", lambda v, i: (i + 1) * v["x"]))
+    return rows.select("vec_id", "stroke", F.size("s").alias("n"), first["x"].alias("x0"), first["y"].alias("y0"), last["x"].alias("x1"), last["y"].alias("y1"), F.round(turn, 5).alias("turn"), "n_segments")
