@@ -87,6 +87,27 @@ def fetched_urls(t: Tables) -> DataFrame:
     return H.fetch_all(asked, "page_id", "url", "sieveline.plans.curation_queries.failing_server").select("page_id", "status", "waited")
 
 
+def _customers(t: Tables, *where: tuple) -> DataFrame:
+    """The customers that meet conditions, from a table of a database file."""
+    path = scratch(t.spark, "customers") + ".db"
+    rows = t.customer.select("c_custkey", "c_name", "c_nationkey", c("c_acctbal").cast("double").alias("c_acctbal"))
+    FS.write_sqlite(rows, path, "customer")
+    return FS.read_sqlite(t.spark, path, "customer", "c_custkey long, c_name string, c_acctbal double", 4, where)
+
+
+@query("select c_custkey, c_name, c_acctbal::double c_acctbal from customer where c_nationkey in (3,7,11) and c_acctbal>100")
+def database_rows(t: Tables) -> DataFrame:
+    """A table of a database file, read by spans of its rows; conditions are evaluated where the file is read."""
+    return _customers(t, ("c_nationkey", "in", [3, 7, 11]), ("c_acctbal", ">", 100))
+
+
+@query("select o_orderkey, c_name from orders join customer on c_custkey=o_custkey where c_custkey=8 and c_name>='C'")
+def database_lookup(t: Tables) -> DataFrame:
+    """A row of a database file by its key, joined to a table."""
+    one = _customers(t, ("c_custkey", "=", 8), ("c_name", ">=", "C"))
+    return t.orders.join(one, c("o_custkey") == c("c_custkey")).select("o_orderkey", "c_name")
+
+
 # ---- mutations ----
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
+import sqlite3
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -273,34 +276,100 @@ class Span(InputPartition):
         self.low, self.high = low, high
 
 
+COMPARED = ("=", ">", ">=", "<", "<=")
+
+
+@contextlib.contextmanager
+def opened_sqlite(path: str) -> Iterator[sqlite3.Connection]:
+    """A database file for reading: in place, or from a store that pyarrow's file systems know, whole in memory."""
+    local = path.removeprefix("file://").removeprefix("file:")
+    if "://" in local:
+        fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+        db = sqlite3.connect(":memory:")
+        with fs.open_input_file(inner) as f:
+            db.deserialize(f.read())
+    else:
+        db = sqlite3.connect(f"file:{local}?mode=ro", uri=True)
+    try:
+        yield db
+    finally:
+        db.close()
+
+
 class SqliteReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.table, self.pieces = options["path"], options["table"], int(options.get("pieces", "4"))
         self.columns = [f.strip().split(" ")[0] for f in options["schema_ddl"].split(",")]
-
-    def _rows(self, sql: str, *args) -> Iterator[tuple]:
-        import sqlite3
-
-        db = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-        try:
-            yield from db.execute(sql, args)
-        finally:
-            db.close()
+        self.where, self.values = [], []
+        for column, kind, value in json.loads(options.get("where", "[]")):
+            name = '"' + column.replace('"', '""') + '"'
+            if kind in COMPARED:
+                self.where.append(f"{name} {kind} ?")
+                self.values.append(value)
+            elif kind == "in":
+                self.where.append(f"{name} IN ({', '.join('?' * len(value))})")
+                self.values += value
+            elif kind in ("is null", "is not null"):
+                self.where.append(f"{name} {kind}")
+            else:
+                raise ValueError(f"unknown comparison {kind}")
 
     def partitions(self) -> list[InputPartition]:
-        low, high = next(self._rows(f'SELECT min(rowid), max(rowid) FROM "{self.table}"'))
+        with opened_sqlite(self.path) as db:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
         if low is None:
             return []
         cuts = [low + (high + 1 - low) * i // self.pieces for i in range(self.pieces + 1)]
         return [Span(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
 
-    def read(self, partition: Span) -> Iterator[tuple]:
+    def query(self) -> str:
         names = ", ".join(f'"{c}"' for c in self.columns)
-        yield from self._rows(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', partition.low, partition.high)
+        return " AND ".join([f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', *self.where])
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        with opened_sqlite(self.path) as db:
+            yield from db.execute(self.query(), (partition.low, partition.high, *self.values))
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, pieces: int = 4) -> DataFrame:
-    """The rows of a SQLite table; the file must lie where all executors see it."""
+def write_sqlite(df: DataFrame, path: str, table: str) -> DataFrame:
+    """The rows of a frame as a table of a new database file: path, n_rows. One executor streams them into it, as such a file has one writer."""
+    columns, types = df.columns, {"string": "TEXT", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+    ddl = ", ".join(f'"{n}" {types.get(k, "INTEGER")}' for n, k in df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as own:  # the file is built in the task's own folder and then copied
+            name, n = f"{own}/table.db", 0
+            db = sqlite3.connect(name)
+            db.execute(f'CREATE TABLE "{table}" ({ddl})')
+            for b in batches:
+                db.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(columns))})', zip(*[c.to_pylist() for c in b.columns], strict=True))
+                n += b.num_rows
+            db.commit()
+            db.close()
+            fs, inner = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+            fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            draft = f"{inner}.{uuid.uuid4().hex}"
+            with open(name, "rb") as f, fs.open_output_stream(draft) as to:
+                while part := f.read(1 << 20):
+                    to.write(part)
+            fs.move(draft, inner)
+        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n])], names=["path", "n_rows"])
+
+    ship(df.sparkSession)
+    made = settled(df.coalesce(1).mapInArrow(run, "path string, n_rows long"), "written")
+    if made.isEmpty():  # a plan without rows runs no task
+        made = settled(df.sparkSession.range(1).mapInArrow(lambda _: run(iter(())), "path string, n_rows long"), "written")
+    return made
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, pieces: int = 4, where: Sequence[tuple] = ()) -> DataFrame:
+    """The rows of a SQLite table; the file must lie where all executors see it.
+
+    ``where`` has conditions (column, ``=`` | ``>`` | ``>=`` | ``<`` | ``<=`` | ``in`` | ``is null`` | ``is not null``, value or None) that
+    SQLite evaluates in each span of rows; columns beyond the schema may be named. They are an argument and
+    not pushed by the optimizer: Spark 4.1 keeps what one query has pushed into a Python source for other
+    queries on the same frame.
+    """
     ship(spark)
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("sqlite").options(path=path, table=table, schema_ddl=schema, pieces=str(pieces)).load()
+    return spark.read.format("sqlite").options(path=path, table=table, schema_ddl=schema, pieces=str(pieces), where=json.dumps([list(w) for w in where])).load()

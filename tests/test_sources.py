@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sieveline import schemas
@@ -103,3 +104,20 @@ def test_progress_frames(spark):
     df = spark.range(1, 6).select(F.lit(1).alias("job"), "id", (F.col("id") == 3).alias("bad"))
     got = progress.progress_frames(progress.progress(df, "job", "id", "bad"), "job", "id", 2).orderBy("checked").collect()
     assert [r["type"] for r in got] == ["start", "progress", "progress", "done"] and got[-1]["failed"] == 1
+
+
+def test_sqlite_evaluates_filters(spark, tmp_path):
+    rows = [(i, f"n{i % 7}" if i % 5 else None, i / 3, bytearray([i % 256])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, name string, x double, raw binary").repartition(3)
+    path = f"file://{tmp_path}/some/t.db"
+    assert files.write_sqlite(df, path, "t").first()["n_rows"] == 500
+    back = files.read_sqlite(spark, path, "t", "id long, name string, x double, raw binary", 3)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    read = lambda *where: sorted(r["id"] for r in files.read_sqlite(spark, path, "t", "id long", 3, where).collect())
+    assert read(("id", ">", 30), ("id", "<=", 400), ("name", "in", ["n1", "n2"]), ("x", "<", 100.5), ("raw", "is not null", None)) == [i for i, n, x, _ in rows if 30 < i <= 400 and n in ("n1", "n2") and x < 100.5]
+    assert read(("name", "is null", None)) == list(range(0, 500, 5)) and read(("name", "=", "n1'; --")) == [] and read(("id", "=", 7)) == [7]
+    assert back.where("name >= 'n3' OR id = 1").count() == sum(n is not None and n >= "n3" or i == 1 for i, n, *_ in rows)
+    with pytest.raises(ValueError):
+        files.SqliteReader({"path": path, "table": "t", "schema_ddl": "id long", "where": '[["id", "like", "x"]]'})
+    files.write_sqlite(df.limit(0), f"{tmp_path}/none.db", "t")
+    assert files.read_sqlite(spark, f"{tmp_path}/none.db", "t", "id long").count() == 0
