@@ -326,7 +326,9 @@ class SqliteReader(DataSourceReader):
         names = ", ".join(f'"{c}"' for c in self.columns)
         return " AND ".join([f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', *self.where])
 
-    def read(self, partition: Span) -> Iterator[tuple]:
+    def read(self, partition: Span | None) -> Iterator[tuple]:
+        if partition is None:  # of an empty table
+            return
         with opened_sqlite(self.path) as db:
             yield from db.execute(self.query(), (partition.low, partition.high, *self.values))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.window import Window
 
 LINK = r'(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
@@ -114,20 +115,96 @@ class PageReader(DataSourceReader):
     """A partition for each category."""
 
     def __init__(self, options):
-        self.categories, self.most, self.fetcher = options["categories"].split(","), int(options.get("max_pages", "100")), options["fetcher"]
+        self.categories, self.most, self.options = options["categories"].split(","), int(options.get("max_pages", "100")), dict(options)
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(c) for c in self.categories]
 
     def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str]]:
-        import importlib
-
-        module, _, function = self.fetcher.rpartition(".")
-        get = getattr(importlib.import_module(module), function)
+        get = fetcher_of(self.options)
         for page, url in paginate(lambda p: get(partition.value, p), self.most):
             yield partition.value, page, url
 
 
+def fetcher_of(options) -> Callable[[str, int], list[str]]:
+    """The function (category, page) -> urls of the options: ``fetcher`` is its import path; ``base``, if given, its first argument."""
+    import importlib
+
+    module, _, function = options["fetcher"].rpartition(".")
+    get = getattr(importlib.import_module(module), function)
+    return (lambda category, page: get(options["base"], category, page)) if options.get("base") else get
+
+
+class PageStream(DataSource):
+    """Paged listings as a stream (category, page, url), one category after the other; it goes on at the page where a stopped query ended.
+
+    Options: ``categories`` (joined by commas), ``fetcher``, ``base``, ``max_pages`` of a category, ``pages`` to read in a batch.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged-stream"
+
+    def schema(self) -> str:
+        return "category string, page int, url string"
+
+    def simpleStreamReader(self, schema) -> PageStreamReader:
+        return PageStreamReader(self.options)
+
+
+class PageStreamReader(SimpleDataSourceStreamReader):
+    """An offset is the next page and its category, and the urls of the page before, by which a repeated last page is known.
+
+    A site is asked by one client, page by page, so the few pages of a batch are read where the query is planned.
+    """
+
+    def __init__(self, options):
+        self.categories, self.most, self.a_batch, self.get = options["categories"].split(","), int(options.get("max_pages", "100")), int(options.get("pages", "10")), fetcher_of(options)
+
+    def initialOffset(self) -> dict:
+        return {"category": 0, "page": 1, "before": []}
+
+    def _next(self, at: dict) -> tuple[list[tuple[str, int, str]], dict]:
+        """The new urls of a page, and where to go on: with the next category after a page without any, or an error."""
+        category, page = self.categories[at["category"]], at["page"]
+        try:
+            urls = list(dict.fromkeys(self.get(category, page)))
+        except OSError:
+            urls = []
+        new = [u for u in urls if u not in set(at["before"])]
+        if not new or page >= self.most:
+            return [(category, page, u) for u in new], {"category": at["category"] + 1, "page": 1, "before": []}
+        return [(category, page, u) for u in new], {"category": at["category"], "page": page + 1, "before": urls}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, at = [], start
+        for _ in range(self.a_batch):
+            if at["category"] >= len(self.categories):
+                break
+            more, at = self._next(at)
+            rows += more
+        return iter(rows), at
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        """What a batch that failed had begun to read."""
+        at = start
+        while (at["category"], at["page"]) < (end["category"], end["page"]):
+            rows, at = self._next(at)
+            yield from rows
+
+
+def listed_page(base: str, category: str, page: int) -> list[str]:
+    """The urls of a page of a listing that is kept as text files below ``base``, in folders ``category=`` and ``page=``."""
+    fs, inner = pyarrow.fs.FileSystem.from_uri(base if "://" in base else f"file://{base.removeprefix('file:')}")
+    found = fs.get_file_info(pyarrow.fs.FileSelector(f"{inner}/category={category}/page={page}", allow_not_found=True))
+    out = []
+    for f in sorted(found, key=lambda f: f.path):
+        if f.is_file and f.base_name.startswith("part-"):
+            with fs.open_input_stream(f.path) as s:
+                out += s.read().decode().splitlines()
+    return out
+
+
 def svg_font_map(glyphs: DataFrame) -> DataFrame:
     """font, glyphs: a map from each character to its outline and advance; of repeated characters the smallest outline."""
     one = glyphs.groupBy("font", "unicode").agg(F.min(F.struct("d", "advance")).alias("g"))
@@ -135,11 +212,12 @@ def svg_font_map(glyphs: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the paged source known to a session."""
+    """Make the paged sources known to a session."""
     from ..session import ship
 
     ship(spark)
     spark.dataSource.register(PageSource)
+    spark.dataSource.register(PageStream)
 
 
 def fetch_all(df: DataFrame, key: str, url: str, server: str, retries: int = 3, delay: float = 1.0, wait: bool = False) -> DataFrame:

@@ -226,3 +226,36 @@ class Adapters:
             except Exception as e:  # noqa: BLE001  reported
                 rows.append((name, 0, f"failed: {e}"))
         return spark.createDataFrame(rows, "source string, n bigint, status string")
+
+
+@dataclass
+class PagedJob:
+    """A job that reads paged listings category by category into a folder; it can stop after any batch and goes on at the next page.
+
+    Where it is, the finished categories and the current page, is the offset in the query's checkpoint.
+    """
+
+    spark: SparkSession
+    results: str
+    checkpoint: str
+    options: dict[str, str]
+
+    def step(self) -> bool:
+        """Read the pages of one batch; false once there is nothing left."""
+        from ..sources.pages import register
+
+        register(self.spark)
+        stream = self.spark.readStream.format("paged-stream").options(**self.options).load()
+        query = stream.writeStream.format("parquet").option("path", self.results).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return any(p.batchId >= 0 and p.sources[0].startOffset != p.sources[0].endOffset for p in query.recentProgress)
+
+    def run(self, most: int | None = None) -> int:
+        """Batches read: all that are left, or at most so many before the job pauses."""
+        n = 0
+        while (most is None or n < most) and self.step():
+            n += 1
+        return n
+
+    def found(self) -> DataFrame:
+        return self.spark.read.schema("category string, page int, url string").parquet(self.results)

@@ -121,3 +121,36 @@ def test_sqlite_evaluates_filters(spark, tmp_path):
         files.SqliteReader({"path": path, "table": "t", "schema_ddl": "id long", "where": '[["id", "like", "x"]]'})
     files.write_sqlite(df.limit(0), f"{tmp_path}/none.db", "t")
     assert files.read_sqlite(spark, f"{tmp_path}/none.db", "t", "id long").count() == 0
+
+
+def test_pages_are_read_once_across_stops():
+    asked = []
+    site = {"a": [["1", "2"], ["3", "2"], ["3", "2"]], "b": [], "c": [["9"], OSError(), ["8"]], "d": [["5"], ["6"], ["7"], []]}
+
+    def get(category, page):
+        asked.append((category, page))
+        found = site[category][page - 1] if page <= len(site[category]) else []
+        if isinstance(found, OSError):
+            raise found
+        return found
+
+    def reader(pages, most=100):
+        r = pages_reader({"categories": "a,b,c,d", "fetcher": "os.path.join", "pages": str(pages), "max_pages": str(most)})
+        r.get = get
+        return r
+
+    pages_reader = pages.PageStreamReader
+    whole, at = reader(100).read(reader(1).initialOffset())
+    want, seen = list(whole), list(asked)
+    assert want == [("a", 1, "1"), ("a", 1, "2"), ("a", 2, "3"), ("c", 1, "9"), ("d", 1, "5"), ("d", 2, "6"), ("d", 3, "7")]
+    assert len(seen) == len(set(seen)) and ("c", 3) not in seen
+    asked.clear()
+    got, at = [], reader(1).initialOffset()
+    for _ in range(20):  # a new reader for each batch, as after a stop; offsets are stored as JSON
+        rows, at = reader(2).read(json.loads(json.dumps(at)))
+        got += rows
+    assert got == want and asked == seen
+    middle = reader(3).read(reader(1).initialOffset())[1]
+    end = reader(4).read(middle)[1]
+    assert list(reader(1).readBetweenOffsets(middle, end)) == list(reader(4).read(middle)[0])
+    assert list(reader(100, most=1).read(reader(1).initialOffset())[0]) == [("a", 1, "1"), ("a", 1, "2"), ("c", 1, "9"), ("d", 1, "5")]
