@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded_batches, held, only, release
 from .jaccard import Shingler, mixed
@@ -177,7 +178,8 @@ def find(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float
     spark = docs.sparkSession
     bounded_batches(spark)
     names = ["doc_id", "item_id", "first_word", "n_words", "similarity", "distance"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+    doc_kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
+    kinds = [to_arrow_type(doc_kind), to_arrow_type(item_kind), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
     out = None
     for block in item_blocks(benchmark, items):
         sent = spark.sparkContext.broadcast(block)
@@ -189,8 +191,7 @@ def find(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
-        rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        found = rows.mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, similarity double, distance int")
+        found = only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, first_word long, n_words long, similarity double, distance int")
         out = found if out is None else out.union(found)
     return out
 
