@@ -612,29 +612,33 @@ def per_glyph(df: DataFrame, group: str, function: Callable[[pd.DataFrame], pd.D
     return df.groupBy(group).applyInPandas(function, schema)
 
 
+def simplex_step(f: Callable[[np.ndarray], float], simplex: list[np.ndarray], values: list[float]) -> tuple[list[np.ndarray], list[float]]:
+    """A round of downhill simplex: reflect, expand, contract or shrink."""
+    order = np.argsort(values, kind="stable")
+    simplex, values = [simplex[i] for i in order], [values[i] for i in order]
+    centre = np.mean(simplex[:-1], axis=0)
+    tried = {k: centre + k * (simplex[-1] - centre) for k in (-1.0, -2.0, 0.5)}
+    reflected = f(tried[-1.0])
+    if reflected < values[0]:
+        expanded = f(tried[-2.0])
+        k, v = (-2.0, expanded) if expanded < reflected else (-1.0, reflected)
+    elif reflected < values[-2]:
+        k, v = -1.0, reflected
+    else:
+        k, v = 0.5, f(tried[0.5])
+    if v < values[-1]:
+        return [*simplex[:-1], tried[k]], [*values[:-1], v]
+    simplex = [simplex[0]] + [(p + simplex[0]) / 2 for p in simplex[1:]]
+    return simplex, [values[0]] + [f(p) for p in simplex[1:]]
+
+
 def minimised(f: Callable[[np.ndarray], float], start: np.ndarray, steps: int = 200, size: float = 1.0) -> tuple[np.ndarray, float]:
-    """Downhill simplex: reflect, expand, contract or shrink."""
+    """Downhill simplex from ``start``."""
     n = len(start)
     simplex = [np.asarray(start, float)] + [np.asarray(start, float) + size * np.eye(n)[i] for i in range(n)]
     values = [f(p) for p in simplex]
     for _ in range(steps):
-        order = np.argsort(values, kind="stable")
-        simplex, values = [simplex[i] for i in order], [values[i] for i in order]
-        centre = np.mean(simplex[:-1], axis=0)
-        tried = {k: centre + k * (simplex[-1] - centre) for k in (-1.0, -2.0, 0.5)}
-        reflected = f(tried[-1.0])
-        if reflected < values[0]:
-            expanded = f(tried[-2.0])
-            k, v = (-2.0, expanded) if expanded < reflected else (-1.0, reflected)
-        elif reflected < values[-2]:
-            k, v = -1.0, reflected
-        else:
-            k, v = 0.5, f(tried[0.5])
-        if v < values[-1]:
-            simplex[-1], values[-1] = tried[k], v
-        else:
-            simplex = [simplex[0]] + [(p + simplex[0]) / 2 for p in simplex[1:]]
-            values = [values[0]] + [f(p) for p in simplex[1:]]
+        simplex, values = simplex_step(f, simplex, values)
     k = int(np.argmin(values))
     return simplex[k], float(values[k])
 
@@ -647,18 +651,23 @@ def phases(frames: Iterator[tuple[str, float]]) -> Iterator[tuple[str, float, fl
         yield phase, score, best
 
 
+def generation_step(f: Callable[[np.ndarray], float], people: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray, rng: np.random.Generator) -> None:
+    """A generation, in place: each member tries the best plus the difference of two others."""
+    for i in range(len(people)):
+        a, b = people[rng.choice(len(people), 2, replace=False)]
+        trial = np.clip(people[values.argmin()] + 0.7 * (a - b), low, high)
+        trial = np.where(rng.random(len(low)) < 0.9, trial, people[i])
+        if (v := f(trial)) <= values[i]:
+            people[i], values[i] = trial, v
+
+
 def differential_evolution(f: Callable[[np.ndarray], float], bounds: list[tuple[float, float]], rounds: int = 60, size: int = 20, seed: int = 0) -> tuple[np.ndarray, float]:
     """Best point of a population that moves by differences of its members; the same for the same seed."""
     rng, low, high = np.random.default_rng(seed), *np.array(bounds, float).T
     people = low + rng.random((size, len(low))) * (high - low)
     values = np.array([f(p) for p in people])
     for _ in range(rounds):
-        for i in range(size):
-            a, b = people[rng.choice(size, 2, replace=False)]
-            trial = np.clip(people[values.argmin()] + 0.7 * (a - b), low, high)
-            trial = np.where(rng.random(len(low)) < 0.9, trial, people[i])
-            if (v := f(trial)) <= values[i]:
-                people[i], values[i] = trial, v
+        generation_step(f, people, values, low, high, rng)
     return people[values.argmin()], float(values.min())
 
 

@@ -204,6 +204,22 @@ def writer_index(t: Tables) -> DataFrame:
     return G.inverted_index(t.documents, "source", "doc_id").select("source", "block", F.size("items").cast("bigint").alias("n"), F.array_join("items", ",").alias("items"))
 
 
+@query()
+def search_frames(t: Tables) -> DataFrame:
+    """For each mask the frames of a search that fits a stroke to it, by ticks; the stream stops after two ticks and goes on from its checkpoint."""
+    from ..streaming import search as Q
+    from .glyph_queries import big_masks
+
+    folder, schema = scratch(t.spark, "search"), "glyph long, tick long, mask binary, width int"
+    for ticks in ((0, 1), (2, 3, 4)):
+        rows = big_masks(t).select(c("vec_id").cast("long").alias("glyph"), F.explode(F.array(*[F.lit(k).cast("long") for k in ticks])).alias("tick"), "mask", "width")
+        rows.write.mode("append").parquet(f"{folder}/ticks")
+        stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/ticks")
+        Q.run_search(stream, f"{folder}/frames", f"{folder}/checkpoint")
+    found = t.spark.read.parquet(f"{folder}/frames")
+    return found.select(c("glyph").alias("vec_id"), "tick", "phase", "rounds", F.round("score", 6).alias("score"), F.round("best", 6).alias("best"), "done")
+
+
 # ---- statistics, texts, points ----
 
 
