@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -798,3 +799,43 @@ def contour_halves(t: Tables) -> DataFrame:
     first, last = F.get("s", F.lit(0)), F.element_at("s", -1)
     turn = P.total(F.transform("s", lambda v, i: (i + 1) * v["x"]))
     return rows.select("vec_id", "stroke", F.size("s").alias("n"), first["x"].alias("x0"), first["y"].alias("y0"), last["x"].alias("x1"), last["y"].alias("y1"), F.round(turn, 5).alias("turn"), "n_segments")
+
+
+def _thinning() -> str:
+    """CTEs that thin 8 x 8 masks, each a list of 100 zeros and ones with a border: rounds of two sides, more than any such mask needs."""
+    n, ne, e, se, s, sw, w, nw = ring = [f"m[p{d:+d}]" for d in (-10, -9, 1, 11, 10, 9, -1, -11)]
+    turns = "+".join(f"(1-{a})*{b}" for a, b in zip(ring, ring[1:] + ring[:1]))
+    whole = f"(case when k%2=0 then greatest({n}*{e}*{s},{e}*{s}*{w}) else greatest({n}*{e}*{w},{n}*{s}*{w}) end)"
+    step = f"[case when m[p]=1 and p>11 and p<90 then case when ({'+'.join(ring)}) between 2 and 6 and ({turns})=1 and {whole}=0 then 0 else 1 end else 0 end for p in range(1,101)]"
+    first = "[case when p%10 between 2 and 9 and (p-1)//10 between 1 and 8 and embedding[((p-1)//10-1)*8+(p-1)%10]>0 then 1 else 0 end for p in range(1,101)]"
+    return f"thin(vec_id, k, m) as (select vec_id, 0, {first} from embeddings union all select vec_id, k+1, {step} from thin where k<20)"
+
+
+@query(
+    f"with recursive {_thinning()}, px as (select vec_id, (p-1)%10-1 x, (p-1)//10-1 y from (select vec_id, m, unnest(range(1,101)) p from thin where k=20) where m[p]=1) "
+    "select a.vec_id, a.x::int x, a.y::int y, count(b.x)::int degree from px a left join px b on b.vec_id=a.vec_id and abs(a.x-b.x)<=1 and abs(a.y-b.y)<=1 and (a.x<>b.x or a.y<>b.y) group by 1,2,3"
+)
+def skeleton_pixels(t: Tables) -> DataFrame:
+    """The pixels of each mask's skeleton with their numbers of neighbours."""
+    bones = W.skeletons(masks(t).select("vec_id", "mask", "width"))
+    return bones.select("vec_id", F.explode("skeleton.pixels").alias("p")).select("vec_id", "p.*")
+
+
+@query(
+    "with b as (select vec_id, list_transform(range(0,32), lambda i: embedding[2*i+1]::double) xs, list_transform(range(0,32), lambda i: embedding[2*i+2]::double) ys from embeddings), "
+    "seg as (select vec_id, xs, ys, list_prepend(0.0::double, [sqrt((xs[i]-xs[i-1])**2+(ys[i]-ys[i-1])**2) for i in range(2,33)]) d from b), "
+    "t as (select vec_id, xs, ys, [list_sum(d[1:i])/list_sum(d) for i in range(1,33)] t from seg), "
+    "w as (select vec_id, xs, ys, [3*(1-u)*(1-u)*u for u in t] a, [3*(1-u)*u*u for u in t] c, [xs[i]-(1-t[i])**3*xs[1]-t[i]**3*xs[32] for i in range(1,33)] rx, [ys[i]-(1-t[i])**3*ys[1]-t[i]**3*ys[32] for i in range(1,33)] ry from t), "
+    "n as (select vec_id, list_sum([v*v for v in a]) aa, list_sum([a[i]*c[i] for i in range(1,33)]) ac, list_sum([v*v for v in c]) cc, list_sum([a[i]*rx[i] for i in range(1,33)]) ax, list_sum([c[i]*rx[i] for i in range(1,33)]) cx, list_sum([a[i]*ry[i] for i in range(1,33)]) ay, list_sum([c[i]*ry[i] for i in range(1,33)]) cy from w) "
+    "select vec_id, round((ax*cc-cx*ac)/(aa*cc-ac*ac),4) x1, round((cx*aa-ax*ac)/(aa*cc-ac*ac),4) x2, round((ay*cc-cy*ac)/(aa*cc-ac*ac),4) y1, round((cy*aa-ay*ac)/(aa*cc-ac*ac),4) y2 from n"
+)
+def fitted_curves(t: Tables) -> DataFrame:
+    """The cubic curve of least squares through each 32 points, its ends fixed and its parameters by arc length: the two inner control points."""
+
+    @F.pandas_udf("struct<x1:double,x2:double,y1:double,y2:double>")
+    def fit(points: pd.Series) -> pd.DataFrame:
+        out = [Y.cubic_fit(np.array([(q["x"], q["y"]) for q in p], float))[0] for p in points]
+        return pd.DataFrame([(c[1][0], c[2][0], c[1][1], c[2][1]) for c in out], columns=["x1", "x2", "y1", "y2"])
+
+    q = t.embeddings.select("vec_id", fit(P.from_pairs(c("embedding"))).alias("f"))
+    return q.select("vec_id", *[F.round(f"f.{n}", 4).alias(n) for n in ("x1", "x2", "y1", "y2")])
