@@ -87,9 +87,11 @@ def closest_point(pixels: DataFrame, x: float, y: float, group: str) -> DataFram
 
 def anchor_pixels(pixels: DataFrame, anchors: DataFrame, diagonal: float, depth: str = "depth", k: int = 50, group: str = "glyph") -> DataFrame:
     """For each of the anchors (nine as a rule) the pixel of best score (distance / diagonal - 0.3 * depth) among its k closest."""
+    from .relational import product
+
     d = F.sqrt((F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay")))
     w = Window.partitionBy(group, "region").orderBy("d", "x", "y")
-    near = pixels.crossJoin(anchors).withColumn("d", d).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    near = product(pixels, anchors, 100).withColumn("d", d).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     return near.groupBy(group, "region").agg(F.min_by(F.struct("x", "y"), F.struct((F.col("d") / diagonal - 0.3 * F.col(depth)).alias("s"), "x", "y")).alias("p")).select(group, "region", "p.x", "p.y")
 
 

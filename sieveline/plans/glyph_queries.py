@@ -839,3 +839,16 @@ def fitted_curves(t: Tables) -> DataFrame:
 
     q = t.embeddings.select("vec_id", fit(P.from_pairs(c("embedding"))).alias("f"))
     return q.select("vec_id", *[F.round(f"f.{n}", 4).alias(n) for n in ("x1", "x2", "y1", "y2")])
+
+
+@query(
+    f"with p as ({PIX}), ray as (select vec_id, p.x, p.y, d, s, k, round_even(p.x+s*k*cos(pi()*d/18), 0)::int rx, round_even(p.y+s*k*sin(pi()*d/18), 0)::int ry from p cross join range(0,18) a(d) cross join (values (1),(-1)) b(s) cross join range(1,13) e(k)), "
+    "hit as (select r.vec_id, r.x, r.y, d, s, min(k)-1 r from ray r left join p q on q.vec_id=r.vec_id and q.x=rx and q.y=ry where q.x is null group by 1,2,3,4,5), "
+    "across as (select vec_id, x, y, d, sum(r) size, sum(s*r)/2.0 shift from hit group by 1,2,3,4), best as (select * from across qualify row_number() over (partition by vec_id, x, y order by size, d)=1) "
+    "select vec_id, x::int px, y::int py, round(x+shift*cos(pi()*d/18),5) x, round(y+shift*sin(pi()*d/18),5) y from best"
+)
+def centred_pixels(t: Tables) -> DataFrame:
+    """Each pixel of a mask moves to the middle of the shortest line across the mask through it, of eighteen."""
+    e = masks(t).select("vec_id", "mask", "width", F.filter(F.transform("e", lambda v, i: F.when(v > 0, P.point(i % 8, F.floor(i / 8)))), lambda p: p.isNotNull()).alias("p"))
+    moved = e.select("vec_id", F.explode(F.arrays_zip("p", Y.centre_by_rays("mask", "width", "p").alias("q"))).alias("r"))
+    return moved.select("vec_id", c("r.p.x").cast("int").alias("px"), c("r.p.y").cast("int").alias("py"), F.round("r.q.x", 5).alias("x"), F.round("r.q.y", 5).alias("y"))

@@ -80,23 +80,11 @@ def import_archives(entries: DataFrame, manifest: DataFrame) -> DataFrame:
     return entries.join(m, (F.col("archive") == F.col("_a")) & (F.col("entry") == F.col("_p")), "left").select("archive", "entry", "content", F.coalesce("_n", stem(F.col("entry"))).alias("name"), F.coalesce("_s", folder, F.lit("unknown")).alias("source"))
 
 
-def export_archive(files: DataFrame) -> bytes:
-    """A ZIP of (source, name, file_name, content) in that order, with a manifest; rows without content are skipped.
+def write_archive(files: DataFrame, path: str) -> DataFrame:
+    """A ZIP file of (source, name, file_name, content) in that order, with a manifest; rows without content are skipped: path, n_files.
 
-    One archive is one file, so its rows stream through the driver one partition at a time.
+    An archive has one writer, so one executor streams the rows into it; it holds one of them.
     """
-    out, listed = io.BytesIO(), []
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for r in files.where(F.col("content").isNotNull()).orderBy("source", "name").toLocalIterator():
-            path = f"fonts/{r['source']}/{r['file_name']}"
-            z.writestr(path, bytes(r["content"]))
-            listed.append({"name": r["name"], "source": r["source"], "path": path})
-        z.writestr("manifest.json", json.dumps({"font_count": len(listed), "fonts": listed}))
-    return out.getvalue()
-
-
-def write_archive(files: DataFrame, path: str) -> DataFrame:
-    """The archive of :func:`export_archive` as a file: path, n_files. One executor streams the rows into it; it holds one of them."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +106,7 @@ def write_archive(files: DataFrame, path: str) -> DataFrame:
 
 
 def save_results(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").json(path)
+    df.write.mode("overwrite").json(path)
 
 
 def load_results(spark: SparkSession, path: str, schema: str) -> DataFrame:

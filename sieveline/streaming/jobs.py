@@ -121,6 +121,7 @@ class DownloadQueue:
     key: str = "id"
     columns: Sequence[str] = ("url",)
     workers: int = 4
+    files_a_batch: int = 100
     status: str = "new"
     log: list[tuple[str, str]] = field(default_factory=list)
     query: StreamingQuery | None = None
@@ -129,9 +130,10 @@ class DownloadQueue:
         self.status = status
         self.log.append((status, message))
 
-    def start(self, files_a_batch: int = 100) -> DownloadQueue:
-        """Work off what is there; new files are for the next start."""
-        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", files_a_batch).json(self.discovered)
+    def start(self, files_a_batch: int | None = None) -> DownloadQueue:
+        """Work off what is there; new files are for the next start. The number of files in a batch is kept when the job resumes."""
+        self.files_a_batch = files_a_batch or self.files_a_batch
+        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files_a_batch).json(self.discovered)
 
         def batch(items: DataFrame, number: int) -> None:
             work_off(items.dropDuplicates([self.key]), self.key, self.function, self.columns, self.workers).write.mode("overwrite").parquet(f"{self.results.rstrip('/')}/batch={number}")

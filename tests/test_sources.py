@@ -59,8 +59,8 @@ def test_archives(spark, tmp_path):
     glob = str(tmp_path / "*.zip")
     got = files.import_archives(files.zip_entries(spark, glob, folder="fonts/"), files.zip_manifest(spark, glob, "path: STRING, name: STRING, source: STRING")).orderBy("entry").collect()
     assert [(r["name"], r["source"]) for r in got] == [("Alpha", "site"), ("b", "s2")]
-    out = files.export_archive(spark.createDataFrame([("s", "n", "n.ttf", b"1"), ("s", "m", "m.ttf", None)], "source string, name string, file_name string, content binary"))
-    assert json.loads(zipfile.ZipFile(io.BytesIO(out)).read("manifest.json"))["font_count"] == 1
+    made = files.write_archive(spark.createDataFrame([("s", "n", "n.ttf", b"1"), ("s", "m", "m.ttf", None)], "source string, name string, file_name string, content binary"), f"{tmp_path}/out/made.zip").first()
+    assert made["n_files"] == 1 and json.loads(zipfile.ZipFile(made["path"]).read("manifest.json"))["font_count"] == 1
 
 
 def test_scan_register_and_append(spark, tmp_path):
