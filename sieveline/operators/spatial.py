@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import settled
-from .ranking import ranged
+from .ranking import latest, ranged
 
 OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
@@ -63,21 +63,33 @@ def nearest_all(points: DataFrame, cloud: DataFrame, start: float, k: int = 1) -
 
 
 def nearest_value(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Each row with the other row of closest value, ties to the smaller key among neighbours in the order.
+    """Each row with the other row of closest value; ties, equal values among them, to the smaller key. Missing values come after all others.
 
-    Neighbours come from windows over ranges of the value; across a border, from the last and
-    first rows of the ranges around it (a row a range).
+    Rows of one value are a class, known by its two smallest keys: a row's nearest is the first key of its
+    own class, if that is another row, or of a neighbouring class. Neighbours come from windows over ranges
+    of the classes' values; across a border, from the last and first classes of the ranges around it (a row a range).
     """
-    pair = F.struct(F.col(value).alias("v"), F.col(key).alias("k"))
-    rows = ranged(df.select(key, value), value)
-    ends = rows.groupBy("_part").agg(F.min(pair).alias("_first"), F.max(pair).alias("_last"))
+    rows = df.select(key, value)
+    classes = latest(rows.where(F.col(value).isNotNull()), [value], [key], 2).groupBy(value).agg(F.min(key).alias("_k"), F.max(key).alias("_k2"))
+    pair = F.struct(F.col(value).alias("v"), F.col("_k").alias("k"))
+    parts = ranged(settled(classes, "classes"), value)
+    ends = parts.groupBy("_part").agg(F.min(pair).alias("_first"), F.max(pair).alias("_last"))
     order = Window.orderBy("_part")
     ends = ends.select("_part", F.lag("_last").over(order).alias("_before"), F.lead("_first").over(order).alias("_after"))
-    w = Window.partitionBy("_part").orderBy(value, key)
-    both = rows.withColumns({"below": F.lag(pair).over(w), "above": F.lead(pair).over(w)}).join(F.broadcast(ends), "_part")  # a row a range
-    both = both.select(key, value, F.coalesce("below", "_before").alias("below"), F.coalesce("above", "_after").alias("above"))
+    w = Window.partitionBy("_part").orderBy(value)
+    both = parts.withColumns({"below": F.lag(pair).over(w), "above": F.lead(pair).over(w)}).join(F.broadcast(ends), "_part")  # a row a range
+    both = both.select(value, "_k", "_k2", F.coalesce("below", "_before").alias("below"), F.coalesce("above", "_after").alias("above"))
     lower, upper = F.abs(F.col(value) - F.col("below.v")), F.abs(F.col("above.v") - F.col(value))
-    return both.select(key, F.when(F.col("above").isNull() | (lower < upper) | ((lower == upper) & (F.col("below.k") < F.col("above.k"))), F.col("below.k")).otherwise(F.col("above.k")).alias("nearest"))
+    around_ = F.when(F.col("above").isNull() | (lower < upper) | ((lower == upper) & (F.col("below.k") < F.col("above.k"))), F.col("below.k")).otherwise(F.col("above.k"))
+    beside = both.select(F.col(value).alias("_v"), "_k", "_k2", around_.alias("_around"))
+    known = rows.join(beside, F.col(value) == F.col("_v"))
+    known = known.select(key, F.when(F.col(key) != F.col("_k"), F.col("_k")).when(F.col("_k2") != F.col("_k"), F.col("_k2")).otherwise(F.col("_around")).alias("nearest"))
+    missing = rows.where(F.col(value).isNull())
+    lost = missing.agg(F.min(key).alias("_lost"))  # one row, as the next
+    head = rows.orderBy(key).limit(2).agg(F.min(key).alias("_m"), F.max(key).alias("_m2"))
+    known = known.crossJoin(F.broadcast(lost)).select(key, F.coalesce("nearest", "_lost").alias("nearest"))
+    unknown = missing.crossJoin(F.broadcast(head)).select(key, F.when(F.col(key) != F.col("_m"), F.col("_m")).otherwise(F.col("_m2")).alias("nearest"))
+    return known.union(unknown).where(F.col("nearest") != F.col(key))
 
 
 def closest_point(pixels: DataFrame, x: float, y: float, group: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -267,3 +268,13 @@ def test_no_reason_and_no_anchor_is_cut(spark):
     anchors = spark.createDataFrame([(i, float(i), float(i)) for i in range(12)], "region int, ax double, ay double")
     got = {r["region"]: r["x"] for r in spatial.anchor_pixels(pixels, anchors, 10.0).collect()}
     assert got == {i: 0.0 if i <= 2 else 5.0 for i in range(12)}
+
+
+def test_nearest_value_takes_the_smallest_key_of_equal_and_missing_values(spark):
+    rnd = random.Random(5)
+    data = [(k, rnd.choice([None, *range(0, 24, 2)])) for k in rnd.sample(range(500), 120)]
+    for some in (data, data[:1], [(1, None), (2, None), (3, 4)], [(k, 7) for k in range(9)]):
+        frame = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in some], "k long, v double")
+        far = lambda a, b: abs(a - b) if a is not None and b is not None else math.inf
+        want = sorted((k, min((far(v, x), j) for j, x in some if j != k)[1]) for k, v in some if len(some) > 1)
+        assert sorted((r["k"], r["nearest"]) for r in G.nearest_value(frame, "k", "v").collect()) == want
