@@ -910,7 +910,7 @@ def end_directions(t: Tables) -> DataFrame:
 @query("select vec_id, len(list_distinct(list_concat(a,b))) u, len(list_intersect(list_distinct(a),b)) i, len(a)+len(b) f from (select vec_id, list_transform(embedding[1:40], lambda v: floor(v*100)::int) a, list_transform(embedding[25:64], lambda v: floor(v*100)::int) b from embeddings)")
 def set_operations(t: Tables) -> DataFrame:
     """U4 U5 U6"""
-    cell = lambda v: F.floor(v * 100).cast("int")
+    cell = lambda v: F.floor(v * F.lit(100).cast("float")).cast("int")  # noqa: E731  in single precision, as the array is
     a, b = F.transform(F.slice("embedding", 1, 40), cell), F.transform(F.slice("embedding", 25, 40), cell)
     return t.embeddings.select("vec_id", F.size(F.array_union(a, b)).cast("bigint").alias("u"), F.size(F.array_intersect(a, b)).cast("bigint").alias("i"), F.size(F.flatten(F.array(a, b))).cast("bigint").alias("f"))
 

@@ -34,3 +34,9 @@ def test_same_rows_as_sql(spark, duck, name):
     a = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
     b = sorted((tuple(plain(r[k]) for k in at) for r in want.fetchall()), key=str)
     assert a == b
+
+
+def test_cells_of_a_float_array_are_those_of_single_precision(spark, duck, tmp_path):
+    spark.createDataFrame([(1, [0.29] * 24 + [0.57] * 40, 0), (2, [0.1 * k for k in range(64)], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = duck.sql(ORACLES["set_operations"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in QUERIES["set_operations"](spark, str(tmp_path)).collect()) == sorted(want)
