@@ -651,12 +651,13 @@ def to_json(word: Column, asset: Column, strokes: Column) -> Column:
     return F.to_json(F.struct(word.alias("word"), asset.alias("font"), F.transform(strokes, lambda s: F.transform(s, lambda p: F.array(p["x"], p["y"]))).alias("strokes")))
 
 
-def pixel_contours(contours: Column, units: Column, ascent: Column, size: float, dx: Column, dy: Column) -> Column:
-    """Contours in font units (upwards) as pixels (downwards), closed where their ends lie more than half a pixel apart."""
+def pixel_contours(contours: Column, units: Column, ascent: Column, size: float, dx: Column, dy: Column, apart: float | None = 0.5) -> Column:
+    """Contours in font units (upwards) as pixels (downwards), closed where their ends lie more than ``apart`` pixels from each other, or all with None."""
     k = size / units
     place = lambda p: P.point(p["x"] * k + dx, (ascent - p["y"]) * k + dy)
     ends = lambda c: P.distance(F.get(c, F.lit(0)), F.get(c, F.size(c) - 1))
-    return F.transform(F.transform(contours, lambda c: F.transform(c, place)), lambda c: F.when((F.size(c) >= 2) & (ends(c) > 0.5), F.concat(c, F.array(F.get(c, F.lit(0))))).otherwise(c))
+    gap = lambda c: F.lit(True) if apart is None else ends(c) > apart
+    return F.transform(F.transform(contours, lambda c: F.transform(c, place)), lambda c: F.when((F.size(c) >= 2) & gap(c), F.concat(c, F.array(F.get(c, F.lit(0))))).otherwise(c))
 
 
 def contour_segments(contours: Column) -> Column:

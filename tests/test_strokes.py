@@ -167,3 +167,9 @@ def test_arms_at_a_t_and_a_lone_spur():
     assert [len(s) for s in g.strokes] == [60]
     assert len(K.Glyph([*arms, line((50, 50), (50, 55), 5)], [{(50, 50)}]).t_junctions().strokes) == 3  # the bar ends nowhere
     assert K.merge_pipeline([]) == [] and len(K.merge_pipeline([line((0, 0), (100, 100), 25)])) == 1
+
+
+def test_pixel_contours_close_by_the_gap_of_their_ends_or_always(spark):
+    rows = spark.createDataFrame([([[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 0.4)]],)], "c array<array<struct<x:double,y:double>>>")
+    size = lambda **how: rows.select(F.size(F.get(K.pixel_contours(F.col("c"), F.lit(10.0), F.lit(0.0), 10.0, F.lit(0.0), F.lit(0.0), **how), F.lit(0)))).first()[0]
+    assert (size(), size(apart=0.3), size(apart=None)) == (4, 5, 5)
