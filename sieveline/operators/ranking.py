@@ -151,27 +151,41 @@ def regressions(baseline: DataFrame, results: DataFrame, key: str, metrics: Sequ
     return out.union(status)
 
 
+def ranked_in_ranges(df: DataFrame, group: str, order: str, part: str, name: str) -> DataFrame:
+    """Ranks from 1 in each group in the order, where ``part`` numbers the ranges of the order (see :func:`ranged`): no task sees all rows of a large group."""
+    sizes = df.groupBy(group, part).agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # a row a range of each group
+    rank = F.row_number().over(Window.partitionBy(group, part).orderBy(order))
+    return df.withColumn("_rank", rank).join(sizes.select(group, part, F.coalesce(before, F.lit(0)).alias("_before")), [group, part]).withColumn(name, F.col("_rank") + F.col("_before")).drop("_rank", "_before")
+
+
 def nearest_available(wanted: DataFrame, available: DataFrame, key: str, value: str, item: str, within: int = 5) -> DataFrame:
     """key, item, gap: each wish (key, value) with the closest item (item, value) within reach, none used twice, earlier wishes (by key) first.
 
-    Ties go to the smaller value, then to the smaller item. The serial rule is settled in rounds of
-    offers: every wish without an item asks for the best of its list, an item keeps the earliest wish
-    that ever asked for it, and who is turned away strikes the item off. As all items rank the wishes
-    alike, no order of the rounds can end elsewhere. Wishes and items meet by blocks of values.
+    Ties go to the smaller value, then to the smaller item. Items of one value are thus taken in their
+    order, and a wish only needs to know how many items a value has. The serial rule is settled in rounds
+    of offers: every wish asks for the best value of its list, a value keeps as many of the earliest
+    wishes as it has items, and who is turned away strikes the value off. As all values rank the wishes
+    alike, no order of the rounds can end elsewhere. Wishes and values meet by blocks of values.
     """
     block = lambda c: F.floor(F.col(c) / (within + 1)).cast("long")
-    asks = wanted.select(F.col(key).alias("_wish"), F.col(value).alias("_at"), F.explode(F.array(*[block(value) + i for i in (-1, 0, 1)])).alias("_block"))
-    have = available.select(F.col(item).alias("_item"), F.col(value).alias("_has"), block(value).alias("_block"))
+    asks = ranged(wanted.select(F.col(key).alias("_wish"), F.col(value).alias("_at")), "_wish").select("_wish", "_part", "_at", F.explode(F.array(*[block("_at") + i for i in (-1, 0, 1)])).alias("_block"))
+    items = settled(ranged(available.where(F.col(value).isNotNull()).select(F.col(item).alias("_item"), F.col(value).alias("_has")).distinct(), "_item"), "items")
+    have = settled(items.groupBy("_has").agg(F.count("*").alias("_room")).withColumn("_block", block("_has")), "values")
     near = asks.join(have, "_block").where(F.abs(F.col("_has") - F.col("_at")) <= within)
-    open_ = settled(near.select("_wish", F.struct(F.abs(F.col("_has") - F.col("_at")).alias("gap"), F.col("_has").alias("has"), F.col("_item").alias("item")).alias("_by")), "wishes")
+    open_ = settled(near.select("_wish", "_part", F.struct(F.abs(F.col("_has") - F.col("_at")).alias("gap"), F.col("_has").alias("has")).alias("_by")), "wishes")
     while True:
-        best = open_.groupBy("_wish").agg(F.min("_by").alias("_by")).withColumn("_item", F.col("_by.item"))
-        first = settled(best.groupBy("_item").agg(F.min("_wish").alias("_holder"), F.count("*").alias("_asked")), "held")
-        if first.where("_asked > 1").isEmpty():
-            return best.select(F.col("_wish").alias(key), F.col("_item").alias(item), F.col("_by.gap").alias("gap"))
-        # whoever comes after an item's holder can never have it, whether they have asked already or not
-        open_ = open_.withColumn("_item", F.col("_by.item")).join(first.select("_item", "_holder"), "_item", "left").where(F.col("_holder").isNull() | (F.col("_wish") <= F.col("_holder"))).select("_wish", "_by")
+        best = open_.groupBy("_wish", "_part").agg(F.min("_by").alias("_by")).withColumn("_has", F.col("_by.has"))
+        best = settled(ranked_in_ranges(best, "_has", "_wish", "_part", "_turn"), "asked")
+        full = best.join(have.select("_has", "_room"), "_has").groupBy("_has").agg(F.max(F.when(F.col("_turn") == F.col("_room"), F.col("_wish"))).alias("_last"), F.max(F.col("_turn") - F.col("_room")).alias("_over"))
+        full = settled(full.where(F.col("_over") >= 0), "full")
+        if full.where("_over > 0").isEmpty():
+            break
+        # whoever comes after the last wish that a full value keeps can never have it, whether they have asked already or not
+        open_ = open_.withColumn("_has", F.col("_by.has")).join(full.select("_has", "_last"), "_has", "left").where(F.col("_last").isNull() | (F.col("_wish") <= F.col("_last"))).select("_wish", "_part", "_by")
         open_ = settled(open_, "wishes")
+    placed = ranked_in_ranges(items, "_has", "_item", "_part", "_turn").select("_has", "_turn", "_item")
+    return best.join(placed, ["_has", "_turn"]).select(F.col("_wish").alias(key), F.col("_item").alias(item), F.col("_by.gap").alias("gap"))
 
 
 def sample_others(df: DataFrame, group: str, key: str, n: int, seed: str = "0") -> DataFrame:

@@ -40,3 +40,12 @@ def test_cells_of_a_float_array_are_those_of_single_precision(spark, duck, tmp_p
     spark.createDataFrame([(1, [0.29] * 24 + [0.57] * 40, 0), (2, [0.1 * k for k in range(64)], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     want = duck.sql(ORACLES["set_operations"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
     assert sorted(tuple(r) for r in QUERIES["set_operations"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_halves_of_balances_go_to_the_even_number(spark, duck, tmp_path):
+    spark.createDataFrame([(1, 25.0), (2, 45.0)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(7, 15.0), (8, 26.0), (9, 65.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    sql = ORACLES["matched_without_reuse"]
+    for t in ("supplier", "customer"):
+        sql = sql.replace(f" {t}", f" '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["matched_without_reuse"](spark, str(tmp_path)).select("s_suppkey", "c_custkey", "gap").collect())) == sorted(duck.execute(sql).fetchall())

@@ -278,3 +278,21 @@ def test_nearest_value_takes_the_smallest_key_of_equal_and_missing_values(spark)
         far = lambda a, b: abs(a - b) if a is not None and b is not None else math.inf
         want = sorted((k, min((far(v, x), j) for j, x in some if j != k)[1]) for k, v in some if len(some) > 1)
         assert sorted((r["k"], r["nearest"]) for r in G.nearest_value(frame, "k", "v").collect()) == want
+
+
+def test_wishes_and_items_of_one_value_are_settled_in_a_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(R, "settled", lambda df, label, real=R.settled: (rounds.append(label), real(df, label))[1])
+    rnd = random.Random(3)
+    wishes = [(k, 50 if k < 60 else rnd.randrange(100)) for k in range(120)]
+    items = [(k, 50 if k < 40 else rnd.randrange(100)) for k in rnd.sample(range(300), 150)]
+    free, want = dict(items), []
+    for k, v in wishes:
+        near = [(abs(x - v), x, i) for i, x in free.items() if abs(x - v) <= 5]
+        if near:
+            gap, _, i = min(near)
+            want.append((k, i, gap))
+            del free[i]
+    got = R.nearest_available(spark.createDataFrame(wishes, "k long, v int"), spark.createDataFrame(items, "i long, v int"), "k", "v", "i")
+    assert sorted((r["k"], r["i"], r["gap"]) for r in got.collect()) == want
+    assert len(rounds) < 40  # a round for each copy before
