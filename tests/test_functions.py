@@ -149,3 +149,13 @@ def test_matching_ratio_compares_whole_turns(spark, tmp_path):
     text = {(c, t): x for c, t, _, x in turns}
     want = {(c, t): None if x is None or text[c, t + 1] is None else round(SequenceMatcher(None, x, text[c, t + 1]).ratio(), 6) for (c, t), x in text.items() if (c, t + 1) in text}
     assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_searches_of_many_rows_are_those_of_each_row_alone():
+    rng = np.random.default_rng(4)
+    a = rng.normal(0, 1, (7, 2))
+    points, values = Y.chained_all(lambda p: ((p - a) ** 2).sum(axis=1) + np.cos(3 * p).sum(axis=1), [(-1.0, 1.0)] * 2, np.zeros((7, 2)))
+    for c, point, value in zip(a, points, values, strict=True):
+        p, v = Y.chained(lambda q, c=c: float(((q - c) ** 2).sum() + np.cos(3 * q).sum()), [(-1.0, 1.0)] * 2, np.zeros(2))
+        assert np.allclose(p, point, atol=1e-9) and math.isclose(v, value, abs_tol=1e-12)
+    assert [x.shape for x in Y.chained_all(lambda p: p.sum(axis=1), [(-1.0, 1.0)] * 2, np.zeros((0, 2)))] == [(0, 2), (0,)]
