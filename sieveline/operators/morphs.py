@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import glyphs as Y
 from ..functions.points import length, steps, total
 from ..functions.templates import CAPITALS
+from ..session import grown
 
 #: The places of the nine corners in a box.
 PLACES = {"TL": ("x0", "y0"), "TC": ("x0 + w // 2", "y0"), "TR": ("x1", "y0"), "ML": ("x0", "y0 + h // 2"), "MC": ("x0 + w // 2", "y0 + h // 2"), "MR": ("x1", "y0 + h // 2"), "BL": ("x0", "y1"), "BC": ("x0 + w // 2", "y1"), "BR": ("x1", "y1")}
@@ -67,12 +68,12 @@ def features(ink: DataFrame, key: str = "glyph") -> DataFrame:
     box = ink.groupBy(key).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     box = box.withColumns({"w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0")})
     step = F.col("x") - F.lag("x").over(Window.partitionBy(key, "y").orderBy("x"))
-    rows = ink.withColumn("step", step).groupBy(key, "y").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.max("step").alias("gap")).join(box, key)
+    rows = ink.withColumn("step", step).groupBy(key, "y").agg(F.min("x").alias("left"), F.max("x").alias("right"), F.max("step").alias("gap")).join(grown(box), key)
     within = lambda low, high: (F.col("y") >= _spark(low)) & (F.col("y") < _spark(high))
     waist = F.min(F.when(within("y0 + h // 3", "y0 + 2 * h // 3"), F.struct("right", "y")))
     gaps = F.sort_array(F.collect_list(F.when(within("y0 + h // 4", "y1 - h // 8") & (F.col("gap") > 3), F.col("y"))))
     seen = rows.groupBy(key).agg(waist.alias("narrow"), gaps.alias("gaps"), F.collect_list(F.struct("y", "left", "right")).alias("rows"))
-    seen = box.join(seen, key)
+    seen = box.join(grown(seen), key)
     middle = F.coalesce(F.get("gaps", F.floor(F.size("gaps") / 2).cast("int")), _spark("y0 + h * 3 // 5"))
     seen = seen.withColumns({"waist": F.coalesce(F.col("narrow.y"), _spark("y0 + h // 2")), "waist_x": F.coalesce(F.col("narrow.right"), F.col("x1") + 1), "level": middle})
     near = F.filter("rows", lambda r: (r["y"] >= F.greatest(F.col("y0"), F.col("level") - _spark("h // 8"))) & (r["y"] < F.least(F.col("y1"), F.col("level") + _spark("h // 8") + 1)))
@@ -86,19 +87,19 @@ def outline(ink: DataFrame, key: str = "glyph") -> DataFrame:
     """The pixels that have a neighbour above, below, left or right outside the glyph."""
     moved = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((0, 1), (0, -1), (1, 0), (-1, 0))])
     near = ink.select(key, F.explode(moved).alias("o"), "x", "y").select(key, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y")).groupBy(key, "x", "y").agg(F.count("*").alias("n"))
-    return ink.join(near, [key, "x", "y"], "left").where(F.coalesce("n", F.lit(0)) < 4).select(key, "x", "y")
+    return ink.join(grown(near), [key, "x", "y"], "left").where(F.coalesce("n", F.lit(0)) < 4).select(key, "x", "y")
 
 
 def corners(ink: DataFrame, chars: DataFrame, key: str = "glyph") -> DataFrame:
     """key, char, corner, x, y of the letters' corners: ``ink`` has the pixels (key, x, y), ``chars`` the letters (key, char)."""
-    seen = features(ink, key).join(chars.select(key, "char"), key)
+    seen = features(ink, key).join(grown(chars.select(key, "char")), key)
     rule = lambda r: F.struct(F.lit(r[0]).alias("corner"), F.lit(r[1]).alias("rule"), *[_spark(e).alias(n) for e, n in zip(r[2:], ("low", "high", "px", "py"), strict=True)])
     by_char = None
     for char in sorted(STROKES):
         rules = F.array(*[rule(r) for r in rules_of(char)])
         by_char = F.when(F.col("char") == char, rules) if by_char is None else by_char.when(F.col("char") == char, rules)
     asked = seen.select(key, "char", F.greatest(F.lit(5), _spark("h // 8")).alias("reach"), F.explode(by_char).alias("r")).select(key, "char", "reach", "r.*")
-    met = asked.join(outline(ink, key), key)
+    met = asked.join(grown(outline(ink, key)), key)
     x, y = F.col("x"), F.col("y")
     far = (x - F.col("px")) * (x - F.col("px")) + (y - F.col("py")) * (y - F.col("py"))
     inside = y.between(F.col("low"), F.col("high"))
@@ -166,5 +167,5 @@ def morphed(glyphs: DataFrame, key: str = "glyph", n: int = 60) -> DataFrame:
     templates = glyphs.sparkSession.createDataFrame([(c, k, s, k not in AS_DRAWN.get(c, [])) for c, strokes in STROKES.items() for k, s in enumerate(strokes)], "char string, stroke int, names array<string>, refine boolean")
     rows = at.join(F.broadcast(templates), "char")  # a few strokes a letter, made by the driver
     places = F.filter(F.transform("names", lambda name: F.try_element_at("at", name)), lambda p: p.isNotNull())
-    rows = rows.select(key, "stroke", "refine", drawn(places, n).alias("points")).where(F.size("points") > 1).join(glyphs.select(key, "mask", "width"), key)
+    rows = rows.select(key, "stroke", "refine", drawn(places, n).alias("points")).where(F.size("points") > 1).join(grown(glyphs.select(key, "mask", "width")), key)
     return rows.select(key, "stroke", F.when(F.col("refine"), fitted("mask", "width", "points")).otherwise(F.col("points")).alias("points"))

@@ -30,6 +30,11 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of an equi-join that is never broadcast: Spark tells its size from that of files, and what an explode makes of them is far more."""
+    return df.hint("merge")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application."""
     context = spark.sparkContext

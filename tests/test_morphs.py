@@ -54,3 +54,10 @@ def test_lines_get_their_share(spark):
     places = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(0.0).alias("y")) for x in (0, 10, 11, 41)])
     got = spark.range(1).select(M.drawn(places, 60).alias("p")).first()["p"]
     assert len(got) == 14 + 2 + 43 + 1 and got[0]["x"] == 0 and got[-1]["x"] == 41 and got[14]["x"] == 10
+
+
+def test_pixels_are_never_broadcast(spark):
+    from sieveline.plans.registry import QUERIES
+
+    plans = [QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for name in ("letter_corners", "morphed_strokes")]
+    assert [p.count("BroadcastHashJoin") for p in plans] == [0, 1]  # the templates
