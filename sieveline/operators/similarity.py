@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,16 +41,48 @@ def class_members(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(F.col(key).alias("member"), F.col(value).alias("h")).join(first, "h").select("member", "first")
 
 
+def block_pairs(hashes: DataFrame, threshold: int, block: int = 16384) -> DataFrame:
+    """ha, hb, distance of the distinct hashes ``h`` that differ in at most ``threshold`` bits, by comparing all pairs.
+
+    Hashes are dealt to blocks of about ``block``; each pair of blocks is a group that one task compares,
+    a strip of rows at a time. A comparison takes about a nanosecond and nothing but true pairs leaves a task.
+    """
+    n = max(1, -(-hashes.count() // block))
+    own = hashes.select("h", F.pmod(F.xxhash64("h"), F.lit(n)).cast("int").alias("own"))
+    dealt = own.select("h", "own", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")).select("h", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b["h"].to_numpy(), b["own"].to_numpy()) for b in batches]
+        h, of = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        i, j = (k.as_py() for k in key)
+        a, b = np.sort(h[of == i]), np.sort(h[of == j])
+        for at in range(0, len(a), 128):
+            strip = a[at : at + 128]
+            apart = np.bitwise_count(strip.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :])
+            x, y = np.nonzero(apart <= threshold)
+            if i == j:
+                x, y = x[keep := strip[x] < b[y]], y[keep]
+            if len(x):
+                low, high = np.minimum(strip[x], b[y]), np.maximum(strip[x], b[y])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(apart[x, y].astype(np.int32))], names=["ha", "hb", "distance"])
+
+    return dealt.groupBy("i", "j").applyInArrow(run, "ha bigint, hb bigint, distance int")
+
+
 def hamming_pairs(df: DataFrame, key: str, value: str, threshold: int, bits: int = 64) -> DataFrame:
     """a, b, distance of the classes of equal hashes (bigint, its low ``bits``) that differ in at most ``threshold`` bits.
 
     A class stands for all its copies by its smallest key, so a mass of copies costs one row; see
     :func:`class_members`. Two hashes within the threshold lie within a small radius in one span of
     bits: one side sends the patterns near its span, the other those nearer still, so that the two
-    meet in an equi-join without a long list on either side.
+    meet in an equi-join without a long list on either side. Where that radius is 2 or more, most pairs
+    that meet are not near, as many as the square of the rows: they are compared in blocks instead.
     """
     one = hash_classes(df, key, value)
     spans, radius = bands(threshold, bits)
+    if radius > 1:
+        one = settled(one, "hashes")
+        return _named(block_pairs(one, threshold), one)
 
     def keyed(reach: int, name: str) -> DataFrame:
         span = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.shiftleft(F.col("h"), 64 - high), 64 - (high - low)).alias("bits"), F.lit(high - low).alias("width")) for i, (low, high) in enumerate(spans)]
@@ -59,6 +93,11 @@ def hamming_pairs(df: DataFrame, key: str, value: str, threshold: int, bits: int
     apart = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
     met = keyed(radius - radius // 2, "ha").join(keyed(radius // 2, "hb"), ["band", "bits"])
     near = met.where((F.col("ha") != F.col("hb")) & (apart <= threshold)).select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb"), apart.alias("distance")).distinct()
+    return _named(near, one)
+
+
+def _named(near: DataFrame, one: DataFrame) -> DataFrame:
+    """Pairs of hashes as pairs of their classes' first keys."""
     x, y = one.select(F.col("h").alias("ha"), F.col("first").alias("x")), one.select(F.col("h").alias("hb"), F.col("first").alias("y"))
     return near.join(x, "ha").join(y, "hb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 

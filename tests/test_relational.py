@@ -296,3 +296,16 @@ def test_wishes_and_items_of_one_value_are_settled_in_a_few_rounds(spark, monkey
     got = R.nearest_available(spark.createDataFrame(wishes, "k long, v int"), spark.createDataFrame(items, "i long, v int"), "k", "v", "i")
     assert sorted((r["k"], r["i"], r["gap"]) for r in got.collect()) == want
     assert len(rounds) < 40  # a round for each copy before
+
+
+def test_far_thresholds_are_compared_in_blocks(spark):
+    rnd = random.Random(8)
+    hashes = [rnd.getrandbits(64) - 2**63 for _ in range(60)]
+    hashes += [h ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63)) for h in hashes[:30]]
+    frame = spark.createDataFrame([(h,) for h in set(hashes)], "h long")
+    apart = lambda a, b: ((a ^ b) & 2**64 - 1).bit_count()
+    want = {(a, b): apart(a, b) for a in set(hashes) for b in set(hashes) if a < b and apart(a, b) <= 26}
+    got = S.block_pairs(frame, 26, block=16).collect()
+    assert len(got) == len(want) > 30 and {(r["ha"], r["hb"]): r["distance"] for r in got} == want
+    plan = lambda threshold: S.hamming_pairs(frame.select("h", F.col("h").alias("k")), "k", "h", threshold)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan(14) and "FlatMapGroupsInArrow" not in plan(3)
