@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -131,10 +131,16 @@ def result_block(output: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(output, r"(?s)RESULTS_START\n(.*)\nRESULTS_END", 1), schema)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there, also within functions of an array's items."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    e = F.transform(values, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))
+    """The exponentials of an array over their sum; the largest value and the sum are computed once a row, not once an item."""
+    powers = once(F.array_max(values), lambda top: F.transform(values, lambda v: F.exp(v - top)))
+    share = lambda e: once(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda v: v / total))
+    return once(powers, share)
 
 
 def top_classes(probabilities: Column, labels: Column, k: int = 3) -> Column:
