@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, small_batches
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -31,9 +31,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     The session keeps the smaller batches, as frames run only after they have been returned.
     """
     ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
-        spark.conf.set(name, str(rows))
+    small_batches(spark, rows)
 
 
 @contextlib.contextmanager

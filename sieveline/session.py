@@ -35,8 +35,16 @@ def grown(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most so many rows at once: a row's points are an object each there, whatever the size of the table. The session keeps this, as frames run only after they have been returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application, and small batches from now on."""
+    small_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

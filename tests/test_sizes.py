@@ -14,9 +14,37 @@ from sieveline.plans.catalog import Tables
 FOLDER = os.environ.get("SIEVELINE_TEST_TABLES", "/root/testdata/sf0.001")
 
 
+def test_python_gets_small_batches_whatever_the_table(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        Tables(spark, FOLDER)
+        assert int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_softmax_has_each_power_once(spark):
     df = spark.createDataFrame([([1.0, 2.0, 4.0],), ([],), (None,)], "v array<double>").select(X.softmax(F.col("v")).alias("p"))
     assert df._jdf.queryExecution().analyzed().toString().lower().count("exp(") == 1
     got = [r["p"] for r in df.collect()]
     e = [math.exp(v - 4) for v in (1.0, 2.0, 4.0)]
     assert got[0] == [v / sum(e) for v in e] and got[1:] == [[], None]
+
+
+def test_masks_of_many_shapes_are_thinned_together():
+    rng = np.random.default_rng(3)
+    masks = [rng.random((h, w)) < 0.7 for h, w in ((5, 9), (8, 8), (5, 9), (1, 4), (8, 8))]
+    assert all(np.array_equal(a, Y.thinned(m)) for a, m in zip(Y.thinned_masks(masks), masks, strict=True))
+
+
+def test_points_at_masks_are_moved_without_objects(spark):
+    mask = np.zeros((4, 4), np.uint8)
+    mask[1, 1:3] = 1
+    rows = [(1, bytearray(mask.tobytes()), [(0.0, 0.0), (3.5, 3.0), (1.25, 1.0)]), (2, bytearray(16), [(5.0, 5.0)]), (3, bytearray(mask.tobytes()), []), (4, bytearray(mask.tobytes()), None)]
+    df = spark.createDataFrame(rows, "id long, mask binary, p array<struct<x:double,y:double>>")
+    plan = df.select("id", Y.snap("mask", F.lit(4), "p").alias("s"), Y.snap_near("mask", F.lit(4), "p", F.lit(1.5)).alias("n"), Y.centre_by_rays("mask", F.lit(4), "p").alias("c"))
+    got = {r["id"]: tuple(None if v is None else [tuple(q) for q in v] for v in r[1:]) for r in plan.collect()}
+    assert got[1] == ([(1.0, 1.0), (2.0, 1.0), (1.25, 1.0)], [(1.0, 1.0), (3.5, 3.0), (1.0, 1.0)], [(0.0, 0.0), (3.5, 3.0), (1.25, 1.0)])
+    assert got[2] == ([(5.0, 5.0)],) * 3 and got[3] == ([],) * 3 and got[4] == (None,) * 3
