@@ -193,6 +193,12 @@ class PageStreamReader(SimpleDataSourceStreamReader):
             yield from rows
 
 
+def names_below(path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    return [f.base_name for f in fs.get_file_info(pyarrow.fs.FileSelector(inner, allow_not_found=True))]
+
+
 def listed_page(base: str, category: str, page: int) -> list[str]:
     """The urls of a page of a listing that is kept as text files below ``base``, in folders ``category=`` and ``page=``."""
     fs, inner = pyarrow.fs.FileSystem.from_uri(base if "://" in base else f"file://{base.removeprefix('file:')}")

@@ -242,22 +242,42 @@ class PagedJob:
     checkpoint: str
     options: dict[str, str]
 
-    def step(self) -> bool:
-        """Read the pages of one batch; false once there is nothing left."""
+    def _query(self, **trigger) -> StreamingQuery:
         from ..sources.pages import register
 
         register(self.spark)
         stream = self.spark.readStream.format("paged-stream").options(**self.options).load()
-        query = stream.writeStream.format("parquet").option("path", self.results).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+        return stream.writeStream.format("parquet").option("path", self.results).option("checkpointLocation", self.checkpoint).trigger(**trigger).start()
+
+    def step(self) -> bool:
+        """Read the pages of one batch; false once there is nothing left."""
+        query = self._query(availableNow=True)
         query.awaitTermination()
         return any(p.batchId >= 0 and p.sources[0].startOffset != p.sources[0].endOffset for p in query.recentProgress)
 
     def run(self, most: int | None = None) -> int:
-        """Batches read: all that are left, or at most so many before the job pauses."""
+        """Batches read: all that are left, or at most so many before the job pauses.
+
+        What is left is read by one query, a batch after the other: a query costs seconds to start.
+        """
+        if most is None:
+            before = self._batches()
+            query = self._query(processingTime="0 seconds")
+            try:
+                query.processAllAvailable()
+            finally:
+                query.stop()
+            return self._batches() - before
         n = 0
-        while (most is None or n < most) and self.step():
+        while n < most and self.step():
             n += 1
         return n
 
+    def _batches(self) -> int:
+        """Batches that have been finished, by the numbers of the checkpoint's commits."""
+        from ..sources.pages import names_below
+
+        return 1 + max((int(n) for n in names_below(f"{self.checkpoint.rstrip('/')}/commits") if n.isdigit()), default=-1)
+
     def found(self) -> DataFrame:
         return self.spark.read.schema("category string, page int, url string").parquet(self.results)

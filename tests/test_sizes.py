@@ -72,3 +72,19 @@ def test_distances_within_reach_do_not_depend_on_the_reach():
     for mask in (rng.random((14, 17)) < 0.03 for _ in range(20)):
         far, near = Y.distance_squared(mask)[0], Y.distance_squared(mask, 3.5)[0]
         assert np.array_equal(far <= 3.5**2, near <= 3.5**2) and np.array_equal(far[far <= 3.5**2], near[far <= 3.5**2])
+
+
+def test_what_is_left_of_a_paged_job_is_read_by_one_query(spark, tmp_path, monkeypatch):
+    from sieveline.streaming.jobs import PagedJob
+
+    for category, n in (("a", 4), ("b", 3)):
+        for page in range(1, n + 1):
+            folder = tmp_path / "listing" / f"category={category}" / f"page={page}"
+            folder.mkdir(parents=True)
+            (folder / "part-0.txt").write_text(f"{category}{page}x\n{category}{page}y\n")
+    started, plain = [], PagedJob._query
+    monkeypatch.setattr(PagedJob, "_query", lambda self, **how: started.append(how) or plain(self, **how))
+    job = PagedJob(spark, str(tmp_path / "found"), str(tmp_path / "checkpoint"), {"categories": "a,b", "fetcher": "sieveline.sources.pages.listed_page", "base": str(tmp_path / "listing"), "pages": "1", "max_pages": "100"})
+    assert job.run(2) == 2 and job.found().count() == 4
+    assert job.run() >= 5 and len(started) == 3
+    assert sorted(r["url"] for r in job.found().collect()) == sorted(f"{c}{p}{x}" for c, n in (("a", 4), ("b", 3)) for p in range(1, n + 1) for x in "xy")
