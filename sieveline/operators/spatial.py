@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..session import settled
 from .ranking import latest, ranged
 
+#: Places of a cell in which the search for nearest points begins.
+CROWD = 64
 OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
@@ -41,12 +43,17 @@ def nearest_all(points: DataFrame, cloud: DataFrame, start: float, k: int = 1) -
     """id, other, d2, rank: the ``k`` closest cloud points of every point (fewer where the cloud has fewer), itself excluded by ``other``; ties by id.
 
     The radius begins at ``start`` and doubles for the points that have not found enough within it,
-    until it spans all points; so crowded places are searched narrowly and no point is left out.
+    until it spans all points; so crowded places are searched narrowly and no point is left out. Where a
+    cell of ``start`` has many places the radius begins smaller. Of cloud points at one place the k + 1
+    smallest ids alone can be among a point's closest.
     """
     size = cloud.count()
     ends = points.select("x", "y").union(cloud.select("x", "y")).agg(*[f(a) for a in ("x", "y") for f in (F.min, F.max)]).first()
     span = max([1e-9, *((ends[i + 1] - ends[i]) for i in (0, 2) if ends[i] is not None)]) * 1.5
+    cloud = settled(latest(cloud.select("other", "x", "y"), ["x", "y"], ["other"], k + 1), "cloud")
     left, r, out = points, start, None
+    while r > span * 1e-9 and (crowd := cloud.groupBy(_cells(F.col("x"), r), _cells(F.col("y"), r)).count().agg(F.max("count")).first()[0]) and crowd > CROWD * (k + 1):
+        r /= 2
     while True:
         near = radius_join(left, cloud, r).where("id != other")
         w = Window.partitionBy("id").orderBy("d2", "other")

@@ -88,3 +88,19 @@ def test_what_is_left_of_a_paged_job_is_read_by_one_query(spark, tmp_path, monke
     assert job.run(2) == 2 and job.found().count() == 4
     assert job.run() >= 5 and len(started) == 3
     assert sorted(r["url"] for r in job.found().collect()) == sorted(f"{c}{p}{x}" for c, n in (("a", 4), ("b", 3)) for p in range(1, n + 1) for x in "xy")
+
+
+def test_copies_at_one_place_do_not_meet_each_other(spark, monkeypatch):
+    from sieveline.operators import spatial as G
+
+    rng = np.random.default_rng(7)
+    places = [(1, 1)] * 300 + [(2, 1)] * 100 + [(50, 60)] + [(float(x), float(y)) for x, y in rng.integers(0, 9, (60, 2))]
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "id long, x double, y double")
+    met, plain = [], G.radius_join
+    monkeypatch.setattr(G, "radius_join", lambda *a: (df := plain(*a), met.append(df.count()))[0])
+    got = sorted((r["id"], r["rank"], r["other"]) for r in G.nearest_all(points, points.withColumnRenamed("id", "other"), 0.5, 2).collect())
+    want = []
+    for i, (x, y) in enumerate(places):
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, (a, b) in enumerate(places) if j != i)[:2]
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert got == sorted(want) and max(met) < 20 * len(places)
