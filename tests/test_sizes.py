@@ -104,3 +104,20 @@ def test_copies_at_one_place_do_not_meet_each_other(spark, monkeypatch):
         near = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, (a, b) in enumerate(places) if j != i)[:2]
         want += [(i, n + 1, j) for n, (_, j) in enumerate(near)]
     assert got == sorted(want) and max(met) < 20 * len(places)
+
+
+def test_counters_of_a_stream_need_no_python(spark, tmp_path):
+    from sieveline.streaming import progress
+
+    src, out, schema = str(tmp_path / "in"), {}, "job long, bad boolean"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        counts = progress.running_counts(spark.readStream.schema(schema).parquet(src), "job", "bad")
+        assert "Python" not in counts._jdf.queryExecution().analyzed().toString() and "Pandas" not in counts._jdf.queryExecution().analyzed().toString()
+        counts.writeStream.outputMode("update").foreachBatch(lambda df, n: out.update({r["job"]: (r["checked"], r["failed"]) for r in df.collect()})).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    run([(1, True), (1, None), (2, False)])
+    assert out == {1: (2, 1), 2: (1, 0)}
+    run([(1, True), (3, True), (None, False)])
+    assert out == {1: (3, 2), 2: (1, 0), 3: (1, 1), None: (1, 0)}
