@@ -25,6 +25,7 @@ from ..operators.ranking import numbered
 from ..session import settled, ship
 
 FONT_SUFFIXES = ("ttf", "otf", "woff", "woff2")
+ENTRIES, HELD = 1000, 16 << 20  # entries of an archive, and bytes of their contents, that leave a task at once
 
 
 def scan(spark: SparkSession, folder: str, suffixes: Sequence[str] = FONT_SUFFIXES, recursive: bool = True) -> DataFrame:
@@ -39,19 +40,27 @@ def register_files(found: DataFrame, table: DataFrame) -> tuple[DataFrame, DataF
     return marked.where("_known IS NULL").drop("_known", "status"), marked.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def entries_of(archives: Iterator[tuple[str, bytes]], ends: tuple[str, ...], folder: str = "") -> Iterator[pd.DataFrame]:
+    """archive, entry, name, content of the entries of archives (path, content), ``ENTRIES`` or some ``HELD`` bytes at a time."""
+    columns, rows, size = ["archive", "entry", "name", "content"], [], 0
+    for path, content in archives:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for e in sorted(z.namelist()):
+                if e.startswith(folder) and e.lower().endswith(ends):
+                    rows.append((path, e, e.rsplit("/", 1)[-1], z.read(e)))
+                    size += len(rows[-1][3])
+                    if len(rows) >= ENTRIES or size >= HELD:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
 def zip_entries(spark: SparkSession, glob: str, suffixes: Sequence[str] = FONT_SUFFIXES, folder: str = "") -> DataFrame:
     """archive, entry, name, content of the entries of all archives, opened on the executors."""
     ship(spark)
     ends = tuple(f".{s}" for s in suffixes)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for e in sorted(z.namelist()):
-                        if e.startswith(folder) and e.lower().endswith(ends):
-                            yield pd.DataFrame([(path, e, e.rsplit("/", 1)[-1], z.read(e))], columns=["archive", "entry", "name", "content"])
-
+    run = lambda frames: entries_of(((path, content) for f in frames for path, content in zip(f["path"], f["content"], strict=True)), ends, folder)
     rows = spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "archive string, entry string, name string, content binary")
     return rows.withColumn("name", safe_file_name(F.col("name")))
 

@@ -121,3 +121,19 @@ def test_counters_of_a_stream_need_no_python(spark, tmp_path):
     assert out == {1: (2, 1), 2: (1, 0)}
     run([(1, True), (3, True), (None, False)])
     assert out == {1: (3, 2), 2: (1, 0), 3: (1, 1), None: (1, 0)}
+
+
+def test_entries_of_an_archive_leave_in_batches():
+    import io
+    import zipfile
+
+    from sieveline.sources import files
+
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        for i in range(2500):
+            z.writestr(f"fonts/{i:04d}.ttf", b"x" * (i % 50))
+    got = list(files.entries_of([("a", archive.getvalue())] * 2, (".ttf",), "fonts/"))
+    assert len(got) == 5
+    one = [("a", f"fonts/{i:04d}.ttf", f"{i:04d}.ttf", b"x" * (i % 50)) for i in range(2500)]
+    assert [r for f in got for r in f.itertuples(index=False, name=None)] == one * 2
