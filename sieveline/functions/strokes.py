@@ -7,12 +7,12 @@ is a fixpoint over the strokes of one glyph, a few dozen at most; it runs per gl
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -284,21 +284,47 @@ def merge_pipeline(strokes: Iterable[Sequence[Sequence[float]]], junctions: Sequ
 MERGED = "glyph long, stroke int, points array<struct<x:double,y:double>>"
 
 
+def merged_batch(batch: pa.RecordBatch, preset: str, passes: Sequence[str] | None) -> pa.RecordBatch:
+    """glyph, stroke, points after merging the glyphs of a batch (glyph, lines, dots); coordinates stay in Arrow's columns on the way in and out."""
+    lines, dots = batch.column("lines"), batch.column("dots")
+    points = lines.flatten().field("points")
+    xs, ys = (points.flatten().field(k).cast(pa.float64()).to_numpy(zero_copy_only=False).tolist() for k in "xy")
+    sizes, counts = (np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(v).to_pylist())]).tolist() for v in (points, lines))
+    where, px, py = (dots.flatten().field(k).to_pylist() for k in ("junction", "x", "y"))
+    pixels = np.cumsum([0, *pa.compute.list_value_length(dots).to_pylist()]).tolist()
+    glyphs_, numbers, lengths, flat = [], [], [0], []
+    for n, glyph in enumerate(batch.column("glyph").to_pylist()):
+        strokes = [list(zip(xs[sizes[k] : sizes[k + 1]], ys[sizes[k] : sizes[k + 1]], strict=True)) for k in range(counts[n], counts[n + 1])]
+        sets: dict[object, set[tuple[int, int]]] = {}
+        for k in range(pixels[n], pixels[n + 1]):
+            sets.setdefault(where[k], set()).add((px[k], py[k]))
+        for number, stroke in enumerate(merge_pipeline(strokes, [sets[j] for j in sorted(sets)], preset, passes)):
+            glyphs_.append(glyph)
+            numbers.append(number)
+            flat += stroke
+            lengths.append(len(flat))
+    places = np.array(flat, float).reshape(-1, 2)
+    out = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.StructArray.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1])], names=["x", "y"]))
+    return pa.RecordBatch.from_arrays([pa.array(glyphs_, pa.int64()), pa.array(numbers, pa.int32()), out], names=["glyph", "stroke", "points"])
+
+
 def merge_strokes(strokes: DataFrame, junctions: DataFrame, preset: str = "default", passes: Sequence[str] | None = None) -> DataFrame:
-    """glyph, stroke, points after merging: ``strokes`` has glyph, stroke, points; ``junctions`` has glyph, junction, x, y. A glyph is bounded by its canvas."""
+    """glyph, stroke, points after merging: ``strokes`` has glyph, stroke, points; ``junctions`` has glyph, junction, x, y.
+
+    A glyph is bounded by its canvas: its strokes and pixels are one row, and Python gets many rows at once.
+    """
     from ..session import ship
 
     ship(strokes.sparkSession)
+    dot = F.struct("junction", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    dots = junctions.where("junction IS NOT NULL").select("glyph", dot.alias("dot"))
+    rows = strokes.select("glyph", F.struct("stroke", "points").alias("line")).unionByName(dots, allowMissingColumns=True)
+    each = rows.groupBy(F.col("glyph").cast("long").alias("glyph")).agg(F.sort_array(F.collect_list("line")).alias("lines"), F.collect_list("dot").alias("dots")).where(F.size("lines") > 0)
 
-    def run(rows: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=["glyph", "stroke", "points"])
-        lines = [[(p["x"], p["y"]) for p in s] for s in rows.sort_values("stroke")["points"]]
-        sets = [set(zip(g["x"].astype(int), g["y"].astype(int))) for _, g in pixels.sort_values("junction").groupby("junction")]
-        out = merge_pipeline(lines, sets, preset, passes)
-        return pd.DataFrame([(rows["glyph"].iloc[0], k, [{"x": float(x), "y": float(y)} for x, y in s]) for k, s in enumerate(out)], columns=["glyph", "stroke", "points"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (merged_batch(b, preset, passes) for b in batches)
 
-    return strokes.groupBy("glyph").cogroup(junctions.groupBy("glyph")).applyInPandas(run, MERGED)
+    return each.mapInArrow(run, MERGED)
 
 
 def cluster_junctions(pixels: Iterable[tuple[int, int]], apart: float = 12.0) -> list[set[tuple[int, int]]]:

@@ -137,3 +137,30 @@ def test_entries_of_an_archive_leave_in_batches():
     assert len(got) == 5
     one = [("a", f"fonts/{i:04d}.ttf", f"{i:04d}.ttf", b"x" * (i % 50)) for i in range(2500)]
     assert [r for f in got for r in f.itertuples(index=False, name=None)] == one * 2
+
+
+def test_strokes_of_many_glyphs_are_merged_in_one_batch(spark):
+    from sieveline.functions import strokes as K
+
+    rng = np.random.default_rng(11)
+    lines, joints, want = [], [], {}
+    for glyph in range(40):
+        x, y, own = int(rng.integers(0, 9)), int(rng.integers(0, 9)), []
+        for stroke, (dx, dy) in enumerate(((1, 0), (-1, 0), (0, 1), (1, 1))[: 1 + glyph % 4]):
+            n = int(rng.integers(2, 30))
+            own.append([(float(x + dx * i), float(y + dy * i)) for i in range(n)])
+            lines.append((glyph, stroke, own[-1]))
+        dots = [(0, x, y), (0, x + 1, y), (2, x - 30, y)] if glyph % 5 else []
+        joints += [(glyph, *d) for d in dots]
+        want[glyph] = K.merge_pipeline(own, [{(x, y), (x + 1, y)}, {(x - 30, y)}] if dots else [])
+    lines.append((None, 0, [(0.0, 0.0), (9.0, 9.0)]))
+    joints.append((99, 0, 1, 1))
+    strokes = spark.createDataFrame(lines, "glyph long, stroke int, points array<struct<x:double,y:double>>")
+    df = K.merge_strokes(strokes, spark.createDataFrame(joints, "glyph long, junction int, x int, y int"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMap" not in plan and "Join" not in plan
+    got = {}
+    for r in df.orderBy("glyph", "stroke").collect():
+        got.setdefault(r["glyph"], []).append([tuple(p) for p in r["points"]])
+    assert got.pop(None) == K.merge_pipeline([[(0.0, 0.0), (9.0, 9.0)]])
+    assert got == {g: s for g, s in want.items() if s}
