@@ -2,7 +2,7 @@
 
 A document's sketch XORs the hashes of its shingles into blocks. Only a shingle of the
 symmetric difference can change a block, so the blocks in which two sketches differ (and the
-bits in which their 256-bit parity sketches differ) never outnumber the symmetric difference.
+bits in which their 512-bit parity sketches differ) never outnumber the symmetric difference.
 Similar documents differ in so few shingles that, of the blocks of their size band, some must
 be equal: by pigeonhole a pair shares one of its first ``d + 1`` blocks, d being the largest
 difference that the threshold allows, in any order of blocks that depends on their contents
@@ -44,6 +44,7 @@ CHUNK = 500_000  # sketch entries that a task holds; its arrays are copied some
 COUNTED = 1_000_000  # shingles that a task holds to count them
 CROWD = 2048  # classes of a bucket that one task compares; larger buckets are dealt out as pairs of blocks
 KNOWN = 6  # buckets of a class that its rows in the second step know of
+WORDS = 8  # 64-bit words of a parity sketch: within 0.8 it tells apart sets of up to some 1000 shingles
 COMMON = 1 << 16  # length of the list of the most frequent shingles
 
 
@@ -139,8 +140,8 @@ def sketch_keys(shingles: np.ndarray, common: np.ndarray, num: int, den: int) ->
 
 
 def parity_sketch(shingles: np.ndarray) -> list[int]:
-    """256 bits as four signed numbers: each shingle toggles one."""
-    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    """``WORDS`` signed numbers of 64 bits each: each shingle toggles one bit."""
+    odd = np.bincount((shingles & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
     return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64).tolist()
 
 
@@ -260,7 +261,7 @@ def pruned(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     """Distinct pairs (a, b) that sizes and parity sketches allow."""
     a, b = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     most = F.expr(f"CAST(floor({den - num} * (na + nb) / {den + num}D) AS long)")
-    hamming = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(4)), F.lit(0))
+    hamming = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WORDS)), F.lit(0))
     return pairs.distinct().join(a, "a").join(b, "b").where((F.lit(den) * F.least("na", "nb") >= F.lit(num) * F.greatest("na", "nb")) & (hamming <= most)).select("a", "b")
 
 
@@ -269,8 +270,8 @@ class Buckets:
 
     ``unit`` is the bucket, or a pair of blocks of a crowded one; ``side`` is 0 for rows to be
     compared among themselves, else 1 or 2 for those to be compared with the other side.
-    ``keys`` has the first few buckets of each row's class in order: a pair does not leave a
-    bucket if both are known to be in an earlier one, so it leaves one or two of those it shares.
+    ``keys`` has the first few buckets of each row's class, the most crowded first: a pair does not
+    leave a bucket if both are known to be in an earlier one, so it leaves one or two of those it shares.
     """
 
     def __init__(self, unit: np.ndarray, key: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, sketch: np.ndarray, keys: np.ndarray, num: int, den: int):
@@ -290,7 +291,9 @@ class Buckets:
     def first(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """False where both classes are known to be in an earlier bucket."""
         a, b = self.keys[i], self.keys[j]
-        shared = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a < self.key[i][:, None])
+        own = a == self.key[i][:, None]  # all that are listed come before a bucket that is not
+        at = np.where(own.any(axis=1), own.argmax(axis=1), a.shape[1])
+        shared = (a[:, :, None] == b[:, None, :]).any(axis=2) & (np.arange(a.shape[1]) < at[:, None])
         return ~shared.any(axis=1)
 
     def pairs(self) -> np.ndarray:
@@ -323,26 +326,26 @@ class Buckets:
 
 
 def unlinked_pairs(members: DataFrame, classes: DataFrame, num: int, den: int, ranges: int) -> DataFrame:
-    """a, b: pairs of ``members`` (key, node, root) that share a bucket, not a component, and may be similar.
+    """a, b: pairs of ``members`` (key, node, root, crowd: the members of the key) that share a bucket, not a component, and may be similar.
 
     They are compared by their sketches where the bucket is; only what passes leaves the task.
     """
-    large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(F.col("key").alias("large_key"), F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
-    rows = members.join(large, F.col("key") == F.col("large_key"), "left").select("key", "node", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    rows = members.select("key", "node", "root", F.ceil(F.col("crowd") / CROWD).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("int")
     rows = rows.select(unit.alias("unit"), "key", side.alias("side"), "node", "root")
-    keys = members.groupBy(F.col("node").alias("in_keys")).agg(F.slice(F.sort_array(F.collect_list("key")), 1, KNOWN).alias("keys"))  # as many as a text has sketch blocks
+    order = F.sort_array(F.collect_list(F.struct((-F.col("crowd")).alias("c"), "key")))  # as many as a text has sketch blocks
+    keys = members.groupBy(F.col("node").alias("in_keys")).agg(F.slice(order, 1, KNOWN)["key"].alias("keys"))
     early = [F.coalesce(F.get("keys", F.lit(i)), F.lit((1 << 63) - 1)).alias(f"k{i}") for i in range(KNOWN)]
-    about = classes.join(keys, F.col("node") == F.col("in_keys")).select(F.col("node").alias("of"), F.col("n").alias("size"), *early, *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)])
-    rows = rows.join(about, F.col("node") == F.col("of")).select(F.pmod("unit", F.lit(ranges)).cast("int").alias("range"), "unit", "key", "side", "node", "root", "size", *[f"k{i}" for i in range(KNOWN)], "s0", "s1", "s2", "s3")
+    about = classes.join(keys, F.col("node") == F.col("in_keys")).select(F.col("node").alias("of"), F.col("n").alias("size"), *early, *[F.col("sketch")[i].alias(f"s{i}") for i in range(WORDS)])
+    rows = rows.join(about, F.col("node") == F.col("of")).select(F.pmod("unit", F.lit(ranges)).cast("int").alias("range"), "unit", "key", "side", "node", "root", "size", *[f"k{i}" for i in range(KNOWN)], *[f"s{i}" for i in range(WORDS)])
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("unit").combine_chunks()
         col = lambda c: group[c].to_numpy()
-        sketches = np.stack([col(f"s{i}") for i in range(4)], axis=1).view(np.uint64)
+        sketches = np.stack([col(f"s{i}") for i in range(WORDS)], axis=1).view(np.uint64)
         early = np.stack([col(f"k{i}") for i in range(KNOWN)], axis=1)
         found = Buckets(col("unit"), col("key"), col("side"), col("node"), col("root"), col("size"), sketches, early, num, den).pairs()
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
@@ -405,8 +408,8 @@ def linked_classes(docs: DataFrame, words: int, num: int, den: int, ranges: int
     # second step: pairs of a bucket that are in different components
     members = found.select("key", "node").union(found.select("key", F.col("leader").alias("node"))).distinct()
     placed = members.join(roots.withColumnRenamed("node", "placed"), F.col("node") == F.col("placed"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("key").alias("open_key"))
-    left = stored(placed.join(open_keys, F.col("key") == F.col("open_key"), "left_semi"), "open")
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("crowd")).where("low != high").select(F.col("key").alias("open_key"), "crowd")
+    left = stored(placed.join(open_keys, F.col("key") == F.col("open_key")).select("key", "node", "root", "crowd"), "open")
     more = stored(verified(unlinked_pairs(left, classes, num, den, ranges), sets, num, den), "more-links")
     if not more.isEmpty():
         roots = components(links.union(more), "all-components")

@@ -397,6 +397,36 @@ def test_close_pairs_against_all_pairs():
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(int(x), int(y)) for x, y in want} and want
 
 
+def test_sketches_tell_apart_sets_of_hundreds_of_shingles():
+    rng = np.random.default_rng(2)
+    for n in (300, 500, 700):
+        sketches = np.array([jaccard.parity_sketch(np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))) for _ in range(80)]).view(np.uint64)
+        i, j = np.triu_indices(80, 1)
+        apart = np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
+        assert (apart > 2 * (2 * n) // 18).mean() > 0.999
+
+
+def test_a_pair_leaves_few_of_the_buckets_it_shares(spark):
+    # classes 0 to 29 share 40 crowded buckets, each has 30 smaller-numbered ones with one other class, and bucket 7 is of two alone
+    rows = [(1000 + k, n) for k in range(40) for n in range(30)] + [(100 + 30 * (n // 2) + k, n) for n in range(30) for k in range(15)] + [(7, 3), (7, 31)]
+    crowds = {}
+    for key, _ in rows:
+        crowds[key] = crowds.get(key, 0) + 1
+    members = spark.createDataFrame([(k, n, n, crowds[k]) for k, n in rows], "key long, node long, root long, crowd long")
+    classes = spark.createDataFrame([(n, 100, [0] * jaccard.WORDS) for n in range(32)], "node long, n long, sketch array<long>")
+    left = []
+    found = {(r["a"], r["b"]) for r in jaccard.unlinked_pairs(members, classes, 8, 10, 16).collect()}
+    assert found == {(a, b) for a in range(30) for b in range(a + 1, 30)} | {(3, 31)}
+    listed = {n: [k for _, k in sorted((-crowds[k], k) for k, m in rows if m == n)][: jaccard.KNOWN] for n in range(32)}
+    pad = [(1 << 63) - 1] * jaccard.KNOWN
+    for key in sorted(crowds):  # each bucket as if it were alone in its task
+        nodes = np.array([n for k, n in rows if k == key])
+        ones, zeros = np.full(len(nodes), key), np.zeros(len(nodes), np.int64)
+        keys = np.array([(listed[n] + pad)[: jaccard.KNOWN] for n in nodes])
+        left += jaccard.Buckets(ones, ones, zeros, nodes, nodes, zeros + 100, np.zeros((len(nodes), jaccard.WORDS), np.uint64), keys, 8, 10).pairs().tolist()
+    assert {tuple(p) for p in left} == found and len(left) == len(found)
+
+
 def test_one_row_of_each_group_stays(spark):
     """Repeated rows, rows without an id, ids of several texts, and columns named like those of the operator."""
     rng = random.Random(12)
