@@ -120,12 +120,17 @@ def round_robin(writers: DataFrame, key: str, bases: DataFrame) -> DataFrame:
 
 
 def containing(words: DataFrame, word: str, fonts: DataFrame, glyphs: str) -> DataFrame:
-    """Words with the fonts that have all of their characters, by counting matches on characters instead of a cross join."""
+    """Words with the fonts that have all of their characters, by counting matches on characters instead of a cross join.
+
+    Fonts of equal sets of characters are one class until the end, so that a character is not met once for each font that has it.
+    """
     letters = words.select(F.col(word), F.explode(F.array_distinct(F.filter(F.split(word, ""), lambda c: c != ""))).alias("_c"))
     need = letters.groupBy(word).agg(F.count("*").alias("_need"))
-    have = fonts.select(*[c for c in fonts.columns if c != glyphs], F.explode(F.array_distinct(glyphs)).alias("_c"))
-    keys = [c for c in have.columns if c != "_c"]
-    return letters.join(have, "_c").groupBy(word, *keys).agg(F.count("*").alias("_got")).join(need, word).where("_got = _need").select(word, *keys)
+    keys = [c for c in fonts.columns if c != glyphs]
+    classed = fonts.select(*keys, F.array_sort(F.array_distinct(glyphs)).alias("_set"))
+    have = classed.select("_set").distinct().select("_set", F.explode("_set").alias("_c"))
+    got = letters.join(have, "_c").groupBy(word, "_set").agg(F.count("*").alias("_got")).join(need, word).where("_got = _need").select(word, "_set")
+    return classed.join(got, "_set").select(word, *keys)
 
 
 def active_in(df: DataFrame, column: str, states: Sequence[str], newest: str | None = None) -> DataFrame:

@@ -164,3 +164,17 @@ def test_strokes_of_many_glyphs_are_merged_in_one_batch(spark):
         got.setdefault(r["glyph"], []).append([tuple(p) for p in r["points"]])
     assert got.pop(None) == K.merge_pipeline([[(0.0, 0.0), (9.0, 9.0)]])
     assert got == {g: s for g, s in want.items() if s}
+
+
+def test_fonts_of_equal_characters_meet_words_once(spark):
+    from sieveline.operators import relational as J
+
+    fonts = spark.createDataFrame([(i, list("abc" if i % 2 else "cbaa")) for i in range(200)] + [(900, list("ab")), (901, []), (902, None), (903, list("abc")), (903, list("abc"))], "id long, g array<string>")
+    words = spark.createDataFrame([("cab",), ("bb",), ("ad",), (None,)], "word string")
+    df = J.containing(words, "word", fonts, "g")
+    got = sorted((r["word"], r["id"]) for r in df.collect())
+    all_of = [*range(200), 903, 903]
+    assert got == sorted([("cab", i) for i in all_of] + [("bb", i) for i in [*all_of, 900]])
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    explode = plan.split("Generate explode(_set")[1]
+    assert "Aggregate" in explode.split("Project")[0] + explode.split("Generate")[0]
