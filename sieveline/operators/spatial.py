@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import settled
+from ..session import settled, ship
 from .ranking import latest, ranged
 
 #: Places of a cell in which the search for nearest points begins.
 CROWD = 64
+#: Points of a group that is clustered as one row.
+ALONE = 1000
 OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
@@ -168,11 +174,58 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+def chained(xs: Sequence[np.ndarray], ys: Sequence[np.ndarray], r: float, pairs: int = 2_000_000) -> list[np.ndarray]:
+    """For the points of each group the place of the first point that a chain of steps of at most ``r`` reaches; some ``pairs`` of points are compared at once."""
+    sizes = np.array([len(x) for x in xs], np.int64)
+    out, at = [], 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:] ** 2), pairs, "right")) + at)
+        n = sizes[at:end]
+        x, y = (np.concatenate([np.asarray(v, float) for v in part[at:end]]) for part in (xs, ys))
+        begin = np.cumsum(n) - n
+        each, first = np.repeat(n, n), np.repeat(begin, n)  # of each point: how many its group has, and where that begins
+        i = np.repeat(np.arange(len(x)), each)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first, each)
+        near = ((x[i] - x[j]) * (x[i] - x[j]) + (y[i] - y[j]) * (y[i] - y[j]) <= r * r) | (i == j)
+        i, j, root = i[near], j[near], np.arange(len(x))
+        starts = np.searchsorted(i, root)
+        while len(root):
+            low = np.minimum.reduceat(root[j], starts)
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        out += np.split(root - first, np.cumsum(n)[:-1])
+        at = end
+    return out
+
+
 def radius_clusters(points: DataFrame, r: float, group: str = "glyph") -> DataFrame:
     """group, id, x, y, cluster of points (group, id, x, y): those that a chain of steps of at most ``r`` within a group joins; a cluster is named by its smallest id.
 
-    Neighbours are found by cells, and all groups' components at once.
+    A group of at most ``ALONE`` points is one row, and Python gets many of them at once. In larger groups
+    neighbours are found by cells, and all those groups' components at once. Points without a group are near none.
     """
+    ship(points.sparkSession)
+    rows = points.select(group, "id", "x", "y")
+    large = settled(rows.groupBy(group).agg(F.count("*").alias("_n")).where((F.col("_n") > ALONE) | F.col(group).isNull()).select(F.col(group).alias("_large")), "large")
+
+    @F.pandas_udf("array<long>")
+    def firsts(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series(chained(list(xs), list(ys), r), dtype=object)
+
+    some = not large.isEmpty()
+    few = rows.join(large, F.col(group).eqNullSafe(F.col("_large")), "left_anti") if some else rows
+    each = few.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("id", "x", "y"))).alias("_p"))
+    axis = lambda a: F.transform("_p", lambda p: p[a].cast("double"))
+    named = each.select(group, "_p", firsts(axis("x"), axis("y")).alias("_f")).select(group, "_p", F.explode(F.arrays_zip(F.col("_p").alias("p"), F.col("_f").alias("f"))).alias("_z"))
+    small = named.select(group, "_z.p.id", "_z.p.x", "_z.p.y", F.get("_p", F.col("_z.f").cast("int"))["id"].alias("cluster"))
+    if not some:
+        return small
+    return small.union(_clusters_by_cells(rows.join(large, F.col(group).eqNullSafe(F.col("_large")), "left_semi"), r, group))
+
+
+def _clusters_by_cells(points: DataFrame, r: float, group: str) -> DataFrame:
     named = points.withColumn("node", F.struct(group, "id"))
     near = radius_join(named.select(group, "id", "x", "y"), named.select(group, F.col("id").alias("other"), "x", "y"), r, group).where("id < other")
     edges = near.select(F.struct(group, F.col("id")).alias("a"), F.struct(F.col(group), F.col("other").alias("id")).alias("b"))

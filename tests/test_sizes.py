@@ -178,3 +178,30 @@ def test_fonts_of_equal_characters_meet_words_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     explode = plan.split("Generate explode(_set")[1]
     assert "Aggregate" in explode.split("Project")[0] + explode.split("Generate")[0]
+
+
+def test_points_of_many_groups_are_clustered_as_rows(spark, monkeypatch):
+    from sieveline.operators import spatial as G
+
+    rng = np.random.default_rng(13)
+    rows = [(g, i, int(x), int(y)) for g in range(25) for i, (x, y) in enumerate(rng.integers(0, 12, (g * 2 + 1, 2)))] + [(None, 1, 0, 0), (None, 2, 0, 1)]
+    points = spark.createDataFrame(rows, "glyph long, id int, x int, y int")
+    called, plain = [], G.connected
+    monkeypatch.setattr(G, "connected", lambda *a: called.append(1) or plain(*a))
+    results = []
+    for most in (1000, 20):
+        monkeypatch.setattr(G, "ALONE", most)
+        results.append(sorted((r["glyph"] is None, r["glyph"] or 0, r["id"], r["x"], r["y"], r["cluster"]) for r in G.radius_clusters(points, 2.0).collect()))
+    assert results[0] == results[1]
+    known = points.where("glyph IS NOT NULL")
+    monkeypatch.setattr(G, "ALONE", 1000)
+    called.clear()
+    assert G.radius_clusters(known, 2.0).count() == known.count() and not called
+    of = {(n, g, i): c for n, g, i, _, _, c in results[0]}
+    assert of[True, 0, 1] == 1 and of[True, 0, 2] == 2
+    for g in range(25):
+        own = {i: (x, y) for h, i, x, y in rows if h == g}
+        root = {i: i for i in own}
+        for _ in own:
+            root = {i: min(root[j] for j in own if (own[i][0] - own[j][0]) ** 2 + (own[i][1] - own[j][1]) ** 2 <= 4) for i in own}
+        assert all(of[False, g, i] == root[i] for i in own)
