@@ -41,11 +41,35 @@ def class_members(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.select(F.col(key).alias("member"), F.col(value).alias("h")).join(first, "h").select("member", "first")
 
 
-def block_pairs(hashes: DataFrame, threshold: int, block: int = 16384) -> DataFrame:
+def near_in_blocks(a: np.ndarray, b: np.ndarray, threshold: int, rows: int = 16, columns: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions in ``a`` and ``b`` and the distance of unsigned hashes that differ in at most ``threshold`` bits, some ten thousand pairs at once.
+
+    A block of comparisons stays in a core's cache: half a megabyte, over and over again in the same arrays.
+    """
+    bits, counts = np.empty((rows, columns), np.uint64), np.empty((rows, columns), np.uint8)
+    found, n = [], 0
+    for at in range(0, len(a), rows):
+        strip = a[at : at + rows, None]
+        for start in range(0, len(b), columns):
+            part = b[None, start : start + columns]
+            x, apart = bits[: len(strip), : part.shape[1]], counts[: len(strip), : part.shape[1]]
+            np.bitwise_count(np.bitwise_xor(strip, part, out=x), out=apart)
+            near = np.flatnonzero(apart <= threshold)
+            if len(near):
+                i, j = np.divmod(near, part.shape[1])
+                found.append((at + i, start + j, apart[i, j]))
+                n += len(near)
+        if found and (n >= 10000 or at + rows >= len(a)):
+            yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
+            found, n = [], 0
+
+
+def block_pairs(hashes: DataFrame, threshold: int, block: int = 16384, most: int = 2000) -> DataFrame:
     """ha, hb, distance of the distinct hashes ``h`` that differ in at most ``threshold`` bits, by comparing all pairs.
 
-    Hashes are dealt to blocks of about ``block``; each pair of blocks is a group that one task compares,
-    a strip of rows at a time. A comparison takes about a nanosecond and nothing but true pairs leaves a task.
+    Hashes are dealt to blocks of about ``block``; each pair of blocks is a group that one task compares, and
+    a partition of its own (``most`` at most): they are small in bytes but not in work, so that Spark would join many
+    of them into one task. A comparison takes about a nanosecond and nothing but true pairs leaves a task.
     """
     n = max(1, -(-hashes.count() // block))
     own = hashes.select("h", F.pmod(F.xxhash64("h"), F.lit(n)).cast("int").alias("own"))
@@ -56,17 +80,14 @@ def block_pairs(hashes: DataFrame, threshold: int, block: int = 16384) -> DataFr
         h, of = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         i, j = (k.as_py() for k in key)
         a, b = np.sort(h[of == i]), np.sort(h[of == j])
-        for at in range(0, len(a), 128):
-            strip = a[at : at + 128]
-            apart = np.bitwise_count(strip.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :])
-            x, y = np.nonzero(apart <= threshold)
+        for x, y, apart in near_in_blocks(a.view(np.uint64), b.view(np.uint64), threshold):
             if i == j:
-                x, y = x[keep := strip[x] < b[y]], y[keep]
+                x, y, apart = x[keep := a[x] < b[y]], y[keep], apart[keep]
             if len(x):
-                low, high = np.minimum(strip[x], b[y]), np.maximum(strip[x], b[y])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(apart[x, y].astype(np.int32))], names=["ha", "hb", "distance"])
+                low, high = np.minimum(a[x], b[y]), np.maximum(a[x], b[y])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(apart.astype(np.int32))], names=["ha", "hb", "distance"])
 
-    return dealt.groupBy("i", "j").applyInArrow(run, "ha bigint, hb bigint, distance int")
+    return dealt.repartitionByRange(min(n * (n + 1) // 2, most), "i", "j").groupBy("i", "j").applyInArrow(run, "ha bigint, hb bigint, distance int")
 
 
 def hamming_pairs(df: DataFrame, key: str, value: str, threshold: int, bits: int = 64) -> DataFrame:
@@ -109,6 +130,7 @@ def greedy_groups(df: DataFrame, key: str, value: str, threshold: int, order: st
     greedy choice is settled in rounds over the candidate pairs: a hash leads once all earlier
     neighbours follow someone; it follows once an earlier neighbour leads.
     """
+    df = settled(df.select(*dict.fromkeys((key, value, order))), "hashes")  # read four times, made once
     one = df.groupBy(F.col(value).alias("h")).agg(F.min(order).alias("at"))
     pairs = settled(hamming_pairs(one, "at", "h", threshold).select("a", "b"), "near-hashes")
     state = one.select("at", F.lit(None).cast("boolean").alias("leads"))

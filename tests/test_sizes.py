@@ -205,3 +205,38 @@ def test_points_of_many_groups_are_clustered_as_rows(spark, monkeypatch):
         for _ in own:
             root = {i: min(root[j] for j in own if (own[i][0] - own[j][0]) ** 2 + (own[i][1] - own[j][1]) ** 2 <= 4) for i in own}
         assert all(of[False, g, i] == root[i] for i in own)
+
+
+def test_each_pair_of_blocks_has_a_task_and_hashes_are_made_once(spark):
+    from sieveline.operators import similarity as S
+
+    rng = np.random.default_rng(13)
+    hashes = np.unique(rng.integers(-(2**62), 2**62, 200))
+    hashes = np.unique(np.concatenate([hashes, hashes[:60] ^ (1 << rng.integers(0, 60, 60)) ^ (1 << rng.integers(0, 60, 60))]))
+    frame = spark.createDataFrame([(int(h),) for h in hashes], "h long")
+    pairs = S.block_pairs(frame, 14, block=32)
+    assert pairs.rdd.getNumPartitions() >= 28  # small blocks were joined into one task
+    got = {(r["ha"], r["hb"]): r["distance"] for r in pairs.collect()}
+    want = {(a, b): d for a in hashes.tolist() for b in hashes.tolist() if a < b and (d := ((a ^ b) & 2**64 - 1).bit_count()) <= 14}
+    assert got == want and len(want) > 50
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def hashed(h):
+        made.add(1)
+        return h
+
+    rows = frame.select("h", F.monotonically_increasing_id().alias("id")).select("id", hashed("h").alias("h"))
+    assert S.greedy_groups(rows, "id", "h", 14, "id").count() == len(hashes) == made.value
+
+
+def test_near_pairs_are_found_over_the_edges_of_strips():
+    from sieveline.operators import similarity as S
+
+    rng = np.random.default_rng(17)
+    a, b = rng.integers(0, 2**63, 37, dtype=np.uint64), rng.integers(0, 2**63, 23, dtype=np.uint64)
+    apart = np.bitwise_count(a[:, None] ^ b[None, :])
+    found = [np.stack(f, axis=1) for f in S.near_in_blocks(a, b, 30, 8, 5)]
+    assert sorted(map(tuple, np.concatenate(found).tolist())) == [(int(i), int(j), int(apart[i, j])) for i, j in np.argwhere(apart <= 30)]
+    assert not list(S.near_in_blocks(a, b, 0, 8, 5))
