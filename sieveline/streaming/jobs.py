@@ -31,7 +31,7 @@ def duplicate_frames(hashes: DataFrame, key: str, name: str, value: str, thresho
 
     Rows without a hash count on the way and are in no group.
     """
-    placed = numbered(hashes.select(key, name, value), name, "at", key)
+    placed = numbered(hashes.select(key, name), name, "at", key)
     total = hashes.agg(F.count("*").alias("total"))
     groups = greedy_groups(hashes.where(F.col(value).isNotNull()), key, value, threshold, key)
     sizes = groups.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1")
