@@ -116,9 +116,8 @@ def resumed_pages(t: Tables) -> DataFrame:
     rows = t.pages.where("url IS NOT NULL").select(F.concat(F.lit("c"), (c("page_id") % 5).cast("string")).alias("category"), "page_id", "url")
     page = F.expr("1 + (row_number() OVER (PARTITION BY category ORDER BY page_id) - 1) div 10")
     base = scratch(t.spark, "listing")
-    listing = rows.select("category", "page_id", "url", page.cast("int").alias("page")).repartition("category", "page").sortWithinPartitions("category", "page", "page_id")
-    listing.select("category", "page", c("url").alias("value")).write.partitionBy("category", "page").text(base)
-    job = PagedJob(t.spark, scratch(t.spark, "paged"), scratch(t.spark, "paged-checkpoint"), {"categories": "c0,c1,c2,c3,c4", "fetcher": "sieveline.sources.pages.listed_page", "base": base, "pages": "7", "max_pages": "100000"})
+    H.write_listing(rows.select("category", "page_id", "url", page.cast("int").alias("page")), base, "page_id")
+    job = PagedJob(t.spark, scratch(t.spark, "paged"), scratch(t.spark, "paged-checkpoint"), {"categories": "c0,c1,c2,c3,c4", "fetcher": "sieveline.sources.pages.page_of_listing", "base": base, "pages": "7", "max_pages": "100000"})
     job.run(2)  # and here it pauses
     job.run()
     return job.found()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow.compute
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -211,6 +212,31 @@ def listed_page(base: str, category: str, page: int) -> list[str]:
     return out
 
 
+#: Fixed value: pages of a listing that lie in one file.
+PAGES_A_FILE = 100
+
+
+def write_listing(rows: DataFrame, base: str, order: str) -> None:
+    """Rows (category, page, url) as a listing for ``page_of_listing``, a file for a hundred pages; urls of a page are in the order of a column."""
+    block = F.floor(F.col("page") / PAGES_A_FILE).cast("int")
+    kept = rows.withColumn("block", block).repartition("category", "block").sortWithinPartitions("category", "block", "page", order)
+    kept.select("category", "block", "page", "url").write.partitionBy("category", "block").parquet(base)
+
+
+def page_of_listing(base: str, category: str, page: int) -> list[str]:
+    """The urls of a page of a listing that ``write_listing`` wrote; none if it has no such page."""
+    import pyarrow.parquet
+
+    fs, inner = pyarrow.fs.FileSystem.from_uri(base if "://" in base else f"file://{base.removeprefix('file:')}")
+    found = fs.get_file_info(pyarrow.fs.FileSelector(f"{inner}/category={category}/block={page // PAGES_A_FILE}", allow_not_found=True))
+    out = []
+    for f in sorted(found, key=lambda f: f.path):
+        if f.is_file and f.base_name.startswith("part-"):
+            with fs.open_input_file(f.path) as s:
+                out += pyarrow.parquet.ParquetFile(s).read().filter(pyarrow.compute.field("page") == page)["url"].to_pylist()
+    return out
+
+
 def svg_font_map(glyphs: DataFrame) -> DataFrame:
     """font, glyphs: a map from each character to its outline and advance; of repeated characters the smallest outline."""
     one = glyphs.groupBy("font", "unicode").agg(F.min(F.struct("d", "advance")).alias("g"))

@@ -260,3 +260,15 @@ def test_masks_of_a_batch_are_thinned_and_measured_once(monkeypatch):
     for k in Y.RIDGES:
         assert [tuple(v.values()) for v in got[k]] == list(ridges[k].itertuples(index=False, name=None))
     assert Y.ink_share.func(data, width).tolist() == Y.mask_metrics.func(data, width)["ink"].tolist()
+
+
+def test_a_listing_has_a_file_for_a_hundred_pages(spark, tmp_path):
+    from sieveline.sources import pages as H
+
+    base = f"{tmp_path}/listing"
+    rows = spark.range(2500).selectExpr("concat('c', id % 2) category", "id", "CAST(1 + id div 20 AS int) page", "concat('u', id, IF(id = 8, ' a\\nb', '')) url").repartition(7)
+    H.write_listing(rows, base, "id")
+    assert sorted(p.parent.name for p in (tmp_path / "listing").rglob("part-*")) == ["block=0", "block=0", "block=1", "block=1"]
+    got = [H.page_of_listing(base, f"c{k}", page) for page in range(1, 126) for k in (0, 1)]
+    assert got == [[f"u{i}" + (" a\nb" if i == 8 else "") for i in range(20 * page - 20 + k, 20 * page, 2)] for page in range(1, 126) for k in (0, 1)]
+    assert H.page_of_listing(base, "c0", 126) == H.page_of_listing(base, "c0", 900) == H.page_of_listing(base, "c9", 1) == []
