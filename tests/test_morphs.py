@@ -61,3 +61,37 @@ def test_pixels_are_never_broadcast(spark):
 
     plans = [QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for name in ("letter_corners", "morphed_strokes")]
     assert [p.count("BroadcastHashJoin") for p in plans] == [0, 1]  # the templates
+
+
+def test_strokes_are_refined_together_as_by_whole_searches():
+    rng = np.random.default_rng(3)
+    masks = [rng.random((20 + k % 3, 23)) < 0.2 + 0.02 * k for k in range(30)] + [np.zeros((4, 4), bool)]
+    points = [rng.integers(-6, 50, (25, 2)) / 2 for _ in masks]  # halves: several pixels are nearest
+    for points_, mask, got in zip(points, masks, M.refined_together(points, masks, 7), strict=True):
+        ys, xs = np.nonzero(mask)
+        off = lambda q: not (0 <= (x := round(q[0])) < mask.shape[1] and 0 <= (y := round(q[1])) < mask.shape[0] and mask[y, x])
+        p = points_
+        for n in range(8 if len(xs) else 0):
+            out = [i for i, q in enumerate(p) if off(q)]
+            if not out:
+                break
+            p = p.copy()
+            for i in out:
+                k = ((xs - p[i, 0]) ** 2 + (ys - p[i, 1]) ** 2).argmin()
+                p[i] = xs[k], ys[k]
+            if n < 7:
+                p = np.concatenate([p[:1], 0.2 * p[:-2] + 0.6 * p[1:-1] + 0.2 * p[2:], p[-1:]])
+        assert np.array_equal(got, p)
+
+
+def test_rows_and_outline_of_a_mask():
+    mask = np.array([[0, 0, 0, 0, 0, 0], [1, 0, 0, 0, 1, 0], [0, 1, 0, 0, 1, 1], [0, 1, 1, 1, 1, 0], [0, 1, 1, 1, 0, 0]], bool)
+    y, left, right, gap, rim = M.look(mask)
+    assert [list(v) for v in (y, left, right, gap)] == [[1, 2, 3, 4], [0, 1, 1, 1], [4, 5, 4, 3], [True, False, False, False]]
+    assert set(np.flatnonzero(mask)) - set(rim) == set()
+    assert list(M.look(np.ones((3, 3), bool))[4]) == [0, 1, 2, 3, 5, 6, 7, 8] and not len(M.look(np.zeros((2, 3), bool))[4])
+
+
+def test_a_glyph_leaves_as_one_row_and_not_as_pixels(spark):
+    plan = M.morphed(glyph_rows(spark, [("L", drawn([((6, 6), (6, 42))]))]))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "array<struct<x:int" not in plan and plan.count("SortMergeJoin") == 1
